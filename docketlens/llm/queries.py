@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlens.llm.bpe import encode_texts
+from docketlens.llm.html_extraction import extract_pages
 from docketlens.llm.secrets import BASE_KINDS, find_secrets, listed
 from docketlens.llm.sharding import shard_rows
 
@@ -19,6 +20,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokenizer file comes from the installed public_tokenizers package, which every executor has."""
     import public_tokenizers
@@ -38,6 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_html_extraction": op3_html_extraction,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
     }
