@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from docketlens.llm.bpe import encode_texts
 from docketlens.llm.html_extraction import extract_pages
+from docketlens.llm.mixing import mix
+from docketlens.llm.quality_rules import judge
 from docketlens.llm.secrets import BASE_KINDS, find_secrets, listed
 from docketlens.llm.sharding import shard_rows
+from docketlens.llm.url_filters import filter_urls, patterns_of
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,96 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def page_list(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the pages' hosts and sections, and two hosts that are listed throughout.
+
+    There is no list among the tables, so the dates follow from the first page of a host or section by a rule that
+    SQL has too: most hosts are listed, struck off and some of them listed again.
+    """
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).cast("timestamp_ntz")
+    entry = lambda df, n, action: df.select("pattern", day(n).alias("listed_at"), F.lit(action).alias("action"))
+    first = lambda kind: pages.groupBy(patterns_of(F.col("url"))[kind].alias("pattern")).agg(F.min("page_id").alias("f"))
+    f, hosts = F.col("f"), first("host").where("f % 3 <> 0")
+    paths = first("path").where("f % 4 = 1")
+    fixed = pages.sparkSession.createDataFrame([("spam-farm.example.org",), ("cheap-pills.example.com",)], "pattern string")
+    parts = [entry(hosts, f * 13 % 200, "add"), entry(hosts, f * 13 % 200 + 40 + f % 90, "remove"), entry(hosts.where("f % 5 = 0"), f * 13 % 200 + 150, "add"), entry(paths, f * 7 % 300, "add"), entry(fixed, F.lit(0), "add")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is a capture; its fetch time, which the table lacks, is a day of 2024 by its number."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 366).cast("int")).cast("timestamp_ntz")
+    found = filter_urls(pages.withColumn("fetched_at", fetched), page_list(pages))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return found.select("page_id", "url", text("fetched_at"), "host", "blocked", "matched_by", "matched_pattern", text("listed_since"))
+
+
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg,
+         DATE '2024-01-01' + CAST(page_id * 7 % 366 AS INTEGER) AS day FROM pages),
+c AS (SELECT *, host || '/' || seg AS path, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS domain FROM p),
+h AS (SELECT host AS pattern, min(page_id) AS f FROM c GROUP BY 1 HAVING min(page_id) % 3 <> 0),
+s AS (SELECT path AS pattern, min(page_id) AS f FROM c GROUP BY 1 HAVING min(page_id) % 4 = 1),
+e AS (
+  SELECT pattern, f * 13 % 200 AS d, true AS listed FROM h
+  UNION ALL SELECT pattern, f * 13 % 200 + 40 + f % 90, false FROM h
+  UNION ALL SELECT pattern, f * 13 % 200 + 150, true FROM h WHERE f % 5 = 0
+  UNION ALL SELECT pattern, f * 7 % 300, true FROM s
+  UNION ALL SELECT 'spam-farm.example.org', 0, true UNION ALL SELECT 'cheap-pills.example.com', 0, true),
+u AS (SELECT pattern, DATE '2024-01-01' + CAST(d AS INTEGER) AS since, bool_and(listed) AS listed FROM e GROUP BY 1, 2),
+g AS (SELECT *, coalesce(lag(listed) OVER (PARTITION BY pattern ORDER BY since), false) AS was FROM u),
+k AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY pattern ORDER BY since), DATE '9999-12-31') AS until FROM g WHERE was <> listed),
+v AS (SELECT pattern, since, until FROM k WHERE listed)
+SELECT c.page_id, c.url, strftime(c.day, '%Y-%m-%d') AS fetched_at, c.host,
+       coalesce(a.pattern, b.pattern, d.pattern) IS NOT NULL AS blocked,
+       CASE WHEN a.pattern IS NOT NULL THEN 'path' WHEN b.pattern IS NOT NULL THEN 'host' WHEN d.pattern IS NOT NULL THEN 'domain' END AS matched_by,
+       coalesce(a.pattern, b.pattern, d.pattern) AS matched_pattern,
+       strftime(CASE WHEN a.pattern IS NOT NULL THEN a.since WHEN b.pattern IS NOT NULL THEN b.since ELSE d.since END, '%Y-%m-%d') AS listed_since
+FROM c
+LEFT JOIN v a ON a.pattern = c.path AND c.day >= a.since AND c.day < a.until
+LEFT JOIN v b ON b.pattern = c.host AND c.day >= b.since AND c.day < b.until
+LEFT JOIN v d ON d.pattern = c.domain AND c.day >= d.since AND c.day < d.until
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS words, text FROM d),
+m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS n,
+              regexp_replace(trim(regexp_replace(lower(line), '[ 	-]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
+       FROM l WHERE regexp_matches(line, '[^ 	-]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY 1),
+freq AS (SELECT source, norm FROM lw GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
+rem AS (SELECT doc_id, sum(n) AS removed_words FROM lw JOIN freq USING (source, norm) GROUP BY 1),
+win AS (SELECT doc_id, i, words[i:i+7] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM hit, range(8) t(j) GROUP BY 1),
+f AS (SELECT m.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+      FROM m LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN rem USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM f
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -44,6 +137,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_url_filters": op2_url_filters,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_mixing": op7_mixing,
         "op3_html_extraction": op3_html_extraction,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
@@ -51,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": OP2_SQL, "op4_quality_rules": OP4_SQL}
