@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlens.llm.bpe import encode_texts
+from docketlens.llm.fingerprints import fingerprint_edits
 from docketlens.llm.html_extraction import extract_pages
 from docketlens.llm.mixing import mix
 from docketlens.llm.quality_rules import judge
@@ -87,12 +88,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS words, text FROM d),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS words, text FROM d),
 m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS n,
-              regexp_replace(trim(regexp_replace(lower(line), '[ 	-]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
-       FROM l WHERE regexp_matches(line, '[^ 	-]')),
+lw AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n,
+              regexp_replace(trim(regexp_replace(lower(line), '[ 	-
+]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
+       FROM l WHERE regexp_matches(line, '[^ 	-
+]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY 1),
 freq AS (SELECT source, norm FROM lw GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
 rem AS (SELECT doc_id, sum(n) AS removed_words FROM lw JOIN freq USING (source, norm) GROUP BY 1),
@@ -118,6 +123,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokenizer file comes from the installed public_tokenizers package, which every executor has."""
     import public_tokenizers
@@ -140,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": op2_url_filters,
         "op4_quality_rules": op4_quality_rules,
         "op7_mixing": op7_mixing,
+        "op8_fingerprints": op8_fingerprints,
         "op3_html_extraction": op3_html_extraction,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
