@@ -9,6 +9,7 @@ from docketlens.llm.bpe import encode_texts
 from docketlens.llm.fingerprints import fingerprint_edits
 from docketlens.llm.html_extraction import extract_pages
 from docketlens.llm.mixing import mix
+from docketlens.llm.ngram_join import ngram_components
 from docketlens.llm.quality_rules import judge
 from docketlens.llm.secrets import BASE_KINDS, find_secrets, listed
 from docketlens.llm.sharding import shard_rows
@@ -113,6 +114,10 @@ FROM f
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir), words=5, percent=75)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -149,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_url_filters": op2_url_filters,
         "op4_quality_rules": op4_quality_rules,
+        "op6_ngram_join": op6_ngram_join,
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,
         "op3_html_extraction": op3_html_extraction,
