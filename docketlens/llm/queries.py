@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlens.llm.bpe import encode_texts
+from docketlens.llm.chat_format import format_chats
 from docketlens.llm.fingerprints import fingerprint_edits
 from docketlens.llm.html_extraction import extract_pages
 from docketlens.llm.mixing import mix
@@ -114,6 +115,10 @@ FROM f
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir), words=5, percent=75)
 
@@ -155,6 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_url_filters": op2_url_filters,
         "op4_quality_rules": op4_quality_rules,
+        "op5_chat_format": op5_chat_format,
         "op6_ngram_join": op6_ngram_join,
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,
