@@ -16,12 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; cuts the lineage and survives lost executors."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, or a folder of its own where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docketlens-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketlens-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; cuts the lineage and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
