@@ -120,3 +120,32 @@ applications AS (SELECT case_id, date, line, part, judge_id AS advocate_id, {_ca
 last_hearings AS (SELECT case_id, max(date) AS last_hearing, min(date) AS first_hearing, count(*) AS n_hearings, count(*) FILTER (outcome_type = 'ADJOURNED') AS n_adjourned FROM hearings GROUP BY 1),
 case_spans AS (SELECT cases.*, last_hearing, first_hearing, coalesce(n_hearings, 0) AS n_hearings, coalesce(n_adjourned, 0) AS n_adjourned, CASE WHEN is_disposed THEN last_hearing END AS disposal_date
                FROM cases LEFT JOIN last_hearings USING (case_id))"""
+
+#: Outcome phrases, which the generated corpus lacks.
+PHRASES = (
+    "Matter adjourned to next week",
+    "Case postponed due to strike",
+    "Put up on 22.03.2026",
+    "Arguments heard",
+    "Order reserved",
+    "Dismissed with costs",
+    "Not heard on account of paucity of time",
+    "",
+    "Matter mentioned",
+    "Proxy counsel appearing, lead counsel absent",
+    "Defect in filing, filing fee not paid",
+    "Judge is on leave, bench did not assemble",
+    "Interim order to continue, stay extended",
+    "No proceedings",
+    "Adjourned to 04.05.2026: counsel not present",
+    "Petition allowed and disposed of",
+)
+
+
+def with_text(hearings: DataFrame) -> DataFrame:
+    """Hearings with an outcome text, one of the phrases by their numbers."""
+    texts = F.array(*[F.lit(p) for p in PHRASES])
+    return hearings.withColumn("text", F.get(texts, ((F.col("case_id") + F.col("line")) % len(PHRASES)).cast("int")))
+
+
+TEXT_SQL = ", texts AS (SELECT *, list_extract([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + f"], CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS text FROM hearings)"
