@@ -306,7 +306,7 @@ def batch_stats(t: Tables) -> DataFrame:
     """, rate AS (SELECT judge_id, count(*) FILTER (outcome_type = 'ADJOURNED') / count(*) AS r, count(DISTINCT case_id) AS total FROM hearings GROUP BY 1),
     s AS (SELECT case_id, date, line, part, least(1, greatest(0, (CASE WHEN reason_type IN ('judge_unavailable', 'court_adjourned') THEN 0.1 WHEN reason_type IN ('file_not_ready', 'compliance_pending', 'interim_pending') THEN 0.3 WHEN reason_type IN ('counsel_unavailable', 'party_not_ready', 'other_procedural') THEN 0.5 WHEN reason_type = 'on_request' THEN 0.7 ELSE 0.65 END
       + CASE WHEN requested_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN was_contested THEN 0.10 ELSE 0 END) * (CASE WHEN r > 0.6 THEN 1.15 WHEN r > 0.4 THEN 1.08 ELSE 1 END) * CASE WHEN total > 100 THEN 1.05 ELSE 1 END)) AS score FROM adjournments JOIN rate USING (judge_id))
-    SELECT case_id, date, line, part, round(round(score, 9), 4) AS score, CASE WHEN round(score, 9) >= 0.75 THEN 'likely_tactic' WHEN round(score, 9) >= 0.60 THEN 'possible_tactic' WHEN round(score, 9) >= 0.40 THEN 'unclear' WHEN round(score, 9) >= 0.20 THEN 'likely_legitimate' ELSE 'legitimate' END AS class FROM s""",
+    SELECT case_id, date, line, part, CAST(round(round(score, 9), 4) AS DOUBLE) AS score, CASE WHEN round(score, 9) >= 0.75 THEN 'likely_tactic' WHEN round(score, 9) >= 0.60 THEN 'possible_tactic' WHEN round(score, 9) >= 0.40 THEN 'unclear' WHEN round(score, 9) >= 0.20 THEN 'likely_legitimate' ELSE 'legitimate' END AS class FROM s""",
 )
 def adjournment_class(t: Tables) -> DataFrame:
     """A score from reason, request and contest, scaled by the advocate's rate, which is one row per advocate."""
@@ -324,7 +324,7 @@ def adjournment_class(t: Tables) -> DataFrame:
     "ddd_13_frivolity",
     """, s AS (SELECT case_id, date, line, part, round(least(1, greatest(0, CASE application_type WHEN 'stay_of_proceedings' THEN 0.45 WHEN 'bail' THEN 0.35 WHEN 'injunction' THEN 0.40 WHEN 'clarification' THEN 0.25 ELSE 0.35 END
       + CASE decision_status WHEN 'rejected' THEN 0.15 WHEN 'granted' THEN -0.20 WHEN 'dismissed' THEN 0.10 ELSE 0 END - CASE WHEN date_diff('day', date, decision_date) > 90 THEN 0.05 ELSE 0 END + 0.12 + CASE WHEN is_frivolous THEN 0.10 ELSE 0 END + CASE WHEN delay_days > 30 THEN 0.08 ELSE 0 END)), 9) AS score FROM applications)
-    SELECT case_id, date, line, part, round(score, 4) AS score, CASE WHEN score >= 0.80 THEN 'clearly' WHEN score >= 0.65 THEN 'likely' WHEN score >= 0.50 THEN 'possibly' WHEN score >= 0.35 THEN 'unclear' WHEN score >= 0.20 THEN 'unlikely' ELSE 'genuine' END AS class FROM s""",
+    SELECT case_id, date, line, part, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 0.80 THEN 'clearly' WHEN score >= 0.65 THEN 'likely' WHEN score >= 0.50 THEN 'possibly' WHEN score >= 0.35 THEN 'unclear' WHEN score >= 0.20 THEN 'unlikely' ELSE 'genuine' END AS class FROM s""",
 )
 def frivolity(t: Tables) -> DataFrame:
     """Applications without grounds: type, decision, its time, a flag and the delay they caused."""
