@@ -26,7 +26,7 @@ from docketlens.llm.common import WORD, bounded_broadcast, checkpoint, ship
 from docketlens.llm.components import components
 
 #: Extra leading n-grams of the search, in percent of a set, which must be shared beyond the first.
-EXTRA = 10
+EXTRA = 15
 #: Postings that a search task gathers, about.
 POSTINGS = 1_500_000
 #: Nodes of a neighbourhood that one task compares.
@@ -86,16 +86,20 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.cumsum(first) - 1
 
 
-def _credits(numbers: np.ndarray) -> pa.RecordBatch:
-    who, count = np.unique(numbers, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(count, pa.int64())], names=["number", "shared"])
+def _summed(numbers: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers with the sums of their counts."""
+    number, count = np.concatenate([np.empty(0, np.int64), *numbers]), np.concatenate([np.empty(0, np.int64), *counts])
+    order = np.argsort(number, kind="stable")
+    starts, _ = _runs(number[order])
+    return number[order][starts], np.add.reduceat(count[order], starts) if len(starts) else count
 
 
 def likely_nodes(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Numbers of the nodes that share enough of their leading n-grams with other nodes (step 2).
 
     A map task sends an n-gram that several nodes of a batch share as one row, so that an n-gram of a third of all
-    documents is a row a batch. Postings go by hash to as many tasks as their number needs.
+    documents is a row a batch. Postings go by hash to as many tasks as their number needs. Within a task 32 more bits
+    tell n-grams apart; two that meet by chance look shared, which keeps a node too many and never loses one.
     """
     total = sets.agg(F.sum("n")).first()[0] or 0
     lead = (100 - percent + EXTRA) / 100
@@ -118,23 +122,22 @@ def likely_nodes(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
             many = np.diff(np.append(starts, len(grams))) > 1
             met = owner[many[run]]
             grams, owner = grams[starts], np.where(many, 0, owner[starts])
-            bucket = grams.view(np.uint64) % np.uint64(tasks)
+            bucket, short = grams.view(np.uint64) % np.uint64(tasks), (grams.view(np.uint64) // np.uint64(tasks)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             cuts, _ = _runs(bucket[order])
             groups = np.split(order, cuts[1:])
             who, count = np.unique(met, return_counts=True)
-            rows = [(int(bucket[g[0]]), grams[g].tobytes(), owner[g].tobytes(), b"", b"") for g in groups]
+            rows = [(int(bucket[g[0]]), short[g].tobytes(), owner[g].tobytes(), b"", b"") for g in groups]
             rows.append((int(who[0]) % tasks if len(who) else 0, b"", b"", who.tobytes(), count.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "grams", "owner", "who", "count"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, owner = [], []
+        grams, owner, whom, counts = [], [], [], []
         for batch in batches:
             for g, o, w, c in zip(*(batch.column(k).to_pylist() for k in ("grams", "owner", "who", "count")), strict=True):
-                grams.append(np.frombuffer(g, np.int64))
-                owner.append(np.frombuffer(o, np.int64))
-                if w:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["number", "shared"])
+                grams.append(np.frombuffer(g, np.uint32))
+                for to, data in ((owner, o), (whom, w), (counts, c)):
+                    to.append(np.frombuffer(data, np.int64))
         if not grams:
             return
         g, o = np.concatenate(grams), np.concatenate(owner)
@@ -147,11 +150,28 @@ def likely_nodes(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
         length = np.diff(np.append(starts, len(g)))
         met = np.zeros(len(starts), bool)
         np.logical_or.at(met, run[o == 0], True)
-        if len(who := o[((length > 1) | met)[run] & (o != 0)]):
-            yield _credits(who)
+        here = o[((length > 1) | met)[run] & (o != 0)]
+        who, count = _summed([*whom, here], [*counts, np.ones(len(here), np.int64)])
+        # One packed row for each task that sums, so that the number of rows does not grow with the tasks of both sides.
+        bucket = who.view(np.uint64) % np.uint64(tasks)
+        order = np.argsort(bucket, kind="stable")
+        cuts, _ = _runs(bucket[order])
+        groups = np.split(order, cuts[1:]) if len(order) else []
+        rows = [(int(bucket[i[0]]), who[i].tobytes(), count[i].tobytes()) for i in groups]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "who", "count"])
+
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whom, counts = [], []
+        for batch in batches:
+            whom += [np.frombuffer(x, np.int64) for x in batch.column("who").to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in batch.column("count").to_pylist()]
+        who, count = _summed(whom, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(count, pa.int64())], names=["number", "shared"])
 
     posted = docs.select("text").mapInArrow(post, "bucket int, grams binary, owner binary, who binary, count binary")
-    shared = posted.repartition(tasks, "bucket").mapInArrow(meet, "number long, shared long")
+    packed = posted.repartition(tasks, "bucket").mapInArrow(meet, "bucket int, who binary, count binary")
+    shared = packed.repartition(tasks, "bucket").mapInArrow(total_of, "number long, shared long")
     known = sets.where("number IS NOT NULL").select("number", F.lit(0).cast("long").alias("shared"), "n")
     need = 1 + F.floor(EXTRA * F.ceil(F.col("n") * percent / 100) / 100)
     return shared.withColumn("n", F.lit(0).cast("long")).union(known).groupBy("number").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).where(F.col("shared") >= need).select("number")
@@ -178,16 +198,16 @@ def ordered_sets(docs: DataFrame, sets: DataFrame, likely: DataFrame, words: int
             for at in range(0, len(v), 500):
                 part = blobs[at : at + 500]
                 sizes = [len(b) for b in part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v[at : at + 500], sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate(part))], names=["v", "n", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v[at : at + 500], sizes)), pa.array(np.concatenate(part))], names=["v", "gram"])
 
     own = chosen.select("text").mapInArrow(run, "node binary, blob binary").dropDuplicates(["node"])
     stored = checkpoint(own.withColumn("v", F.monotonically_increasing_id()))
-    grams = stored.select("v", "blob").mapInArrow(unpack, "v long, n long, gram long")
+    grams = stored.select("v", "blob").mapInArrow(unpack, "v long, gram long")
     counts = grams.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = grams.join(counts, F.col("gram") == F.col("g")).groupBy("v").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
+    shared = grams.join(counts, F.col("gram") == F.col("g")).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("s"))
+    shared = shared.join(stored.select(F.col("v").alias("w"), "node", F.floor(F.octet_length("blob") / 8).alias("n")), F.col("v") == F.col("w"))
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    out = shared.select("v", "n", lead.cast("int").alias("lead"), F.transform("s", lambda x: x["gram"]).alias("grams")).where("lead > 0")
-    return checkpoint(out.join(stored.select("v", "node"), "v"))
+    return checkpoint(shared.select("v", "node", "n", lead.cast("int").alias("lead"), F.transform("s", lambda x: x["gram"]).alias("grams")).where("lead > 0"))
 
 
 class Branch:
