@@ -1,6 +1,7 @@
 """Streams against their batch forms; file sources and sinks."""
 
 import collections
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,10 @@ def drain(df, tmp_path, mode="append"):
 @pytest.fixture
 def stream(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet")
-    events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
+    for day in ("2024-01-11", "2024-01-21", "2024-03-01"):  # files in the order of their times, so that no row is late
+        part = events.where((F.col("ts") < day) & (F.col("ts") >= {"2024-01-11": "2000-01-01", "2024-01-21": "2024-01-11", "2024-03-01": "2024-01-21"}[day]))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
     return events, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
