@@ -1,0 +1,320 @@
+"""The operators on documents: against brute force, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import json
+import re
+import unicodedata
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docketlens.llm import bpe, fingerprints, mixing, ngram_join, quality_rules, secrets, sharding
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@given(st.integers(1, 3000), st.integers(0, 2**63 - 1))
+@settings(max_examples=40, deadline=None)
+def test_permutation_is_a_bijection(n, seed):
+    p = sharding.permute(np.arange(n), n, seed)
+    assert sorted(p) == list(range(n))
+    assert list(sharding.permute(p, n, seed, back=True)) == list(range(n))
+
+
+def test_shard_and_slot_are_computable():
+    for row in range(0, 997, 83):
+        shard, slot = sharding.locate(row, 997, 16, 5)
+        assert sharding.row_at(shard, slot, 997, 16, 5) == row
+
+
+@pytest.mark.parametrize("which", ["messy", "documents"])
+def test_sharding(which, request):
+    docs = request.getfixturevalue(which)
+    rows = sharding.shard_rows(docs, 16).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by.get(k, [])) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    source = collections.Counter((d["doc_id"], len((d["text"] or "").encode()) + 1, zlib.crc32((d["text"] or "").encode())) for d in docs.select("doc_id", "text").collect())
+    assert source == collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
+    place = lambda rs: sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in rs)
+    assert place(rows) == place(sharding.shard_rows(docs.repartition(5), 16).collect())
+
+
+def judged_by_hand(text, lines_over):
+    words = WORDS.findall(text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        windows[tuple(words[i : i + 8])].append(i)
+    covered = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(8)}
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), sum(len(WORDS.findall(x)) for x in lines if lines_over(x))
+
+
+@pytest.mark.parametrize(("which", "most"), [("messy", 1), ("documents", 2)])
+def test_quality(which, most, request):
+    docs = request.getfixturevalue(which)
+    source = docs.select("doc_id", "source", "text").collect()
+    norm = lambda x: re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" "))
+    seen = collections.defaultdict(set)
+    for d in source:
+        for x in (d["text"] or "").split("\n"):
+            if WORDS.search(x):
+                seen[(d["source"], norm(x))].add(d["text"])
+    expected = collections.Counter()
+    for d in source:
+        n, chars, symbols, dup, rep, gone = judged_by_hand(d["text"], lambda x, s=d["source"]: len(seen[(s, norm(x))]) > most)
+        failed = n < 20 or 100 * rep > 30 * n
+        expected[(d["doc_id"], n, chars, symbols, dup, rep, gone, failed, not failed and n - gone >= 0.3 * n)] += 1
+    assert collections.Counter(map(tuple, quality_rules.judge(docs, most).collect())) == expected
+    kept = collections.Counter(r["doc_id"] for r in quality_rules.keep_good(docs, most).collect())
+    assert kept == collections.Counter({k: v for k, v in collections.Counter(e[0] for e, c in expected.items() for _ in range(c) if e[-1]).items()})
+
+
+def grams(text):
+    w = text.encode().lower().split() if text else []
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components_by_hand(rows):
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            low[find(i)] = min(k, low.get(find(i), k))
+    return collections.Counter((k, len(sets[i]), low.get(find(i)) if sets[i] else k) for i, (k, _) in enumerate(rows)), len({find(i) for i in range(len(rows))})
+
+
+@pytest.mark.parametrize("which", ["messy", "documents"])
+def test_ngram_components(which, request):
+    docs = request.getfixturevalue(which)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    expected, groups = components_by_hand(rows)
+    assert collections.Counter(map(tuple, ngram_join.ngram_components(docs).collect())) == expected
+    assert ngram_join.keep_one(docs).count() == groups
+
+
+def test_large_neighbourhood_in_chunks(spark, monkeypatch):
+    """A group of near copies beyond the chunk size is dealt in pairs of chunks; no link is lost."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 10)
+    from tests.llm.conftest import words
+
+    base, rows = words(9, 100).split(), []
+    for i in range(35):
+        w = list(base)
+        for j in range(i % 4):
+            w[(i * 7 + j * 25) % 100] = f"new{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, words(50 + i, 80)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(map(tuple, ngram_join.ngram_components(docs).collect())) == components_by_hand(rows)[0]
+
+
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_prefix_tree_finds_every_link(sets):
+    items = [(i, len(s), sorted(s)) for i, s in enumerate(sets)]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert ngram_join.join_sets(items, 75) == root
+
+
+def test_secrets_base(documents):
+    """The base patterns against the plain regular expressions of their definition."""
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secrets.find_secrets(documents).join(documents.select("doc_id", "text"), "doc_id").collect():
+        t = r["text"]
+        spans = [("assign", *m.span()) for m in assign.finditer(t) if len(m[1]) >= 6] + [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert sorted(spans) == sorted((s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in secrets.BASE_KINDS)
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])
+    return bytes([tag]) + size + body
+
+
+def test_secrets_are_confirmed_by_structure():
+    integer = der(2, b"\x5a" * 40)
+    rsa = der(0x30, der(2, b"\x00") + integer * 8)
+    pkcs8 = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, rsa))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rsa).decode() + "-----END RSA PRIVATE KEY-----"
+    assert [s[0] for s in secrets.scan("see " + pem)] == ["pem_key"]
+    assert [s[0] for s in secrets.scan(base64.b64encode(pkcs8).decode())] == ["der_key"]
+    assert [s[0] for s in secrets.scan(rsa.hex().upper())] == ["der_key"]
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    assert [s[0] for s in secrets.scan(f"x {part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln y")] == ["signed_token"]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"pub") + field(b"priv" * 9)
+    assert [s[0] for s in secrets.scan(base64.b64encode(ssh).decode())] == ["ssh_key"]
+    broken = bytearray(rsa)
+    broken[1:4] = b"\x82\xff\xff"
+    assert secrets.scan(base64.b64encode(bytes(broken)).decode()) == []
+    assert secrets.scan(f"{part({'typ': 'JWT'})}.{part({})}.c2ln") == []
+    assert secrets.scan("-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(rsa).decode() + "-----END CERTIFICATE-----") != [("pem_key", 0, 0)]
+
+
+def test_redaction(messy):
+    rows = {(r["doc_id"], r["n_chars"]) for r in secrets.redact(messy).where("text LIKE '%[SECRET]%'").collect()}
+    assert [k for k, _ in rows] == [10]
+    out = secrets.redact(messy)
+    assert out.columns == messy.columns and out.count() == messy.count() and out.where("text IS NULL").count() == messy.where("text IS NULL").count()
+
+
+@pytest.mark.parametrize("which", ["messy", "documents"])
+def test_bpe_matches_the_library(which, request):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    docs = request.getfixturevalue(which)
+    expected = collections.Counter()
+    for d in docs.select("doc_id", "text").collect():
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        expected[(d["doc_id"], tuple(ids), library.decode(ids, skip_special_tokens=False))] += 1
+    got = collections.Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode_texts(docs, path, decode=True).collect())
+    assert got == expected
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_bpe_on_any_text(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = test_bpe_on_any_text.__dict__.setdefault("pair", (Tokenizer.from_file(path), bpe.codec(path)))
+    if all(unicodedata.category(c) not in ("Cn", "Cs") for c in text):
+        assert known[0].encode(text, add_special_tokens=False).ids == known[1].encode(text)
+
+
+def form(text):
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).split())
+
+
+@pytest.mark.parametrize("digest", [fingerprints.wide_hash, lambda c: F.substring(F.md5(c.cast("binary")), 1, 1)], ids=["wide", "colliding"])
+def test_fingerprints(documents, digest):
+    docs = sorted(set(map(tuple, documents.select("doc_id", "text").collect())))
+    once = collections.Counter(k for k, _ in docs)
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(documents, digest).collect()}
+    forms = collections.defaultdict(set)
+    for i, (k, t) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)]
+        if once[k] > 1 or once[after[0]] > 1:
+            continue
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[1][:half]
+        r = rows[k]
+        assert (r["n_chars"], r["edited_text"]) == (len(t), edited)
+        assert (r["near_edited"], r["near_next"]) == (float(form(t) == form(edited)), float(form(t) == form(after[1])))
+        forms[form(t)].add(r["fingerprint"])
+    assert all(len(v) == 1 for v in forms.values()) and len({min(v) for v in forms.values()}) == len(forms)
+
+
+def test_fingerprints_messy(messy):
+    rows = fingerprints.fingerprint_edits(messy).collect()
+    assert len(rows) == messy.count()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[(r["doc_id"], r["n_chars"])].add(tuple(r))
+    assert len(by[(1, rows[0]["n_chars"])]) <= 1
+    assert sum(r["fingerprint"] == next(x["fingerprint"] for x in rows if x["doc_id"] == 8) for r in rows) == 2  # folded case
+
+
+def water_level(sizes, weights=(5, 2, 1), cap=3):
+    """The targets by repeated sharing."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, free, rest = {}, set(names), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if rest * weight[s] / total > cap * sizes[s]}
+        if not over:
+            return target | {s: rest * weight[s] / total for s in free}
+        for s in over:
+            target[s] = cap * sizes[s]
+        rest -= sum(cap * sizes[s] for s in over)
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("which", ["messy", "documents"])
+def test_mixing(which, request):
+    docs = request.getfixturevalue(which)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    expected = water_level(sizes)
+    assert sum(r["size"] for r in rows) == sum(len(WORDS.findall(d["text"] or "")) for d in docs.select("text").collect())
+    for r in rows:
+        assert r["target"] == pytest.approx(expected[r["source"]]) and r["source_size"] == sizes[r["source"]]
+    largest = {s: max((r["size"] for r in rows if r["source"] == s), default=0) for s in sizes}  # a document is taken whole
+    for s, t in expected.items():
+        assert abs(taken[s] - t) <= max(0.03 * t, 0.5 * largest[s] * (which == "messy")), (s, taken[s], t)
+    key = lambda rs: sorted((str(r["doc_id"]), r["text_key"] or 0, r["taken"]) for r in rs)
+    assert key(rows) == key(mixing.mix(docs.repartition(5)).collect())
+
+
+def test_tilts_solve_the_dual(spark):
+    hist = spark.createDataFrame([("a", s, n) for s, n in ((10, 5), (50, 3), (400, 2))] + [("b", s, 4) for s in (20, 30, 500)], "source string, size long, n long")
+    targets = mixing.source_targets(hist).withColumn("target", F.when(F.col("source") == "a", 700.0).otherwise(5200.0))
+    solved = mixing.solve_tilts(hist, targets)
+    joined = hist.withColumnRenamed("source", "of").join(solved, F.col("of") == F.col("source"))
+    mass = joined.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * mixing._rate(F.col("size"))).alias("mass"), F.first("target").alias("target"))
+    assert all(r["mass"] == pytest.approx(r["target"], rel=1e-6) for r in mass.collect())
+
+
+def test_empty_tables(empty, spark):
+    import public_tokenizers
+
+    assert sharding.shard_rows(empty).count() == 0
+    assert quality_rules.judge(empty).count() == 0
+    assert ngram_join.ngram_components(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert fingerprints.fingerprint_edits(empty).count() == 0
+    assert secrets.find_secrets(empty).count() == 0
+    assert bpe.encode_texts(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("which", ["messy", "empty"])
+def test_pipeline_stages(which, request, spark, tmp_path):
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(which)
+    names = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        if name != "bpe":
+            assert out.columns == names
+        docs = out
+    assert docs.columns == ["doc_id", "ids"]
+    assert hashlib.sha256(b"").hexdigest()  # digests are made by the queries, not by the stages
