@@ -74,11 +74,15 @@ def fingerprint_edits(docs: DataFrame, digest: Callable[[Column], Column] = wide
     both = texts.join(heads, (F.col("x") == F.col("own_x")) & (F.col("y") == F.col("own_y")) & (F.col("text_key") == F.col("own_key")))
     edited = F.concat(F.left("text", (F.col("n_chars") - F.col("half")).cast("int")), F.col("head"))
     out = both.withColumn("edited_text", edited).withColumn("edited_form", canonical(F.col("edited_text"))).withColumn("edited_hash", digest(F.col("edited_form")))
+    # Only where the two hashes of a row are equal are its canonical bytes needed again.
+    out = out.withColumn("same", F.when(F.col("edited_hash") != F.col("hash"), False).otherwise(canonical(F.col("text")) == F.col("edited_form")))
     out = out.withColumn("fingerprint", F.col("hash")).withColumn("next_fingerprint", F.col("next_hash")).withColumn("edited_fingerprint", F.col("edited_hash"))
 
     collisions = checkpoint(_collisions(keyed, texts, digest))
     if not collisions.isEmpty():
         out = _numbered_forms(out, collisions, keyed, texts)
+    differs = (F.col("edited_fingerprint") == F.col("fingerprint")) & ~F.col("same")
+    out = out.withColumn("edited_fingerprint", F.when(differs, F.concat("edited_fingerprint", F.lit("-edited"))).otherwise(F.col("edited_fingerprint")))
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     return out.select(doc_id.alias("doc_id"), "n_chars", "fingerprint", "edited_text", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"))
 
