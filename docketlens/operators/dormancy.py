@@ -119,7 +119,7 @@ def judged(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("norm", norm).withColumn("excluded", excluded)
     out = out.withColumn("candidate", F.col("excluded").isNull() & ~F.col("future_listing") & (n >= 2) & (d >= least))
     severity = F.when((d >= 1825) | (n >= 6), "extreme").when((d >= 1095) | (n >= 4.5), "severe").when((d >= 365) | (n >= 3), "significant").otherwise("mild")
-    return out.withColumn("severity", severity).withColumn("score", F.round(F.round(score(F.col("candidate"), F.col("excluded")), 9), 4))
+    return out.withColumn("severity", severity).withColumn("score", F.round(score(F.col("candidate"), F.col("excluded")), 8))
 
 
 def score(candidate: Column, excluded: Column) -> Column:
@@ -147,8 +147,8 @@ def severity(t: Tables) -> DataFrame:
     return scored(t).where("candidate").select("case_id", "severity")
 
 
-SCORE_SQL = CHOSEN_SQL + """, fin AS (SELECT *, round(round(CASE WHEN excluded IS NOT NULL THEN 0 WHEN candidate THEN least(1, 0.45 * least(1, norm / 6) + 0.35 * least(1, days / 1825) + 0.15 * importance + CASE WHEN worsening THEN 0.08 ELSE 0 END + CASE WHEN n_adjourned >= 5 THEN 0.06 ELSE 0 END)
-    ELSE least(1, 0.2 * least(1, norm / 6) + 0.2 * least(1, days / 1825) + 0.1 * importance) END, 9), 4) AS score FROM sco)"""
+SCORE_SQL = CHOSEN_SQL + """, fin AS (SELECT *, round(CASE WHEN excluded IS NOT NULL THEN 0 WHEN candidate THEN least(1, 0.45 * least(1, norm / 6) + 0.35 * least(1, days / 1825) + 0.15 * importance + CASE WHEN worsening THEN 0.08 ELSE 0 END + CASE WHEN n_adjourned >= 5 THEN 0.06 ELSE 0 END)
+    ELSE least(1, 0.2 * least(1, norm / 6) + 0.2 * least(1, days / 1825) + 0.1 * importance) END, 8) AS score FROM sco)"""
 
 
 @query("dor_7_score", SCORE_SQL + " SELECT case_id, score, CASE WHEN excluded IS NOT NULL THEN 'excluded' WHEN candidate THEN 'dormant' ELSE 'active_watch' END AS state_of FROM fin")
