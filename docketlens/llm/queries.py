@@ -90,16 +90,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-
-]+') AS words, text FROM d),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, text FROM d),
 m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
-]+')) AS n,
-              regexp_replace(trim(regexp_replace(lower(line), '[ 	-
-]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
-       FROM l WHERE regexp_matches(line, '[^ 	-
-]')),
+lw AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+              regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS norm
+       FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY 1),
 freq AS (SELECT source, norm FROM lw GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
 rem AS (SELECT doc_id, sum(n) AS removed_words FROM lw JOIN freq USING (source, norm) GROUP BY 1),
