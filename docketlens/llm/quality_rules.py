@@ -1,9 +1,12 @@
 """Quality rules: word and repetition counts of each text, and the frequency of its lines among the documents of its host.
 
 Lines are normalised (lower case, digits to 0, white space folded, trimmed) and hashed together with their host. A
-line counts once for each distinct text of the host that has it, so that exact copies of one document do not
-make its lines frequent. Lines found in more than max_docs of them are removed; a document of which less than min_share
-of the words is left is depleted and rejected. All of it runs on DataFrame functions.
+line counts once for each group of near copies among the host's texts that have it, so that copies of one document
+do not make its lines frequent. Lines found in more groups than MAX_DOCS and than SHARE of the host's distinct texts are
+removed, so that a host may grow; a document of which less than min_share of the words is left is depleted and
+rejected. Only texts with a line that passes the limit before copies are grouped are looked at for near copies: each
+is held against the first text of its host for each of its smallest word pair hashes, by bottom-k sketches, which are
+exact up to SKETCH word pairs and an estimate above. All of it runs on DataFrame functions.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +14,11 @@ from pyspark.sql import functions as F
 
 from docketlens.llm.common import BROADCAST_ROWS, GAP, WORD, bounded_broadcast, checkpoint, let
 
-#: Lines in more distinct texts of one host than this are boilerplate.
+#: Lines in more texts of one host than this, and than this share of the host's distinct texts, are boilerplate.
 MAX_DOCS = 20
+SHARE = 0.04
+#: Texts that share so many percent of their word pairs are near copies; hashes in a sketch, and those that find partners.
+NEAR_PERCENT, SKETCH, KEYS = 75, 128, 8
 #: The share of its words that a document must keep.
 MIN_SHARE = 0.3
 #: Words in a window for repeated words.
@@ -46,6 +52,10 @@ def normalised(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), GAP, " ")), "[0-9]", "0")
 
 
+def _host(source: Column) -> Column:
+    return F.xxhash64(source.isNull(), F.coalesce(source, F.lit("")))
+
+
 def line_key(source: Column, line: Column) -> Column:
     return F.xxhash64(source.isNull(), F.coalesce(source, F.lit("")), normalised(line))
 
@@ -54,25 +64,68 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
 
 
-def _frequent_lines(docs: DataFrame, max_docs: int) -> DataFrame:
+def _limits(docs: DataFrame) -> DataFrame:
+    """(of_host, most) of the hosts whose limit is above MAX_DOCS."""
+    texts = docs.where(F.col("text").isNotNull()).select(_host(F.col("source")).alias("of_host"), F.xxhash64("text").alias("of")).distinct()
+    return texts.groupBy("of_host").agg((F.count(F.lit(1)) * SHARE).alias("most")).where(F.col("most") > MAX_DOCS)
+
+
+def _sketch(text: Column) -> Column:
+    """The smallest distinct hashes of the text's pairs of neighbouring words, sorted."""
+    pairs = let(words_of(F.lower(text)), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.coalesce(F.get(w, i + 1), F.lit("")))))
+    return F.slice(F.array_sort(F.array_distinct(pairs)), 1, SKETCH)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether the likeness of two sketched sets reaches NEAR_PERCENT: common hashes among the smallest of both."""
+    return let(F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH), lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) * 100 >= NEAR_PERCENT * F.size(u))
+
+
+def _near_groups(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(host, holder, leader): for each of the holders' texts the smallest key of the texts that lead it, its own included."""
+    texts = docs.select(_host(F.col("source")).alias("host"), F.xxhash64("text").alias("holder"), "text")
+    texts = texts.join(bounded_broadcast(holders, BROADCAST_ROWS), (F.col("host") == F.col("of_host")) & (F.col("holder") == F.col("of")), "left_semi")
+    sketches = checkpoint(texts.select("host", "holder", _sketch(F.col("text")).alias("own")).dropDuplicates(["host", "holder"]))
+    keys = sketches.select("host", "holder", F.explode(F.slice("own", 1, KEYS)).alias("k"))
+    first = keys.groupBy("host", "k").agg(F.min("holder").alias("lead"), F.max("holder").alias("top")).where("lead <> top").drop("top")
+    pairs = checkpoint(keys.join(first, ["host", "k"]).where("lead <> holder").select("host", "holder", "lead").distinct())
+    leads = pairs.select("host", "lead").distinct().join(sketches.select("host", F.col("holder").alias("lead"), F.col("own").alias("other")), ["host", "lead"])
+    led = pairs.join(sketches, ["host", "holder"]).join(bounded_broadcast(leads, BROADCAST_ROWS // 25), ["host", "lead"]).where(_alike(F.col("own"), F.col("other")))
+    found = led.groupBy("host", "holder").agg(F.min("lead").alias("lead"))
+    return sketches.select("host", "holder").join(found, ["host", "holder"], "left").select("host", "holder", F.coalesce("lead", "holder").alias("leader"))
+
+
+def _frequent_lines(docs: DataFrame, max_docs: int | None) -> DataFrame:
     """(key, at, line, words) of each removed line: the document's key, the line's number, its hash, its words.
 
     The counts combine before the shuffle, so that a line of a third of all documents is one row a task. Equal rows of
-    documents have one key and count once here.
+    documents have one key and count once here. With max_docs distinct texts are counted against it, near copies too.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    host = _host(F.col("source"))
     lines = docs.select("source", "text", _row_key().alias("key"), F.posexplode(F.split(text, "\n"))).where(F.col("col").rlike(WORD))
-    seen = lines.select(line_key(F.col("source"), F.col("col")).alias("line"), F.xxhash64("text").alias("of")).distinct()
-    frequent = checkpoint(seen.groupBy("line").count().where(F.col("count") > max_docs).select("line"))
-    own = lines.select("key", F.col("pos").alias("at"), line_key(F.col("source"), F.col("col")).alias("line"), F.regexp_count("col", F.lit(WORD)).alias("words"))
-    return own.join(bounded_broadcast(frequent, BROADCAST_ROWS), "line").dropDuplicates(["key", "at"])
-
-
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    seen = lines.select(host.alias("host"), line_key(F.col("source"), F.col("col")).alias("line"), F.xxhash64("text").alias("of")).distinct()
+    counted = seen.groupBy("host", "line").count().where(F.col("count") > (MAX_DOCS if max_docs is None else max_docs))
+    own = lines.select("key", F.col("pos").alias("at"), line_key(F.col("source"), F.col("col")).alias("line"), F.regexp_count("col", F.lit(WORD)).alias("words"), F.xxhash64("text").alias("of"))
+    if max_docs is not None:
+        frequent = checkpoint(counted.select("line"))
+        return own.join(bounded_broadcast(frequent, BROADCAST_ROWS), "line").dropDuplicates(["key", "at"])
+    limited = checkpoint(counted).join(bounded_broadcast(checkpoint(_limits(docs))), F.col("host") == F.col("of_host"), "left")
+    limited = checkpoint(limited.select("host", "line", "count", F.coalesce("most", F.lit(float(MAX_DOCS))).alias("most")).where("count > most"))
+    held = checkpoint(own.join(bounded_broadcast(limited, BROADCAST_ROWS), "line"))
+    groups = _near_groups(docs, held.select(F.col("host").alias("of_host"), "of").distinct())
+    pairs = held.select("line", "most", "host", F.col("of").alias("holder")).distinct()
+    spread = pairs.join(groups, ["host", "holder"]).select("line", "most", "leader").distinct()
+    frequent = checkpoint(spread.groupBy("line", "most").count().where("count > most").select("line"))
+    return held.select("key", "at", "line", "words").join(bounded_broadcast(frequent, BROADCAST_ROWS), "line").dropDuplicates(["key", "at"])
+
+
+def judge(docs: DataFrame, max_docs: int | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept.
 
     Null texts have no words and fail the base rules. A null source is a host of its own. Repeated rows get equal
-    verdicts and count as one document. An empty table gives an empty result.
+    verdicts and count as one document. max_docs takes the place of the growing limit and counts near copies one by
+    one, as the SQL does. An empty table gives an empty result.
     """
     base = docs.select("doc_id", "source", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -93,7 +146,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHAR
     )
 
 
-def keep_good(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def keep_good(docs: DataFrame, max_docs: int | None = None, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that judge() keeps, without their removed lines; all columns stay and n_chars is counted anew."""
     names = docs.columns
     base = docs.select("doc_id", "source", "text")

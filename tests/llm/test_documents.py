@@ -318,3 +318,26 @@ def test_pipeline_stages(which, request, spark, tmp_path):
         docs = out
     assert docs.columns == ["doc_id", "ids"]
     assert hashlib.sha256(b"").hexdigest()  # digests are made by the queries, not by the stages
+
+
+def test_quality_counts_near_copies_once_and_lets_hosts_grow(spark):
+    """Lines of 40 near copies are no boilerplate, a line of unlike texts is, and an ordinary line of a growing host is not."""
+    base = [[f"word{6 * i + j}" for j in range(6)] for i in range(10)]
+
+    def copy(k):
+        lines = [list(x) for x in base]
+        lines[k % 10][k // 10] = f"changed{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        return "\n".join(" ".join(x) for x in lines)
+
+    own = lambda i: " ".join(hashlib.sha256(f"{i}-{j}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(30))
+    rows = [(k, copy(k), "copies") for k in range(40)]
+    rows += [(100 + k, "all rights reserved\n" + own(k), "unlike") for k in range(40)]
+    rows += [(1000 + k, ("see also\n" if k < 30 else "") + "site menu\n" + own(1000 + k), "large") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert all(got[k]["kept"] and got[k]["removed_words"] == 0 for k in range(40))
+    assert all(got[100 + k]["removed_words"] == 3 for k in range(40))
+    assert all(got[1000 + k]["removed_words"] == 2 for k in range(1000))
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(docs).collect()}
+    assert len(kept) == len(rows)
+    assert kept[3] == copy(3) and kept[100] == own(0) and kept[1000] == "see also\n" + own(1000)
