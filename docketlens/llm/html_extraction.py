@@ -4,7 +4,8 @@ For a node with C characters, T tags, L characters in links and K link tags belo
 C / T scaled by a logarithm that falls as links take more of the characters. The densities of a node's children add up to its density
 sum; the node with the largest sum roots the main content. The smallest density on the path from that node to the
 body is the page's threshold: a subtree outside the root counts as content too where it reaches the threshold and
-is no boilerplate. Parts that are boilerplate by element or by class name are cut off before densities are taken.
+is no boilerplate. An article or main element is favoured in both by a factor, and a root inside an article is the
+whole article. Parts that are boilerplate by element or by class name are cut off before densities are taken.
 """
 
 import math
@@ -24,6 +25,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption legend summary figcaption li dd dt".split())
 SELF_NESTED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 ROOTS = frozenset(("article", "main"))
+#: How much the density and the density sum of an article or main element count.
+FAVOUR = 1.5
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads advert advertisement adverts adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
@@ -160,19 +163,18 @@ def choose(top: Node) -> list[Node]:
     nodes = [n for n in measure(top) if n.chars]
     if not nodes:
         return []
-    marked = [n for n in nodes if n.tag in ROOTS]
-    best = max(marked or nodes, key=lambda n: n.total)
+    best = max(nodes, key=lambda n: n.total * (FAVOUR if n.tag in ROOTS else 1))
     best = best if best.total > 0 else max(nodes, key=lambda n: n.density)
-    path, outer = [best], best
+    path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-        outer = path[-1] if path[-1].tag in ROOTS else outer
-    if marked:
-        return [outer]
+    articles = [i for i, n in enumerate(path) if n.tag == "article"]
+    path = path[articles[-1] :] if articles else path
+    best = path[0]
     limit, on_path = min(n.density for n in path), {id(n) for n in path}
 
     def is_content(n: Node) -> bool:
-        return n.density >= limit and 2 * n.link_chars <= n.chars
+        return n.density * (FAVOUR if n.tag in ROOTS else 1) >= limit and 2 * n.link_chars <= n.chars
 
     # Beside the path: subtrees as dense as the threshold, and headings, which are short but belong to the text.
     roots = []

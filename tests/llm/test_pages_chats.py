@@ -112,3 +112,27 @@ def test_conversations(spark, small):
         tags = re.findall(r"<\|im_start\|>(\w+)", "".join(r["rendered"] for r in mine))
         assert re.fullmatch("(system,)?(user,assistant,)+", ",".join(tags) + ",")
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def paragraphs(name, n=4):
+    return [f"A paragraph of the {name} with a good number of words, which is part {i} of it, and it has no links at all." for i in range(n)]
+
+
+def marked(blocks):
+    return "".join(f"<p>{b}</p>" for b in blocks)
+
+
+@pytest.mark.parametrize("outer", ["div", "main"])
+def test_story_in_a_div_beside_teaser_articles(outer):
+    cards = "".join(f"<article><h3><a href=/{i}>Another headline, number {i}</a></h3><p>Short teaser. <a href=/{i}>Read more</a></p></article>" for i in range(4))
+    page = f"<html><body><{outer}><h1>Title</h1><div>{marked(paragraphs('story', 6))}</div><div>{cards}</div></{outer}></body></html>"
+    found = html_extraction.main_text(page).split("\n")
+    assert [b for b in found if b in paragraphs("story", 6)] == paragraphs("story", 6)
+    assert not [b for b in found if "teaser" in b]
+
+
+@pytest.mark.parametrize("sizes", [(4, 4), (4, 3, 5), (2, 6)])
+def test_story_in_several_articles(sizes):
+    parts = [paragraphs(f"part {'abc'[k]}", n) for k, n in enumerate(sizes)]
+    page = "<html><body><div>" + "".join(f"<article>{marked(p)}</article>" for p in parts) + "</div></body></html>"
+    assert html_extraction.main_text(page).split("\n") == sum(parts, [])
