@@ -20,7 +20,9 @@ from docketlens.llm.common import ship
 
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template iframe object svg canvas head form nav footer aside button select textarea dialog menu audio video".split())
+DROPPED = frozenset("script style noscript template iframe object svg canvas head title nav footer aside button select textarea dialog menu audio video".split())
+#: What a head may hold; anything else in it starts the body, as </head> and <body> may be left out.
+IN_HEAD = frozenset("title base link meta script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption legend summary figcaption li dd dt".split())
 SELF_NESTED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -33,8 +35,12 @@ NAMES = frozenset(
     "sidebar side-bar footer header masthead topbar comment comments commentlist discussion disqus reply replies respond cookie cookies consent gdpr notice notices "
     "newsletter subscribe subscription signup popup modal overlay share sharing social related recommended pagination pager skip-link toolbar widget copyright legal disclaimer".split()
 )
-STARTS = ("ad-", "ads-", "advert", "sponsor", "promo", "comment", "cookie", "sidebar", "footer", "nav-", "navbar", "menu-", "notice", "newsletter", "social-", "share-", "breadcrumb", "related-")
-ENDS = ("-ad", "-ads", "-nav", "-menu", "-sidebar", "-footer", "-comments", "-comment", "-banner", "-notice", "-promo", "-widget")
+#: Names that tell boilerplate as the first or the last of a name's hyphenated parts.
+STARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion promotions comment comments cookie cookies "
+    "sidebar sidebars footer footers nav navbar menu notice notices newsletter newsletters social share breadcrumb breadcrumbs related".split()
+)
+ENDS = frozenset("ad ads nav menu sidebar footer comments comment banner notice promo widget".split())
 
 
 class Node:
@@ -56,7 +62,10 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_root: bool)
             return True
         if name in ("class", "id") and value and tag not in ("body", "html"):
             for word in value.lower().replace("_", "-").split():
-                if word in NAMES or word.startswith(STARTS) or word.endswith(ENDS):
+                if word == "header" and in_root:
+                    continue
+                parts = word.strip("-").split("-")
+                if word in NAMES or parts[0] in STARTS or parts[-1] in ENDS:
                     return True
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -89,6 +98,8 @@ class Tree(HTMLParser):
         return node
 
     def handle_starttag(self, tag, attrs):
+        if (tag == "body" or tag not in IN_HEAD and self.at.tag == "head") and (head := self.nearest("head")):
+            self.close_to(head)
         if tag in ("html", "body"):
             return
         if tag in VOID:
@@ -119,6 +130,8 @@ class Tree(HTMLParser):
             self.close_to(node)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self.close_to(self.at)
         if not self.at.cut:
             self.at.parts.append(("text", data))
 
@@ -133,6 +146,19 @@ def in_order(top: Node) -> list[Node]:
     return found
 
 
+def settle_forms(top: Node) -> None:
+    """Cuts the forms, except those that hold most of the page's text, which are containers around it."""
+    nodes = in_order(top)
+    if not any(n.tag == "form" for n in nodes):
+        return
+    chars: dict[int, int] = {}
+    for node in reversed(nodes):
+        chars[id(node)] = sum(len("".join(part.split())) if kind == "text" else chars[id(part)] if kind == "node" and not part.cut else 0 for kind, part in node.parts)
+    for node in nodes:
+        if node.tag == "form":
+            node.cut = 2 * chars[id(node)] <= chars[id(top)]
+
+
 def measure(top: Node) -> list[Node]:
     """Counts from the leaves up, then densities, which need the body's counts."""
     nodes = in_order(top)
@@ -222,6 +248,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    settle_forms(tree.top)
     return "\n".join(blocks_of(choose(tree.top)))
 
 

@@ -136,3 +136,27 @@ def test_story_in_several_articles(sizes):
     parts = [paragraphs(f"part {'abc'[k]}", n) for k, n in enumerate(sizes)]
     page = "<html><body><div>" + "".join(f"<article>{marked(p)}</article>" for p in parts) + "</div></body></html>"
     assert html_extraction.main_text(page).split("\n") == sum(parts, [])
+
+
+STORY = marked(paragraphs("story"))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=x><body><article>{STORY}</article></body></html>",
+        f"<html><head><title>T</title><style>p{{}}</style><article>{STORY}</article></html>",
+        f"<html><head><title>T</title><noscript><img src=x></noscript><script>a</script></head><body><div>{STORY}</div></body></html>",
+        f"<body><form id=aspnetForm><input type=hidden><div>{STORY}</div><select><option>x</select><button>Go</button></form></body>",
+        f"<body><div>{STORY}</div><form><p>Sign up here</p><input></form></body>",
+        f"<body><article class='commentary'>{STORY}</article></body>",
+        f"<body><div id='noticeable'>{STORY}</div><div class='notice-bar'>Mind this</div><div class='comment_list'>So true</div></body>",
+    ],
+)
+def test_pages_that_cut_rules_must_not_empty(page):
+    assert html_extraction.main_text(page).split("\n") == paragraphs("story")
+
+
+def test_title_in_a_header_class_of_an_article():
+    page = f"<body><div class='header'>Site</div><article><div class='header'><h1>Title</h1></div>{STORY}</article></body>"
+    assert html_extraction.main_text(page).split("\n") == ["Title", *paragraphs("story")]
