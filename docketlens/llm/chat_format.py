@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketlens.llm.common import bounded_broadcast, checkpoint, ship
+from docketlens.llm.common import bounded_broadcast, checkpoint, numbered, ship
 
 #: States: what the conversation's last turn is.
 STATES = ("start", "system", "user", "assistant")
@@ -27,7 +27,7 @@ ROLES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "pr
 #: Costs of the repairs. A turn whose role is unknown or missing is cheap to name.
 MERGE, RELABEL, NAME, INSERT = 1, 3, 1, 2
 NEVER = 1 << 60
-#: Turn numbers in a chunk, and chunks in a block.
+#: Distinct turns in a chunk, and chunks in a block.
 CHUNK, BLOCK = 256, 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -166,6 +166,26 @@ def _cut_states(turns: DataFrame) -> DataFrame:
     return checkpoint(inside.groupBy("c", "block").applyInPandas(chunk_states, f"c {kind}, k long, enter int, leave int, last boolean"))
 
 
+def _in_chunks(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """turns with their chunk, and the distinct (conv_id, chunk, turn, hash, role) of conversations of many rows.
+
+    A conversation of up to CHUNK rows is one chunk. Of the others repeated rows go, which combines before the shuffle,
+    and chunks are CHUNK places in the order of all distinct turns.
+    """
+    hot = bounded_broadcast(checkpoint(turns.groupBy("conv_id").count().where(F.col("count") > CHUNK).select(F.col("conv_id").alias("h"), F.lit(True).alias("many"))))
+    marked = turns.join(hot, F.col("conv_id").eqNullSafe(F.col("h")) & F.col("many"), "left").drop("h")
+    few = marked.where("many IS NULL").drop("many").withColumn("chunk", F.lit(0).cast("long"))
+    many = marked.where("many").drop("many").distinct()
+    placed = numbered(many.select("conv_id", "turn", "hash", "role").distinct(), "conv_id", "turn", "hash", "role")
+    starts = placed.groupBy(F.col("conv_id").alias("h")).agg(F.min("row_number").alias("start"))
+    placed = placed.join(bounded_broadcast(starts), F.col("conv_id").eqNullSafe(F.col("h")))
+    keys = checkpoint(placed.select("conv_id", F.floor((F.col("row_number") - F.col("start")) / CHUNK).cast("long").alias("chunk"), "turn", "hash", "role"))
+    own = keys.select(*[F.col(c).alias(f"k_{c}") for c in ("conv_id", "turn", "hash", "role")], "chunk")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("conv_id", "turn", "hash", "role")]
+    split = many.join(own, same[0] & same[1] & same[2] & same[3]).select(*few.columns)
+    return few.unionByName(split), keys
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn, role, new_role, action, inserted, closing, cost, rendered.
 
@@ -173,15 +193,17 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     inserted are the roles of empty turns before a turn, closing of those after the last one. Turns go by number,
     missing numbers last, equal numbers by the hash of role and text. Repeated rows are one turn. A missing or unknown
     role is named at small cost; a null text is empty. Rows without conv_id make up one conversation. An empty table
-    gives an empty result. Text is shuffled once; a conversation of any length is at most one chunk in memory.
+    gives an empty result. Text is shuffled once, that of conversations of
+    more than CHUNK rows a second time; a conversation of any length, its turns numbered or not, is at most one
+    chunk of distinct rows in memory.
     """
     ship(conversations.sparkSession)
     turn = F.col("turn").cast("long")
-    turns = conversations.select("conv_id", turn.alias("turn"), "role", "text", F.coalesce(F.floor(turn / CHUNK), F.lit((1 << 55))).alias("chunk"), F.xxhash64("role", F.lit("/"), "text").alias("hash"))
-    keys = turns.select("conv_id", "chunk", "turn", "hash", "role").distinct()
+    turns = conversations.select("conv_id", turn.alias("turn"), "role", "text", F.xxhash64("role", F.lit("/"), "text").alias("hash"))
+    turns, keys = _in_chunks(turns)
     cuts = bounded_broadcast(_cut_states(keys))
     laid = turns.join(cuts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")), "left").drop("c", "k")
-    order = ["conv_id", "chunk", F.col("turn").asc_nulls_last(), "hash", "role"]
+    order = ["conv_id", "chunk", F.col("turn").asc_nulls_last(), "hash", F.col("role").asc_nulls_last()]
     dealt = laid.repartition("conv_id", "chunk").sortWithinPartitions(*order)
     names = ["conv_id", "turn", "role", "new_role", "action", "inserted", "closing", "cost", "rendered"]
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64(), pa.string()]

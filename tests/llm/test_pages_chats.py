@@ -160,3 +160,24 @@ def test_pages_that_cut_rules_must_not_empty(page):
 def test_title_in_a_header_class_of_an_article():
     page = f"<body><div class='header'>Site</div><article><div class='header'><h1>Title</h1></div>{STORY}</article></body>"
     assert html_extraction.main_text(page).split("\n") == ["Title", *paragraphs("story")]
+
+
+def test_chunks_are_bounded_by_rows(spark):
+    """Neither missing turn numbers, nor one turn number, nor repeated rows make a chunk of more than CHUNK rows."""
+    roles = ("user", "assistant", None, "user", "tool")
+    rows = [(None, None, roles[i * i % 5], f"a{i}") for i in range(700)]
+    rows += [(1, 5, roles[i % 5], f"b{i}") for i in range(700)]
+    rows += [(2, i, ("user", "assistant")[i], "again") for i in range(2)] * 700
+    rows += [(3, None, "user", f"c{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    turns = df.select("*", chat_format.F.xxhash64("role", chat_format.F.lit("/"), "text").alias("hash"))
+    chunks = collections.Counter((r["conv_id"], r["chunk"]) for r in chat_format._in_chunks(turns)[0].collect())
+    assert max(chunks.values()) <= chat_format.CHUNK and sum(chunks.values()) == len(set(rows))
+    out = collections.defaultdict(list)
+    for r in chat_format.format_chats(df).collect():
+        out[r["conv_id"]].append(r)
+    assert {k: len(v) for k, v in out.items()} == {None: 700, 1: 700, 2: 2, 3: 3}
+    ordered = df.distinct().select("*", chat_format.F.xxhash64("role", chat_format.F.lit("/"), "text").alias("hash")).orderBy("turn", "hash").collect()
+    for c, got in out.items():
+        assert sum(r["cost"] for r in got) == cheapest([chat_format.role_of(r["role"]) for r in ordered if r["conv_id"] == c])
+        assert sum(len(r["closing"]) > 0 or r["rendered"].endswith(chat_format.CLOSE) for r in got) == 1
