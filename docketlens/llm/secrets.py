@@ -3,7 +3,8 @@
 Three plain patterns (assignments, access keys, hex runs) are reported as they match. Beyond these, base64 and hex
 candidates are reported only once they decode into something that parses as a secret: a DER key whose nested lengths
 fill it exactly, an OpenSSH private key with its length-prefixed fields, or a signed token whose header is JSON that
-names an algorithm.
+names an algorithm. A base64 key may start anywhere in a run, in either alphabet, and go on over line breaks, real or
+escaped, and the quotes around them; its own lengths tell where it ends.
 """
 
 import base64
@@ -26,9 +27,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Candidates for confirmation: armoured blocks, three dotted base64url parts, long base64 and hex runs.
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+ARMOUR = re.compile(r"""-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,\\"'-]*?)-----END \1-----""")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+#: How a DER sequence or an OpenSSH key starts in base64, whatever comes before it.
+KEY_START = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: A line break between two parts of a key, with what source code has around it.
+BREAK = re.compile(r"""[\x20\t"'\\+]{0,8}?(?:\\+[rn]|[\r\n])(?:\\+[rnt]|[\s"'])*""")
+ESCAPES = re.compile(r"\\+[rnt]|\r\n?")
+GLUE = re.compile(r"""["']\s*\+\s*["']|["'\\]""")
+MIN_KEY = 40
 HEX_BYTES = re.compile(r"[0-9A-Fa-f]{48,}")
 
 #: All kinds, in the order in which spans that start together are listed.
@@ -91,10 +99,10 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key: its magic, three length-prefixed strings, a key count and as many more strings."""
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that data starts with, or 0: magic, three length-prefixed strings, a key count and as many more strings."""
     if not data.startswith(OPENSSH):
-        return False
+        return 0
     at = len(OPENSSH)
 
     def field() -> bytes | None:
@@ -108,17 +116,19 @@ def is_ssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(field() is not None for _ in range(keys + 1))
+    return at if 1 <= keys <= 16 and all(field() is not None for _ in range(keys + 1)) else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_size(data) > 0
 
 
 def is_signed_token(text: str) -> bool:
-    header, payload, _ = text.split(".")
     try:
-        head = json.loads(base64_bytes(header, url=True) or b"")
-        json.loads(base64_bytes(payload, url=True) or b"")
+        head = json.loads(base64_bytes(text.partition(".")[0], url=True) or b"")
     except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
@@ -130,6 +140,53 @@ def key_kind(data: bytes | None) -> str | None:
     return "ssh_key" if is_ssh_key(data) else "der_key" if is_der_key(data) else None
 
 
+def armoured_bytes(body: str) -> bytes | None:
+    """What an armoured block holds, its line breaks, quotes and headers dropped."""
+    lines = GLUE.sub("", ESCAPES.sub("\n", body)).split("\n")
+    headers = max((i + 1 for i, x in enumerate(lines) if ":" in x), default=0)
+    return base64_bytes("".join(lines[headers:]))
+
+
+def gathered(text: str, at: int, most: int) -> tuple[str, list[tuple[int, int]]]:
+    """Up to so many base64 characters from at on, over line breaks, and (characters so far, place) after each run."""
+    parts, ends, n = [], [], 0
+    while n < most and (run := RUN.match(text, at, at + most - n)):
+        parts.append(run[0])
+        n, at = n + len(run[0]), run.end()
+        ends.append((n, at))
+        if n < most and (gap := BREAK.match(text, at)):
+            at = gap.end()
+    return "".join(parts).replace("-", "+").replace("_", "/"), ends
+
+
+def key_at(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key whose base64 starts at this place."""
+    if text[at] == "M":
+        head = base64_bytes(text[at : at + 16].replace("-", "+").replace("_", "/")) or b"\0\0"
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        if head[0] != 0x30 or wide > 4 or head[1] == 0x80 or head[2 + wide] not in (0x02, 0x30):
+            return None
+        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+        most = -(-4 * size // 3)
+        if not MIN_KEY <= most <= len(text) - at:
+            return None
+        body, ends = gathered(text, at, most)
+        if len(body) < most or not is_der_key((base64_bytes(body) or b"")[:size]):
+            return None
+        kind = "der_key"
+    else:
+        body, ends = gathered(text, at, len(text) - at)
+        size = ssh_size(base64_bytes(body[: len(body) - (len(body) % 4 == 1)]) or b"")
+        if not size:
+            return None
+        kind, most = "ssh_key", -(-4 * size // 3)
+    n, end = next((n, e) for n, e in ends if n >= most)
+    end -= n - most
+    while end < len(text) and text[end] == "=" and most % 4:
+        end, most = end + 1, most + 1
+    return kind, end
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, end exclusive, by start and kind."""
     found: list[tuple[str, int, int]] = []
@@ -142,17 +199,21 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            body = m[2].rpartition("\n\n")[2] if ":" in m[2] else m[2]  # an encrypted block has headers first
-            data = base64_bytes(body)
+            data = armoured_bytes(m[2])
             if data and "PRIVATE KEY" in m[1] and (key_kind(data) or ":" in m[2] and len(data) >= 64):
                 found.append(("pem_key", *m.span()))
                 taken.append(m.span())
     if "eyJ" in text:
         found += [("signed_token", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    for pattern, decode in ((BASE64, base64_bytes), (HEX_BYTES, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in taken) and (kind := key_kind(decode(m[0]))):
-                found.append((kind, *m.span()))
+    at = 0
+    while m := KEY_START.search(text, at):
+        at = m.start() + 1
+        if not any(a <= m.start() < b for a, b in taken) and (key := key_at(text, m.start())):
+            found.append((key[0], m.start(), key[1]))
+            at = key[1]
+    for m in HEX_BYTES.finditer(text):
+        if not any(a <= m.start() < b for a, b in taken) and (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))):
+            found.append((kind, *m.span()))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -341,3 +341,39 @@ def test_quality_counts_near_copies_once_and_lets_hosts_grow(spark):
     kept = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(docs).collect()}
     assert len(kept) == len(rows)
     assert kept[3] == copy(3) and kept[100] == own(0) and kept[1000] == "see also\n" + own(1000)
+
+
+def test_secrets_in_other_forms():
+    """Escaped, CRLF, quoted, wrapped, base64url and glued keys, and tokens whose payload is no JSON."""
+    number = lambda n, k: der(2, b"\x5a" + hashlib.shake_256(bytes([k])).digest(n - 1))
+    rsa = der(0x30, b"\x02\x01\x00" + b"".join(number(64, k) for k in range(8)))
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 51) + field(b"p" * 136)
+    plain = base64.b64encode(rsa).decode()
+    lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    blocks = {
+        "json": "\\n".join([begin, *lines, end]),
+        "twice": "\\\\n".join([begin, *lines, end]),
+        "escaped crlf": "\\r\\n".join([begin, *lines, end]),
+        "crlf": "\r\n".join([begin, *lines, end]),
+        "quoted": "\\n\"\n  \"".join([begin, *lines, end]),
+        "added": "\\n\" +\n  \"".join([begin, *lines, end]),
+        "encrypted": "\r\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, end]),
+    }
+    spans = lambda t, *kinds: [x for x in secrets.scan(t) if x[0] in kinds]
+    for name, block in blocks.items():
+        text = f'{{"k": "{block}\\n"}}'
+        assert spans(text, "pem_key", "der_key") == [("pem_key", 7, 7 + len(block))], name
+    url = base64.urlsafe_b64encode(rsa).decode()
+    assert "-" in url or "_" in url
+    for kind, body in (("der_key", plain), ("der_key", url), ("der_key", url.rstrip("=")), ("ssh_key", base64.b64encode(ssh).decode())):
+        for join in ("", "\n", "\r\n", "\\n", "\"\n    \"", "\" +\n\""):
+            for before in ("", "see ", "/", "data/x", "abc"):
+                wrapped = join.join(body[i : i + 64] for i in range(0, len(body), 64))
+                text = before + wrapped + " end of it"
+                assert spans(text, kind) == [(kind, len(before), len(before) + len(wrapped))], (kind, join, before)
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    token = f"{part(json.dumps({'alg': 'HS256'}).encode())}.{part(b'not json at all')}.{part(b'x' * 32)}"
+    assert spans(token, "signed_token") == [("signed_token", 0, len(token))]
+    assert spans(plain[:-8] + " and no more", "der_key") == []
