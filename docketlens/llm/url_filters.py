@@ -2,17 +2,16 @@
 
 A list has dated entries (pattern, listed_at, action), where action adds the pattern to the list or removes it. The
 entries of a pattern, in order of their dates, become intervals in which it is listed. A capture is blocked if at
-its fetch time an interval of one of its patterns holds: its host and first path segment, its host, or a parent
-domain. The intervals of a pattern do not overlap, so each of these lookups is an as-of join with one match at most.
+its fetch time an interval of one of its patterns holds: its host and leading path segments, its host, or a parent
+domain of two labels or more. All patterns of a distinct host, path and time are looked up in one as-of join; the
+intervals of a pattern do not overlap, so each pattern has one match at most, and the most specific one counts.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlens.llm.common import bounded_broadcast
+from docketlens.llm.common import bounded_broadcast, checkpoint
 
-#: The lookups, most specific first.
-LEVELS = ("path", "host", "domain")
 #: Open ends of intervals.
 FOREVER = "9999-12-31 00:00:00"
 
@@ -28,6 +27,19 @@ def patterns_of(url: Column) -> dict[str, Column]:
     return {"path": F.concat(host, F.lit("/"), segment), "host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)}
 
 
+def lookups(url: Column) -> Column:
+    """All patterns of a URL as (by, pattern), most specific first: paths from the longest, the host, its parent domains."""
+    of = patterns_of(url)
+    host = of["host"]
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
+    segments, labels = F.split(F.rtrim(rest, F.lit("/")), "/"), F.split(host, r"\.")
+    pair = lambda by, pattern: F.struct(F.lit(by).alias("by"), pattern.alias("pattern"))
+    down = lambda high, low, body: F.when(high >= low, F.transform(F.sequence(high, F.lit(low), F.lit(-1)), body)).otherwise(F.array())
+    longer = down(F.size(segments), 2, lambda k: pair("path", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/"))))
+    parents = down(F.when(host.rlike(r"^[0-9.]+$"), F.lit(0)).otherwise(F.size(labels) - 1), 2, lambda k: pair("domain", F.array_join(F.slice(labels, -k, k), ".")))
+    return F.when(host != "", F.concat(longer, F.array(pair("path", of["path"]), pair("host", host)), parents))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, valid_from, valid_to): when each pattern is listed, valid_to exclusive.
 
@@ -46,17 +58,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     """captures with host, blocked, matched_by (path, host or domain), matched_pattern and listed_since.
 
     A capture without a host or a fetch time is not blocked. Every capture keeps its row, repeated ones too;
-    columns of captures that are named like one of the new ones give way. Three left
-    joins with the intervals, broadcast once their number is counted and small, leave the captures where they are;
-    a larger list is joined by shuffle, where Spark splits the partitions of hot hosts.
+    columns of captures that are named like one of the new ones give way. Distinct URLs and times are looked up, so
+    that a hot one is a single row; what is found is joined back, broadcast once its number is counted and small, and
+    else by shuffle, where Spark splits the partitions of hot URLs.
     """
     spans = bounded_broadcast(intervals(entries))
-    out = captures.select(F.struct("*").alias("capture"), *[c.alias(k) for k, c in patterns_of(F.col(url)).items()], F.col(fetched_at).cast("timestamp_ntz").alias("at"))
-    for level in LEVELS:
-        own = spans.select(F.col("pattern").alias(f"{level}_pattern"), F.col("valid_from").alias(f"{level}_from"), F.col("valid_to").alias(f"{level}_to"))
-        active = (F.col(level) == F.col(f"{level}_pattern")) & (F.col("at") >= F.col(f"{level}_from")) & (F.col("at") < F.col(f"{level}_to"))
-        out = out.join(own, active & (F.col(level) != ""), "left")
-    found = F.coalesce(*[F.when(F.col(f"{level}_pattern").isNotNull(), F.struct(F.lit(level).alias("by"), F.col(f"{level}_pattern").alias("pattern"), F.col(f"{level}_from").alias("since"))) for level in LEVELS])
+    named = captures.select(F.struct("*").alias("capture"), F.col(url).alias("u"), F.col(fetched_at).cast("timestamp_ntz").alias("at"))
+    asked = named.where(F.col("u").isNotNull() & F.col("at").isNotNull()).select("u", "at").distinct()
+    each = asked.select("u", "at", F.posexplode(lookups(F.col("u"))).alias("rank", "look")).select("u", "at", "rank", "look.by", F.col("look.pattern").alias("wanted"))
+    active = (F.col("wanted") == F.col("pattern")) & (F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to"))
+    hits = each.join(spans, active).groupBy(F.col("u").alias("of"), F.col("at").alias("then")).agg(F.min(F.struct("rank", "by", "pattern", F.col("valid_from").alias("since"))).alias("found"))
+    out = named.join(bounded_broadcast(checkpoint(hits)), (F.col("u") == F.col("of")) & (F.col("at") == F.col("then")), "left")
     made = ("host", "blocked", "matched_by", "matched_pattern", "listed_since")
     kept = [F.col(f"capture.`{c}`").alias(c) for c in captures.columns if c.lower() not in made]
-    return out.withColumn("found", found).select(*kept, F.col("host"), F.col("found").isNotNull().alias("blocked"), F.col("found.by").alias("matched_by"), F.col("found.pattern").alias("matched_pattern"), F.col("found.since").alias("listed_since"))
+    return out.select(*kept, host_of(F.col("u")).alias("host"), F.col("found").isNotNull().alias("blocked"), F.col("found.by").alias("matched_by"), F.col("found.pattern").alias("matched_pattern"), F.col("found.since").alias("listed_since"))

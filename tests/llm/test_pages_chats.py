@@ -181,3 +181,28 @@ def test_chunks_are_bounded_by_rows(spark):
     for c, got in out.items():
         assert sum(r["cost"] for r in got) == cheapest([chat_format.role_of(r["role"]) for r in ordered if r["conv_id"] == c])
         assert sum(len(r["closing"]) > 0 or r["rendered"].endswith(chat_format.CLOSE) for r in got) == 1
+
+
+def test_url_filters_on_domains_and_paths_of_any_length(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    listed = ["evil.com", "a.b.evil.net", "ok.org/x", "ok.org/x/y/z", "sub.evil.com", "0.1", "com"]
+    entries = spark.createDataFrame([(p, day(1), "add") for p in listed] + [("sub.evil.com", day(5), "remove")], "pattern string, listed_at timestamp_ntz, action string")
+    expected = {
+        ("http://evil.com/", 2): ("host", "evil.com"),
+        ("http://www.evil.com/q", 2): ("domain", "evil.com"),
+        ("http://a.b.c.d.evil.com", 2): ("domain", "evil.com"),
+        ("http://w.sub.evil.com/", 2): ("domain", "sub.evil.com"),
+        ("http://w.sub.evil.com/", 6): ("domain", "evil.com"),
+        ("http://c.a.b.evil.net/", 2): ("domain", "a.b.evil.net"),
+        ("http://b.evil.net/", 2): (None, None),
+        ("http://notevil.com/", 2): (None, None),
+        ("http://ok.org/x/y", 2): ("path", "ok.org/x"),
+        ("http://ok.org/x/y/z/w?x", 2): ("path", "ok.org/x/y/z"),
+        ("http://ok.org/x/y/zz", 2): ("path", "ok.org/x"),
+        ("http://ok.org/y/x", 2): (None, None),
+        ("http://10.0.0.1/", 2): (None, None),
+    }
+    captures = spark.createDataFrame([(u, day(n)) for u, n in expected] * 2, "url string, fetched_at timestamp_ntz")
+    out = url_filters.filter_urls(captures, entries).collect()
+    assert len(out) == 2 * len(expected)
+    assert {(r["url"], (r["fetched_at"] - day(0)).days): (r["matched_by"], r["matched_pattern"]) for r in out} == expected
