@@ -33,5 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still changed in round {rounds}")
     roots = current.select(F.col("b").alias("v")).distinct().select("v", F.col("v").alias("root"))
     return current.select(F.col("a").alias("v"), F.col("b").alias("root")).union(roots)

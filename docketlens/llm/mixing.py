@@ -90,6 +90,9 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFram
         moved = F.when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise((F.col("low") + F.col("high")) / 2)
         step = step.withColumn("tilt", F.when(F.col("done"), F.col("tilt")).otherwise(moved)).withColumn("solved", F.coalesce("done", F.lit(True)))
         state = checkpoint(step.select(state.columns))
+    else:
+        if not state.where(~F.col("solved")).isEmpty():
+            raise RuntimeError(f"tilts are not solved after {ITERATIONS} iterations")
     return state.withColumn("tilt", F.round("tilt", DIGITS)).drop("low", "high", "solved")
 
 

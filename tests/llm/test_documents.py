@@ -377,3 +377,18 @@ def test_secrets_in_other_forms():
     token = f"{part(json.dumps({'alg': 'HS256'}).encode())}.{part(b'not json at all')}.{part(b'x' * 32)}"
     assert spans(token, "signed_token") == [("signed_token", 0, len(token))]
     assert spans(plain[:-8] + " and no more", "der_key") == []
+
+
+def test_rounds_that_run_out_raise(spark, monkeypatch):
+    from docketlens.llm.components import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert components(chain).select("root").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=2)
+    hist = spark.createDataFrame([("a", s, n) for s, n in ((10, 5), (50, 3), (400, 2))] + [("b", s, 4) for s in (20, 30, 500)], "source string, size long, n long")
+    targets = mixing.source_targets(hist).withColumn("target", F.when(F.col("source") == "a", 700.0).otherwise(5200.0))
+    mixing.solve_tilts(hist, targets)
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.solve_tilts(hist, targets)
