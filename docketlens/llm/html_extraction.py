@@ -5,13 +5,17 @@ C / T scaled by a logarithm that falls as links take more of the characters. The
 sum; the node with the largest sum roots the main content. The smallest density on the path from that node to the
 body is the page's threshold: a subtree outside the root counts as content too where it reaches the threshold and
 is no boilerplate. An article or main element is favoured in both by a factor, and a root inside an article is the
-whole article. Parts that are boilerplate by element or by class name are cut off before densities are taken.
+whole article. Parts that are boilerplate by element or by class name are cut off before densities are taken; where a
+class name of an article or of other content would cut off nearly all of the page's text, the densities decide alone.
+
+A page is read in time proportional to its length, also where tags, comments or quotes are left open: as in a browser, an
+open one takes the rest of the page with it, so that nothing is scanned twice.
 """
 
+import html as entities
 import math
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,61 +45,142 @@ STARTS = frozenset(
     "sidebar sidebars footer footers nav navbar menu notice notices newsletter newsletters social share breadcrumb breadcrumbs related".split()
 )
 ENDS = frozenset("ad ads nav menu sidebar footer comments comment banner notice promo widget".split())
+#: Names of what readers write, which stays cut however long it is.
+READERS = frozenset("comment comments commentlist discussion disqus reply replies respond".split())
+#: Names of content: an article or main element, or a part with such a name beside one of boilerplate, stays if what is
+#: left on the page without it is less than LEAST_REST of it.
+CONTENT = frozenset("article post story entry content text".split())
+LEAST_REST = 0.1
+
+#: Elements whose content is no markup.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+SELF_CLOSED = frozenset("svg path script style title textarea iframe".split())
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*+("[^"]*"|'[^']*'|(?!["'])[^\s>]*))?""")
+OPEN_VALUE = re.compile(r"""\s*=\s*["']""")
+SPACE = re.compile(r"[\s/]*")
+#: Numeric character references longer than any code point's, beside zeros in front.
+LONG_REFERENCE = re.compile(r"&#(?:[xX][0-9A-Fa-f]{9,}|[0-9]{9,});?")
+ZEROS = re.compile(r"&#([xX]?)0{3,}")
+
+
+def unescaped(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_REFERENCE.sub("\ufffd", ZEROS.sub(r"&#\g<1>0", text))
+    return entities.unescape(text)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str | None]], bool]]:
+    """(kind, name or text, attributes, self-closed) for the page's texts, start tags and end tags, in one pass."""
+    at, text_from, size = 0, 0, len(page)
+    endless: set[str] = set()
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        closing = after == "/"
+        named = NAME.match(page, lt + 2 if closing else lt + 1) if after else None
+        if not named and after not in ("!", "?", "/"):
+            at = lt + 1
+            continue
+        if text_from < lt:
+            yield "text", page[text_from:lt], [], False
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = text_from = end + 3 if end >= 0 else size
+        elif not named:
+            end = page.find(">", lt + 2)
+            at = text_from = end + 1 if end >= 0 else size
+        else:
+            attrs, at = [], named.end()
+            while (at := SPACE.match(page, at).end()) < size and page[at] != ">":
+                found = ATTRIBUTE.match(page, at)
+                if found[2] is None and OPEN_VALUE.match(page, found.end()):
+                    at = size
+                    break
+                value = found[2]
+                attrs.append((found[1].lower(), value and unescaped(value[1:-1] if value[0] in "'\"" else value)))
+                at = found.end()
+            if at >= size:
+                return
+            self_closed, at = page[at - 1] == "/", at + 1
+            name, text_from = named[0].lower(), at
+            yield ("end" if closing else "start"), name, attrs, self_closed
+            if name in RAW and not closing and not self_closed and name not in endless:
+                end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+                if end:
+                    text_from = at = end.start()
+                elif name in ("script", "style"):
+                    return
+                else:
+                    endless.add(name)
+    if text_from < size:
+        yield "text", page[text_from:], [], False
 
 
 class Node:
-    __slots__ = ("tag", "cut", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("depth", "named", "tag", "cut", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", cut: bool):
-        self.tag, self.parent, self.cut, self.parts = tag, parent, cut, []
+    def __init__(self, tag: str, parent: "Node | None", cut: bool, named: bool = False):
+        self.tag, self.parent, self.cut, self.named, self.parts = tag, parent, cut, named, []
+        self.depth = parent.depth + 1 if parent else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_root: bool) -> bool:
+def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_root: bool) -> tuple[bool, bool]:
+    """Whether an element is cut off, and whether its name tells boilerplate and content at once."""
     if tag in DROPPED or tag == "header" and not in_root:
-        return True
+        return True, False
+    named, content = False, tag in ROOTS
     for name, value in attrs:
         if name in ("hidden",) or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "role" and value and value.lower() in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and value and tag not in ("body", "html"):
             for word in value.lower().replace("_", "-").split():
                 if word == "header" and in_root:
                     continue
                 parts = word.strip("-").split("-")
-                if word in NAMES or parts[0] in STARTS or parts[-1] in ENDS:
-                    return True
+                if READERS.intersection((word, parts[0], parts[-1])) and (word in NAMES or parts[0] in STARTS or parts[-1] in ENDS):
+                    return True, False
+                named = named or word in NAMES or parts[0] in STARTS or parts[-1] in ENDS
+                content = content or not CONTENT.isdisjoint(parts)
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, False
+    return named and not content, named and content
 
 
-class Tree(HTMLParser):
+class Tree:
     """A lenient tree: end tags close what they name, block starts close an open paragraph."""
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.top = self.at = Node("html", None, False)
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[Node]] = {}
+
+    def feed(self, page: str) -> None:
+        for kind, value, attrs, self_closed in tokens(page):
+            if kind == "text":
+                self.handle_data(value)
+            elif kind == "end":
+                self.handle_endtag(value)
+            else:
+                self.handle_starttag(value, attrs)
+                if self_closed and value in SELF_CLOSED:
+                    self.handle_endtag(value)
 
     def close_to(self, node: Node) -> None:
         while self.at is not node.parent and self.at.parent is not None:
-            self.open[self.at.tag] -= 1
+            self.open[self.at.tag].pop()
             self.at = self.at.parent
 
     def nearest(self, tag: str, bounds: tuple[str, ...] = ()) -> Node | None:
-        if not self.open.get(tag):
+        """The innermost open element of this tag, unless one of the bounds is open inside it."""
+        found = self.open.get(tag)
+        if not found or any(self.open.get(b) and self.open[b][-1].depth > found[-1].depth for b in bounds):
             return None
-        node = self.at
-        while node is not None and node.tag != tag:
-            if node.tag in bounds:
-                return None
-            node = node.parent
-        return node
+        return found[-1]
 
     def handle_starttag(self, tag, attrs):
         if (tag == "body" or tag not in IN_HEAD and self.at.tag == "head") and (head := self.nearest("head")):
@@ -113,15 +198,11 @@ class Tree(HTMLParser):
                 if node := self.nearest(old, SELF_NESTED[tag]):
                     self.close_to(node)
         in_root = bool(self.open.get("article") or self.open.get("main"))
-        node = Node(tag, self.at, self.at.cut or is_boilerplate(tag, attrs, in_root))
+        cut, named = is_boilerplate(tag, attrs, in_root)
+        node = Node(tag, self.at, self.at.cut or cut, named)
         self.at.parts.append(("node", node))
         self.at = node
-        self.open[tag] = self.open.get(tag, 0) + 1
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("html", "body") and tag in ("svg", "path", "script", "iframe"):
-            self.handle_endtag(tag)
+        self.open.setdefault(tag, []).append(node)
 
     def handle_endtag(self, tag):
         if tag == "p" and not self.open.get("p"):
@@ -133,7 +214,7 @@ class Tree(HTMLParser):
         if self.at.tag == "head" and data.strip():
             self.close_to(self.at)
         if not self.at.cut:
-            self.at.parts.append(("text", data))
+            self.at.parts.append(("text", unescaped(data)))
 
 
 def in_order(top: Node) -> list[Node]:
@@ -146,10 +227,14 @@ def in_order(top: Node) -> list[Node]:
     return found
 
 
-def settle_forms(top: Node) -> None:
-    """Cuts the forms, except those that hold most of the page's text, which are containers around it."""
+def settle(top: Node) -> None:
+    """Cuts forms and parts whose names tell boilerplate and content, except those that hold the page's text.
+
+    A form with most of the text is a container around it. A part with both kinds of names goes unless less than
+    LEAST_REST of its text were left on the page.
+    """
     nodes = in_order(top)
-    if not any(n.tag == "form" for n in nodes):
+    if not any(n.tag == "form" or n.named for n in nodes):
         return
     chars: dict[int, int] = {}
     for node in reversed(nodes):
@@ -157,6 +242,12 @@ def settle_forms(top: Node) -> None:
     for node in nodes:
         if node.tag == "form":
             node.cut = 2 * chars[id(node)] <= chars[id(top)]
+    unnamed: dict[int, int] = {}
+    for node in reversed(nodes):
+        unnamed[id(node)] = 0 if node.named or node.cut else sum(len("".join(part.split())) if kind == "text" else unnamed[id(part)] if kind == "node" and not part.cut else 0 for kind, part in node.parts)
+    for node in nodes:
+        if node.named and not node.cut:
+            node.cut = unnamed[id(top)] >= LEAST_REST * chars[id(node)]
 
 
 def measure(top: Node) -> list[Node]:
@@ -247,8 +338,7 @@ def main_text(html: str | None) -> str:
         return ""
     tree = Tree()
     tree.feed(html)
-    tree.close()
-    settle_forms(tree.top)
+    settle(tree.top)
     return "\n".join(blocks_of(choose(tree.top)))
 
 

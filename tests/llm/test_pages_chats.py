@@ -6,6 +6,7 @@ import heapq
 import html
 import itertools
 import re
+import time
 
 import pytest
 
@@ -206,3 +207,40 @@ def test_url_filters_on_domains_and_paths_of_any_length(spark):
     out = url_filters.filter_urls(captures, entries).collect()
     assert len(out) == 2 * len(expected)
     assert {(r["url"], (r["fetched_at"] - day(0)).days): (r["matched_by"], r["matched_pattern"]) for r in out} == expected
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", '<a b="', "<", "<title>", "<script>", "</", "&#", "<a b= ", "<div>", "<p><object><div>", "<li><ul><div>", "<textarea>x", "<form>", "<a class='ad-"])
+def test_open_ends_take_linear_time(piece):
+    """Half a megabyte of a construct that never ends takes seconds, not hours."""
+    began = time.perf_counter()
+    html_extraction.main_text(piece * (500_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a < b &amp; c</p>", "a < b & c"),
+        ("<p title='x > y'>a</p>", "a"),
+        ("<p>a<!-- x -->b<!-->c</p>", "ab"),
+        ("<P CLASS=Lead>a</P><SCRIPT>if (a < b) '</p>'</SCRIPT >b", "a\nb"),
+        ("<p>&#0000000065;&#x041;&#99999999999;&#" + "9" * 5000 + ";</p>", "AA��"),
+        ("<p>a</p><p>b <a href='x", "a\nb"),
+        ("<title>a<p>b", ""),
+        ("<?xml version='1.0'?><!DOCTYPE html><p>a</>b</p>", "ab"),
+    ],
+)
+def test_markup_as_browsers_read_it(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_a_class_name_does_not_empty_a_page():
+    for page in (f"<article class='post related'>{STORY}</article>", f"<div class='promo-article'>{STORY}</div>", f"<main id='widget'>{STORY}</main><div class='sidebar'>Side</div>"):
+        assert html_extraction.main_text(f"<body>{page}</body>").split("\n") == paragraphs("story")
+    assert html_extraction.main_text(f"<body><div>{STORY}</div><article class='post related'><p>A card beside it</p></article></body>").split("\n") == paragraphs("story")
+    assert html_extraction.main_text("<body><div class='cookie-notice'>We use cookies</div></body>") == ""
+
+
+def test_a_teaser_article_does_not_hide_the_content():
+    page = f"<body><article><p>teaser</p></article><div class='content'>{STORY}</div></body>"
+    assert html_extraction.main_text(page).endswith("\n".join(paragraphs("story")))
