@@ -11,6 +11,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Candidates for confirmation: armoured blocks, three dotted base64url parts, long base64 and hex runs.
-ARMOUR = re.compile(r"""-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,\\"'-]*?)-----END \1-----""")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+ARMOURED = re.compile(r"""[A-Za-z0-9+/=\s:,\\"'-]*""")
+URL_RUN = re.compile(r"[A-Za-z0-9_-]+")
 #: How a DER sequence or an OpenSSH key starts in base64, whatever comes before it.
 KEY_START = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -37,6 +39,8 @@ BREAK = re.compile(r"""[\x20\t"'\\+]{0,8}?(?:\\+[rn]|[\r\n])(?:\\+[rnt]|[\s"'])*
 ESCAPES = re.compile(r"\\+[rnt]|\r\n?")
 GLUE = re.compile(r"""["']\s*\+\s*["']|["'\\]""")
 MIN_KEY = 40
+#: No key has more values in its outer sequence.
+MOST_FIELDS = 16
 HEX_BYTES = re.compile(r"[0-9A-Fa-f]{48,}")
 
 #: All kinds, in the order in which spans that start together are listed.
@@ -56,10 +60,10 @@ def base64_bytes(text: str, url: bool = False) -> bytes | None:
 
 
 def der_fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the DER values that fill data[at:end] exactly, or None."""
+    """(tag, start, end) of the DER values that fill data[at:end] exactly, or None; also None where they are too many."""
     found = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(found) == MOST_FIELDS:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
@@ -74,9 +78,9 @@ def der_fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | N
     return found
 
 
-def is_der_key(data: bytes) -> bool:
-    """PKCS#1, SEC1, PKCS#8 or an encrypted PKCS#8 private key: one sequence that fills data, with the right fields."""
-    outer = der_fields(data, 0, len(data))
+def is_der_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
+    """PKCS#1, SEC1, PKCS#8 or an encrypted PKCS#8 private key: one sequence that fills data[at:end], with the right fields."""
+    outer = der_fields(data, at, len(data) if end is None else end)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     inner = der_fields(data, *outer[0][1:])
@@ -99,31 +103,24 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def ssh_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key that data starts with, or 0: magic, three length-prefixed strings, a key count and as many more strings."""
-    if not data.startswith(OPENSSH):
+def ssh_size(data: bytes, at: int = 0) -> int:
+    """Bytes of the OpenSSH private key that starts there, or 0: magic, three length-prefixed strings, a key count and as many more strings."""
+    if not data.startswith(OPENSSH, at):
         return 0
-    at = len(OPENSSH)
-
-    def field() -> bytes | None:
-        nonlocal at
+    start, at, left, keys = at, at + len(OPENSSH), 3, None
+    while left:
         if at + 4 > len(data):
-            return None
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
-        at += 4 + size
-        return data[at - size : at]
-
-    if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return 0
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    return at if 1 <= keys <= 16 and all(field() is not None for _ in range(keys + 1)) else 0
-
-
-def is_ssh_key(data: bytes) -> bool:
-    return ssh_size(data) > 0
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            return 0
+        left -= 1
+        if left == 0 and keys is None:
+            keys = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
+            if not 1 <= keys <= 16:
+                return 0
+            at, left = at + 4, keys + 1
+    return at - start
 
 
 def is_signed_token(text: str) -> bool:
@@ -137,7 +134,7 @@ def is_signed_token(text: str) -> bool:
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "ssh_key" if is_ssh_key(data) else "der_key" if is_der_key(data) else None
+    return "ssh_key" if ssh_size(data) else "der_key" if is_der_key(data) else None
 
 
 def armoured_bytes(body: str) -> bytes | None:
@@ -147,44 +144,81 @@ def armoured_bytes(body: str) -> bytes | None:
     return base64_bytes("".join(lines[headers:]))
 
 
-def gathered(text: str, at: int, most: int) -> tuple[str, list[tuple[int, int]]]:
-    """Up to so many base64 characters from at on, over line breaks, and (characters so far, place) after each run."""
-    parts, ends, n = [], [], 0
-    while n < most and (run := RUN.match(text, at, at + most - n)):
-        parts.append(run[0])
-        n, at = n + len(run[0]), run.end()
-        ends.append((n, at))
-        if n < most and (gap := BREAK.match(text, at)):
-            at = gap.end()
-    return "".join(parts).replace("-", "+").replace("_", "/"), ends
-
-
-def key_at(text: str, at: int) -> tuple[str, int] | None:
-    """Kind and end of the key whose base64 starts at this place."""
-    if text[at] == "M":
-        head = base64_bytes(text[at : at + 16].replace("-", "+").replace("_", "/")) or b"\0\0"
-        wide = head[1] & 0x7F if head[1] & 0x80 else 0
-        if head[0] != 0x30 or wide > 4 or head[1] == 0x80 or head[2 + wide] not in (0x02, 0x30):
+class Region:
+    """Base64 characters from a place on, over line breaks, as one string that is decoded once for each alignment."""
+
+    def __init__(self, text: str, at: int):
+        parts, self.text = [], text
+        self.starts: list[int] = []
+        self.before: list[int] = []
+        n = 0
+        while run := RUN.match(text, at):
+            self.starts.append(at)
+            self.before.append(n)
+            parts.append(run[0])
+            n, at = n + len(run[0]), run.end()
+            if gap := BREAK.match(text, at):
+                at = gap.end()
+        self.body = "".join(parts).replace("-", "+").replace("_", "/")
+        self.end = self.starts[-1] + len(parts[-1])
+        self.decoded: dict[int, bytes] = {}
+
+    def key_at(self, place: int) -> tuple[str, int] | None:
+        """Kind and end of the key whose base64 starts at this place of the text."""
+        k = bisect_right(self.starts, place) - 1
+        at = self.before[k] + place - self.starts[k]
+        if (turn := at % 4) not in self.decoded:
+            whole = (len(self.body) - turn) // 4 * 4
+            tail = self.body[turn + whole :]
+            self.decoded[turn] = base64.b64decode(self.body[turn : turn + whole] + (tail + "=" * (4 - len(tail)) if len(tail) > 1 else ""))
+        data, start = self.decoded[turn], (at - turn) // 4 * 3
+        if self.text[place] == "M":
+            wide = data[start + 1] & 0x7F if len(data) >= start + 12 and data[start + 1] & 0x80 else 0
+            if len(data) < start + 12 or data[start] != 0x30 or wide > 4 or data[start + 1] == 0x80 or data[start + 2 + wide] not in (0x02, 0x30):
+                return None
+            size = 2 + wide + (int.from_bytes(data[start + 2 : start + 2 + wide], "big") if wide else data[start + 1])
+            if -(-4 * size // 3) < MIN_KEY or start + size > len(data) or not is_der_key(data, start, start + size):
+                return None
+            kind = "der_key"
+        elif size := ssh_size(data, start):
+            kind = "ssh_key"
+        else:
             return None
-        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
         most = -(-4 * size // 3)
-        if not MIN_KEY <= most <= len(text) - at:
-            return None
-        body, ends = gathered(text, at, most)
-        if len(body) < most or not is_der_key((base64_bytes(body) or b"")[:size]):
-            return None
-        kind = "der_key"
-    else:
-        body, ends = gathered(text, at, len(text) - at)
-        size = ssh_size(base64_bytes(body[: len(body) - (len(body) % 4 == 1)]) or b"")
-        if not size:
-            return None
-        kind, most = "ssh_key", -(-4 * size // 3)
-    n, end = next((n, e) for n, e in ends if n >= most)
-    end -= n - most
-    while end < len(text) and text[end] == "=" and most % 4:
-        end, most = end + 1, most + 1
-    return kind, end
+        k = bisect_left(self.before, at + most) - 1
+        end = self.starts[k] + at + most - self.before[k]
+        while end < len(self.text) and self.text[end] == "=" and most % 4:
+            end, most = end + 1, most + 1
+        return kind, end
+
+
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Spans of armoured private keys: each END mark with the BEGIN mark right before it, so that no text is read twice."""
+    found, begin = [], None
+    for mark in MARK.finditer(text):
+        if mark[1] == "BEGIN":
+            begin = mark
+        elif begin and begin[2] == mark[2] and "PRIVATE KEY" in mark[2]:
+            body = text[begin.end() : mark.start()]
+            data = armoured_bytes(body) if ARMOURED.fullmatch(body) else None
+            if data and (key_kind(data) or ":" in body and len(data) >= 64):
+                found.append((begin.start(), mark.end()))
+            begin = None
+    return found
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of signed tokens; each run of base64url characters is looked at once, from its first mark of a header."""
+    found, at = [], 0
+    while (start := text.find("eyJ", at)) >= 0:
+        at = URL_RUN.match(text, start).end()
+        if text[at : at + 1] == "." and (body := URL_RUN.match(text, at + 1)) and text[body.end() : body.end() + 1] == ".":
+            last = URL_RUN.match(text, body.end() + 1)
+            end = last.end() if last else body.end() + 1
+            if is_signed_token(text[start:end]):
+                found.append((start, end))
+                at = end
+    return found
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -196,23 +230,23 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    taken: list[tuple[int, int]] = []
-    if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            data = armoured_bytes(m[2])
-            if data and "PRIVATE KEY" in m[1] and (key_kind(data) or ":" in m[2] and len(data) >= 64):
-                found.append(("pem_key", *m.span()))
-                taken.append(m.span())
-    if "eyJ" in text:
-        found += [("signed_token", *m.span()) for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    at = 0
+    taken = armoured(text) if "-----BEGIN " in text else []
+    found += [("pem_key", *span) for span in taken]
+    taken_from = [a for a, _ in taken]
+    is_taken = lambda place: (k := bisect_right(taken_from, place)) > 0 and place < taken[k - 1][1]
+    found += [("signed_token", *span) for span in signed_tokens(text)]
+    at, region = 0, None
     while m := KEY_START.search(text, at):
         at = m.start() + 1
-        if not any(a <= m.start() < b for a, b in taken) and (key := key_at(text, m.start())):
+        if is_taken(m.start()):
+            continue
+        if region is None or m.start() >= region.end:
+            region = Region(text, m.start())
+        if key := region.key_at(m.start()):
             found.append((key[0], m.start(), key[1]))
             at = key[1]
     for m in HEX_BYTES.finditer(text):
-        if not any(a <= m.start() < b for a, b in taken) and (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))):
+        if not is_taken(m.start()) and (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))):
             found.append((kind, *m.span()))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
