@@ -9,7 +9,11 @@
 4. In a neighbourhood, sets are stored in a prefix tree with the frequent n-grams first, so that near copies share long
    paths and the overlap along them is counted once. A set walks down with its partial overlap and leaves a subtree
    where the lengths that remain cannot reach the likeness. Nodes that are already connected are not compared again.
-5. Large neighbourhoods are dealt in chunks, a task for each pair of chunks. Links meet in connected components.
+5. A neighbourhood of more n-grams than a task should hold is dealt in chunks, and what a chunk links is one label from
+   there on. A few sets of each label are then compared across chunks, and again while that halves the labels, so that
+   near copies of one text come down to one label. At last the sets outside the neighbourhood's largest label meet
+   all sets of other labels, block by chunk. So no pair goes unseen, and the work grows with the neighbourhood's size
+   times the sets outside its largest label, not with the square of its size. Links meet in connected components.
 """
 
 import math
@@ -19,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketlens.llm.common import WORD, bounded_broadcast, checkpoint, ship
@@ -29,8 +33,12 @@ from docketlens.llm.components import components
 EXTRA = 15
 #: Postings that a search task gathers, about.
 POSTINGS = 1_500_000
-#: Nodes of a neighbourhood that one task compares.
-CHUNK = 1_500
+#: N-grams that a comparing task holds of each side, about.
+GRAMS = 1_000_000
+#: Sets of a label that are compared across chunks.
+SAMPLES = 4
+#: A node of more documents than this, and than this share of all, has its result broadcast: there are few of them.
+HOT_DOCS, HOT_SHARE = 1_000, 0.0001
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -293,23 +301,97 @@ def join_sets(sets: list[tuple[int, int, list[int]]], percent: int) -> list[int]
     return [lowest[find(i)] for i in range(len(sets))]
 
 
+def join_across(stored: list[tuple[int, int, list[int], int]], asking: list[tuple[int, int, list[int], int]], percent: int) -> list[tuple[int, int]]:
+    """For sets (v, size, grams from frequent to rare, label): links (v, v) that join all labels which links between the two lists join."""
+    root: dict[int, int] = {}
+
+    def find(label: int) -> int:
+        while (up := root.get(label, label)) != label:
+            root[label] = root.get(up, up)
+            label = up
+        return label
+
+    tree, found = PrefixTree(), []
+    for i, (_, size, grams, _) in enumerate(stored):
+        tree.add(i, size, grams)
+    for v, size, grams, label in asking:
+        for j, overlap in tree.search(size, grams, percent, lambda items, label=label: all(find(stored[j][3]) == find(label) for j in items)):
+            if find(stored[j][3]) != find(label) and 100 * overlap >= percent * (size + stored[j][1] - overlap):
+                root[find(label)] = find(stored[j][3])
+                found.append((v, stored[j][0]))
+    return found
+
+
+def _parts(load: Column) -> Column:
+    return F.ceil(load / GRAMS).cast("int")
+
+
+def _compared(ordered: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the nodes w of placed that agree in area and part."""
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [(v, n, g[::-1].tolist()) for v, n, g in zip(group["v"].tolist(), group["n"].tolist(), group["grams"], strict=True)]
+        return pd.DataFrame({"a": group["v"], "b": join_sets(sets, percent)})
+
+    work = ordered.join(bounded_broadcast(placed.select("w", "area", "part")), F.col("v") == F.col("w")).select("v", "n", "grams", "area", "part")
+    return checkpoint(work.groupBy("area", "part").applyInPandas(kernel, "a long, b long").where("a <> b"))
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (w, area, load) with the label that links give them, their own number where they have none."""
+    roots = components(links)
+    return checkpoint(nodes.join(bounded_broadcast(roots), F.col("w") == F.col("v"), "left").select("w", "area", "load", F.coalesce("root", "w").alias("label")))
+
+
+def _across_labels(ordered: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The links that are missing between the labels of large neighbourhoods (step 5), with those given."""
+    labelled, before, rounds = _labelled(nodes, links), None, 0
+    while True:
+        count = labelled.select("area", "label").distinct().count()
+        if before is not None and 2 * count > before or count == nodes.select("area").distinct().count():
+            break
+        before, rounds = count, rounds + 1
+        some = [F.min_by("w", F.xxhash64("w", F.lit(rounds * SAMPLES + i))) for i in range(SAMPLES)]
+        samples = labelled.groupBy("area", "label").agg(F.array_distinct(F.array(*some)).alias("ws")).select("area", F.explode("ws").alias("s"))
+        samples = checkpoint(samples.join(nodes.select("w", "load"), F.col("s") == F.col("w")).select("area", "w", "load"))
+        parts = bounded_broadcast(samples.groupBy(F.col("area").alias("of")).agg(_parts(F.sum("load")).alias("parts")))
+        placed = samples.join(parts, F.col("area") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("w", F.lit(rounds)), F.col("parts")))
+        links = checkpoint(links.union(_compared(ordered, placed, percent)))
+        labelled = _labelled(nodes, links)
+    loads = labelled.groupBy("area", "label").agg(F.sum("load").alias("load"))
+    largest = loads.groupBy(F.col("area").alias("of")).agg(F.max_by("label", F.struct("load", "label")).alias("largest"), _parts(F.sum("load")).alias("chunks"), F.sum("load").alias("all"), F.max("load").alias("top"))
+    largest = bounded_broadcast(checkpoint(largest.where("all > top").withColumn("blocks", _parts(F.col("all") - F.col("top")))))
+    open_ = labelled.join(largest, F.col("area") == F.col("of"))
+    block, chunk = F.pmod(F.xxhash64("w", F.lit("block")), F.col("blocks")), F.pmod(F.xxhash64("w", F.lit("chunk")), F.col("chunks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = open_.where("label <> largest").select("w", "area", "label", block.cast("int").alias("block"), each("chunks").alias("chunk"), F.lit(True).alias("stored"))
+    asking = open_.select("w", "area", "label", each("blocks").alias("block"), chunk.cast("int").alias("chunk"), F.lit(False).alias("stored"))
+
+    def kernel(group: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(group["v"].tolist(), group["n"].tolist(), [g[::-1].tolist() for g in group["grams"]], group["label"].tolist(), strict=True))
+        kept = group["stored"].tolist()
+        pairs = join_across([r for r, k in zip(rows, kept, strict=True) if k], [r for r, k in zip(rows, kept, strict=True) if not k], percent)
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+    work = ordered.join(stored.union(asking), F.col("v") == F.col("w")).select("v", "n", "grams", "area", "label", "block", "chunk", "stored")
+    return checkpoint(links.union(work.groupBy("area", "block", "chunk").applyInPandas(kernel, "a long, b long")))
+
+
 def link_nodes(ordered: DataFrame, percent: int) -> DataFrame:
     """(v, root) of the nodes that have a partner (steps 4 and 5)."""
     leading = ordered.select("v", F.explode(F.slice("grams", F.lit(1), F.col("lead"))).alias("gram"))
     hubs = leading.groupBy(F.col("gram").alias("g")).agg(F.min("v").alias("hub"), F.max("v").alias("top")).where("hub <> top").select("g", "hub")
     near = components(leading.join(hubs, F.col("gram") == F.col("g")).select(F.col("v").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
     near = checkpoint(near.select(F.col("v").alias("w"), F.col("root").alias("area")))
-    sizes = near.groupBy(F.col("area").alias("of")).agg(F.count(F.lit(1)).alias("members")).withColumn("chunks", F.greatest(F.lit(1), F.ceil(2 * F.col("members") / CHUNK) * (F.col("members") > CHUNK).cast("int")).cast("int"))
-    placed = near.join(sizes, F.col("area") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("w"), F.col("chunks")).cast("int"))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("own")))
-    tasks = placed.select("w", "area", "own", F.explode(others).alias("other")).select("w", "area", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [(v, n, g[::-1].tolist()) for v, n, g in zip(group["v"].tolist(), group["n"].tolist(), group["grams"], strict=True)]
-        return pd.DataFrame({"a": group["v"], "b": join_sets(sets, percent)})
-
-    work = ordered.join(tasks, F.col("v") == F.col("w")).select("v", "n", "grams", "area", "low", "high")
-    links = checkpoint(work.groupBy("area", "low", "high").applyInPandas(kernel, "a long, b long").where("a <> b"))
+    loads = ordered.select("v", F.size("grams").cast("long").alias("load"))
+    nodes = checkpoint(loads.join(bounded_broadcast(near), F.col("v") == F.col("w")).select("w", "area", "load"))
+    sizes = bounded_broadcast(checkpoint(nodes.groupBy(F.col("area").alias("of")).agg(_parts(F.sum("load")).alias("parts")).where("parts > 1")))
+    placed = nodes.join(sizes, F.col("area") == F.col("of"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("w"), F.col("parts")), F.lit(0)))
+    links = _compared(ordered, placed, percent)
+    large = checkpoint(placed.where("parts > 1").select("w", "area", "load"))
+    if not large.isEmpty():
+        inside = links.join(bounded_broadcast(large.select("w")), F.col("a") == F.col("w"), "left_semi")
+        links = links.union(_across_labels(ordered, large, checkpoint(inside), percent))
     return components(links)
 
 
@@ -320,13 +402,17 @@ def _found(docs: DataFrame, words: int, percent: int) -> DataFrame:
     likely = likely_nodes(docs, sets, words, percent)
     ordered = ordered_sets(docs, sets, likely, words, percent)
     roots = link_nodes(ordered, percent)
-    firsts = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
+    firsts = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = roots.join(ordered.select(F.col("v").alias("w"), F.col("node").alias("of")), F.col("v") == F.col("w")).select("of", "root")
     linked = checkpoint(linked.join(firsts, F.col("of") == F.col("node")).select("of", "root", "first"))
     joined = linked.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("smallest"), F.min("of").alias("least"))
     by_node = linked.join(joined, F.col("root") == F.col("r")).select("of", "smallest", "least")
-    identity = firsts.join(by_node, F.col("node") == F.col("of"), "left").select(F.col("node").alias("its"), F.coalesce("smallest", "first").alias("named"), F.coalesce("least", "node").alias("class"))
-    out = sets.join(identity, F.col("node") == F.col("its"), "left")
+    identity = firsts.join(by_node, F.col("node") == F.col("of"), "left").select(F.col("node").alias("its"), F.coalesce("smallest", "first").alias("named"), F.coalesce("least", "node").alias("class"), "copies")
+    # Copies of one node are as many rows of one key. The nodes that a share of all documents have are few, and are broadcast.
+    hot = checkpoint(identity.where(F.col("copies") > F.greatest(F.lit(HOT_DOCS), F.lit(HOT_SHARE) * sets.count())).drop("copies"))
+    marked = sets.join(F.broadcast(hot.withColumn("hot", F.lit(True))), F.col("node") == F.col("its"), "left")
+    others = marked.where("hot IS NULL").select("doc_id", "text_key", "n", "node").join(identity.drop("copies"), F.col("node") == F.col("its"), "left")
+    out = marked.where("hot").select("doc_id", "text_key", "n", "node", "its", "named", "class").union(others)
     return out.select("doc_id", "text_key", "n", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("component_id"), "class")
 
 

@@ -114,22 +114,46 @@ def test_ngram_components(which, request):
     assert ngram_join.keep_one(docs).count() == groups
 
 
-def test_large_neighbourhood_in_chunks(spark, monkeypatch):
-    """A group of near copies beyond the chunk size is dealt in pairs of chunks; no link is lost."""
-    monkeypatch.setattr(ngram_join, "CHUNK", 10)
+@pytest.mark.parametrize("kind", ["near copies", "chains", "mixed"])
+def test_large_neighbourhoods_in_chunks(kind, spark, monkeypatch):
+    """Neighbourhoods beyond a task's n-grams are dealt in chunks and blocks; no link is lost."""
+    monkeypatch.setattr(ngram_join, "GRAMS", 1_000)
+    monkeypatch.setattr(ngram_join, "HOT_DOCS", 2)
     from tests.llm.conftest import words
 
     base, rows = words(9, 100).split(), []
-    for i in range(35):
+    for i in range(35 if kind != "chains" else 0):  # up to three words changed in a common text
         w = list(base)
         for j in range(i % 4):
             w[(i * 7 + j * 25) % 100] = f"new{i}x{j}"
         rows.append((i, " ".join(w)))
+    long = words(10, 700).split()
+    for i in range(40 if kind != "near copies" else 0):  # each set is linked with its neighbours in the chain alone
+        rows.append((1000 + i, " ".join(long[15 * i : 15 * i + 100])))
     rows += [(100 + i, words(50 + i, 80)) for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(200 + i, rows[0][1]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert collections.Counter(map(tuple, ngram_join.ngram_components(docs).collect())) == components_by_hand(rows)[0]
 
 
+@given(st.lists(st.tuples(st.sets(st.integers(0, 25), min_size=1, max_size=14), st.booleans()), min_size=1, max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_joins_across_lists_find_every_link(sets):
+    """The links between two lists join the same labels as all pairs do."""
+    rows = [(i, len(s), sorted(s), i // 2) for i, (s, _) in enumerate(sets)]
+    left, right = ([r for r, (_, k) in zip(rows, sets, strict=True) if k == side] for side in (True, False))
+
+    def joined(pairs):
+        root = list(range(len(sets)))
+        for _ in root:
+            for a, b in pairs:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    every = [(a[3], b[3]) for a in left for b in right if 100 * len({*a[2]} & {*b[2]}) >= 75 * len({*a[2]} | {*b[2]})]
+    assert joined([(a // 2, b // 2) for a, b in ngram_join.join_across(left, right, 75)]) == joined(every)
+
+
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=14))
 @settings(max_examples=150, deadline=None)
 def test_prefix_tree_finds_every_link(sets):
