@@ -56,10 +56,6 @@ def _host(source: Column) -> Column:
     return F.xxhash64(source.isNull(), F.coalesce(source, F.lit("")))
 
 
-def line_key(source: Column, line: Column) -> Column:
-    return F.xxhash64(source.isNull(), F.coalesce(source, F.lit("")), normalised(line))
-
-
 def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
 
@@ -101,12 +97,13 @@ def _frequent_lines(docs: DataFrame, max_docs: int | None) -> DataFrame:
     The counts combine before the shuffle, so that a line of a third of all documents is one row a task. Equal rows of
     documents have one key and count once here. With max_docs distinct texts are counted against it, near copies too.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    host = _host(F.col("source"))
-    lines = docs.select("source", "text", _row_key().alias("key"), F.posexplode(F.split(text, "\n"))).where(F.col("col").rlike(WORD))
-    seen = lines.select(host.alias("host"), line_key(F.col("source"), F.col("col")).alias("line"), F.xxhash64("text").alias("of")).distinct()
+    # The hashes stand in a projection below the explode, so that a text is hashed once and not for each of its lines.
+    hashed = docs.select(_host(F.col("source")).alias("host"), _row_key().alias("key"), F.xxhash64("text").alias("of"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    lines = hashed.select("host", "key", "of", F.posexplode(F.split("t", "\n"))).where(F.col("col").rlike(WORD))
+    line = F.xxhash64("host", normalised(F.col("col"))).alias("line")
+    seen = lines.select("host", line, "of").distinct()
     counted = seen.groupBy("host", "line").count().where(F.col("count") > (MAX_DOCS if max_docs is None else max_docs))
-    own = lines.select("key", F.col("pos").alias("at"), line_key(F.col("source"), F.col("col")).alias("line"), F.regexp_count("col", F.lit(WORD)).alias("words"), F.xxhash64("text").alias("of"))
+    own = lines.select("key", F.col("pos").alias("at"), line, F.regexp_count("col", F.lit(WORD)).alias("words"), "of")
     if max_docs is not None:
         frequent = checkpoint(counted.select("line"))
         return own.join(bounded_broadcast(frequent, BROADCAST_ROWS), "line").dropDuplicates(["key", "at"])
