@@ -17,10 +17,17 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a folder of its own where that is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a local session, as in tests, gets a folder of its own; on a cluster that is an error, as no
+    folder of the driver's machine would do.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketlens-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docketlens-"))
     return context.getCheckpointDir()
 
 
