@@ -25,18 +25,20 @@ def syndication(t: Tables) -> DataFrame:
 
 @query(
     "fed_11_attention",
-    """, g AS (SELECT user_id, avg(least(1, greatest(0, value / 100))) AS cred, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-03-01') AS age, count(DISTINCT event_type) AS types, count(*) AS n FROM events GROUP BY 1)
-    SELECT user_id, round(0.35 * cred + 0.25 * CASE WHEN age <= 7 THEN 1 WHEN age <= 30 THEN 0.8 - (age - 7) / 23 * 0.3 WHEN age <= 90 THEN 0.5 - (age - 30) / 60 * 0.3 WHEN age <= 365 THEN 0.2 ELSE 0.05 END + 0.20 * least(1, types / 5)
+    """, g AS (SELECT user_id, avg(least(1, greatest(0, value / 100))) AS cred, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-03-01') AS age, count(DISTINCT event_type) AS types, count(DISTINCT regexp_extract(props, '(-?\\d+)', 1)) AS sources, count(*) AS n FROM events GROUP BY 1)
+    SELECT user_id, round(0.35 * cred + 0.25 * CASE WHEN age <= 7 THEN 1 WHEN age <= 30 THEN 0.8 - (age - 7) / 23 * 0.3 WHEN age <= 90 THEN 0.5 - (age - 30) / 60 * 0.3 WHEN age <= 365 THEN 0.2 ELSE 0.05 END + 0.20 * greatest(types / 5, least(1, sources / 5))
     + 0.20 * CASE WHEN n <= 1 THEN 0.1 WHEN n <= 3 THEN 0.3 WHEN n <= 5 THEN 0.5 WHEN n <= 10 THEN 0.7 WHEN n <= 20 THEN 0.85 ELSE 1 END, 9) AS score FROM g""",
 )
 def attention(t: Tables, as_of: str = "2024-03-01") -> DataFrame:
+    """Credibility, recency, diversity of kinds or sources, and volume of what is said of a subject. The steps are fixed values."""
     age, n = F.datediff(F.lit(as_of).cast("date"), F.max(F.to_date("ts"))), F.count(F.lit(1))
     cred = F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)))
-    g = t.read("events").groupBy("user_id").agg(cred.alias("cred"), age.alias("age"), F.count_distinct("event_type").alias("types"), n.alias("n"))
+    g = t.read("events").groupBy("user_id").agg(cred.alias("cred"), age.alias("age"), F.count_distinct("event_type").alias("types"), F.count_distinct(F.get_json_object("props", "$.k")).alias("sources"), n.alias("n"))
     a, m = F.col("age"), F.col("n")
     recency = F.when(a <= 7, 1.0).when(a <= 30, 0.8 - (a - 7) / 23 * 0.3).when(a <= 90, 0.5 - (a - 30) / 60 * 0.3).when(a <= 365, 0.2).otherwise(0.05)
     volume = F.when(m <= 1, 0.1).when(m <= 3, 0.3).when(m <= 5, 0.5).when(m <= 10, 0.7).when(m <= 20, 0.85).otherwise(1.0)
-    return g.select("user_id", F.round(0.35 * F.col("cred") + 0.25 * recency + 0.20 * F.least(F.lit(1.0), F.col("types") / 5) + 0.20 * volume, 9).alias("score"))
+    diversity = F.greatest(F.col("types") / 5, F.least(F.lit(1.0), F.col("sources") / 5))
+    return g.select("user_id", F.round(0.35 * F.col("cred") + 0.25 * recency + 0.20 * diversity + 0.20 * volume, 9).alias("score"))
 
 
 @query("fed_13_html_clean", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages")

@@ -12,6 +12,8 @@ WEIGHTS = {"politician": 0.30, "corruption": 0.20, "kind": 0.15, "media": 0.15,
 TYPES = {"automobile": 1.0, "building": 0.9, "furniture": 0.7, "household": 0.2, "machinery": 0.4}
 KEYWORDS = ("bribery", "graft", "kickback", "embezzlement", "money laundering", "disproportionate assets", "quid pro quo", "scam", "corruption", "tender rigging", "abuse of office", "benami")
 CAP = 5e7
+#: Subjects of cases, which the tables lack, in the order of their numbers.
+SUBJECTS = ("Dispute over a wall between two plots", "Bribery and kickback in a tender rigging scam", "Sale of goods, price not paid", "Disproportionate assets of an officer, money laundering alleged, investigation pending for years", "", "Appeal against a tax order in which the department says that no corruption of the record took place and that the assessment was made upon the accounts of the firm as they stood at the end of the year")
 
 LINKS_SQL = ", links AS (SELECT case_id, judge_id AS official_id, confidence, tax >= 0.07 AS verified FROM hearings WHERE line = 1), pol AS (SELECT case_id, CASE WHEN bool_or(verified) THEN 1 ELSE least(1, 0.6 + 0.4 * max(confidence)) END AS politician FROM links GROUP BY 1)"
 
@@ -53,26 +55,40 @@ def corruption(t: Tables) -> DataFrame:
 )
 def media(t: Tables, as_of: str = "2024-02-01") -> DataFrame:
     """Mentions by credibility, fading with age; a burst of poor ones is capped."""
-    cred = clamp(F.col("value") / 100)
-    age = F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.to_date("ts")), F.lit(90))
-    g = t.read("events").select("user_id", cred.alias("cred"), age.alias("age")).groupBy("user_id").agg(F.sum(F.col("cred") * F.exp(-0.05 * F.col("age"))).alias("w"), F.count_if((F.col("cred") < 0.3) & (F.col("age") <= 2)).alias("low"))
-    w = F.when(F.col("low") >= 6, F.least("w", F.lit(1.5))).otherwise(F.col("w"))
-    return g.select("user_id", F.round(clamp(F.log1p(w) / F.log1p(F.lit(5.0))), 6).alias("media"))
+    return mentions(t, as_of).select("user_id", F.round("media", 6).alias("media"))
 
 
 COMPONENTS_SQL = (
     LINKS_SQL
-    + f""", comp AS (SELECT case_id, coalesce(politician, 0) AS politician, 0 AS corruption, CASE case_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPES.items())} ELSE 0.3 END AS kind, 0 AS media,
-    ln(1 + least(amount, 5e7)) / ln(1 + 5e7) AS monetary, CASE WHEN priority = '1-URGENT' THEN 1 ELSE 0 END AS urgency, least(1, ln(1 + n_hearings) / ln(1 + 1e4)) AS historical, n_hearings, filing_date FROM case_spans LEFT JOIN pol USING (case_id)),
-    imp AS (SELECT *, 1 / (1 + exp(-6 * ({" + ".join(f"{w} * {k}" for k, w in WEIGHTS.items())} - 0.5))) AS score, CAST(politician > 0 AS INT) + CAST(urgency > 0 AS INT) + CAST(n_hearings > 0 AS INT) + CAST(monetary > 0.6 AS INT) AS signals FROM comp)"""
+    + """, mm AS (SELECT user_id, least(1, greatest(0, value / 100)) AS cred, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') AS age FROM events),
+    mg AS (SELECT user_id, count(*) AS mentions, sum(cred * exp(-0.05 * age)) AS w, count(*) FILTER (cred < 0.3 AND age <= 2) >= 6 AS capped FROM mm GROUP BY 1),
+    med AS (SELECT user_id, mentions, capped, least(1, ln(1 + CASE WHEN capped THEN least(w, 1.5) ELSE w END) / ln(6)) AS media FROM mg),
+    su AS (SELECT *, lower(list_extract([""" + ", ".join(f"'{x}'" for x in SUBJECTS) + f"""], CAST(case_id % {len(SUBJECTS)} AS INTEGER) + 1)) AS x FROM case_spans),
+    comp AS (SELECT case_id, coalesce(politician, 0) AS politician, least(1, ({" + ".join(f"(length(x) - length(replace(x, '{k}', ''))) // {len(k)}" for k in KEYWORDS)}) / greatest(1, len(string_split(x, ' '))) * 250) AS corruption,
+    CASE case_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPES.items())} ELSE 0.3 END AS kind, coalesce(media, 0) AS media, coalesce(mentions, 0) AS mentions, coalesce(capped, false) AS capped, amount IS NOT NULL AS valued,
+    ln(1 + least(amount, 5e7)) / ln(1 + 5e7) AS monetary, CASE WHEN priority = '1-URGENT' THEN 1 ELSE 0 END AS urgency, least(1, ln(1 + n_hearings) / ln(1 + 1e4)) AS historical, n_hearings, filing_date FROM su LEFT JOIN pol USING (case_id) LEFT JOIN med ON case_id % 1000 = user_id),
+    imp AS (SELECT *, 1 / (1 + exp(-6 * ({" + ".join(f"{w} * {k}" for k, w in WEIGHTS.items())} - 0.5))) AS score, CAST(politician > 0 AS INT) + CAST(corruption > 0 AS INT) + CAST(mentions > 0 AS INT) + CAST(valued AS INT) AS signals FROM comp)"""
 )
 
 
+def mentions(t: Tables, as_of: str = "2024-02-01") -> DataFrame:
+    """What the media say of each subject: the score, the number of mentions and whether a burst of poor ones was capped."""
+    cred = clamp(F.col("value") / 100)
+    age = F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.to_date("ts")), F.lit(90))
+    g = t.read("events").select("user_id", cred.alias("cred"), age.alias("age")).groupBy("user_id").agg(F.count(F.lit(1)).alias("mentions"), F.sum(F.col("cred") * F.exp(-0.05 * F.col("age"))).alias("w"), F.count_if((F.col("cred") < 0.3) & (F.col("age") <= 2)).alias("low"))
+    capped = F.col("low") >= 6
+    w = F.when(capped, F.least("w", F.lit(1.5))).otherwise(F.col("w"))
+    return g.select("user_id", "mentions", capped.alias("capped"), clamp(F.log1p(w) / F.log1p(F.lit(5.0))).alias("media"))
+
+
 def components(t: Tables) -> DataFrame:
+    """All components of each case. A case's subject and the user that media mentions are about go by its number."""
     kind = F.coalesce(F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.lit(v))])[F.col("case_type")], F.lit(0.3))
     monetary = F.log1p(F.least("amount", F.lit(CAP))) / F.log1p(F.lit(CAP))
     urgency = F.when(F.col("priority") == "1-URGENT", 1.0).otherwise(0.0)
-    return t.case_spans.join(politician(t), "case_id", "left").select("case_id", F.coalesce("politician", F.lit(0.0)).alias("politician"), F.lit(0.0).alias("corruption"), kind.alias("kind"), F.lit(0.0).alias("media"), monetary.alias("monetary"), urgency.alias("urgency"), clamp(F.log1p("n_hearings") / F.log1p(F.lit(1e4))).alias("historical"), "n_hearings", "filing_date")
+    subject = F.get(F.array(*[F.lit(s) for s in SUBJECTS]), (F.col("case_id") % len(SUBJECTS)).cast("int"))
+    joined = t.case_spans.join(politician(t), "case_id", "left").join(mentions(t), F.col("case_id") % 1000 == F.col("user_id"), "left")
+    return joined.select("case_id", F.coalesce("politician", F.lit(0.0)).alias("politician"), keyword_density(subject).alias("corruption"), kind.alias("kind"), F.coalesce("media", F.lit(0.0)).alias("media"), F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("capped", F.lit(False)).alias("capped"), F.col("amount").isNotNull().alias("valued"), monetary.alias("monetary"), urgency.alias("urgency"), clamp(F.log1p("n_hearings") / F.log1p(F.lit(1e4))).alias("historical"), "n_hearings", "filing_date")
 
 
 def importance_score(override: Column | None = None) -> Column:
@@ -97,12 +113,17 @@ def type_priority(t: Tables) -> DataFrame:
     return components(t).select("case_id", "kind", "urgency")
 
 
-@query("imp_7_confidence", COMPONENTS_SQL + " SELECT case_id, round(greatest(0.2, (0.75 * signals / 4 + 0.25 * exp(-date_diff('day', filing_date, DATE '2001-12-31') / 180)) * CASE WHEN signals < 2 THEN 0.5 ELSE 1 END), 6) AS confidence FROM imp")
+@query("imp_7_confidence", COMPONENTS_SQL + " SELECT case_id, round(least(1, greatest(0.2, (0.75 * signals / 4 + 0.25 * exp(-date_diff('day', filing_date, DATE '2001-12-31') / 180)) * CASE WHEN capped THEN 0.85 ELSE 1 END * CASE WHEN signals < 2 THEN 0.5 ELSE 1 END)), 6) AS confidence FROM imp")
 def confidence(t: Tables) -> DataFrame:
-    signals = (F.col("politician") > 0).cast("int") + (F.col("urgency") > 0).cast("int") + (F.col("n_hearings") > 0).cast("int") + (F.col("monetary") > 0.6).cast("int")
-    recency = F.coalesce(F.exp(-F.datediff(t.as_of, "filing_date") / 180), F.lit(0.5))
-    c = (0.75 * signals / 4 + 0.25 * recency) * F.when(signals < 2, 0.5).otherwise(1.0)
-    return components(t).select("case_id", F.round(F.greatest(F.lit(0.2), c), 6).alias("confidence"))
+    return components(t).select("case_id", F.round(case_confidence(t.as_of), 6).alias("confidence"))
+
+
+def case_confidence(as_of: Column) -> Column:
+    """From the share of four independent signals and from freshness; less where mentions were capped or signals are few."""
+    signals = (F.col("politician") > 0).cast("int") + (F.col("corruption") > 0).cast("int") + (F.col("mentions") > 0).cast("int") + F.col("valued").cast("int")
+    recency = F.coalesce(F.exp(-F.datediff(as_of, "filing_date") / 180), F.lit(0.5))
+    c = (0.75 * signals / 4 + 0.25 * recency) * F.when(F.col("capped"), 0.85).otherwise(1.0) * F.when(signals < 2, 0.5).otherwise(1.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.2), c))
 
 
 @query(

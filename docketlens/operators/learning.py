@@ -24,10 +24,10 @@ def split(rows: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     upto = F.sum("m").over(Window.orderBy("filing_date"))
     total = F.sum("m").over(Window.partitionBy(F.lit(1)))
     day = by_day.withColumn("upto", upto).withColumn("want", F.floor(share * total)).where("upto - m < want AND upto >= want").select(F.col("filing_date").alias("day"), (F.col("want") - F.col("upto") + F.col("m")).alias("left"))
-    ties = F.row_number().over(Window.partitionBy("filing_date").orderBy("case_id"))
-    marked = rows.join(day, F.lit(True)).withColumn("rn", F.when(F.col("filing_date") == F.col("day"), ties))
-    train = (F.col("filing_date") < F.col("day")) | ((F.col("filing_date") == F.col("day")) & (F.col("rn") <= F.col("left")))
-    return marked.where(train).drop("day", "left", "rn"), marked.where(~train).drop("day", "left", "rn")
+    marked = rows.join(day, F.lit(True))
+    tied = marked.where("filing_date = day").withColumn("rn", F.row_number().over(Window.partitionBy("day").orderBy("case_id")))
+    pick = lambda sides, ties: marked.where(sides).drop("day", "left").unionByName(tied.where(ties).drop("day", "left", "rn"))
+    return pick("filing_date < day", "rn <= left"), pick("filing_date > day", "rn > left")
 
 
 def median_model(train: DataFrame) -> tuple[DataFrame, DataFrame]:

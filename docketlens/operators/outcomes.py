@@ -8,7 +8,7 @@ from docketlens.sources.domain import TEXT_SQL, Tables, with_text
 
 #: Rules in their order, with outcome, confidence and whole-word keywords.
 RULES = (
-    ("ADJOURNED", 0.95, ("adjourn", "postponed", "deferred", "put up", "relisted", "adjd", "adjourned to")),
+    ("ADJOURNED", 0.95, ("adjourn", "postponed", "deferred", "put up", "relisted", "adjd", "adjd.", "adj.", "adjourned to")),
     ("HEARD", 0.92, ("heard", "argument heard", "taken up", "considered", "heard today")),
     ("ORDER_RESERVED", 0.93, ("order reserved", "order kept", "reserved", "orders reserved")),
     ("DISPOSED", 0.96, ("disposed", "dismissed", "allowed", "pronounced", "judgment")),
@@ -33,7 +33,7 @@ def normalise(text: Column) -> Column:
 
 
 def words_pattern(keywords) -> str:
-    return r"\b(?:" + "|".join(k.replace(" ", r"\s+") for k in keywords) + r")\b"
+    return r"\b(?:" + "|".join(k.replace(".", r"\.").replace(" ", r"\s+") for k in keywords) + r")\b"
 
 
 def parsed(text: Column, listing: Column | None = None) -> Column:

@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.numbers import clamp
+from docketlens.operators.delay import CHOSEN_SQL as DELAY_SQL
+from docketlens.operators.delay import baseline_confidence, scored
+from docketlens.operators.importance import COMPONENTS_SQL, case_confidence, components
 from docketlens.plans.registry import query
 from docketlens.sources.domain import Tables
 
@@ -12,13 +15,13 @@ TYPE_WEIGHTS = {"API": 1.0, "PDF": 0.92, "HTML": 0.82, "MANUAL": 0.7}
 KINDS = ("API", "PDF", "HTML", "MANUAL", "FAX")
 
 PROV_SQL = """, prov AS (SELECT event_id, user_id AS entity_id, event_type AS field, regexp_extract(props, '(-?\\d+)', 1) AS value, list_extract(['API', 'PDF', 'HTML', 'MANUAL', 'FAX'], CAST(event_id % 5 AS INTEGER) + 1) AS source_type,
-  least(1, greatest(0, value / 100)) AS confidence, ts AS fetched, event_id % 7 = 0 AS is_primary FROM events),
+  least(1, greatest(0, value / 100)) AS confidence, ts AS fetched, event_id % 7 = 0 AS is_primary, CASE WHEN event_id % 3 = 0 THEN 'District Court' ELSE 'registry' END AS source_name FROM events),
 hashed AS (SELECT *, sha256('{"k":' || value || '}') AS hash FROM prov)"""
 
 
 def records(t: Tables) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    return t.read("events").select("event_id", F.col("user_id").alias("entity_id"), F.col("event_type").alias("field"), F.get_json_object("props", "$.k").alias("value"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("source_type"), clamp(F.col("value") / 100).alias("confidence"), F.col("ts").alias("fetched"), (F.col("event_id") % 7 == 0).alias("is_primary"))
+    return t.read("events").select("event_id", F.col("user_id").alias("entity_id"), F.col("event_type").alias("field"), F.get_json_object("props", "$.k").alias("value"), F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("source_type"), clamp(F.col("value") / 100).alias("confidence"), F.col("ts").alias("fetched"), (F.col("event_id") % 7 == 0).alias("is_primary"), F.when(F.col("event_id") % 3 == 0, "District Court").otherwise("registry").alias("source_name"))
 
 
 def hashed(t: Tables) -> DataFrame:
@@ -31,15 +34,16 @@ def value_hash(t: Tables) -> DataFrame:
     return hashed(t).select("event_id", "hash")
 
 
-def rank_of(confidence, source_type, age_days):
+def rank_of(confidence, source_type, age_days, source_name):
+    """Confidence, kind and age of a source, and a little more for a court."""
     weight = F.coalesce(F.create_map(*[x for k, v in TYPE_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])[source_type], F.lit(0.5))
-    return 0.7 * confidence + 0.25 * weight + F.greatest(F.lit(0.0), 0.25 - F.least(F.lit(0.25), age_days / 365))
+    return 0.7 * confidence + 0.25 * weight + F.greatest(F.lit(0.0), 0.25 - F.least(F.lit(0.25), age_days / 365)) + F.when(F.lower(source_name).contains("court"), 0.05).otherwise(0.0)
 
 
-@query("prv_2_rank", PROV_SQL + " SELECT event_id, round(0.7 * confidence + 0.25 * CASE source_type WHEN 'API' THEN 1 WHEN 'PDF' THEN 0.92 WHEN 'HTML' THEN 0.82 WHEN 'MANUAL' THEN 0.7 ELSE 0.5 END + greatest(0, 0.25 - least(0.25, date_diff('day', CAST(fetched AS DATE), DATE '2024-02-01') / 365)), 6) AS rank FROM prov")
+@query("prv_2_rank", PROV_SQL + " SELECT event_id, round(0.7 * confidence + 0.25 * CASE source_type WHEN 'API' THEN 1 WHEN 'PDF' THEN 0.92 WHEN 'HTML' THEN 0.82 WHEN 'MANUAL' THEN 0.7 ELSE 0.5 END + greatest(0, 0.25 - least(0.25, date_diff('day', CAST(fetched AS DATE), DATE '2024-02-01') / 365)) + CASE WHEN lower(source_name) LIKE '%court%' THEN 0.05 ELSE 0 END, 6) AS rank FROM prov")
 def ranks(t: Tables) -> DataFrame:
     age = F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("fetched"))
-    return records(t).select("event_id", F.round(rank_of(F.col("confidence"), F.col("source_type"), age), 6).alias("rank"))
+    return records(t).select("event_id", F.round(rank_of(F.col("confidence"), F.upper("source_type"), age, F.col("source_name")), 6).alias("rank"))
 
 
 @query("prv_3_conflicts", PROV_SQL + " SELECT entity_id, field, count(*) AS n, count(DISTINCT hash) AS versions FROM hashed GROUP BY ALL HAVING count(DISTINCT hash) > 1")
@@ -73,12 +77,16 @@ def as_of(t: Tables, at: str = "2024-01-15 00:00:00") -> DataFrame:
 def lineage(t: Tables) -> DataFrame:
     """Ancestors of every record, where record n comes from record (n - 1) div 2: a recursive query, breadth first."""
     t.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    t.read("events").select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 2)).alias("parent")).createOrReplaceTempView("docketlens_links")
-    return t.spark.sql("""
+    parent = F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 2))
+    links = t.read("events").select(F.col("event_id").alias("node"), parent.alias("parent"))
+    return t.spark.sql(
+        """
         WITH RECURSIVE up(node, at) AS (
-          SELECT node, parent FROM docketlens_links WHERE parent IS NOT NULL
-          UNION ALL SELECT up.node, l.parent FROM up JOIN docketlens_links l ON l.node = up.at WHERE l.parent IS NOT NULL)
-        SELECT n.node, count(up.at) AS ancestors FROM docketlens_links n LEFT JOIN up ON up.node = n.node GROUP BY n.node""")
+          SELECT node, parent FROM {links} WHERE parent IS NOT NULL
+          UNION ALL SELECT up.node, l.parent FROM up JOIN {links} l ON l.node = up.at WHERE l.parent IS NOT NULL)
+        SELECT n.node, count(up.at) AS ancestors FROM {links} n LEFT JOIN up ON up.node = n.node GROUP BY n.node""",
+        links=links,
+    )
 
 
 @query("prv_7_listing", PROV_SQL + " SELECT event_id, fetched FROM hashed WHERE source_type = 'PDF' ORDER BY fetched DESC, event_id DESC LIMIT 200")
@@ -106,11 +114,31 @@ def timeline_query(t: Tables) -> DataFrame:
     return timeline(t).groupBy("case_id", "date", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("inv_2_metrics", "SELECT case_id, round((least(1, n_hearings / 20) + least(1, n_adjourned / 10) + CAST(last_hearing IS NOT NULL AS INT) + CAST(importance IS NOT NULL AS INT)) / 4, 3) AS confidence FROM case_spans")
+INV_SQL = (
+    DELAY_SQL
+    + COMPONENTS_SQL
+    + """, oc AS (SELECT case_id, count(*) FILTER (linestatus = 'O') AS orders FROM hearings GROUP BY 1),
+    bco AS (SELECT case_id, least(1, greatest(0, (0.45 * least(1, n / 150) + 0.25 * greatest(0.2, 1 - 30 / 3650) + 0.30 * CASE WHEN median <= 0 THEN 0.4 ELSE greatest(0.2, 1 - least(1, iqr / greatest(1, median))) END) * greatest(0.5, 1 - 0.08 * depth))) AS bc, median, p75, n AS sample, level FROM chosen),
+    ico AS (SELECT case_id, least(1, greatest(0.2, (0.75 * signals / 4 + 0.25 * exp(-date_diff('day', filing_date, DATE '2001-12-31') / 180)) * CASE WHEN capped THEN 0.85 ELSE 1 END * CASE WHEN signals < 2 THEN 0.5 ELSE 1 END)) AS ic FROM imp)
+    SELECT c.case_id, CASE WHEN is_disposed THEN coalesce(date_diff('day', filing_date, disposal_date), date_diff('day', filing_date, DATE '2001-12-31')) ELSE date_diff('day', filing_date, DATE '2001-12-31') END AS duration_days,
+      b.level AS baseline_level, round(b.median, 2) AS baseline_median, round(b.p75, 2) AS baseline_p75, b.sample AS baseline_sample,
+      round((coalesce(bc, 0) + coalesce(ic, 0) + least(1, n_hearings / 20) + least(1, coalesce(orders, 0) / 10)) / 4, 3) AS confidence
+    FROM case_spans c LEFT JOIN bco b USING (case_id) LEFT JOIN ico USING (case_id) LEFT JOIN oc USING (case_id)"""
+)
+
+
+@query("inv_2_metrics", INV_SQL)
 def metrics(t: Tables) -> DataFrame:
+    """Duration, the baseline it is held against, and the mean of four confidences: baseline, importance, hearings, orders."""
     one = F.lit(1.0)
-    c = F.least(one, F.col("n_hearings") / 20) + F.least(one, F.col("n_adjourned") / 10) + F.col("last_hearing").isNotNull().cast("int") + F.col("importance").isNotNull().cast("int")
-    return t.case_spans.select("case_id", F.round(c / 4, 3).alias("confidence"))
+    age = F.datediff(t.as_of, "filing_date")
+    days = F.when(F.col("is_disposed"), F.coalesce(F.datediff("disposal_date", "filing_date"), age)).otherwise(age).cast("long")
+    base = scored(t).select("case_id", baseline_confidence(F.col("n"), F.lit(30.0), F.col("median"), F.col("iqr"), F.col("depth")).alias("bc"), "level", "median", "p75", F.col("n").alias("sample"))
+    importance = components(t).select("case_id", case_confidence(t.as_of).alias("ic"))
+    orders = t.hearings.where("linestatus = 'O'").groupBy("case_id").agg(F.count(F.lit(1)).alias("orders"))
+    joined = t.case_spans.join(base, "case_id", "left").join(importance, "case_id", "left").join(orders, "case_id", "left")
+    total = F.coalesce("bc", F.lit(0.0)) + F.coalesce("ic", F.lit(0.0)) + F.least(one, F.col("n_hearings") / 20) + F.least(one, F.coalesce("orders", F.lit(0)) / 10)
+    return joined.select("case_id", days.alias("duration_days"), F.col("level").alias("baseline_level"), F.round("median", 2).alias("baseline_median"), F.round("p75", 2).alias("baseline_p75"), F.col("sample").alias("baseline_sample"), F.round(total / 4, 3).alias("confidence"))
 
 
 @query(

@@ -21,13 +21,18 @@ def tag_counts(pages: DataFrame) -> DataFrame:
 
 @query("ing_3_html_drift", TAGS_SQL + " SELECT page_id, round(avg(CAST(abs(n - b) > greatest(2, 0.3 * b) AS INT)), 6) AS changed, avg(CAST(abs(n - b) > greatest(2, 0.3 * b) AS INT)) > 0.20 AS drifted FROM df GROUP BY 1")
 def html_drift(t: Tables) -> DataFrame:
-    """Share of tags whose count is far from the usual one. A page's counts are a small map, looked up by the tags of the baseline, which is one row."""
+    """Share of known tags whose count on a page is far from the usual one.
+
+    A tag that a page lacks is far if its usual count is over 2, which is one number for all pages; only the tags a page
+    has are looked up. So no page meets all tags of the corpus.
+    """
     counts = tag_counts(t.read("pages"))
-    base = counts.groupBy("tag").agg(F.median("n").alias("b")).agg(F.collect_list(F.struct("tag", "b")).alias("base"))
-    maps = counts.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("m"))
-    far = F.transform("base", lambda s: (F.abs(F.coalesce(F.col("m")[s["tag"]], F.lit(0)) - s["b"]) > F.greatest(F.lit(2.0), 0.3 * s["b"])).cast("int"))
-    share = F.aggregate(far, F.lit(0), lambda a, x: a + x) / F.size("base")
-    return maps.join(F.broadcast(base), F.lit(True)).select("page_id", F.round(share, 6).alias("changed"), (share > 0.20).alias("drifted"))
+    base = counts.groupBy("tag").agg(F.median("n").alias("b"))
+    all_tags = base.agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col("b") > 2).alias("missed"))
+    far = F.abs(F.col("n") - F.col("b")) > F.greatest(F.lit(2.0), 0.3 * F.col("b"))
+    seen = counts.join(base, "tag").groupBy("page_id").agg(F.count_if(far).alias("far"), F.count_if(F.col("b") > 2).alias("usual"))
+    share = (F.col("far") + F.col("missed") - F.col("usual")) / F.col("known")
+    return seen.join(all_tags, F.lit(True)).select("page_id", F.round(share, 6).alias("changed"), (share > 0.20).alias("drifted"))
 
 
 @query("ing_4_json_drift", "SELECT event_id, round(len(list_filter(list_distinct(list_concat(json_keys(props), ['k', 'source'])), lambda x: NOT (list_contains(json_keys(props), x) AND list_contains(['k', 'source'], x)))) / len(list_distinct(list_concat(json_keys(props), ['k', 'source']))), 6) AS drift FROM events")
@@ -103,18 +108,36 @@ def normalised(t: Tables) -> DataFrame:
     return t.read("orders").select(F.col("o_orderkey").alias("case_id"), F.coalesce(F.nullif(F.trim("o_orderpriority"), F.lit("")), F.lit("Unknown")).alias("stage"), F.lower("o_orderstatus").alias("status"), F.coalesce(F.year("o_orderdate"), F.lit(0)).alias("filing_year"))
 
 
-@query("ing_15_alert_suppression")
-def alert_suppression(t: Tables, base_minutes: int = 60, cap_minutes: int = 960) -> DataFrame:
-    """Alerts of a source that are sent: the wait doubles after each one sent. A fold over the times of one source and day."""
-    times = t.read("events").where("value < 5").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.unix_timestamp(F.col("ts").cast("timestamp")))).alias("at"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("sent"))
+def waits(base_minutes: int = 60, cap_minutes: int = 960) -> list[int]:
+    """Minutes of wait after each alert that one day can have sent but for the last."""
+    found, total = [], 0
+    while total + (wait := min(cap_minutes, base_minutes * 2 ** len(found))) < 1440:
+        found.append(wait)
+        total += wait
+    return found
+
 
-    def step(acc: Column, at: Column) -> Column:
-        wait = F.least(F.lit(cap_minutes), base_minutes * F.pow(F.lit(2), F.greatest(acc["sent"] - 1, F.lit(0)))) * 60
-        go = acc["last"].isNull() | (at - acc["last"] >= wait)
-        return F.struct(F.when(go, at).otherwise(acc["last"]).alias("last"), F.when(go, acc["sent"] + 1).otherwise(acc["sent"]).alias("sent"))
+def _alerts_sql() -> str:
+    parts = ["b AS (SELECT event_type, CAST(ts AS DATE) AS day, ts FROM events WHERE value < 5)", "s0 AS (SELECT event_type, day, count(*) AS alerts, min(ts) AS last FROM b GROUP BY ALL)"]
+    parts += [f"s{i + 1} AS (SELECT s.event_type, s.day, min(b.ts) AS last FROM s{i} s JOIN b ON b.event_type = s.event_type AND b.day = s.day AND b.ts >= s.last + INTERVAL {w} MINUTE GROUP BY ALL)" for i, w in enumerate(waits())]
+    sent = " + ".join(f"(SELECT count(*) FROM s{i} x WHERE x.event_type = s0.event_type AND x.day = s0.day)" for i in range(len(waits()) + 1))
+    return ", " + ", ".join(parts) + f" SELECT event_type, day, alerts, {sent} AS sent FROM s0"
 
-    return times.select("event_type", "day", F.size("at").cast("long").alias("alerts"), F.aggregate("at", start, step, lambda a: a["sent"]).cast("long").alias("sent"))
+
+@query("ing_15_alert_suppression", _alerts_sql())
+def alert_suppression(t: Tables, base_minutes: int = 60, cap_minutes: int = 960) -> DataFrame:
+    """Alerts of a source that are sent on a day: the wait doubles after each one sent.
+
+    A day has room for few alerts, as their waits double; each is the first one after the wait, an aggregate over the
+    alerts of the day. So no task gathers a source's alerts.
+    """
+    alerts = t.read("events").where("value < 5").select("event_type", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("ts"))
+    state = alerts.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("alerts"), F.min("ts").alias("last")).withColumn("sent", F.lit(1).cast("long"))
+    for wait in waits(base_minutes, cap_minutes):
+        later = alerts.join(state.select("event_type", "day", "last"), ["event_type", "day"]).where(F.col("ts") >= F.col("last") + F.make_dt_interval(mins=F.lit(wait)))
+        following = later.groupBy("event_type", "day").agg(F.min("ts").alias("next"))
+        state = state.join(following, ["event_type", "day"], "left").select("event_type", "day", "alerts", "next", (F.col("sent") + F.col("next").isNotNull().cast("long")).alias("sent")).withColumnRenamed("next", "last")
+    return state.select("event_type", "day", "alerts", "sent")
 
 
 @query("src_8_content_store", "SELECT min(page_id) AS page_id, sha256(html) AS checksum, 'raw/' || left(sha256(html), 2) || '/' || sha256(html) AS key, count(*) AS copies FROM pages GROUP BY sha256(html)")

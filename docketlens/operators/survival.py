@@ -49,33 +49,12 @@ def at_risk(times: DataFrame, minimum: int = MIN_SAMPLE) -> DataFrame:
     return times.withColumn("total", F.sum("m").over(own)).where(F.col("total") >= minimum).withColumn("n", F.sum("m").over(later))
 
 
-def curves(times: DataFrame, minimum: int = MIN_SAMPLE) -> DataFrame:
-    """One row per stratum: total, events and points, an array of (time, n, d, survival, low, high, hazard) by time.
-
-    The product runs from left to right in one fold over the sorted times of a stratum, which are its distinct days.
-    """
-    risk = at_risk(times, minimum)
-    sorted_points = risk.groupBy("kind", "key").agg(F.max("total").alias("total"), F.sum("d").alias("events"), F.array_sort(F.collect_list(F.struct("time", "n", "d"))).alias("s"))
-    zero = F.struct(F.lit(1.0).alias("s"), F.lit(0.0).alias("v"), F.array().cast("array<struct<time:bigint,n:bigint,d:bigint,survival:double,low:double,high:double,hazard:double>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n, d = x["n"].cast("double"), x["d"].cast("double")
-        s = F.when(d > 0, acc["s"] * (1 - d / n)).otherwise(acc["s"])
-        v = F.when((d > 0) & (n > d), acc["v"] + d / (n * F.greatest(n - d, F.lit(1.0)))).otherwise(acc["v"])
-        half = 1.96 * F.sqrt(F.greatest(F.lit(0.0), s * s * v))
-        point = F.struct(x["time"].alias("time"), x["n"].alias("n"), x["d"].alias("d"), s.alias("survival"), clamp(s - half).alias("low"), clamp(s + half).alias("high"), (d / n).alias("hazard"))
-        return F.struct(s.alias("s"), v.alias("v"), F.concat(acc["out"], F.array(point)).alias("out"))
-
-    return sorted_points.select("kind", "key", "total", "events", F.aggregate("s", zero, step, lambda a: a["out"]).alias("points"))
-
-
 def survival_points(times: DataFrame, minimum: int = MIN_SAMPLE) -> DataFrame:
-    """The same curve as rows, by running sums of logarithms: for strata of any number of days, without a fold in one row."""
+    """The same curve as rows, by a running product from left to right: for strata of any number of days, without a fold in one row."""
     own = Window.partitionBy("kind", "key").orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     risk = at_risk(times, minimum)
     d, n = F.col("d").cast("double"), F.col("n").cast("double")
-    done = F.max((d >= n).cast("int")).over(own) == 1
-    s = F.when(done, 0.0).otherwise(F.exp(F.sum(F.when(d < n, F.log1p(-d / n))).over(own)))
+    s = F.product(1 - d / n).over(own)
     v = F.sum(F.when((d > 0) & (n > d), d / (n * (n - d))).otherwise(0.0)).over(own)
     rows = risk.withColumn("survival", s).withColumn("half", 1.96 * F.sqrt(F.greatest(F.lit(0.0), s * s * v))).withColumn("hazard", d / n)
     return rows.select("kind", "key", "time", "n", "d", "total", "survival", clamp(F.col("survival") - F.col("half")).alias("low"), clamp(F.col("survival") + F.col("half")).alias("high"), "hazard")
@@ -119,35 +98,67 @@ def stratified(t: Tables) -> DataFrame:
     return survival_points(strata(durations(t))).groupBy("kind", "key").agg(F.max("total").alias("total"), F.sum("d").alias("events"), first(0.5).alias("median"), first(0.25).alias("q75"))
 
 
-def survival_at(points: Column, age: Column) -> Column:
-    """The step function: the last survival at or before an age; 1 before the first time."""
-    return F.aggregate(points, F.lit(1.0), lambda acc, p: F.when(p["time"] <= age, p["survival"]).otherwise(acc))
-
+LEVELS = ("court_case_type", "court", "state_case_type", "national")
+#: Fewest cases of a stratum from which a curve is used for prediction.
+ENOUGH = 100
 
-def remaining_area(points: Column, age: Column) -> Column:
-    """Expected days left: the area by trapezoids under the curve after an age."""
-    later = F.filter(points, lambda p: p["time"] > age)
-    start = F.struct(age.cast("double").alias("t"), survival_at(points, age).alias("s"), F.lit(0.0).alias("area"))
 
-    def add(acc: Column, p: Column) -> Column:
-        width = p["time"].cast("double") - acc["t"]
-        return F.struct(p["time"].cast("double").alias("t"), p["survival"].alias("s"), (acc["area"] + width * (acc["s"] + p["survival"]) / 2).alias("area"))
+def _label(keys) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("unknown")) for k in keys]) if keys else F.lit("all")
 
-    return F.aggregate(later, start, add, lambda a: a["area"])
 
+def with_stratum(t: Tables, levels=LEVELS, minimum: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
+    """Open cases with the kind and key of the finest stratum that has a curve, and the points of the curves.
 
-def with_curve(t: Tables, kinds=("court_case_type", "court", "state_case_type", "national"), minimum: int = 100) -> DataFrame:
-    """Open cases with the curve of the finest stratum that has one. A curve has as many points as its days, so a join by key carries them once to each case."""
+    A stratum is looked up by its label alone, one small row for each; no curve is carried to a case.
+    """
     rows = durations(t)
-    wanted = tuple(s for s in STRATA if s[0] in kinds)
-    c = curves(strata(rows.drop("judge_id"), wanted), minimum)
+    points = survival_points(strata(rows.drop("judge_id"), tuple(s for s in STRATA if s[0] in levels)), minimum)
+    known = points.select("kind", "key").distinct()
     out = rows.where("event = 0").select("case_id", "court_id", "state", "case_type", "age")
-    for kind in kinds:
-        keys = dict(STRATA)[kind]
-        label = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("unknown")) for k in keys]) if keys else F.lit("all")
-        own = c.where(F.col("kind") == kind).select(F.col("key").alias(f"key_{kind}"), F.struct("kind", "total", "events", "points").alias(f"c_{kind}"))
-        out = out.withColumn("label", label).join(own, F.col("label") == F.col(f"key_{kind}"), "left").drop("label", f"key_{kind}")
-    return out.select("case_id", "age", F.coalesce(*[F.col(f"c_{k}") for k in kinds]).alias("curve")).select("case_id", "age", "curve.*")
+    for kind in levels:
+        own = known.where(F.col("kind") == kind).select(F.col("key").alias(f"key_{kind}"))
+        out = out.join(own, _label(dict(STRATA)[kind]) == F.col(f"key_{kind}"), "left")
+    best = F.coalesce(*[F.when(F.col(f"key_{k}").isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(f"key_{k}").alias("key"))) for k in levels])
+    return out.select("case_id", "age", best.alias("s")).select("case_id", "age", "s.kind", "s.key"), points
+
+
+def spans(points: DataFrame) -> DataFrame:
+    """Each point with the next one and the area under the curve beyond that; a first row at -1 has survival 1."""
+    own = Window.partitionBy("kind", "key").orderBy("time")
+    first = points.groupBy("kind", "key").agg(F.lit(-1).cast("long").alias("time"), F.lit(1.0).alias("survival"))
+    steps = points.select("kind", "key", "time", "survival").unionByName(first)
+    steps = steps.withColumn("next_time", F.lead("time").over(own)).withColumn("next_survival", F.lead("survival").over(own))
+    # Areas by trapezoids between points of the curve; the row at -1 is none.
+    area = F.when(F.col("time") >= 0, (F.col("next_time") - F.col("time")) * (F.col("survival") + F.col("next_survival")) / 2)
+    beyond = F.coalesce(F.sum(area).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    return steps.withColumn("beyond", beyond)
+
+
+def at_ages(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """The last row of spans at or before each distinct (kind, key, age) of asked.
+
+    An as-of join: ages are laid between the points of their curve, and each takes the last point before it. Ages are
+    whole days, so that a stratum of any number of cases is a few thousand rows.
+    """
+    values = F.struct("time", "survival", "next_time", "next_survival", "beyond")
+    steps = spans(points).select("kind", "key", F.col("time").alias("at"), F.lit(0).alias("asked"), values.alias("v"))
+    ages = asked.select("kind", "key", "age").distinct().select("kind", "key", F.col("age").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast(steps.schema["v"].dataType).alias("v"))
+    before = Window.partitionBy("kind", "key").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = steps.unionByName(ages).withColumn("v", F.last("v", ignorenulls=True).over(before)).where("asked = 1")
+    return found.select("kind", "key", F.col("at").alias("age"), "v.*")
+
+
+def predicted(t: Tables, horizon: int = HORIZON) -> DataFrame:
+    """case_id, kind, s_age, s_horizon and days_left of open cases, read off the curve of their stratum."""
+    cases, points = with_stratum(t)
+    ages = cases.select("kind", "key", "age").distinct()
+    now = at_ages(ages, points)
+    later = at_ages(ages.select("kind", "key", (F.col("age") + horizon).alias("age")), points)
+    left = F.when(F.col("next_time").isNull(), 0.0).otherwise((F.col("next_time") - F.col("age")) * (F.col("survival") + F.col("next_survival")) / 2 + F.col("beyond"))
+    read = now.select("kind", "key", "age", F.col("survival").alias("s_age"), left.alias("days_left"))
+    read = read.join(later.select("kind", "key", (F.col("age") - horizon).alias("age"), F.col("survival").alias("s_horizon")), ["kind", "key", "age"])
+    return cases.join(read, ["kind", "key", "age"]).select("case_id", "kind", "s_age", "s_horizon", "days_left")
 
 
 PREDICT_SQL = (
@@ -162,18 +173,25 @@ PREDICT_SQL = (
 
 @query("sur_6_curve_fallback", PREDICT_SQL + " SELECT case_id, kind FROM ch")
 def curve_fallback(t: Tables) -> DataFrame:
-    return with_curve(t).select("case_id", "kind")
+    return with_stratum(t)[0].select("case_id", "kind")
 
 
 @query("sur_8_prediction", PREDICT_SQL + " SELECT case_id, round(s_age, 4) AS s_age, round(s_five, 4) AS s_five, round((1 - s_age) * 100, 2) AS percentile, round((1 - s_age) * 100, 6) >= 90 AS unusual FROM s2")
 def prediction(t: Tables, threshold: float = 90) -> DataFrame:
-    p = with_curve(t).select("case_id", survival_at(F.col("points"), F.col("age")).alias("s"), survival_at(F.col("points"), F.col("age") + HORIZON).alias("f"))
-    return p.select("case_id", F.round("s", 4).alias("s_age"), F.round("f", 4).alias("s_five"), F.round((1 - F.col("s")) * 100, 2).alias("percentile"), (F.round((1 - F.col("s")) * 100, 6) >= threshold).alias("unusual"))
+    passed = (1 - F.col("s_age")) * 100
+    return predicted(t).select("case_id", F.round("s_age", 4).alias("s_age"), F.round("s_horizon", 4).alias("s_five"), F.round(passed, 2).alias("percentile"), (F.round(passed, 6) >= threshold).alias("unusual"))
 
 
-@query("sur_9_remaining")
+@query(
+    "sur_9_remaining",
+    PREDICT_SQL
+    + """, tz AS (SELECT *, lead(time) OVER w AS nt, lead(survival) OVER w AS ns FROM km WINDOW w AS (PARTITION BY kind, key ORDER BY time)),
+    ar AS (SELECT s2.case_id, s2.age, s2.s_age, min(k.time) AS t1, arg_min(k.survival, k.time) AS s1, coalesce(sum((nt - k.time) * (k.survival + ns) / 2), 0) AS rest FROM s2 LEFT JOIN tz k ON s2.kind = k.kind AND s2.key = k.key AND k.time > s2.age GROUP BY ALL)
+    SELECT case_id, round(CASE WHEN t1 IS NULL THEN 0 ELSE (t1 - age) * (s_age + s1) / 2 + rest END, 2) AS days_left FROM ar""",
+)
 def remaining(t: Tables) -> DataFrame:
-    return with_curve(t).select("case_id", F.round(remaining_area(F.col("points"), F.col("age")), 4).alias("days_left"))
+    """Expected days left: the area by trapezoids under the curve after a case's age."""
+    return predicted(t).select("case_id", F.round("days_left", 2).alias("days_left"))
 
 
 @query(
@@ -204,5 +222,4 @@ def curve_confidence(t: Tables) -> DataFrame:
 
 @query("sur_12_flags", PREDICT_SQL + " SELECT case_id, round(s_age, 4) AS s_age FROM s2 WHERE round((1 - s_age) * 100, 6) >= 90 OR round(s_age, 8) < 0.10")
 def flags(t: Tables) -> DataFrame:
-    p = with_curve(t).select("case_id", survival_at(F.col("points"), F.col("age")).alias("s"))
-    return p.where((F.round((1 - F.col("s")) * 100, 6) >= 90) | (F.round("s", 8) < 0.10)).select("case_id", F.round("s", 4).alias("s_age"))
+    return predicted(t).where((F.round((1 - F.col("s_age")) * 100, 6) >= 90) | (F.round("s_age", 8) < 0.10)).select("case_id", F.round("s_age", 4).alias("s_age"))

@@ -7,7 +7,7 @@ from docketlens.functions.numbers import clamp, step_lookup
 from docketlens.operators.advocates import GAPS_SQL, gaps
 from docketlens.operators.windows import ORDERED_SQL, ordered
 from docketlens.plans.registry import query
-from docketlens.sources.domain import TEXT_SQL, Tables, with_text
+from docketlens.sources.domain import PHRASES, PHRASES_SQL, TEXT_SQL, Tables, with_text
 
 #: Patterns and weights by tactic, in the order that settles ties.
 TACTICS = {
@@ -57,7 +57,7 @@ TACTICS = {
         (r"extension\s+of\s+stay", 2.8),
     ),
 }
-#: Percentiles of a standard score.
+#: Percentiles of a standard score, weights of the features, and the words that lead in a text.
 Z_TABLE = ((-3, 0.1), (-2.5, 0.6), (-2, 2.3), (-1.5, 6.7), (-1, 15.9), (-0.5, 30.9), (0, 50), (0.5, 69.1), (1, 84.1), (1.5, 93.3), (2, 97.7), (2.5, 99.4), (3, 99.9))
 WEIGHTS = {"density": 0.25, "party": 0.35, "cv": 0.20, "bench": 0.20}
 LEAD_IN = r"^(after|thereafter|next|below|adjourned|adjourned[^:]*to)[^:]*:"
@@ -177,24 +177,24 @@ def variance(t: Tables) -> DataFrame:
 
 BENCH_SQL = (
     ORDERED_SQL
-    + """, jj AS (SELECT case_id, judge_id, count(*) AS n, count(*) FILTER (outcome_type = 'ADJOURNED') AS a FROM hearings GROUP BY ALL), ju AS (SELECT case_id, count(*) AS judges, count(*) FILTER (n >= 2 AND a > 0.5 * n) AS high FROM jj GROUP BY 1),
+    + """, jj AS (SELECT case_id, judge_id, count(*) AS n, count(*) FILTER (outcome_type = 'ADJOURNED') AS a FROM hearings GROUP BY ALL), ju AS (SELECT case_id, count(*) AS judges, count(*) FILTER (n >= 3 AND a > 0.5 * n) AS high FROM jj GROUP BY 1),
     bc AS (SELECT case_id, count(*) AS n, count(*) FILTER (rn > 1 AND judge_id <> before) AS changes, date_diff('day', min(date), max(date)) / 365.25 AS years FROM o GROUP BY 1),
-    bench AS (SELECT case_id, round(round(0.4 * least(changes / coalesce(nullif(years, 0), 1) / 2, 1) + 0.35 * least(judges / n, 0.5) + 0.25 * high / judges, 9), 3) AS bench FROM bc JOIN ju USING (case_id))"""
+    bench AS (SELECT case_id, CASE WHEN bc.n < 2 THEN 0 ELSE round(round(0.4 * least(changes / coalesce(nullif(years, 0), 1) / 2, 1) + 0.35 * least(judges / n, 0.5) + 0.25 * high / judges, 9), 3) END AS bench FROM bc JOIN ju USING (case_id))"""
 )
 
 
 def bench_index(t: Tables) -> DataFrame:
-    """How often judges change, how many there are, and how many of them adjourn mostly."""
+    """How often judges change, how many there are, and how many of them adjourn most of three hearings or more; 0 for one hearing."""
     by_judge = t.hearings.where("judge_id IS NOT NULL").groupBy("case_id", "judge_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome_type") == "ADJOURNED").alias("a"))
-    judges = by_judge.groupBy("case_id").agg(F.count(F.lit(1)).alias("judges"), F.count_if((F.col("n") >= 2) & (F.col("a") > 0.5 * F.col("n"))).alias("high"))
+    judges = by_judge.groupBy("case_id").agg(F.count(F.lit(1)).alias("judges"), F.count_if((F.col("n") >= 3) & (F.col("a") > 0.5 * F.col("n"))).alias("high"))
     span = F.datediff(F.max("date"), F.min("date")) / 365.25
     changes = ordered(t.hearings.where("judge_id IS NOT NULL")).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("rn") > 1) & (F.col("judge_id") != F.col("before"))).alias("changes"), span.alias("years"))
     one = F.lit(1.0)
     raw = 0.4 * F.least(F.col("changes") / F.coalesce(F.nullif("years", F.lit(0.0)), one) / 2, one) + 0.35 * F.least(F.col("judges") / F.col("n"), F.lit(0.5)) + 0.25 * F.col("high") / F.col("judges")
-    return changes.join(judges, "case_id").select("case_id", F.round(F.round(raw, 9), 3).alias("bench"))
+    return changes.join(judges, "case_id").select("case_id", F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.round(raw, 9), 3)).alias("bench"))
 
 
-@query("ddd_6_bench_index", BENCH_SQL + " SELECT * FROM bench")
+@query("ddd_6_bench_index", BENCH_SQL + " SELECT case_id, CAST(bench AS DOUBLE) AS bench FROM bench")
 def bench(t: Tables) -> DataFrame:
     return bench_index(t)
 
@@ -220,16 +220,23 @@ FEAT_SQL = (
 )
 
 
-def population_baseline(t: Tables, features: DataFrame, size: int = 1000) -> DataFrame:
-    """Mean and deviation of the features over the cases filed last: a top-k by filing, which Spark takes without a full sort."""
-    latest = t.cases.join(t.last_hearings.select("case_id"), "case_id").orderBy(F.desc_nulls_first("filing_date"), "case_id").limit(size).select("case_id")
-    return features.join(latest, "case_id", "left_semi").agg(*[f(k).alias(f"{p}_{k}") for k in WEIGHTS for p, f in (("m", F.avg), ("s", F.stddev_samp))])
+def population_baseline(t: Tables, size: int = 1000) -> DataFrame:
+    """Mean and deviation of the features over the cases filed last: a top-k by filing, which Spark takes without a full sort.
+
+    The hearings of these cases, at most size, are picked by a broadcast before any feature is made, so that the features
+    of all cases are made once and not twice.
+    """
+    heard = t.hearings.select("case_id").distinct()
+    latest = t.cases.join(heard, "case_id", "left_semi").orderBy(F.desc_nulls_first("filing_date"), "case_id").limit(size).select("case_id")
+    few = Tables(t.spark, t.sf_dir, t.as_of_text)
+    few.hearings = t.hearings.join(F.broadcast(latest), "case_id", "left_semi")
+    return case_features(few).agg(*[f(k).alias(f"{p}_{k}") for k in WEIGHTS for p, f in (("m", F.avg), ("s", F.stddev_samp))])
 
 
 def z_scores(t: Tables) -> DataFrame:
     """Each feature against the population, and their weighted sum. The baseline is one row."""
     f = case_features(t)
-    joined = f.join(population_baseline(t, f), F.lit(True))
+    joined = f.join(population_baseline(t), F.lit(True))
     z = {k: F.when(F.coalesce(F.col(f"s_{k}"), F.lit(0.0)) == 0, 0.0).otherwise((F.col(k) - F.col(f"m_{k}")) / F.col(f"s_{k}")) for k in WEIGHTS}
     out = joined.select("case_id", "n_hearings", *[c.alias(f"z_{k}") for k, c in z.items()])
     total = sum((w * F.col(f"z_{k}") for k, w in list(WEIGHTS.items())[1:]), WEIGHTS["density"] * F.col("z_density"))
@@ -238,7 +245,7 @@ def z_scores(t: Tables) -> DataFrame:
 
 @query("agg_35_population", FEAT_SQL + " SELECT " + ", ".join(f"round(m_{k}, 6) AS m_{k}, round(s_{k}, 6) AS s_{k}" for k in WEIGHTS) + " FROM bl")
 def population(t: Tables) -> DataFrame:
-    b = population_baseline(t, case_features(t))
+    b = population_baseline(t)
     return b.select(*[F.round(c, 6).alias(c) for c in b.columns])
 
 
@@ -291,13 +298,20 @@ def drivers(t: Tables) -> DataFrame:
 
 @query("agg_34_batch_stats", PROB_SQL + ", rk AS (SELECT round(p, 6) AS p, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM pr) SELECT count(*) AS n, round(avg(p), 6) AS mean, min(p) AS low, max(p) AS high, max(p) FILTER (i = n // 2) AS upper_median, round(stddev_samp(p), 6) AS sd FROM rk")
 def batch_stats(t: Tables) -> DataFrame:
-    """The median is the upper of two middle values, found in the running count over distinct rounded values."""
+    """The median is the upper of two middle values, found in running counts over distinct rounded values.
+
+    Values run inside their whole number, and the counts of whole numbers, 101 rows, come before them; so no task sees all values.
+    """
     p = F.round("p", 6)
     n = F.count(F.lit(1))
     values = probabilities(t).select(p.alias("p"))
     stats = values.agg(n.alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.stddev_samp("p"), 6).alias("sd"))
-    counts = values.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy("p")))
-    middle = counts.join(stats.select("n"), F.lit(True)).where("upto > floor(n / 2)").agg(F.min("p").alias("upper_median"))
+    counts = values.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("whole", F.floor("p"))
+    wholes = counts.groupBy(F.col("whole").alias("of")).agg(F.sum("m").alias("of_whole"))
+    before = wholes.select("of", F.coalesce(F.sum("of_whole").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy("whole").orderBy("p"))
+    running = counts.join(before, F.col("whole") == F.col("of")).select("p", upto.alias("upto"))
+    middle = running.join(stats.select("n"), F.lit(True)).where("upto > floor(n / 2)").agg(F.min("p").alias("upper_median"))
     return stats.join(middle, F.lit(True))
 
 
@@ -305,19 +319,21 @@ def batch_stats(t: Tables) -> DataFrame:
     "ddd_12_adjournment_class",
     """, rate AS (SELECT judge_id, count(*) FILTER (outcome_type = 'ADJOURNED') / count(*) AS r, count(DISTINCT case_id) AS total FROM hearings GROUP BY 1),
     s AS (SELECT case_id, date, line, part, least(1, greatest(0, (CASE WHEN reason_type IN ('judge_unavailable', 'court_adjourned') THEN 0.1 WHEN reason_type IN ('file_not_ready', 'compliance_pending', 'interim_pending') THEN 0.3 WHEN reason_type IN ('counsel_unavailable', 'party_not_ready', 'other_procedural') THEN 0.5 WHEN reason_type = 'on_request' THEN 0.7 ELSE 0.65 END
-      + CASE WHEN requested_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN was_contested THEN 0.10 ELSE 0 END) * (CASE WHEN r > 0.6 THEN 1.15 WHEN r > 0.4 THEN 1.08 ELSE 1 END) * CASE WHEN total > 100 THEN 1.05 ELSE 1 END)) AS score FROM adjournments JOIN rate USING (judge_id))
+      + CASE WHEN requested_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN was_contested THEN 0.10 ELSE 0 END + CASE WHEN grounds = '' THEN 0.10 WHEN len(regexp_extract_all(grounds, '\\S+')) < 10 THEN 0.08 ELSE 0 END) * (CASE WHEN r > 0.6 THEN 1.15 WHEN r > 0.4 THEN 1.08 ELSE 1 END) * CASE WHEN total > 100 THEN 1.05 ELSE 1 END)) AS score FROM (SELECT *, list_extract(""" + PHRASES_SQL + f""", CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS grounds FROM adjournments) JOIN rate USING (judge_id))
     SELECT case_id, date, line, part, CAST(round(round(score, 9), 4) AS DOUBLE) AS score, CASE WHEN round(score, 9) >= 0.75 THEN 'likely_tactic' WHEN round(score, 9) >= 0.60 THEN 'possible_tactic' WHEN round(score, 9) >= 0.40 THEN 'unclear' WHEN round(score, 9) >= 0.20 THEN 'likely_legitimate' ELSE 'legitimate' END AS class FROM s""",
 )
 def adjournment_class(t: Tables) -> DataFrame:
-    """A score from reason, request and contest, scaled by the advocate's rate, which is one row per advocate."""
+    """A score from reason, request, contest and the grounds cited, scaled by the advocate's rate, which is one row per advocate."""
     r = t.hearings.groupBy("judge_id").agg((F.count_if(F.col("outcome_type") == "ADJOURNED") / F.count(F.lit(1))).alias("r"), F.count_distinct("case_id").alias("total"))
     reason = F.col("reason_type")
     base = F.when(reason.isin("judge_unavailable", "court_adjourned"), 0.1).when(reason.isin("file_not_ready", "compliance_pending", "interim_pending"), 0.3).when(reason.isin("counsel_unavailable", "party_not_ready", "other_procedural"), 0.5).when(reason == "on_request", 0.7).otherwise(0.65)
-    raw = base + F.when(F.col("requested_by").isNotNull(), 0.15).otherwise(0.0) - F.when(F.col("was_contested"), 0.10).otherwise(0.0)
+    grounds = F.coalesce(F.col("text"), F.lit(""))
+    cited = F.when(grounds == "", 0.10).when(F.regexp_count(grounds, F.lit(r"\S+")) < 10, 0.08).otherwise(0.0)
+    raw = base + F.when(F.col("requested_by").isNotNull(), 0.15).otherwise(0.0) - F.when(F.col("was_contested"), 0.10).otherwise(0.0) + cited
     scale = F.when(F.col("r") > 0.6, 1.15).when(F.col("r") > 0.4, 1.08).otherwise(1.0) * F.when(F.col("total") > 100, 1.05).otherwise(1.0)
     score = F.round(clamp(raw * scale), 9)
     label = F.when(score >= 0.75, "likely_tactic").when(score >= 0.60, "possible_tactic").when(score >= 0.40, "unclear").when(score >= 0.20, "likely_legitimate").otherwise("legitimate")
-    return t.adjournments.join(r, "judge_id").select("case_id", "date", "line", "part", F.round(score, 4).alias("score"), label.alias("class"))
+    return with_text(t.adjournments).join(r, "judge_id").select("case_id", "date", "line", "part", F.round(score, 4).alias("score"), label.alias("class"))
 
 
 @query(

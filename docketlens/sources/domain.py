@@ -139,6 +139,9 @@ PHRASES = (
     "No proceedings",
     "Adjourned to 04.05.2026: counsel not present",
     "Petition allowed and disposed of",
+    "adj.04.05.2026",
+    "adj. for want of time",
+    "Adjd to 4 May on the request of both parties, who ask for time to settle the matter",
 )
 
 
@@ -148,4 +151,5 @@ def with_text(hearings: DataFrame) -> DataFrame:
     return hearings.withColumn("text", F.get(texts, ((F.col("case_id") + F.col("line")) % len(PHRASES)).cast("int")))
 
 
-TEXT_SQL = ", texts AS (SELECT *, list_extract([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + f"], CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS text FROM hearings)"
+PHRASES_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + "]"
+TEXT_SQL = f", texts AS (SELECT *, list_extract({PHRASES_SQL}, CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS text FROM hearings)"

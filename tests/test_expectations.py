@@ -5,27 +5,29 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from docketlens.operators import delay, dormancy, outcomes, survival, tactics
+from docketlens.operators import delay, dormancy, outcomes, provenance, quality, survival, tactics
+from docketlens.sources.domain import Tables
+
+
+def curve_of(spark, rows):
+    df = spark.createDataFrame(rows, "duration long, event long")
+    return survival.survival_points(survival.strata(df, (("national", ()),)), 1)
 
 
 def test_kaplan_meier_of_four(spark):
-    rows = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1)], "duration long, event long")
-    points = survival.strata(rows, (("national", ()),))
-    curve = survival.curves(points, 1).first()
-    assert (curve["total"], curve["events"]) == (4, 3)
-    survivals = [p["survival"] for p in curve["points"]]
-    assert survivals == pytest.approx([0.75, 0.5, 0.5, 0.0])
-    assert all(0 <= p["low"] <= p["survival"] <= p["high"] <= 1 for p in curve["points"])
-    by_rows = survival.survival_points(points, 1).orderBy("time").collect()
-    assert [r["survival"] for r in by_rows] == pytest.approx(survivals)
-    assert [r["low"] for r in by_rows] == pytest.approx([p["low"] for p in curve["points"]])
+    rows = curve_of(spark, [(1, 1), (2, 1), (3, 0), (4, 1)]).orderBy("time").collect()
+    assert [r["survival"] for r in rows] == [0.75, 0.5, 0.5, 0.0]
+    assert all(0 <= r["low"] <= r["survival"] <= r["high"] <= 1 for r in rows)
+    assert [(r["n"], r["d"]) for r in rows] == [(4, 1), (3, 1), (2, 0), (1, 1)]
 
 
-def test_step_function(spark):
-    df = spark.sql("SELECT array(named_struct('time', 10L, 'survival', 0.5D), named_struct('time', 20L, 'survival', 0.0D)) AS points")
-    at = lambda age: df.select(survival.survival_at(F.col("points"), F.lit(age))).first()[0]
-    assert [at(x) for x in (0, 10, 15, 20)] == [1.0, 0.5, 0.5, 0.0]
-    assert df.select(survival.remaining_area(F.col("points"), F.lit(0))).first()[0] == pytest.approx(10 * 0.75 + 10 * 0.25)
+def test_step_function_and_remaining_days(spark):
+    points = curve_of(spark, [(10, 1), (20, 1)])
+    asked = spark.createDataFrame([("national", "all", a) for a in (0, 10, 15, 20, 99)] * 2, "kind string, key string, age long")
+    at = {r["age"]: r for r in survival.at_ages(asked, points).collect()}
+    assert {a: r["survival"] for a, r in at.items()} == {0: 1.0, 10: 0.5, 15: 0.5, 20: 0.0, 99: 0.0}
+    first = at[0]  # 10 days from 1 to 0.5, then 10 days from 0.5 to 0
+    assert (first["next_time"], first["next_survival"], first["beyond"]) == (10, 0.5, pytest.approx(2.5))
 
 
 def test_extreme_delay(spark):
@@ -54,6 +56,17 @@ def test_disposed_delay(spark):
         (None, "LISTED", 0.85),
         ("Matter mentioned", "OTHER", 0.35),
         ("matter adjourned", "OTHER", 0.35),  # only the whole word adjourn counts
+        ("adj.04.05.2026", "ADJOURNED", 0.95),  # a dot counts where a letter or digit follows
+        ("adj. for want of time", "OTHER", 0.35),
+        ("adjd to 4 May", "ADJOURNED", 0.95),
+        ("adjd.4", "ADJOURNED", 0.95),
+        ("Relisted", "ADJOURNED", 0.95),
+        ("taken up and considered", "HEARD", 0.92),
+        ("matter not taken up", "NOT_REACHED", 0.90),
+        ("Orders reserved", "ORDER_RESERVED", 0.93),
+        ("Judgment pronounced", "DISPOSED", 0.96),
+        ("No proceedings", "NO_PROCEEDINGS", 0.90),
+        ("सुनवाई", "OTHER", 0.30),
     ],
 )
 def test_outcome_rules(spark, text, outcome, confidence):
@@ -61,13 +74,62 @@ def test_outcome_rules(spark, text, outcome, confidence):
     assert (r["outcome"], r["confidence"]) == (outcome, confidence)
 
 
-def test_dormant_candidate(spark):
-    df = spark.createDataFrame(
-        [(1, "pending", "building", 900, 400, 180.0, 50, False, False, 1.0, 0.8, 3)],
-        "case_id long, status string, case_type string, days long, days_listing long, median double, n long, future_listing boolean, worsening boolean, data_confidence double, importance double, n_adjourned long",
-    )
-    r = dormancy.judged(df).first()
-    assert r["candidate"] and r["excluded"] is None and r["score"] >= 0.45
+CASE = {"case_id": 1, "status": "pending", "case_type": "building", "days_substantive": 900, "days_listing": 400, "days": 400, "median": 180.0, "n_hearings": 3, "future_listing": False, "worsening": False, "data_confidence": 1.0, "importance": 0.8, "n_adjourned": 3, "stay_status": None, "recent_transfer": False}
+CASE_TYPES = "case_id long, status string, case_type string, days_substantive long, days_listing long, days long, median double, n_hearings long, future_listing boolean, worsening boolean, data_confidence double, importance double, n_adjourned long, stay_status string, recent_transfer boolean"
+
+
+@pytest.mark.parametrize(
+    ("change", "excluded", "candidate", "score", "confidence"),
+    [
+        ({}, None, True, 0.45 * 5 / 6 + 0.35 * 900 / 1825 + 0.15 * 0.8, 1.0),
+        ({"n_adjourned": 5, "worsening": True, "importance": 0.0}, None, True, 0.45 * 5 / 6 + 0.35 * 900 / 1825 + 0.14, 1.0),
+        ({"n_hearings": 1, "data_confidence": 0.5}, None, True, 0.45 * 5 / 6 + 0.35 * 900 / 1825 + 0.15 * 0.8, 0.6),
+        ({"days_substantive": 300}, None, False, 0.2 * 1.6667 / 6 + 0.2 * 300 / 1825 + 0.08, 1.0),
+        ({"days_substantive": 0}, None, False, 0.2 * 400 / 1825 + 0.08, 1.0),  # 0 days count as missing, and any activity counts
+        ({"days_substantive": None}, "no_baseline", False, 0.0, 1.0),
+        ({"median": None}, "no_baseline", False, 0.0, 1.0),
+        ({"status": "disposed"}, "not_pending", False, 0.0, 1.0),
+        ({"stay_status": "granted"}, "active_stay", False, 0.0, 1.0),
+        ({"stay_status": "vacated"}, None, True, 0.45 * 5 / 6 + 0.35 * 900 / 1825 + 0.15 * 0.8, 1.0),
+        ({"future_listing": True, "days_listing": None}, "listed_soon", False, 0.0, 1.0),
+        ({"future_listing": True}, None, False, 0.2 * 5 / 6 + 0.2 * 900 / 1825 + 0.08, 1.0),
+        ({"recent_transfer": True}, "recent_transfer", False, 0.0, 1.0),
+        ({"data_confidence": 0.25}, "low_confidence", False, 0.0, 0.25),
+        ({"stay_status": "active", "recent_transfer": True}, "active_stay", False, 0.0, 1.0),
+    ],
+)
+def test_dormancy_rules(spark, change, excluded, candidate, score, confidence):
+    r = dormancy.judged(spark.createDataFrame([tuple((CASE | change).values())], CASE_TYPES)).first()
+    assert (r["excluded"], bool(r["candidate"])) == (excluded, candidate)
+    assert r["score"] == pytest.approx(score, abs=6e-5) and r["confidence"] == pytest.approx(confidence)
+
+
+def of_hearings(spark, rows):
+    """Tables with these hearings: (case, day, judge, outcome)."""
+    t = Tables(spark, "")
+    day = dt.date(2001, 1, 1)
+    t.hearings = spark.createDataFrame([(c, day + dt.timedelta(days=d), j, o, 0.5, i, 1, 1.0, 0.0, 0.0, "O") for i, (c, d, j, o) in enumerate(rows)], "case_id long, date date, judge_id long, outcome_type string, confidence double, line int, part long, price double, discount double, tax double, linestatus string")
+    return t
+
+
+def test_bench_index(spark):
+    """A judge counts as adjourning from three hearings on, and a case of one hearing scores 0."""
+    rows = [(1, 0, 7, "HEARD")]
+    rows += [(2, 0, 7, "ADJOURNED"), (2, 100, 7, "ADJOURNED")]
+    rows += [(3, 0, 7, "ADJOURNED"), (3, 1, 7, "ADJOURNED"), (3, 2, 7, "HEARD"), (3, 731, 8, "HEARD")]
+    got = {r["case_id"]: r["bench"] for r in tactics.bench_index(of_hearings(spark, rows)).collect()}
+    years = 731 / 365.25
+    assert got == {1: 0.0, 2: 0.175, 3: pytest.approx(0.4 * (1 / years) / 2 + 0.35 * 0.5 + 0.25 / 2, abs=5e-4)}
+
+
+def test_rank_of_sources(spark):
+    df = spark.createDataFrame([(0.5, "API", 0, "High COURT"), (0.5, "API", 0, "gazette"), (0.5, "FAX", 365, "court"), (1.0, "PDF", 30, None)], "c double, k string, a int, s string")
+    got = [r[0] for r in df.select(provenance.rank_of(F.col("c"), F.col("k"), F.col("a"), F.col("s"))).collect()]
+    assert got == pytest.approx([0.35 + 0.25 + 0.25 + 0.05, 0.35 + 0.25 + 0.25, 0.35 + 0.125 + 0.05, 0.7 + 0.23 + 0.25 - 30 / 365])
+
+
+def test_alerts_of_a_day_double_their_wait():
+    assert quality.waits() == [60, 120, 240, 480]
 
 
 def test_percentile_table(spark):
