@@ -94,15 +94,6 @@ def normalised_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def soundex_code(name: Column) -> Column:
-    """First letter and three digits; vowels, h and w all let the next letter count again, the first letter's own code does not hide the next."""
-    letters = F.lower(F.regexp_replace(name, r"[^A-Za-z]", ""))
-    digits = F.translate(F.substring(letters, 2, 1_000), "bfpvcgjkqsxzdtlmnr" + "aeiouyhw", "111122222222334556" + "00000000")
-    for d in "123456":
-        digits = F.regexp_replace(digits, d + "+", d)
-    return F.when(letters == "", "").otherwise(F.concat(F.upper(F.left(letters, F.lit(1))), F.substring(F.concat(F.replace(digits, F.lit("0"), F.lit("")), F.lit("000")), 1, 3)))
-
-
 def benches(t: Tables) -> DataFrame:
     texts = F.array(*[F.lit(b) for b in BENCHES])
     return t.read("orders").select(F.col("o_orderkey").alias("case_id"), F.get(texts, (F.col("o_orderkey") % len(BENCHES)).cast("int")).alias("bench"))
@@ -130,19 +121,32 @@ def trigrams(name: Column) -> Column:
 
 @query(
     "join_12_trigrams",
-    """, g AS (SELECT p_partkey AS k, unnest(list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', i, 3)))) AS g, length(p_name) AS l FROM part), c AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
-    w AS (SELECT s_suppkey AS s, unnest(list_distinct(list_transform(range(1, length(s_name) + 2), lambda i: substr('  ' || lower(s_name) || ' ', i, 3)))) AS g FROM supplier), d AS (SELECT s, count(*) AS n FROM w GROUP BY 1),
-    o AS (SELECT s, k, count(*) AS hits FROM w JOIN g USING (g) GROUP BY ALL), r AS (SELECT o.s, o.k, round(hits / (d.n + c.n - hits), 6) AS sim FROM o JOIN c ON c.k = o.k JOIN d ON d.s = o.s WHERE hits / (d.n + c.n - hits) > 0.02)
-    SELECT s, k, sim FROM r QUALIFY row_number() OVER (PARTITION BY s ORDER BY sim DESC, k) <= 3""",
+    """, g AS (SELECT c_custkey AS k, list_distinct(list_transform(range(1, length(c_name) + 2), lambda i: substr('  ' || lower(c_name) || ' ', i, 3))) AS g FROM customer),
+    w AS (SELECT s_suppkey AS s, list_distinct(list_transform(range(1, length(s_name) + 2), lambda i: substr('  ' || lower(s_name) || ' ', i, 3))) AS g FROM supplier),
+    r AS (SELECT s, k, len(list_intersect(w.g, g.g)) AS hits, len(w.g) + len(g.g) AS total FROM w, g)
+    SELECT s, k, round(hits / (total - hits), 6) AS sim FROM r WHERE hits / (total - hits) > 0.30 QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(hits / (total - hits), 6) DESC, k) <= 30""",
 )
-def trigram_matches(t: Tables, least: float = 0.02, k: int = 3) -> DataFrame:
-    """The most alike names by shared trigrams: candidates meet on a trigram, so pairs without one are never made."""
-    a = t.read("supplier").select(F.col("s_suppkey").alias("s"), trigrams(F.col("s_name")).alias("g")).select("s", F.size("g").alias("n"), F.explode("g").alias("g"))
-    b = t.read("part").select(F.col("p_partkey").alias("k"), trigrams(F.col("p_name")).alias("g")).select("k", F.size("g").alias("m"), F.explode("g").alias("g"))
-    both = F.count(F.lit(1))
-    pairs = a.join(b, "g").groupBy("s", "k", "n", "m").agg((both / (F.col("n") + F.col("m") - both)).alias("raw")).where(F.col("raw") > least).withColumn("sim", F.round("raw", 6))
+def trigram_matches(t: Tables, least: float = 0.30, pool: int = 30) -> DataFrame:
+    """The most alike names by shared trigrams, a pool of them for each name.
+
+    With the trigrams of all names ordered from rare to frequent, two names as alike as needed share one among their
+    first n - ceil(least * n) + 1. Only these meet, so that trigrams which all names have make no pairs.
+    """
+    a = t.read("supplier").select(F.lit("s").alias("side"), F.col("s_suppkey").alias("id"), trigrams(F.col("s_name")).alias("g"))
+    b = t.read("customer").select(F.lit("k").alias("side"), F.col("c_custkey").alias("id"), trigrams(F.col("c_name")).alias("g"))
+    each = a.unionByName(b).select("side", "id", F.explode("g").alias("gram"))
+    df = each.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(df, F.col("gram") == F.col("of")).groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = ordered.select("side", "id", F.transform("o", lambda x: x["gram"]).alias("g"))
+    n = F.size("g")
+    leading = ordered.select("side", "id", F.explode(F.slice("g", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("gram"))
+    side = lambda df, which, name: df.where(F.col("side") == which).drop("side").withColumnRenamed("id", name)
+    met = side(leading, "s", "s").join(side(leading, "k", "k"), "gram").select("s", "k").distinct()
+    full = met.join(side(ordered, "s", "s"), "s").join(side(ordered, "k", "k").withColumnRenamed("g", "h"), "k")
+    raw = F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))
+    found = full.select("s", "k", raw.alias("raw")).where(F.col("raw") > least).withColumn("sim", F.round("raw", 6))
     rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("sim"), "k"))
-    return pairs.withColumn("rn", rank).where(F.col("rn") <= k).select("s", "k", "sim")
+    return found.withColumn("rn", rank).where(F.col("rn") <= pool).select("s", "k", "sim")
 
 
 @query("fed_1_case_numbers", r", m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\d{1,4})/(\d{4})', 0)) AS number FROM documents) SELECT doc_id, number, count(*) AS n FROM m GROUP BY ALL")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.numbers import clamp, step_lookup
-from docketlens.operators.advocates import GAPS_SQL, gaps
+from docketlens.operators.advocates import GAPS_SQL, court_snapshot, gaps
 from docketlens.operators.windows import ORDERED_SQL, ordered
 from docketlens.plans.registry import query
 from docketlens.sources.domain import PHRASES, PHRASES_SQL, TEXT_SQL, Tables, with_text
@@ -315,14 +315,20 @@ def batch_stats(t: Tables) -> DataFrame:
     return stats.join(middle, F.lit(True))
 
 
-@query(
-    "ddd_12_adjournment_class",
+CLASS_SQL = (
     """, rate AS (SELECT judge_id, count(*) FILTER (outcome_type = 'ADJOURNED') / count(*) AS r, count(DISTINCT case_id) AS total FROM hearings GROUP BY 1),
-    s AS (SELECT case_id, date, line, part, least(1, greatest(0, (CASE WHEN reason_type IN ('judge_unavailable', 'court_adjourned') THEN 0.1 WHEN reason_type IN ('file_not_ready', 'compliance_pending', 'interim_pending') THEN 0.3 WHEN reason_type IN ('counsel_unavailable', 'party_not_ready', 'other_procedural') THEN 0.5 WHEN reason_type = 'on_request' THEN 0.7 ELSE 0.65 END
-      + CASE WHEN requested_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN was_contested THEN 0.10 ELSE 0 END + CASE WHEN grounds = '' THEN 0.10 WHEN len(regexp_extract_all(grounds, '\\S+')) < 10 THEN 0.08 ELSE 0 END) * (CASE WHEN r > 0.6 THEN 1.15 WHEN r > 0.4 THEN 1.08 ELSE 1 END) * CASE WHEN total > 100 THEN 1.05 ELSE 1 END)) AS score FROM (SELECT *, list_extract(""" + PHRASES_SQL + f""", CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS grounds FROM adjournments) JOIN rate USING (judge_id))
-    SELECT case_id, date, line, part, CAST(round(round(score, 9), 4) AS DOUBLE) AS score, CASE WHEN round(score, 9) >= 0.75 THEN 'likely_tactic' WHEN round(score, 9) >= 0.60 THEN 'possible_tactic' WHEN round(score, 9) >= 0.40 THEN 'unclear' WHEN round(score, 9) >= 0.20 THEN 'likely_legitimate' ELSE 'legitimate' END AS class FROM s""",
+    s12 AS (SELECT case_id, date, line, part, requested_by, round(least(1, greatest(0, (CASE WHEN reason_type IN ('judge_unavailable', 'court_adjourned') THEN 0.1 WHEN reason_type IN ('file_not_ready', 'compliance_pending', 'interim_pending') THEN 0.3 WHEN reason_type IN ('counsel_unavailable', 'party_not_ready', 'other_procedural') THEN 0.5 WHEN reason_type = 'on_request' THEN 0.7 ELSE 0.65 END
+      + CASE WHEN requested_by IS NOT NULL THEN 0.15 ELSE 0 END - CASE WHEN was_contested THEN 0.10 ELSE 0 END + CASE WHEN grounds = '' THEN 0.10 WHEN len(regexp_extract_all(grounds, '\\S+')) < 10 THEN 0.08 ELSE 0 END) * (CASE WHEN r > 0.6 THEN 1.15 WHEN r > 0.4 THEN 1.08 ELSE 1 END) * CASE WHEN total > 100 THEN 1.05 ELSE 1 END)), 9) AS score FROM (SELECT *, list_extract(""" + PHRASES_SQL + f""", CAST((case_id + line) % {len(PHRASES)} AS INTEGER) + 1) AS grounds FROM adjournments) JOIN rate USING (judge_id)),
+    c12 AS (SELECT *, CASE WHEN score >= 0.75 THEN 'likely_tactic' WHEN score >= 0.60 THEN 'possible_tactic' WHEN score >= 0.40 THEN 'unclear' WHEN score >= 0.20 THEN 'likely_legitimate' ELSE 'legitimate' END AS class FROM s12)"""
 )
+
+
+@query("ddd_12_adjournment_class", CLASS_SQL + " SELECT case_id, date, line, part, CAST(round(score, 4) AS DOUBLE) AS score, class FROM c12")
 def adjournment_class(t: Tables) -> DataFrame:
+    return classified_adjournments(t).select("case_id", "date", "line", "part", F.round("raw_score", 4).alias("score"), "class")
+
+
+def classified_adjournments(t: Tables) -> DataFrame:
     """A score from reason, request, contest and the grounds cited, scaled by the advocate's rate, which is one row per advocate."""
     r = t.hearings.groupBy("judge_id").agg((F.count_if(F.col("outcome_type") == "ADJOURNED") / F.count(F.lit(1))).alias("r"), F.count_distinct("case_id").alias("total"))
     reason = F.col("reason_type")
@@ -333,16 +339,22 @@ def adjournment_class(t: Tables) -> DataFrame:
     scale = F.when(F.col("r") > 0.6, 1.15).when(F.col("r") > 0.4, 1.08).otherwise(1.0) * F.when(F.col("total") > 100, 1.05).otherwise(1.0)
     score = F.round(clamp(raw * scale), 9)
     label = F.when(score >= 0.75, "likely_tactic").when(score >= 0.60, "possible_tactic").when(score >= 0.40, "unclear").when(score >= 0.20, "likely_legitimate").otherwise("legitimate")
-    return with_text(t.adjournments).join(r, "judge_id").select("case_id", "date", "line", "part", F.round(score, 4).alias("score"), label.alias("class"))
+    return with_text(t.adjournments).join(r, "judge_id").select("case_id", "date", "line", "part", "requested_by", score.alias("raw_score"), label.alias("class"))
 
 
-@query(
-    "ddd_13_frivolity",
-    """, s AS (SELECT case_id, date, line, part, round(least(1, greatest(0, CASE application_type WHEN 'stay_of_proceedings' THEN 0.45 WHEN 'bail' THEN 0.35 WHEN 'injunction' THEN 0.40 WHEN 'clarification' THEN 0.25 ELSE 0.35 END
-      + CASE decision_status WHEN 'rejected' THEN 0.15 WHEN 'granted' THEN -0.20 WHEN 'dismissed' THEN 0.10 ELSE 0 END - CASE WHEN date_diff('day', date, decision_date) > 90 THEN 0.05 ELSE 0 END + 0.12 + CASE WHEN is_frivolous THEN 0.10 ELSE 0 END + CASE WHEN delay_days > 30 THEN 0.08 ELSE 0 END)), 9) AS score FROM applications)
-    SELECT case_id, date, line, part, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 0.80 THEN 'clearly' WHEN score >= 0.65 THEN 'likely' WHEN score >= 0.50 THEN 'possibly' WHEN score >= 0.35 THEN 'unclear' WHEN score >= 0.20 THEN 'unlikely' ELSE 'genuine' END AS class FROM s""",
+FRIVOLITY_SQL = (
+    """, s13 AS (SELECT case_id, date, line, part, advocate_id, delay_days, round(least(1, greatest(0, CASE application_type WHEN 'stay_of_proceedings' THEN 0.45 WHEN 'bail' THEN 0.35 WHEN 'injunction' THEN 0.40 WHEN 'clarification' THEN 0.25 ELSE 0.35 END
+      + CASE decision_status WHEN 'rejected' THEN 0.15 WHEN 'granted' THEN -0.20 WHEN 'dismissed' THEN 0.10 ELSE 0 END - CASE WHEN date_diff('day', date, decision_date) > 90 THEN 0.05 ELSE 0 END + 0.12 + CASE WHEN is_frivolous THEN 0.10 ELSE 0 END + CASE WHEN delay_days > 30 THEN 0.08 ELSE 0 END)), 9) AS score FROM applications),
+    c13 AS (SELECT *, CASE WHEN score >= 0.80 THEN 'clearly' WHEN score >= 0.65 THEN 'likely' WHEN score >= 0.50 THEN 'possibly' WHEN score >= 0.35 THEN 'unclear' WHEN score >= 0.20 THEN 'unlikely' ELSE 'genuine' END AS class FROM s13)"""
 )
+
+
+@query("ddd_13_frivolity", FRIVOLITY_SQL + " SELECT case_id, date, line, part, CAST(round(score, 4) AS DOUBLE) AS score, class FROM c13")
 def frivolity(t: Tables) -> DataFrame:
+    return classified_applications(t).select("case_id", "date", "line", "part", F.round("raw_score", 4).alias("score"), "class")
+
+
+def classified_applications(t: Tables) -> DataFrame:
     """Applications without grounds: type, decision, its time, a flag and the delay they caused."""
     kind = F.create_map(*[x for k, v in (("stay_of_proceedings", 0.45), ("bail", 0.35), ("injunction", 0.40), ("clarification", 0.25)) for x in (F.lit(k), F.lit(v))])
     status = F.create_map(F.lit("rejected"), F.lit(0.15), F.lit("granted"), F.lit(-0.20), F.lit("dismissed"), F.lit(0.10))
@@ -350,4 +362,73 @@ def frivolity(t: Tables) -> DataFrame:
     raw = raw + F.when(F.col("is_frivolous"), 0.10).otherwise(0.0) + F.when(F.col("delay_days") > 30, 0.08).otherwise(0.0)
     score = F.round(clamp(raw), 9)
     label = F.when(score >= 0.80, "clearly").when(score >= 0.65, "likely").when(score >= 0.50, "possibly").when(score >= 0.35, "unclear").when(score >= 0.20, "unlikely").otherwise("genuine")
-    return t.applications.select("case_id", "date", "line", "part", F.round(score, 4).alias("score"), label.alias("class"))
+    return t.applications.select("case_id", "date", "line", "part", "advocate_id", "delay_days", score.alias("raw_score"), label.alias("class"))
+
+
+SNAPSHOT_SQL = (
+    GAPS_SQL
+    + ORDERED_SQL
+    + """, g1 AS (SELECT case_id, quantile_cont(gap, 0.5) AS med FROM gaps WHERE gap IS NOT NULL GROUP BY 1),
+    r1 AS (SELECT court_id, n_adjourned / n_hearings AS rate, med FROM case_spans LEFT JOIN g1 USING (case_id) WHERE n_hearings > 0),
+    snap AS (SELECT court_id, round(avg(rate), 6) AS mean_rate, round(coalesce(stddev_samp(rate), 0), 6) AS std_rate, median(med) AS median_gap FROM r1 GROUP BY 1),
+    pa AS (SELECT case_id, count(*) AS adjourned, count(*) FILTER (reason_type IN ('on_request', 'party_not_ready', 'counsel_unavailable') OR requested_by IS NOT NULL) AS asked FROM adjournments GROUP BY 1),
+    gs AS (SELECT case_id, avg(gap) AS mean_gap, coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0) AS cv FROM gaps WHERE gap >= 0 GROUP BY 1),
+    ch AS (SELECT case_id, count(*) FILTER (rn > 1 AND judge_id IS DISTINCT FROM before) AS changes FROM o GROUP BY 1)"""
+)
+
+
+@query(
+    "ddd_11_alternative",
+    SNAPSHOT_SQL
+    + """, f AS (SELECT c.case_id, CASE WHEN n_hearings > 0 THEN n_adjourned / n_hearings ELSE 0 END AS density, mean_rate, std_rate, median_gap, coalesce(100 * asked / adjourned, 0) AS party, coalesce(mean_gap, 0) AS mean_gap, coalesce(cv, 0) AS cv, coalesce(changes, 0) AS changes
+      FROM case_spans c LEFT JOIN snap USING (court_id) LEFT JOIN pa USING (case_id) LEFT JOIN gs USING (case_id) LEFT JOIN ch USING (case_id))
+    SELECT case_id, CAST(round(CASE WHEN coalesce(std_rate, 0) > 0 THEN (density - mean_rate) / std_rate ELSE 0 END, 4) AS DOUBLE) AS z, density > coalesce(mean_rate, 0) + 2 * coalesce(std_rate, 0) AS outlier,
+      CASE WHEN party < 40 THEN 'low' WHEN party < 70 THEN 'moderate' WHEN party < 85 THEN 'high' ELSE 'extreme' END AS party_level,
+      CASE WHEN mean_rate IS NULL THEN cv > 0.5 WHEN median_gap > 0 THEN mean_gap > 1.5 * median_gap ELSE cv > 0.8 END AS irregular,
+      CAST(CASE WHEN changes > 3 THEN round(least(2 * changes / 10, 3), 1) ELSE 0 END AS DOUBLE) AS hunting, CASE WHEN changes > 3 AND least(2 * changes / 10, 3) >= 3 THEN 'moderate' WHEN changes > 3 AND least(2 * changes / 10, 3) >= 1.5 THEN 'minimal' ELSE 'none' END AS hunting_level FROM f""",
+)
+def alternative(t: Tables) -> DataFrame:
+    """Features against the snapshot of a case's court: density, share asked for by parties, gaps and changes of judge."""
+    asked = F.col("reason_type").isin("on_request", "party_not_ready", "counsel_unavailable") | F.col("requested_by").isNotNull()
+    party = t.adjournments.groupBy("case_id").agg((100 * F.count_if(asked) / F.count(F.lit(1))).alias("party"))
+    spread = gaps(t.hearings).where("gap >= 0").groupBy("case_id").agg(F.avg("gap").alias("mean_gap"), F.try_divide(F.stddev_pop("gap"), F.avg("gap")).alias("cv"))
+    changes = ordered(t.hearings).groupBy("case_id").agg(F.count_if((F.col("rn") > 1) & ~F.col("judge_id").eqNullSafe(F.col("before"))).alias("changes"))
+    f = t.case_spans.join(court_snapshot(t), "court_id", "left").join(party, "case_id", "left").join(spread, "case_id", "left").join(changes, "case_id", "left").fillna(0, ["party", "mean_gap", "cv", "changes"])
+    density = F.coalesce(F.try_divide("n_adjourned", "n_hearings"), F.lit(0.0))
+    mean, sd = F.coalesce("mean_rate", F.lit(0.0)), F.coalesce("std_rate", F.lit(0.0))
+    hunting = F.when(F.col("changes") > 3, F.least(2 * F.col("changes") / 10, F.lit(3.0))).otherwise(0.0)
+    p = F.col("party")
+    return f.select(
+        "case_id",
+        F.round(F.when(sd > 0, (density - mean) / sd).otherwise(0.0), 4).alias("z"),
+        (density > mean + 2 * sd).alias("outlier"),
+        F.when(p < 40, "low").when(p < 70, "moderate").when(p < 85, "high").otherwise("extreme").alias("party_level"),
+        F.when(F.col("mean_rate").isNull(), F.col("cv") > 0.5).when(F.col("median_gap") > 0, F.col("mean_gap") > 1.5 * F.col("median_gap")).otherwise(F.col("cv") > 0.8).alias("irregular"),
+        F.round(hunting, 1).alias("hunting"),
+        F.when(hunting >= 3, "moderate").when(hunting >= 1.5, "minimal").otherwise("none").alias("hunting_level"),
+    )
+
+
+@query(
+    "ddd_14_attribution",
+    CLASS_SQL
+    + FRIVOLITY_SQL
+    + """, direct AS (SELECT case_id, requested_by AS advocate_id, 'adjournment' AS kind, score AS confidence, 100 * score AS share, 15 AS days FROM c12 WHERE requested_by IS NOT NULL AND class IN ('likely_tactic', 'possible_tactic')
+        UNION ALL SELECT case_id, advocate_id, 'application', score, 100 * score, coalesce(nullif(delay_days, 0), 20) FROM c13 WHERE class IN ('clearly', 'likely')),
+      ind AS (SELECT case_id, advocate_id, count(*) AS n FROM (SELECT case_id, requested_by AS advocate_id FROM adjournments WHERE requested_by IS NOT NULL UNION ALL SELECT case_id, advocate_id FROM applications) GROUP BY ALL),
+      pat AS (SELECT case_id, advocate_id, 'pattern' AS kind, least(0.6, 0.2 + 0.15 * n) AS confidence, 50 * least(0.6, 0.2 + 0.15 * n) AS share, 7 * n AS days FROM ind ANTI JOIN (SELECT DISTINCT case_id, advocate_id FROM direct WHERE confidence >= 0.5) USING (case_id, advocate_id) WHERE n >= 2)
+      SELECT case_id, advocate_id, kind, count(*) AS n, CAST(round(max(CAST(confidence AS DOUBLE)), 4) AS DOUBLE) AS confidence, CAST(round(max(CAST(share AS DOUBLE)), 2) AS DOUBLE) AS share, CAST(sum(days) AS BIGINT) AS days FROM (SELECT * FROM direct UNION ALL SELECT * FROM pat) WHERE confidence >= 0.5 GROUP BY ALL""",
+)
+def attribution(t: Tables, least: float = 0.5) -> DataFrame:
+    """Delay by advocate of each case: adjournments and applications that look like tactics; else a pattern of two or more of either."""
+    direct = (
+        classified_adjournments(t).where("requested_by IS NOT NULL AND class IN ('likely_tactic', 'possible_tactic')").select("case_id", F.col("requested_by").alias("advocate_id"), F.lit("adjournment").alias("kind"), F.col("raw_score").alias("confidence"), (100 * F.col("raw_score")).alias("share"), F.lit(15).cast("long").alias("days"))
+        .unionByName(classified_applications(t).where("class IN ('clearly', 'likely')").select("case_id", "advocate_id", F.lit("application").alias("kind"), F.col("raw_score").alias("confidence"), (100 * F.col("raw_score")).alias("share"), F.coalesce(F.nullif("delay_days", F.lit(0)), F.lit(20)).cast("long").alias("days")))
+        .where(F.col("confidence") >= least)
+    )
+    signs = t.adjournments.where("requested_by IS NOT NULL").select("case_id", F.col("requested_by").alias("advocate_id")).unionByName(t.applications.select("case_id", "advocate_id"))
+    counted = signs.groupBy("case_id", "advocate_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    sure = F.least(F.lit(0.6), 0.2 + 0.15 * F.col("n"))
+    pattern = counted.join(direct.select("case_id", "advocate_id").distinct(), ["case_id", "advocate_id"], "left_anti").select("case_id", "advocate_id", F.lit("pattern").alias("kind"), sure.alias("confidence"), (50 * sure).alias("share"), (7 * F.col("n")).alias("days"))
+    both = direct.unionByName(pattern).where(F.col("confidence") >= least)
+    return both.groupBy("case_id", "advocate_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("confidence"), 4).alias("confidence"), F.round(F.max("share"), 2).alias("share"), F.sum("days").alias("days"))
