@@ -69,19 +69,25 @@ def prepared(text: Column) -> Column:
 
 
 def tactic(text: Column) -> Column:
-    """struct(tactic, confidence): the heaviest tactic of a text; weights times matches, scaled by a power."""
-    t = prepared(text)
-    scores = []
-    for name, patterns in TACTICS.items():
+    """struct(tactic, confidence): the heaviest tactic of a text; weights times matches, scaled by a power.
+
+    The prepared text and the scores are bound once, so that every pattern stands once in the expression.
+    """
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def score(t: Column, patterns) -> Column:
         total = F.lit(0.0)
         for pattern, weight in patterns:
             total = total + weight * F.regexp_count(t, F.lit(pattern))
-        scores.append((name, F.least(F.lit(1.0), F.pow(total / 4, F.lit(0.65)))))
-    best = F.greatest(*[c for _, c in scores])
-    label = F.when(best < 0.15, "none")
-    for name, c in scores:
-        label = label.when(c == best, name)
-    return F.struct(label.alias("tactic"), F.when(best < 0.15, 0.0).otherwise(best).alias("confidence"))
+        return F.least(F.lit(1.0), F.pow(total / 4, F.lit(0.65)))
+
+    def chosen(scores: Column) -> Column:
+        best = F.array_max(scores)
+        names = F.array(*[F.lit(name) for name in TACTICS])
+        label = F.when(best < 0.15, "none").otherwise(F.element_at(names, F.array_position(scores, best).cast("int")))
+        return F.struct(label.alias("tactic"), F.when(best < 0.15, 0.0).otherwise(best).alias("confidence"))
+
+    return bind(bind(prepared(text), lambda t: F.array(*[score(t, patterns) for patterns in TACTICS.values()])), chosen)
 
 
 def by_text(t: Tables, texts: DataFrame) -> DataFrame:
