@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docketlens.llm.bpe import encode_texts
 from docketlens.llm.chat_format import format_chats
+from docketlens.llm.conversation_repair import damaged, repaired
+from docketlens.llm.filter_audit import audit
 from docketlens.llm.fingerprints import fingerprint_edits
 from docketlens.llm.html_extraction import extract_pages
 from docketlens.llm.mixing import mix
@@ -14,6 +16,7 @@ from docketlens.llm.ngram_join import ngram_components
 from docketlens.llm.quality_rules import judge
 from docketlens.llm.secrets import BASE_KINDS, find_secrets, listed
 from docketlens.llm.sharding import shard_rows
+from docketlens.llm.toxicity import toxicity
 from docketlens.llm.url_filters import filter_urls, patterns_of
 
 
@@ -153,6 +156,39 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS again FROM d),
+b AS (SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS c,
+             regexp_matches(t, '[#$%&*|]') AS d, again AS e FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS BIGINT)) AS good, max(CAST(toxic = 1 AS BIGINT)) AS toxic FROM labels GROUP BY 1),
+k AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(i) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS places FROM f p, f q, f r, f s, f t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+x AS (SELECT part, array_to_string(list_transform(places, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, f.i AS step, places[f.i] AS own, n, good, toxic, fails[places[f.i]] AS hit,
+             len(list_filter(places[1:f.i - 1], lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda z: z)) = 1 AS alone FROM k, o, f),
+g AS (SELECT part, filter_order, step, own,
+             CAST(coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (hit AND alone), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS BIGINT) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repaired(conversations, damaged(conversations))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -165,8 +201,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": op3_html_extraction,
         "op9_bpe": op9_bpe,
         "op10_secrets": op10_secrets,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_toxicity": op12_toxicity,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op4_quality_rules": OP4_SQL}
+    return {"op2_url_filters": OP2_SQL, "op4_quality_rules": OP4_SQL, "op11_filter_audit": OP11_SQL}
