@@ -13,13 +13,14 @@ The models learn from labelled rows of three folds, the curve from those of a fo
 """
 
 import math
+import uuid
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketlens.llm.common import bounded_broadcast, checkpoint
+from docketlens.llm.common import bounded_broadcast, checkpoint, shared_folder
 
 #: Characters of a gram with the one that is predicted; grams up to SHARED characters have counts of both classes.
 ORDER, SHARED = 5, 2
@@ -27,7 +28,7 @@ FOLDS, HELD_OUT, CURVE = 5, 0, 4
 FIRST, LAST = "\u0002", "\u0003"
 TOKEN = r"[\p{L}\p{M}]+"
 #: Words with most occurrences whose values are broadcast; all others are joined by a shuffle.
-FREQUENT = 20_000
+FREQUENT = 100_000
 #: Share of a toxic text's words that the toxic model gives, and the largest difference for a word that still fits a double.
 SHARE, LARGEST = 0.02, 500.0
 CLASSES = ("ordinary", "toxic")
@@ -50,10 +51,16 @@ def fold(doc_id: Column) -> Column:
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, fold, toxic, text); a document with several label rows is toxic if one of them says so, null without any."""
-    known = labels.groupBy(F.col("doc_id").alias("l")).agg(F.max("toxic").alias("toxic"))
+    known = bounded_broadcast(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("l")).agg(F.max("toxic").alias("toxic")))
     return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l"), "left").select("doc_id", fold(F.col("doc_id")).alias("fold"), "toxic", "text")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: a table of words is much smaller as Parquet than as a checkpoint."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/toxicity-{uuid.uuid4().hex}")
+    return df.sparkSession.read.parquet(path)
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n, ordinary, toxic): occurrences in all texts, and in those of each class that the models learn from."""
     learn = ~F.col("fold").isin(HELD_OUT, CURVE, -1)
@@ -131,13 +138,13 @@ def likelihoods(rows: DataFrame, words: DataFrame) -> DataFrame:
     The values of the most frequent words are broadcast; so the key of a word that all texts have is never shuffled. Other
     words meet theirs in a join. A text is known by its doc_id and hash, so that repeated rows have one ratio.
     """
-    frequent = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select(F.col("word").alias("w"), gain(F.col("value")).alias("known"))
+    frequent = F.broadcast(words.orderBy(F.desc("n"), "word").limit(FREQUENT).select(F.col("word").alias("w"), gain(F.col("value")).alias("known")))
     texts = rows.withColumn("hash", F.xxhash64("text"))
-    each = texts.select("doc_id", "hash", F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(frequent), F.col("word") == F.col("w"), "left")
-    rest = F.when(F.col("known").isNull(), F.col("word"))
-    first = checkpoint(each.groupBy("doc_id", "hash", rest.alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum("known").alias("known")))
-    rare = first.where("word IS NOT NULL").join(words.select(F.col("word").alias("w"), "value"), F.col("word") == F.col("w"))
-    both = first.where("word IS NULL").select("doc_id", "hash", "n", "known").unionByName(rare.select("doc_id", "hash", "n", (F.col("n") * gain(F.col("value"))).alias("known")))
+    each = texts.select("doc_id", "hash", F.explode(tokens(F.col("text"))).alias("word"))
+    same = F.col("word") == F.col("w")
+    rare = each.join(frequent, same, "left_anti").join(words.select(F.col("word").alias("w"), gain(F.col("value")).alias("known")), same)
+    sums = [part.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("known").alias("known")) for part in (each.join(frequent, same), rare)]
+    both = sums[0].unionByName(sums[1])
     ratios = both.groupBy(F.col("doc_id").alias("i"), F.col("hash").alias("h")).agg((F.sum("known") / F.sum("n")).alias("ratio"))
     joined = texts.join(ratios, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
     return joined.select("doc_id", "fold", "toxic", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
@@ -163,8 +170,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not bounded: its characters are read once.
     """
     rows = marked(docs, labels)
-    words = checkpoint(word_values(checkpoint(word_counts(rows))))
-    ratios = checkpoint(likelihoods(rows, words))
+    words = stored(word_values(stored(word_counts(rows))))
+    ratios = stored(likelihoods(rows, words))
     slope, start = curve(ratios)
     score = F.round(1 / (1 + F.exp(-(F.lit(slope) * F.col("ratio") + start))), 9)
     scored = ratios.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "ratio", score.alias("score"))
