@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,17 +137,17 @@ def re_pair(sequences: DataFrame) -> Rules:
     ship(sequences.sparkSession)
     rules: Rules = []
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
-        for frame in frames:
-            for s, n in zip(frame["seq"], frame["n"], strict=True):
+        for batch in batches:
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = compressed(s, rules)
                 for i in range(len(s) - 1):
                     found[s[i : i + 2]] += n
-        yield pd.DataFrame({"pair": list(found), "n": list(found.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["pair", "n"])
 
     for _ in range(ROUNDS):
-        best = sequences.mapInPandas(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pair").limit(8 * PICKS).collect()
+        best = sequences.select("seq", "n").mapInArrow(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pair").limit(8 * PICKS).collect()
         used: set[str] = set()
         picked = []
         for r in best:
@@ -274,7 +273,10 @@ def settled(chunks: DataFrame, rules: Rules) -> DataFrame:
     """(conv_id, head, state, edits, cost, illegal): for each chunk the state it starts in and its edits; cost and illegal, the neighbours of roles that do not go together, stand at a conversation's last chunk."""
     known = matrices(rules)
     kind = chunks.schema["conv_id"].dataType.simpleString()
-    names = ["conv_id", "head", "state", "edits", "cost", "illegal"]
+
+    def table(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = {"conv_id": id_type, "head": pa.int64(), "state": pa.int32(), "edits": pa.string(), "cost": pa.int64(), "illegal": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Matrix] = {}
@@ -309,11 +311,11 @@ def settled(chunks: DataFrame, rules: Rules) -> DataFrame:
                     last = role
                 paths, done = settle(step(paths, head, matrix_of(seq)))
                 out.extend((conv, h, s, e, None, None) for h, s, e in done)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (id_type, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names) if out else pa.RecordBatch.from_pylist([], schema=pa.schema(list(zip(names, (id_type, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True))))
+            yield table(out, id_type)
             out.clear()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (id_type, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
+            yield table(out, id_type)
 
     return _dealt(chunks.select("conv_id", "head", "seq", "roles")).mapInArrow(run, f"conv_id {kind}, head long, state int, edits string, cost long, illegal long")
 
