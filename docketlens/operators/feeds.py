@@ -87,10 +87,16 @@ def risky(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", F.round(F.least(F.lit(1.0), 0.2 * words + 0.4 * phrases), 6).alias("score"))
 
 
+def folded(text: Column) -> Column:
+    """NFKC and case folding, by the ICU library that Spark ships; null is empty."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+
+
 def normalised_name(name: Column) -> Column:
-    """Lower case, without the word coram, honorifics, punctuation and repeated spaces."""
-    bare = F.regexp_replace(name, r"(?i)^\s*coram\s*[:\-]\s*", "")
-    plain = F.regexp_replace(F.lower(F.regexp_replace(bare, HONORIFICS, " ")), r"[^\w\s]", " ")
+    """Folded, without the word coram, honorifics, punctuation and repeated spaces."""
+    bare = F.regexp_replace(folded(name), r"(?i)^\s*coram\s*[:\-]\s*", "")
+    plain = F.regexp_replace(F.regexp_replace(bare, HONORIFICS, " "), r"(?U)[^\w\s]", " ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
@@ -103,15 +109,24 @@ BENCH_SQL = "SELECT o_orderkey AS case_id, list_extract([" + ", ".join("'" + b.r
 NAME_SQL = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(part, '(?i)^\s*coram\s*[:\-]\s*', ''), '" + HONORIFICS.replace("'", "''") + r"', ' ', 'g')), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def bench_parts(t: Tables) -> DataFrame:
+    """(case_id, seq, name, role): a row for each judge of a bench, in order.
+
+    The first one presides. The others preside too on a bench that calls itself single, are co-judges on a division bench
+    and members on any other.
+    """
+    parts = F.filter(F.split("bench", r"(?i)\s*(?:,|&| and |/|\|)\s*"), lambda p: F.trim(p) != "")
+    each = benches(t).where(~F.lower("bench").contains("bench not constituted")).select("case_id", F.lower("bench").alias("bench"), F.posexplode(parts).alias("seq", "part"))
+    role = F.when((F.col("seq") == 0) | F.col("bench").contains("single bench"), "PRESIDING").when(F.col("bench").contains("division bench"), "CO_JUDGE").otherwise("JUDGE_MEMBER")
+    return each.select("case_id", "seq", normalised_name(F.col("part")).alias("name"), role.alias("role")).where("name <> ''")
+
+
 @query(
     "ent_4_parse_bench",
-    f", b AS ({BENCH_SQL}), p AS (SELECT case_id, generate_subscripts(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*'), 1) AS i, unnest(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*')) AS part FROM b WHERE NOT contains(lower(bench), 'not constituted')), n AS (SELECT case_id, i, {NAME_SQL} AS name FROM p) SELECT case_id, CAST(i - 1 AS INTEGER) AS seq, name, CASE WHEN i = 1 THEN 'PRESIDING' ELSE 'CO_JUDGE' END AS role FROM n WHERE name <> ''",
+    f", b AS ({BENCH_SQL}), p AS (SELECT case_id, lower(bench) AS bench, generate_subscripts(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*'), 1) AS i, unnest(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*')) AS part FROM b WHERE NOT contains(lower(bench), 'bench not constituted')), n AS (SELECT case_id, bench, i, {NAME_SQL} AS name FROM p) SELECT case_id, CAST(i - 1 AS INTEGER) AS seq, name, CASE WHEN i = 1 OR contains(bench, 'single bench') THEN 'PRESIDING' WHEN contains(bench, 'division bench') THEN 'CO_JUDGE' ELSE 'JUDGE_MEMBER' END AS role FROM n WHERE name <> ''",
 )
 def parse_bench(t: Tables) -> DataFrame:
-    """A row for each judge of a bench, in order; the first one presides."""
-    parts = benches(t).where(~F.lower("bench").contains("not constituted")).select("case_id", F.posexplode(F.split("bench", r"\s*(?:,|&| and |/|\|)\s*")).alias("seq", "part"))
-    role = F.when(F.col("seq") == 0, "PRESIDING").otherwise("CO_JUDGE")
-    return parts.select("case_id", "seq", normalised_name(F.col("part")).alias("name"), role.alias("role")).where("name <> ''")
+    return bench_parts(t)
 
 
 def trigrams(name: Column) -> Column:

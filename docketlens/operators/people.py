@@ -1,64 +1,30 @@
 """Names of judges, parties and officials: keys, variants, candidates and their scores, assignments and merges (ENT)."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from docketlens.operators.feeds import BENCH_SQL, NAME_SQL, benches, normalised_name
-from docketlens.plans.lineage import ship
+from docketlens.operators.feeds import BENCH_SQL, NAME_SQL, bench_parts, benches, normalised_name
+from docketlens.plans.lineage import checkpoint, ship
 from docketlens.plans.registry import query
+from docketlens.plans.similarity import alike, alike_word_sets, common_subsequence, nearest, ratio, ratio_of, token_set_ratio
 from docketlens.sources.domain import Tables
 
+__all__ = ["common_subsequence", "ratio", "token_set_ratio"]
+
 #: Weights of a candidate's score, the least score of a match, and the digits of letters in the phonetic key.
 WEIGHTS = {"exact": 0.30, "overlap": 0.20, "ratio": 0.20, "phonetic": 0.10, "court": 0.10, "tenure": 0.05, "designation": 0.05}
 LEAST = 0.60
+#: The trigram likeness that candidates exceed and how many of them are scored; a ratio below LOW counts for less; the least confidence of an assignment to a new entry.
+TRIGRAM, POOL, LOW, FLOOR = 0.30, 30, 1 - 0.18 - 0.5, 0.35
+#: Fixed value: share of a cosine that counts as confidence. Days after which an unseen provisional entry is stale.
+NEIGHBOUR, STALE = 0.75, 365
 LETTERS, DIGITS = "bfpvcgjkqsxzdtlmnr", "111122222222334556"
 #: Names of the registry, of parties and of officials, which the tables lack, in the order of their numbers.
 REGISTRY = ("A.B. Sharma", "C.D. Rao", "E. Gupta", "F. Ayer", "A.B. Sharmaa", "G. Menon")
 PARTIES = ("Sharma A B", "State through C.D. Rao", "Messrs. Gupta Traders", "F Iyer", "Union of India", "Ravi Kumar", "Kumar, Ravi and others", "")
 OFFICIALS = ("A B Sharma", "Ravi Kumar", "Gupta Trader", "E. Menon")
 TOKEN_SET = 85
-MERGE, MERGE_CAP, PROVISIONAL, SUGGESTIONS = 0.85, 0.99, 100, 100
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits: a set bit of row is a place that no match has used up."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = row = (1 << len(a)) - 1
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Likeness of two strings by insertions and deletions, 0 to 1."""
-    return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """The best ratio of shared words alone and with either side's other words, 0 to 100."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, one, two = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not one or not two):
-        return 100.0
-    left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
-    return 100 * max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else ()))
-
-
-@F.pandas_udf(DoubleType())
-def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(DoubleType())
-def token_set_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)])
+MERGE, MERGE_CAP, SUGGESTIONS = 0.85, 0.99, 100
 
 
 def soundex_code(token: Column) -> Column:
@@ -91,33 +57,62 @@ def named(t: Tables, names, key: str, table: str, column: str) -> DataFrame:
 
 
 def registry(t: Tables) -> DataFrame:
-    """(judge_id, court_id, name, phonetic): the first entry of each name of a court."""
+    """(known, court, judge_id, sound): the first entry of each name of a court; some entries belong to no court."""
     texts = F.array(*[F.lit(n) for n in REGISTRY])
-    rows = t.read("supplier").select("s_suppkey", F.col("s_nationkey").alias("court"), normalised_name(F.get(texts, (F.col("s_suppkey") % len(REGISTRY)).cast("int"))).alias("known"))
+    court = F.when(F.col("s_suppkey") % 7 != 3, F.col("s_nationkey"))
+    rows = t.read("supplier").select("s_suppkey", court.alias("court"), normalised_name(F.get(texts, (F.col("s_suppkey") % len(REGISTRY)).cast("int"))).alias("known"))
     return rows.groupBy("known", "court").agg(F.min("s_suppkey").alias("judge_id")).withColumn("sound", phonetic_key(F.col("known")))
 
 
 def bench_tokens(t: Tables) -> DataFrame:
-    """(case_id, seq, name, court_id): the judges that benches name, with the court of the case."""
-    parts = benches(t).where(~F.lower("bench").contains("not constituted")).select("case_id", F.posexplode(F.split("bench", r"\s*(?:,|&| and |/|\|)\s*")).alias("seq", "part"))
-    names = parts.select("case_id", "seq", normalised_name(F.col("part")).alias("name")).where("name <> ''")
-    return names.join(t.cases.select("case_id", "court_id"), "case_id")
+    """(case_id, seq, name, role, court_id): the judges that benches name, with the court of the case."""
+    return bench_parts(t).join(t.cases.select("case_id", "court_id"), "case_id")
+
+
+def word_trigrams(name: Column) -> Column:
+    """Distinct trigrams of each word with two spaces before and one after it."""
+    padded = F.transform(F.filter(F.split(name, " "), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))))
+
+
+def pool(names: DataFrame, known: DataFrame, least: float = TRIGRAM, most: int = POOL) -> DataFrame:
+    """(name, court_id, known, court, judge_id, sound): the registry entries that a name may stand for.
+
+    Entries of another court are shut out: a name meets those of its court and those of no court, a name without a court
+    all of them. Trigrams are ordered from rare to frequent, and two names as alike as needed share one of the first
+    n - ceil(least * n) + 1, so that a word which all names have makes no pairs.
+    """
+    names, known = names.select("name", "court_id").where("name <> ''"), known.where("known <> ''")
+    texts = names.select(F.col("name").alias("text")).unionByName(known.select(F.col("known").alias("text"))).distinct()
+    each = texts.select("text", F.explode(word_trigrams(F.col("text"))).alias("gram"))
+    often = each.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(often, F.col("gram") == F.col("of")).groupBy("text").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    grams = ordered.select("text", F.transform("o", lambda x: x["gram"]).alias("grams"))
+    leading = F.explode(F.slice("grams", F.lit(1), (F.size("grams") - F.ceil(F.size("grams") * least) + 1).cast("int"))).alias("gram")
+    left = names.join(grams, F.col("name") == F.col("text")).drop("text").select("*", leading)
+    right = known.join(grams.withColumnRenamed("grams", "h"), F.col("known") == F.col("text")).drop("text").select("*", F.explode(F.slice("h", F.lit(1), (F.size("h") - F.ceil(F.size("h") * least) + 1).cast("int"))).alias("gram2"))
+    same = F.col("gram") == F.col("gram2")
+    own = left.join(right, same & (F.col("court_id") == F.col("court")))
+    free = left.join(right.where("court IS NULL"), same)
+    any_court = left.where("court_id IS NULL").join(right.where("court IS NOT NULL"), same)
+    met = own.unionByName(free).unionByName(any_court).drop("gram", "gram2").distinct()
+    near = F.size(F.array_intersect("grams", "h")) / F.size(F.array_union("grams", "h"))
+    rank = F.row_number().over(Window.partitionBy("name", "court_id").orderBy(F.desc("near"), "judge_id"))
+    return met.withColumn("near", near).where(F.col("near") > least).withColumn("place", rank).where(F.col("place") <= most).drop("near", "place", "grams", "h")
 
 
 def candidates(names: DataFrame, known: DataFrame) -> DataFrame:
-    """Scores of the registry entries that share a word with a name; without one no score reaches the least that counts.
+    """Scores of the registry entries in each name's pool.
 
     names are the distinct (name, court_id) that occur, known the registry. Without a hearing's date the tenure counts half.
     """
     ship(names.sparkSession)
-    words = names.select("name", "court_id", F.explode(F.split("name", " ")).alias("word"))
-    entries = known.select("*", F.explode(F.split("known", " ")).alias("word"))
-    pairs = words.join(entries, "word").drop("word").distinct()
     a, b = F.split("name", " "), F.split("known", " ")
     overlap = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     exact, sound = (F.col("name") == F.col("known")).cast("double"), (F.col("own_sound") == F.col("sound")).cast("double")
     court = F.when(F.col("court").isNull(), 0.4).when(F.col("court") == F.col("court_id"), 1.0).otherwise(0.0)
-    scored = pairs.withColumn("own_sound", phonetic_key(F.col("name"))).withColumn("ratio", ratio_of("name", "known"))
+    scored = pool(names, known).withColumn("own_sound", phonetic_key(F.col("name"))).withColumn("ratio", ratio_of("name", "known"))
+    scored = scored.withColumn("ratio", F.when(F.col("ratio") < LOW, 0.8 * F.col("ratio")).otherwise(F.col("ratio")))
     w = WEIGHTS
     total = w["exact"] * exact + w["overlap"] * overlap + w["ratio"] * F.col("ratio") + w["phonetic"] * sound + w["court"] * court + w["tenure"] * 0.5
     kind = F.when(exact == 1, "exact").when(F.col("ratio") >= 0.9, "fuzzy").when(sound == 1, "phonetic").otherwise("manual")
@@ -152,11 +147,12 @@ def candidate_query(t: Tables, k: int = 10) -> DataFrame:
 
 
 def resolved(t: Tables, least: float = LEAST) -> DataFrame:
-    """The best entry of each name and court, or a provisional one where none scores enough."""
+    """The best entry of each name and court, or a new provisional one, named by name and court, where none scores enough."""
     best = all_candidates(t).groupBy("name", "court_id").agg(F.max(F.struct("score", (-F.col("judge_id")).alias("j"), "kind")).alias("b"))
     names = bench_tokens(t).select("name", "court_id").distinct()
-    good = F.col("b.score") >= least
-    return names.join(best, ["name", "court_id"], "left").select("name", "court_id", F.when(good, -F.col("b.j")).alias("judge_id"), F.coalesce(F.when(good, F.col("b.kind")), F.lit("provisional")).alias("kind"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    met = names.join(best, ["name", "court_id"], "left").withColumn("judge_id", F.when(F.col("b.score") >= least, -F.col("b.j")))
+    created = F.concat(F.lit("new-"), F.left(F.md5(F.concat_ws("|", "name", F.col("court_id").cast("string")).cast("binary")), F.lit(12)))
+    return met.select("name", "court_id", "judge_id", F.coalesce(F.col("judge_id").cast("string"), created).alias("entry"), F.coalesce("b.kind", F.lit("no_match")).alias("kind"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 @query("ent_6_resolved")
@@ -164,11 +160,40 @@ def resolved_query(t: Tables) -> DataFrame:
     return resolved(t)
 
 
+def long_names(t: Tables, table: str, key: str) -> DataFrame:
+    """(id, name): a longer name of each supplier or customer: nation, market segment where there is one, and its own name."""
+    rows = t.read(table).join(t.read("nation"), F.col(f"{key}_nationkey") == F.col("n_nationkey"))
+    parts = ["n_name", *(["c_mktsegment"] if key == "c" else []), f"{key}_name"]
+    return rows.select(F.col("s_suppkey" if key == "s" else "c_custkey").alias("id"), normalised_name(F.concat_ws(" ", *parts)).alias("name"))
+
+
+_TERMS_SQL = "unnest(flatten([list_transform(range(1, len(w) + 2 - n), lambda i: array_to_string(w[i:i + n - 1], ' ')) for n in [1, 2, 3] if len(w) >= n])) AS term"
+
+
+@query(
+    "ent_6_neighbours",
+    f""", s AS (SELECT DISTINCT lower(n_name) || ' ' || replace(lower(s_name), '#', ' ') AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    c AS (SELECT DISTINCT lower(n_name) || ' ' || lower(c_mktsegment) || ' ' || replace(lower(c_name), '#', ' ') AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    sw AS (SELECT name, list_filter(string_split(name, ' '), lambda x: length(x) > 1) AS w FROM s), cw AS (SELECT name, list_filter(string_split(name, ' '), lambda x: length(x) > 1) AS w FROM c),
+    st AS (SELECT name, {_TERMS_SQL} FROM sw), ct AS (SELECT name, {_TERMS_SQL} FROM cw),
+    idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM s)) / (1.0 + count(DISTINCT name))) + 1 AS idf FROM st GROUP BY 1),
+    sv AS (SELECT name, term, count(*) * idf AS v FROM st JOIN idf USING (term) GROUP BY name, term, idf), cv AS (SELECT name, term, count(*) * idf AS v FROM ct JOIN idf USING (term) GROUP BY name, term, idf),
+    sn AS (SELECT name, term, v / sqrt(sum(v * v) OVER (PARTITION BY name)) AS v FROM sv), cn AS (SELECT name, term, v / sqrt(sum(v * v) OVER (PARTITION BY name)) AS v FROM cv),
+    p AS (SELECT cn.name AS a, sn.name AS b, round(sum(cn.v * sn.v), 9) AS cosine FROM cn JOIN sn USING (term) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM p)
+    SELECT a AS name, b AS nearest, CAST(place AS INTEGER) AS place, round({NEIGHBOUR} * cosine, 6) AS score FROM r WHERE place <= 5""",
+)
+def neighbours(t: Tables, k: int = 5) -> DataFrame:
+    """The five nearest registry names of each name by TF-IDF of one to three words; three quarters of the cosine are its confidence."""
+    found = nearest(long_names(t, "customer", "c"), long_names(t, "supplier", "s"), k)
+    return found.select(F.col("a").alias("name"), F.col("b").alias("nearest"), "place", F.round(NEIGHBOUR * F.col("cosine"), 6).alias("score"))
+
+
 @query("ent_7_assignments")
 def assignments(t: Tables) -> DataFrame:
-    """A row for each judge of a bench with the entry it is resolved to; the first one presides."""
-    role = F.when(F.col("seq") == 0, "PRESIDING").otherwise("CO_JUDGE")
-    return bench_tokens(t).join(resolved(t), ["name", "court_id"]).select("case_id", "seq", "name", "judge_id", role.alias("role"), "kind", F.col("score").alias("confidence"))
+    """A row for each judge of a bench with the entry it is resolved to, or the one made for it."""
+    confidence = F.when(F.col("judge_id").isNull(), F.greatest(F.lit(FLOOR), "score")).otherwise(F.col("score"))
+    return bench_tokens(t).join(resolved(t), ["name", "court_id"]).select("case_id", "seq", "name", "judge_id", "entry", "role", "kind", confidence.alias("confidence"))
 
 
 @query("fil_8_judge_review")
@@ -177,28 +202,77 @@ def judge_review(t: Tables, threshold: float = 0.75) -> DataFrame:
     return assignments(t).where(F.col("confidence") < threshold).select("case_id", "seq", "name", "confidence").orderBy(F.desc("case_id"), "seq")
 
 
+@query("fil_8_provisional")
+def provisional_listing(t: Tables) -> DataFrame:
+    """The entries that had to be made, with the cases that name them and the newest one."""
+    made = assignments(t).where("judge_id IS NULL")
+    return made.groupBy("entry", "name").agg(F.count_distinct("case_id").alias("cases"), F.max("case_id").alias("newest")).orderBy(F.desc("newest"), "entry")
+
+
+def entries(t: Tables) -> DataFrame:
+    """(id, court, name, seen): provisional entries. The first two words of a document stand in for a name; court and day follow from its number."""
+    words = F.slice(F.filter(F.split(normalised_name(F.left(F.coalesce("text", F.lit("")), F.lit(200))), " "), lambda w: w != ""), 1, 2)
+    n = F.col("doc_id")
+    return t.read("documents").select(n.alias("id"), (n % 25).cast("int").alias("court"), F.array_join(words, " ").alias("name"), F.date_sub(t.as_of, (n * 37 % 800).cast("int")).alias("seen"))
+
+
+def merge_pairs(given: DataFrame) -> DataFrame:
+    """(id, other, score): entries (id, court, name) that may be one person, without loss over all of them.
+
+    The likeness of the names counts, a common court and a common sound add 0.05 each. Entries of one name and court are
+    linked to the newest of them, and such groups of one name to the newest group, instead of each to each; groups of
+    different names are linked by their newest entries, wherever the score is reached. Entries without a name are left out.
+    """
+    groups = checkpoint(given.where("name <> ''").groupBy("name", "court").agg(F.max("id").alias("newest")))
+    same = given.join(groups.withColumnsRenamed({"name": "n", "court": "c"}), (F.col("name") == F.col("n")) & F.col("court").eqNullSafe(F.col("c"))).where("id <> newest").select(F.col("newest").alias("id"), F.col("id").alias("other"), F.lit(MERGE_CAP).alias("score"))
+    heads = groups.groupBy(F.col("name").alias("n")).agg(F.max("newest").alias("head"))
+    across = groups.join(heads, F.col("name") == F.col("n")).where("newest <> head").select(F.col("head").alias("id"), F.col("newest").alias("other"), F.lit(MERGE_CAP).alias("score"))
+    sounds = groups.select(F.col("name").alias("n"), phonetic_key(F.col("name")).alias("sound")).distinct()
+    pairs = alike(groups.select("name"), round(100 * (MERGE - 0.10)))
+    for side in ("a", "b"):
+        pairs = pairs.join(sounds.select(F.col("n"), F.col("sound").alias(f"sound_{side}")), F.col(side) == F.col("n")).drop("n")
+    pairs = checkpoint(pairs.withColumn("base", F.col("ratio") + F.when(F.col("sound_a") == F.col("sound_b"), 0.05).otherwise(0.0)))
+    left, right = groups.select(F.col("name").alias("na"), F.col("court").alias("ca"), F.col("newest").alias("ia")), groups.select(F.col("name").alias("nb"), F.col("court").alias("cb"), F.col("newest").alias("ib"))
+    met = pairs.select("a", "b", "base").join(left, F.col("a") == F.col("na"))
+    # Where the common court is needed it is part of the key.
+    one = met.where(F.col("base") < MERGE - 1e-9).join(right, (F.col("b") == F.col("nb")) & (F.col("ca") == F.col("cb")))
+    any_court = met.where(F.col("base") >= MERGE - 1e-9).join(right, F.col("b") == F.col("nb"))
+    scored = one.unionByName(any_court).withColumn("score", F.round(F.col("base") + F.when(F.col("ca") == F.col("cb"), 0.05).otherwise(0.0), 6)).where(F.col("score") >= MERGE)
+    between = scored.select(F.greatest("ia", "ib").alias("id"), F.least("ia", "ib").alias("other"), F.least(F.lit(MERGE_CAP), "score").alias("score"))
+    return same.unionByName(across).unionByName(between)
+
+
 @query("ent_8_merges")
-def merges(t: Tables, limit: int = PROVISIONAL, most: int = SUGGESTIONS) -> DataFrame:
-    """Pairs among the newest provisional entries that may be one person, best first; both numbers are limits of the report."""
-    ship(t.spark)
-    newest = t.read("supplier").orderBy(F.desc("s_suppkey")).limit(limit).select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("court"), normalised_name(F.col("s_name")).alias("name"))
-    other = newest.select(F.col("id").alias("other"), F.col("court").alias("court2"), F.col("name").alias("name2"))
-    pairs = newest.join(other, F.col("id") > F.col("other")).withColumn("ratio", ratio_of("name", "name2"))
-    score = F.col("ratio") + F.when(F.col("court") == F.col("court2"), 0.05).otherwise(0.0) + F.when(phonetic_key(F.col("name")) == phonetic_key(F.col("name2")), 0.05).otherwise(0.0)
-    found = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= MERGE)
-    return found.select("id", "other", F.least(F.lit(MERGE_CAP), "score").alias("score")).orderBy(F.desc("score"), F.desc("id"), F.desc("other")).limit(most)
-
-
-def officials(t: Tables, threshold: float = TOKEN_SET) -> DataFrame:
-    """The official most like each party's name. Names meet on a word or a word's phonetic code; distinct names are compared once."""
-    ship(t.spark)
-    parties = named(t, PARTIES, "party", "customer", "c_custkey").withColumn("norm", normalised_name(F.col("name")))
-    known = t.spark.createDataFrame([(i, n) for i, n in enumerate(OFFICIALS)], "official int, full_name string").withColumn("other", normalised_name(F.col("full_name")))
-    codes = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.filter(F.split(c, " "), lambda x: x != ""), lambda x: F.array(x, soundex_code(x))))))
-    met = parties.select("norm").distinct().select("norm", codes("norm").alias("code")).join(known.select("official", "other", codes("other").alias("code")), "code").select("norm", "official", "other").distinct()
-    scored = met.withColumn("score", token_set_of("norm", "other")).where(F.col("score") >= threshold)
-    best = scored.groupBy("norm").agg(F.max(F.struct("score", (-F.col("official")).alias("o"))).alias("b")).select("norm", (-F.col("b.o")).alias("official"), F.round(F.col("b.score") / 100, 2).alias("confidence"))
-    return parties.join(best, "norm").select("party", "official", "confidence")
+def merges(t: Tables, most: int = SUGGESTIONS) -> DataFrame:
+    """The best suggestions over all provisional entries; their number is a limit of the report, set after the join."""
+    return merge_pairs(entries(t)).orderBy(F.desc("score"), F.desc("id"), F.desc("other")).limit(most)
+
+
+@query("ent_8_stale", f"SELECT doc_id AS id, DATE '2001-12-31' - CAST(doc_id * 37 % 800 AS INTEGER) AS seen FROM documents WHERE doc_id * 37 % 800 > {STALE}")
+def stale(t: Tables, days: int = STALE) -> DataFrame:
+    """Provisional entries that were not seen for so many days."""
+    return entries(t).where(F.col("seen") < F.date_sub(t.as_of, days)).select("id", "seen")
+
+
+def official_links(parties: DataFrame, known: DataFrame, threshold: int = TOKEN_SET) -> DataFrame:
+    """(party, official, confidence): the official most like each party's name, the first of equals.
+
+    parties (party, name) and known (official, name) meet without loss on their distinct normalised names; equal names are
+    compared once, and the best official of a name is chosen before it goes back to the parties.
+    """
+    own = parties.select("party", normalised_name(F.col("name")).alias("norm"))
+    first = known.select("official", normalised_name(F.col("name")).alias("other")).groupBy("other").agg(F.min("official").alias("official"))
+    scored = alike_word_sets(own.select(F.col("norm").alias("name")), first.select(F.col("other").alias("name")), threshold)
+    best = scored.join(first, F.col("b") == F.col("other")).groupBy("a").agg(F.max(F.struct("score", (-F.col("official")).alias("o"))).alias("best"))
+    return own.join(best, F.col("norm") == F.col("a")).select("party", (-F.col("best.o")).alias("official"), F.round(F.col("best.score") / 100, 2).alias("confidence"))
+
+
+def officials(t: Tables) -> DataFrame:
+    """Parties are customers and, as negative numbers, the first words of documents; officials a list and the first words of benchmark passages."""
+    two = lambda c: F.array_join(F.slice(F.split(F.trim(F.left(F.coalesce(c, F.lit("")), F.lit(200))), r"\s+"), 1, 2), " ").alias("name")
+    parties = named(t, PARTIES, "party", "customer", "c_custkey").unionByName(t.read("documents").select((-F.col("doc_id") - 1).alias("party"), two(F.col("text"))))
+    listed = t.spark.createDataFrame([(i, n) for i, n in enumerate(OFFICIALS)], "official long, name string")
+    return official_links(parties, listed.unionByName(t.read("benchmark").select((F.col("item_id") + len(OFFICIALS)).cast("long").alias("official"), two(F.col("text")))))
 
 
 @query("ent_9_officials")
