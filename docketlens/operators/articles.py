@@ -5,8 +5,8 @@ every article gets a line of its own that may name a case number, two parties, a
 """
 
 import difflib
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docketlens.functions.numbers import clamp
 from docketlens.plans.lineage import checkpoint, ship
 from docketlens.plans.registry import query
+from docketlens.plans.similarity import ratio
 from docketlens.sources.domain import Tables
 
 #: Confidences of the ways to match, and what a match needs.
@@ -23,8 +24,12 @@ LEAST, MOST_MATCHES, CASES_OF_A_COURT = 0.60, 5, 5
 STOPWORDS = ("about", "after", "again", "before", "being", "could", "every", "first", "other", "should", "their", "there", "these", "those", "under", "where", "which", "while", "would")
 #: Sources by what is known of them: base credibility, share of false reports, share of copies, accuracy.
 SOURCES = (("agency", 0.9, 0.05, 0.1, 0.98), ("daily", 0.75, 0.1, 0.3, 0.9), ("portal", 0.6, 0.2, 0.5, 0.8), ("blog", 0.4, 0.4, 0.6, 0.6))
-#: Articles of a block that one task compares.
-BLOCK = 300
+#: Weights of title, title with summary, date and source in the likeness of two articles, and the days after which dates count nothing.
+TITLE, CONTENT, NEAR, SOURCE, DAYS = 0.40, 0.35, 0.15, 0.10, 7
+#: Distinct articles on either side of what one task compares.
+TILE = 500
+#: Classes that characters are counted in to bound a likeness.
+CLASSES = 64
 
 ARTICLES_SQL = """, art AS (SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, source, CAST(DATE '2001-01-01' + CAST(doc_id % 300 AS INTEGER) AS DATE) AS published,
   CASE doc_id % 5 WHEN 0 THEN 'In case ' || (doc_id % 97 + 1) || '/' || (1995 + doc_id % 7) || ' the hearing went on' WHEN 1 THEN 'Customer#' || lpad(CAST(doc_id % 150 + 1 AS VARCHAR), 9, '0') || ' against Supplier#' || lpad(CAST(doc_id % 10 + 1 AS VARCHAR), 9, '0')
@@ -168,74 +173,122 @@ def likeness(a: dict, b: dict) -> float:
     """Titles, titles with summaries, dates and sources of two articles; the ratios are those of difflib."""
     ratio = lambda x, y: 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
     days = abs((a["published"] - b["published"]).days) if a["published"] and b["published"] else None
-    near = 0.0 if days is None or days > 7 else 1.0 if days <= 1 else 1.0 - days / 7 * 0.5
-    return min(1.0, 0.40 * ratio(a["title"], b["title"]) + 0.35 * ratio(a["content"], b["content"]) + 0.15 * near + 0.10 * (0.5 if a["source"] == b["source"] else 0.0))
+    near = 0.0 if days is None or days > DAYS else 1.0 if days <= 1 else 1.0 - days / DAYS * 0.5
+    return min(1.0, TITLE * ratio(a["title"], b["title"]) + CONTENT * ratio(a["content"], b["content"]) + NEAR * near + SOURCE * (0.5 if a["source"] == b["source"] else 0.0))
 
 
 def stories(t: Tables) -> DataFrame:
-    """Articles with lower-cased title and content, and their block: articles whose titles begin with the same words.
-
-    A likeness of 0.85 needs titles that agree for the most part: with all else equal the title's ratio must be 0.75.
-    Blocks are formed by the title's first three words, so an article whose first words were changed is in another one.
-    """
+    """Articles with lower-cased title and content."""
     title = F.lower(F.coalesce("title", F.lit("")))
-    content = F.concat_ws(" ", title, F.lower("lead"))
-    block = F.xxhash64(F.slice(F.split(title, r"\s+"), 1, 3))
-    return articles(t).select("article_id", title.alias("title"), F.lower(content).alias("content"), "published", "source", block.alias("block"))
+    return articles(t).select("article_id", title.alias("title"), F.lower(F.concat_ws(" ", title, F.lower("lead"))).alias("content"), "published", "source")
 
 
-ROW = "block long, first long, title string, content string, published date, source string"
+def letter_counts(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    for i, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
+        out[i] = np.bincount(codes, minlength=CLASSES)
+    return out
 
 
-def grouped(arts: DataFrame, threshold: float = 0.85, most: int = BLOCK) -> DataFrame:
-    """(primary, member, similarity, published): in order of their numbers, an article that no earlier one took takes all later ones like it.
+def shared_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows, the most that a ratio of the two texts can be by their counts of characters."""
+    common = sum(np.minimum(a[:, None, k], b[None, :, k]) for k in range(CLASSES))
+    total = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
+    return np.where(total > 0, 2 * common / np.maximum(total, 1), 1.0)
 
-    Only distinct (title, content, date, source) are compared, as equal ones are alike to the same articles. In rounds, the
-    first rows of each block settle among themselves which of them are primaries; all others of the block then meet these
-    primaries in a join, and what none takes goes to the next round. So a task holds that many rows of a block, whatever
-    its size, and the groups are those of one pass in order.
+
+def alike_in(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> list[tuple[int, int, float]]:
+    """(a, b, similarity), a < b, of the articles of two tiles that reach the threshold.
+
+    A ratio of difflib counts characters of a common subsequence, so it is at most that of the characters in common, and at
+    most that of the longest common subsequence. The first bound is taken for all pairs at once, the second for the
+    titles and then the contents of those that are left, and only what passes these is compared.
+    """
+    days = np.abs(left["day"].to_numpy()[:, None] - right["day"].to_numpy()[None, :])
+    near = np.where(days <= 1, 1.0, np.where(days <= DAYS, 1.0 - days / DAYS * 0.5, 0.0))
+    rest = NEAR * near + SOURCE * 0.5 * (left["source"].to_numpy()[:, None] == right["source"].to_numpy()[None, :])
+    content = shared_letters(letter_counts(list(left["content"])), letter_counts(list(right["content"])))
+    most = rest + CONTENT * content
+    some = most + TITLE >= threshold - 1e-9
+    if some.any():
+        some &= most + TITLE * shared_letters(letter_counts(list(left["title"])), letter_counts(list(right["title"]))) >= threshold - 1e-9
+    rows, others = left.to_dict("records"), right.to_dict("records")
+    out = []
+    for i, j in np.argwhere(some):
+        a, b = (rows[i], others[j]) if rows[i]["first"] < others[j]["first"] else (others[j], rows[i])
+        if a["first"] == b["first"]:
+            continue
+        title = ratio(a["title"], b["title"])
+        if most[i, j] + TITLE * title < threshold - 1e-9 or rest[i, j] + TITLE * title + CONTENT * ratio(a["content"], b["content"]) < threshold - 1e-9:
+            continue
+        if (found := likeness(a, b)) >= threshold:
+            out.append((a["first"], b["first"], found))
+    return out
+
+
+def alike_articles(distinct: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """(a, b, similarity), a < b by first, of the distinct articles whose likeness reaches the threshold (0.81 or more); none is lost.
+
+    Without dates at most 7 days apart two articles reach 0.80. So articles meet those of their own eight days and of the
+    next; each such stretch is dealt into tiles of bounded size, and a task compares two tiles. Only alike pairs leave it.
     """
-    ship(arts.sparkSession)
-    keys = ["block", "title", "content", "published", "source"]
-    distinct = arts.groupBy(*keys).agg(F.min("article_id").alias("first"))
-
-    def settle(block: pd.DataFrame) -> pd.DataFrame:
-        primaries: list[dict] = []
-        lead, alike = [], []
-        rows = block.sort_values("first")
-        for row in rows.to_dict("records"):
-            found = next(((p["first"], s) for p in primaries if (s := likeness(p, row)) >= threshold), None)
-            if found is None:
-                primaries.append(row)
-                found = (row["first"], 1.0)
-            lead.append(found[0])
-            alike.append(found[1])
-        return rows[["block", "first", "title", "content", "published", "source"]].assign(lead=lead, similarity=alike)
-
-    @F.pandas_udf("double")
-    def alike(t1: pd.Series, c1: pd.Series, p1: pd.Series, s1: pd.Series, t2: pd.Series, c2: pd.Series, p2: pd.Series, s2: pd.Series) -> pd.Series:
-        names = ("title", "content", "published", "source")
-        return pd.Series([likeness(dict(zip(names, r[:4], strict=True)), dict(zip(names, r[4:], strict=True))) for r in zip(t1, c1, p1, s1, t2, c2, p2, s2, strict=True)])
-
-    order, whole = Window.partitionBy("block").orderBy("first"), Window.partitionBy("block")
-    left, settled = checkpoint(distinct), []
+    ship(distinct.sparkSession)
+    dated = distinct.where("published IS NOT NULL").withColumn("day", F.datediff("published", F.lit("1970-01-01").cast("date"))).withColumn("span", F.floor(F.col("day") / (DAYS + 1)))
+    counts = checkpoint(dated.groupBy(F.col("span").alias("s")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")))
+    known = counts
+    for name, shift in (("next", 1), ("last", -1)):
+        other = counts.select((F.col("s") - shift).alias("o"), F.col("tiles").alias(name))
+        known = known.join(other, F.col("s") == F.col("o"), "left").drop("o")
+    own = dated.join(known, F.col("span") == F.col("s")).drop("s").withColumn("tile", F.pmod(F.xxhash64("first"), F.col("tiles")).cast("int"))
+    span, i = F.col("span"), F.col("tile")
+    group = lambda a, x, b, y: F.struct(a.alias("s1"), x.alias("t1"), b.alias("s2"), y.alias("t2"))
+    over = lambda n, f: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f))
+    inside = over("tiles", lambda j: group(span, F.least(i, j), span, F.greatest(i, j)))
+    after, before = over("next", lambda j: group(span, i, span + 1, j)), over("last", lambda j: group(span - 1, j, span, i))
+    dealt = own.select("first", "title", "content", "published", "source", "day", "span", "tile", F.explode(F.flatten(F.array_compact(F.array(inside, after, before)))).alias("g")).select("*", "g.*").drop("g")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        s1, t1, s2, t2 = (g[c].iloc[0] for c in ("s1", "t1", "s2", "t2"))
+        left, right = (g[(g["span"] == s) & (g["tile"] == x)].reset_index(drop=True) for s, x in ((s1, t1), (s2, t2)))
+        found = alike_in(left, right, threshold) if len(left) and len(right) else []
+        return pd.DataFrame(sorted(set(found)), columns=["a", "b", "similarity"])
+
+    return dealt.groupBy("s1", "t1", "s2", "t2").applyInPandas(compare, "a long, b long, similarity double")
+
+
+def leaders(edges: DataFrame) -> DataFrame:
+    """(b, lead, similarity): the articles that an earlier one takes, of those in edges (a, b, similarity), a < b.
+
+    In the order of numbers, an article that no earlier one took takes all later ones like it. In rounds, articles without
+    an undecided earlier neighbour take all of their neighbours, and the edges of taken ones go; so all rounds together
+    need as many as the longest chain of undecided neighbours. What is never taken leads, and a taken article belongs to
+    the earliest of its neighbours that do.
+    """
+    left, taken = checkpoint(edges.select("a", "b")), edges.select(F.col("b").alias("t")).limit(0)
     while not left.isEmpty():
-        ranked = left.withColumn("rn", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(whole))
-        alone = ranked.where("of = 1").select("block", "first", "title", "content", "published", "source", F.col("first").alias("lead"), F.lit(1.0).alias("similarity"))
-        head = ranked.where(f"of > 1 AND rn <= {most}").drop("rn", "of").groupBy("block").applyInPandas(settle, ROW + ", lead long, similarity double")
-        done = checkpoint(alone.unionByName(head))
-        rest = ranked.where(F.col("rn") > most).drop("rn", "of")
-        primary = done.where("lead = first").select(F.col("block").alias("b"), F.col("first").alias("p"), F.col("title").alias("t"), F.col("content").alias("c"), F.col("published").alias("d"), F.col("source").alias("s"))
-        met = rest.join(primary, F.col("block") == F.col("b")).withColumn("similarity", alike("t", "c", "d", "s", "title", "content", "published", "source"))
-        taken = checkpoint(met.where(F.col("similarity") >= threshold).groupBy("first").agg(F.min(F.struct("p", "similarity")).alias("m")).select("first", F.col("m.p").alias("lead"), "m.similarity"))
-        settled += [done.select("first", "lead", "similarity"), taken]
-        left = checkpoint(rest.join(taken.select("first"), "first", "left_anti").select(left.columns))
-    found = distinct.limit(0).select("first", F.col("first").alias("lead"), F.lit(1.0).alias("similarity"))
-    for part in settled:
-        found = found.unionByName(part)
-    tagged = distinct.join(found, "first").select(*[F.col(k).alias(f"k_{k}") for k in keys], "first", "lead", "similarity")
-    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    joined = arts.join(tagged, same[0] & same[1] & same[2] & same[3] & same[4])
+        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        now = checkpoint(left.join(heads, "a").select(F.col("b").alias("t")).distinct())
+        left = checkpoint(left.join(now, F.col("b") == F.col("t"), "left_anti").join(now, F.col("a") == F.col("t"), "left_anti"))
+        taken = taken.unionByName(now)
+    heads = edges.select("a").distinct().join(checkpoint(taken), F.col("a") == F.col("t"), "left_anti")
+    best = edges.join(heads, "a").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("m"))
+    return best.select("b", F.col("m.a").alias("lead"), "m.similarity")
+
+
+def grouped(arts: DataFrame, threshold: float = 0.85, tile: int = TILE) -> DataFrame:
+    """(primary, member, similarity, published): in order of their numbers, an article that no earlier one took takes all later ones like it.
+
+    Only distinct (title, content, date, source) are compared, as equal ones are alike to the same articles.
+    """
+    keys = ["title", "content", "published", "source"]
+    distinct = checkpoint(arts.groupBy(*keys).agg(F.min("article_id").alias("first")))
+    found = leaders(checkpoint(alike_articles(distinct, threshold, tile)))
+    led = distinct.join(found, F.col("first") == F.col("b"), "left").select(*[F.col(k).alias(f"k_{k}") for k in keys], "first", F.coalesce("lead", "first").alias("lead"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    joined = arts.join(led, same)
     # Equal articles reach 0.95, as one source gives half of its share; without a date they stay below the threshold.
     leads = F.col("lead") == F.col("first")
     primary = F.when(leads & F.col("published").isNull(), F.col("article_id")).otherwise(F.col("lead"))
@@ -254,8 +307,8 @@ def groups(t: Tables) -> DataFrame:
     rows = grouped(stories(t))
     own = rows.where("member = primary").select(F.col("primary").alias("p"), F.col("published").alias("at"))
     others = rows.where("member <> primary").join(own, F.col("primary") == F.col("p"))
-    g = others.groupBy("primary").agg(F.count(F.lit(1)).alias("duplicates"), F.min("similarity").alias("least"), F.max(F.abs(F.datediff("published", "at"))).alias("days"), F.array_sort(F.collect_list(F.col("member").cast("string"))).alias("members"))
-    kind = F.when(F.col("least") > 0.99, "exact").when(F.col("days") <= 1, "syndicated").when(F.col("least") > 0.95, "paraphrased").otherwise("near_duplicate")
+    g = others.groupBy("primary").agg(F.count(F.lit(1)).alias("duplicates"), F.min("similarity").alias("least"), F.max(F.abs(F.datediff("published", "at"))).alias("days"), F.bool_and(F.col("published").isNotNull() & F.col("at").isNotNull()).alias("dated"), F.array_sort(F.collect_list(F.col("member").cast("string"))).alias("members"))
+    kind = F.when(F.col("least") > 0.99, "exact").when(F.col("dated") & (F.col("days") <= 1), "syndicated").when(F.col("least") > 0.95, "paraphrased").otherwise("near_duplicate")
     identity = F.substring(F.sha2(F.concat(F.col("primary").cast("string"), F.lit("_"), F.array_join("members", "_")), 256), 1, 12)
     return g.select("primary", "duplicates", F.round("least", 6).alias("least"), kind.alias("kind"), identity.alias("group_id"))
 

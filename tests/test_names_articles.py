@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -79,31 +80,62 @@ def test_roles_of_benches(spark, monkeypatch):
 
 
 def one_pass(rows, threshold=0.85):
-    """The groups of one pass in order, within the blocks of the operator."""
+    """The groups of one pass in order over all pairs."""
     taken, found = set(), {}
     rows = sorted(rows, key=lambda r: r["article_id"])
     for i, a in enumerate(rows):
         if a["article_id"] in taken:
             continue
-        found[a["article_id"]] = a["article_id"]
+        found[a["article_id"]] = (a["article_id"], 1.0)
         for b in rows[i + 1 :]:
-            if b["article_id"] not in taken and a["block"] == b["block"] and articles.likeness(a, b) >= threshold:
+            if b["article_id"] not in taken and (s := articles.likeness(a, b)) >= threshold:
                 taken.add(b["article_id"])
-                found[b["article_id"]] = a["article_id"]
+                found[b["article_id"]] = (a["article_id"], s)
     return found
 
 
-@pytest.mark.parametrize("most", [3, 300])
-def test_groups_are_those_of_one_pass(spark, most):
-    r = random.Random(5)
+def made_articles(seed, n, days):
+    r = random.Random(seed)
+    texts = ["the court stays the order", "the judge grants bail to both", "", "a", "x" * 250]
     rows = []
-    for i in range(60):
-        w = ["the", "same", "start", *[r.choice(["court", "judge", "order", "stay", "bail"]) for _ in range(r.choice((2, 3)))]]
-        day = dt.date(2001, 1, 1) + dt.timedelta(days=r.randint(0, 9)) if i % 10 else None
-        rows.append({"article_id": i, "title": " ".join(w), "content": " ".join(w) + " x", "published": day, "source": r.choice("ab"), "block": i % 3 // 2})
-    df = spark.createDataFrame([tuple(x.values()) for x in rows], "article_id long, title string, content string, published date, source string, block long").repartition(3)
-    got = {x["member"]: x["primary"] for x in articles.grouped(df, most=most).collect()}
-    assert got == one_pass(rows) and len(set(got.values())) < len(got)
+    for i in range(n):
+        words = r.choice(texts).split() + [r.choice(["court", "judge", "order", "stay", "bail"]) for _ in range(r.choice((0, 1, 2)))]
+        if r.random() < 0.3:
+            r.shuffle(words)
+        day = dt.date(2001, 1, 1) + dt.timedelta(days=r.randint(0, days)) if i % 10 else None
+        title = " ".join(words)
+        rows.append({"article_id": i, "title": title, "content": title + r.choice([" x", " it was heard", ""]), "published": day, "source": r.choice(["a", "b", None])})
+    return rows
+
+
+@pytest.mark.parametrize(("tile", "days"), [(7, 30), (500, 3), (25, 0)])
+def test_groups_are_those_of_one_pass(spark, tile, days):
+    rows = made_articles(tile, 220, days)
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "article_id long, title string, content string, published date, source string").repartition(3)
+    got = {x["member"]: (x["primary"], round(x["similarity"], 9)) for x in articles.grouped(df, tile=tile).collect()}
+    expected = {k: (p, round(s, 9)) for k, (p, s) in one_pass(rows).items()}
+    assert got == expected and len({p for p, _ in got.values()}) < len(got)
+
+
+def test_edges_lose_nothing(spark):
+    rows = [{**x, "first": x["article_id"]} for x in made_articles(1, 150, 12)]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "article_id long, title string, content string, published date, source string, first long")
+    got = {(x["a"], x["b"]): x["similarity"] for x in articles.alike_articles(df, 0.85, 20).collect()}
+    assert got == {(a["first"], b["first"]): s for a, b in itertools.combinations(rows, 2) if (s := articles.likeness(a, b)) >= 0.85}
+
+
+def test_leaders_of_chains(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 12), (11, 12), (20, 30), (25, 30), (21, 25)]
+    got = articles.leaders(spark.createDataFrame([(a, b, 0.9) for a, b in edges], "a long, b long, similarity double")).collect()
+    assert {(x["b"], x["lead"]) for x in got} == {(2, 1), (4, 3), (12, 10), (30, 20), (25, 21)}
+
+
+def test_kinds_need_dates(spark, monkeypatch):
+    day = dt.date(2001, 1, 1)
+    rows = spark.createDataFrame([(1, 1, 1.0, day), (1, 2, 0.9, day), (3, 3, 1.0, day), (3, 4, 0.9, None), (3, 5, 0.9, day)], "primary long, member long, similarity double, published date")
+    monkeypatch.setattr(articles, "grouped", lambda arts: rows)
+    monkeypatch.setattr(articles, "stories", lambda t: rows)
+    assert {(x["primary"], x["kind"]) for x in articles.kinds(None).collect()} == {(1, "syndicated"), (3, "near_duplicate")}
 
 
 def test_summary(spark):
