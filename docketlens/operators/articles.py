@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.numbers import clamp
+from docketlens.operators.feeds import ATTENTION_SQL, attention
 from docketlens.plans.lineage import checkpoint, ship
 from docketlens.plans.registry import query
 from docketlens.plans.similarity import ratio
@@ -22,8 +23,6 @@ CASE_NUMBER, JUDGE, COURT, PARTY, PARTY_CAP, KEYWORD_CAP = 0.98, 0.75, 0.45, 0.4
 LEAST, MOST_MATCHES, CASES_OF_A_COURT = 0.60, 5, 5
 #: Words that are no keywords.
 STOPWORDS = ("about", "after", "again", "before", "being", "could", "every", "first", "other", "should", "their", "there", "these", "those", "under", "where", "which", "while", "would")
-#: Sources by what is known of them: base credibility, share of false reports, share of copies, accuracy.
-SOURCES = (("agency", 0.9, 0.05, 0.1, 0.98), ("daily", 0.75, 0.1, 0.3, 0.9), ("portal", 0.6, 0.2, 0.5, 0.8), ("blog", 0.4, 0.4, 0.6, 0.6))
 #: Weights of title, title with summary, date and source in the likeness of two articles, and the days after which dates count nothing.
 TITLE, CONTENT, NEAR, SOURCE, DAYS = 0.40, 0.35, 0.15, 0.10, 7
 #: Distinct articles on either side of what one task compares.
@@ -48,7 +47,7 @@ def articles(t: Tables) -> DataFrame:
         .otherwise("machinery furniture")
     )
     published = F.date_add(F.lit("2001-01-01").cast("date"), (n % 300).cast("int"))
-    return t.read("documents").select(n.alias("article_id"), F.split("text", "\n")[0].alias("title"), "source", published.alias("published"), lead.alias("lead"))
+    return t.read("documents").select(n.alias("article_id"), F.split("text", "\n")[0].alias("title"), "source", published.alias("published"), lead.alias("lead")).withColumn("said", F.concat_ws(" ", "title", "lead"))
 
 
 def known_cases(t: Tables) -> DataFrame:
@@ -58,10 +57,22 @@ def known_cases(t: Tables) -> DataFrame:
     return t.cases.select("case_id", number.alias("case_number"), F.lower("party_name").alias("plaintiff"), defendant.alias("defendant"), F.concat(F.lit("supplier"), n % 10 + 1).alias("judge"), "court", "case_type", "filing_date")
 
 
-def by_number(arts: DataFrame, cases: DataFrame) -> DataFrame:
+def first_cases(cases: DataFrame, keys: list[str], k: int | None) -> DataFrame:
+    """The first k cases of each key by number, or all of them. Spark cuts each task's rows to k a key before the shuffle."""
+    if k is None:
+        return cases
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("case_id"))
+    return cases.withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
+
+
+def numbers_in(arts: DataFrame) -> DataFrame:
+    return arts.select("article_id", F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit(r"(\d{1,4})/(\d{4})"), F.lit(0)))).alias("number"))
+
+
+def by_number(arts: DataFrame, cases: DataFrame, k: int | None = None) -> DataFrame:
     """Articles that name a case number: an equi-join on every number found."""
-    found = arts.select("article_id", F.explode(F.array_distinct(F.regexp_extract_all("lead", F.lit(r"(\d{1,4})/(\d{4})"), F.lit(0)))).alias("number"))
-    return found.join(cases, F.col("number") == F.col("case_number")).select("article_id", "case_id", F.lit(CASE_NUMBER).alias("confidence")).distinct()
+    met = numbers_in(arts).join(first_cases(cases, ["case_number"], k), F.col("number") == F.col("case_number"))
+    return met.select("article_id", "case_id", F.lit(CASE_NUMBER).alias("confidence")).distinct()
 
 
 def names_in(text: Column) -> Column:
@@ -69,15 +80,16 @@ def names_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\w#]+"), F.lit(0)))
 
 
-def by_parties(arts: DataFrame, cases: DataFrame) -> DataFrame:
+def by_parties(arts: DataFrame, cases: DataFrame, k: int | None = None) -> DataFrame:
     """Articles that hold the names of both parties of a case.
 
     One name gives 0.4, and a match needs more than 0.5, so both must be there. A party's first word leads to its
     cases, by an equi-join on both parties' first words; containment is then checked on the pairs that are left.
     """
+    cases = first_cases(cases, ["plaintiff", "defendant"], k)
     first = lambda c: F.regexp_extract(c, r"[\w#]+", 0)
     parties = cases.where("length(plaintiff) > 3 AND length(defendant) > 3").select("case_id", "plaintiff", "defendant", first("plaintiff").alias("p"), first("defendant").alias("d"))
-    words = arts.select("article_id", F.lower("lead").alias("text"), names_in(F.col("lead")).alias("words"))
+    words = arts.select("article_id", F.lower("said").alias("text"), names_in(F.col("said")).alias("words"))
     keys = parties.select("p", "d").distinct()
     left = words.select("article_id", "text", "words", F.explode("words").alias("p"))
     met = left.join(keys.select("p").distinct(), "p").select("article_id", "text", "p", F.explode("words").alias("d")).join(keys, ["p", "d"])
@@ -85,41 +97,99 @@ def by_parties(arts: DataFrame, cases: DataFrame) -> DataFrame:
     return held.select("article_id", "case_id", F.lit(min(PARTY_CAP, 2 * PARTY)).alias("confidence")).distinct()
 
 
-def by_judge(arts: DataFrame, cases: DataFrame) -> DataFrame:
-    name = F.lower(F.regexp_extract("lead", r"(?i)(?:Justice|Judge|J\.|Shri|Smt\.)\s+(\w+)", 1))
-    named = arts.select("article_id", name.alias("judge")).where("judge <> ''")
-    return named.join(cases.select("case_id", "judge"), "judge").select("article_id", "case_id", F.lit(JUDGE).alias("confidence"))
+def judges_in(arts: DataFrame) -> DataFrame:
+    """(article_id, judge): every judge that an article names, by up to two words after a title.
+
+    The second word may belong to the name or not, so that the name is looked up with it and without.
+    """
+    found = F.regexp_extract_all("said", F.lit(r"(?i)(?:Justice|Judge|J\.|Shri|Smt\.)\s+(\w+(?:\s+\w+)?)"), F.lit(1))
+    both = F.flatten(F.transform(found, lambda n: F.array(F.lower(n), F.lower(F.regexp_extract(n, r"^\w+", 0)))))
+    return arts.select("article_id", F.explode(F.array_distinct(both)).alias("judge"))
+
+
+def by_judge(arts: DataFrame, cases: DataFrame, k: int | None = None) -> DataFrame:
+    met = judges_in(arts).join(first_cases(cases.select("case_id", "judge"), ["judge"], k), "judge")
+    return met.select("article_id", "case_id", F.lit(JUDGE).alias("confidence")).distinct()
 
 
 def by_court(arts: DataFrame, cases: DataFrame) -> DataFrame:
-    """The first cases of a court that is named: picked once for each court, before the join."""
-    named = arts.select("article_id", F.regexp_extract("lead", r"(?i)(?:District|High|Supreme|Sessions|Civil|Criminal) Court of (\w+)", 1).alias("court")).where("court <> ''")
-    rank = F.row_number().over(Window.partitionBy("court").orderBy("case_id"))
-    first = cases.select("court", "case_id").withColumn("rn", rank).where(F.col("rn") <= CASES_OF_A_COURT)
-    return named.join(first, "court").select("article_id", "case_id", F.lit(COURT).alias("confidence"))
+    """The first cases of each court that is named: picked once for a court, before the join."""
+    found = F.regexp_extract_all("said", F.lit(r"(?i)(?:District|High|Supreme|Sessions|Civil|Criminal) Court of (\w+)"), F.lit(1))
+    named = arts.select("article_id", F.explode(F.array_distinct(found)).alias("court"))
+    return named.join(first_cases(cases.select("court", "case_id"), ["court"], CASES_OF_A_COURT), "court").select("article_id", "case_id", F.lit(COURT).alias("confidence"))
 
 
-def by_keywords(arts: DataFrame, cases: DataFrame) -> DataFrame:
-    """Share of an article's keywords in a case's type, and the nearness of their dates.
+def likely_types(arts: DataFrame, cases: DataFrame) -> DataFrame:
+    """(article_id, published, case_type, share): the types that hold some of an article's keywords, with their share.
 
-    Keywords meet the few distinct case types; cases come in only within the 90 days in which dates count, or where
-    the words alone pass, by type. A repeated keyword counts as often as it stands there.
+    Keywords are those of the lead; one that repeats counts as often. A type holds a word that is a part of its name, so
+    the parts of the few distinct types meet the words in an equi-join.
     """
     words = F.filter(F.regexp_extract_all(F.lower("lead"), F.lit(r"\w+"), F.lit(0)), lambda w: (F.length(w) > 4) & ~w.isin(*STOPWORDS))
-    keyed = arts.select("article_id", "published", words.alias("words")).where("size(words) > 0")
-    types = cases.select("case_type").distinct()
-    share = F.size(F.filter("words", lambda w: F.col("case_type").contains(w))) / F.size("words")
-    likely = keyed.join(types, F.lit(True)).withColumn("share", share).where("share > 0").select("article_id", "published", "case_type", "share")
-    days = F.abs(F.datediff("published", "filing_date"))
-    near = F.when(days < 90, 0.3 * (1 - days / 90)).otherwise(0.0)
-    score = 0.7 * F.col("share") + 0.3 * near
-    return likely.join(cases.select("case_id", "case_type", "filing_date"), "case_type").withColumn("score", score).where("score > 0.4").select("article_id", "case_id", F.least(F.lit(KEYWORD_CAP), "score").alias("confidence"))
-
-
-NUMBER_SQL = ARTICLES_SQL + r""", num AS (SELECT DISTINCT article_id, case_id, 0.98 AS confidence FROM (SELECT article_id, unnest(regexp_extract_all(lead, '\d{1,4}/\d{4}')) AS number FROM art) JOIN cas ON number = case_number),
-par AS (SELECT article_id, case_id, 0.8 AS confidence FROM art JOIN cas ON contains(lower(lead), plaintiff) AND contains(lower(lead), defendant)),
-jud AS (SELECT article_id, case_id, 0.75 AS confidence FROM art JOIN cas ON lower(regexp_extract(lead, '(?i)(?:Justice|Judge|J\.|Shri|Smt\.)\s+(\w+)', 1)) = judge),
-crt AS (SELECT article_id, case_id, 0.45 AS confidence FROM (SELECT article_id, regexp_extract(lead, '(?i)(?:District|High|Supreme|Sessions|Civil|Criminal) Court of (\w+)', 1) AS named FROM art) JOIN (SELECT case_id, court FROM cas QUALIFY row_number() OVER (PARTITION BY court ORDER BY case_id) <= 5) ON named = court),
+    each = arts.select("article_id", "published", words.alias("words")).select("article_id", "published", F.size("words").alias("n_words"), F.explode("words").alias("word"))
+    size = F.char_length("case_type")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size - 4), lambda i: F.transform(F.sequence(F.lit(5), size - i + 1), lambda n: F.substr("case_type", i, n))))
+    known = cases.select("case_type").distinct().where(size >= 5).select("case_type", F.explode(F.array_distinct(parts)).alias("part"))
+    met = each.join(known, F.col("word") == F.col("part"))
+    return met.groupBy("article_id", "published", "n_words", "case_type").agg((F.count(F.lit(1)) / F.col("n_words")).alias("share")).drop("n_words")
+
+
+def keyword_score(share: Column, days: Column) -> Column:
+    """Share of the keywords and nearness of the dates, which counts within 90 days; days may be null."""
+    return 0.7 * share + 0.3 * F.when(days < 90, 0.3 * (1 - days / 90)).otherwise(0.0)
+
+
+def around(likely: DataFrame) -> DataFrame:
+    """(p, type, day, days): the days within which dates count, for each distinct day and type of articles."""
+    keys = likely.where("published IS NOT NULL").select(F.col("published").alias("p"), F.col("case_type").alias("type")).distinct()
+    return keys.select("p", "type", F.explode(F.sequence(F.date_sub("p", 89), F.date_add("p", 89))).alias("day")).withColumn("days", F.abs(F.datediff("p", "day")))
+
+
+def keyword_counts(arts: DataFrame, cases: DataFrame) -> DataFrame:
+    """(article_id, n, total, best) over all cases that match by keywords, without making a pair of article and case.
+
+    Cases are counted by type and day. A day of an article needs the counts of at most 179 days, whose pairs have a date's
+    share; all other cases of the type have the score of the words alone.
+    """
+    likely = likely_types(arts, cases)
+    daily = cases.groupBy(F.col("case_type").alias("t"), F.col("filing_date").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    near = around(likely).join(daily, (F.col("type") == F.col("t")) & (F.col("day") == F.col("f"))).groupBy("p", "type", "days").agg(F.sum("n").alias("n"))
+    near = near.groupBy("p", "type").agg(F.collect_list(F.struct("days", "n")).alias("near"), F.sum("n").alias("n_near"))
+    all_of = daily.groupBy(F.col("t").alias("t2")).agg(F.sum("n").alias("n_type"))
+    met = likely.join(near, (F.col("published") == F.col("p")) & (F.col("case_type") == F.col("type")), "left").join(all_of, F.col("case_type") == F.col("t2"))
+    far = F.when(keyword_score(F.col("share"), F.lit(None).cast("int")) > 0.4, F.col("n_type") - F.coalesce("n_near", F.lit(0))).otherwise(0)
+    score = lambda days: F.least(F.lit(KEYWORD_CAP), keyword_score(F.col("share"), days))
+    groups = F.filter(F.coalesce("near", F.array().cast("array<struct<days:int,n:bigint>>")), lambda x: keyword_score(F.col("share"), x["days"]) > 0.4)
+    every = F.filter(F.concat(F.transform(groups, lambda x: F.struct(score(x["days"]).alias("s"), x["n"].alias("n"))), F.array(F.struct(score(F.lit(None).cast("int")).alias("s"), far.cast("long").alias("n")))), lambda x: x["n"] > 0)
+    each = met.select("article_id", every.alias("every"))
+    add = lambda f: F.aggregate("every", F.lit(0.0), lambda acc, x: acc + f(x))
+    sums = each.where("size(every) > 0").select("article_id", add(lambda x: x["n"]).cast("long").alias("n"), add(lambda x: x["n"] * x["s"]).alias("total"), F.array_max(F.transform("every", lambda x: x["s"])).alias("best"))
+    return sums.groupBy("article_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+
+
+def by_keywords(arts: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """The best k cases of each article and likely type by keywords.
+
+    All cases of a type and day score alike, so that the first k of them are enough; and where fewer than k have a date's
+    share, k of the first 2k - 1 of the type score by words alone. So an article's day and type decide the k cases.
+    """
+    likely = likely_types(arts, cases)
+    own = cases.select(F.col("case_type").alias("t"), F.col("filing_date").alias("f"), "case_id")
+    near = around(likely).join(first_cases(own, ["t", "f"], k), (F.col("type") == F.col("t")) & (F.col("day") == F.col("f"))).select("p", "type", "case_id", "days")
+    far = likely.select(F.col("published").alias("p"), F.col("case_type").alias("type")).distinct().join(first_cases(own, ["t"], 2 * k - 1), F.col("type") == F.col("t")).select("p", "type", "case_id", F.abs(F.datediff("p", "f")).alias("days"))
+    capped = F.when(F.col("days") < 90, F.col("days")).otherwise(90)
+    rank = F.row_number().over(Window.partitionBy("p", "type").orderBy("days", "case_id"))
+    best = near.unionByName(far).select("p", "type", "case_id", capped.alias("days")).distinct().withColumn("rn", rank).where(F.col("rn") <= k)
+    met = likely.join(best, F.col("published").eqNullSafe(F.col("p")) & (F.col("case_type") == F.col("type")))
+    return met.withColumn("score", keyword_score(F.col("share"), F.col("days"))).where("score > 0.4").select("article_id", "case_id", F.least(F.lit(KEYWORD_CAP), "score").alias("confidence"))
+
+
+NUMBER_SQL = ARTICLES_SQL + r""", said AS (SELECT article_id, coalesce(title || ' ', '') || lead AS lead FROM art),
+num AS (SELECT DISTINCT article_id, case_id, 0.98 AS confidence FROM (SELECT article_id, unnest(regexp_extract_all(lead, '\d{1,4}/\d{4}')) AS number FROM said) JOIN cas ON number = case_number),
+par AS (SELECT article_id, case_id, 0.8 AS confidence FROM said JOIN cas ON contains(lower(lead), plaintiff) AND contains(lower(lead), defendant)),
+jnm AS (SELECT article_id, unnest(regexp_extract_all(lower(lead), '(?:justice|judge|j\.|shri|smt\.)\s+(\w+(?:\s+\w+)?)', 1)) AS name FROM said),
+jud AS (SELECT DISTINCT article_id, case_id, 0.75 AS confidence FROM jnm JOIN cas ON judge = name OR judge = regexp_extract(name, '^\w+')),
+crt AS (SELECT article_id, case_id, 0.45 AS confidence FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lead, '(?i)(?:District|High|Supreme|Sessions|Civil|Criminal) Court of (\w+)', 1)) AS named FROM said) JOIN (SELECT case_id, court FROM cas QUALIFY row_number() OVER (PARTITION BY court ORDER BY case_id) <= 5) ON named = court),
 kw AS (SELECT article_id, published, list_filter(regexp_extract_all(lower(lead), '\w+'), lambda w: length(w) > 4 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in STOPWORDS) + """)) AS words FROM art),
 ks AS (SELECT article_id, case_id, 0.7 * len(list_filter(words, lambda w: contains(case_type, w))) / len(words) + 0.3 * CASE WHEN abs(date_diff('day', published, filing_date)) < 90 THEN 0.3 * (1 - abs(date_diff('day', published, filing_date)) / 90) ELSE 0 END AS score, len(list_filter(words, lambda w: contains(case_type, w))) AS hits FROM kw, cas WHERE len(words) > 0),
 key AS (SELECT article_id, case_id, least(0.80, score) AS confidence FROM ks WHERE hits > 0 AND score > 0.4)"""
@@ -137,13 +207,20 @@ def judge_court_match(t: Tables) -> DataFrame:
 
 @query("fed_4_keyword_match", NUMBER_SQL + " SELECT article_id, count(*) AS n, round(max(confidence), 6) AS best, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS mean FROM key GROUP BY 1")
 def keyword_match(t: Tables) -> DataFrame:
-    return by_keywords(articles(t), known_cases(t)).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("confidence"), 6).alias("best"), F.round(F.round(F.avg("confidence"), 9), 6).alias("mean"))
+    found = keyword_counts(articles(t), known_cases(t))
+    return found.select("article_id", "n", F.round("best", 6).alias("best"), F.round(F.round(F.col("total") / F.col("n"), 9), 6).alias("mean"))
 
 
 def matches(t: Tables, least: float = LEAST, k: int = MOST_MATCHES) -> DataFrame:
-    """The best cases of each article over all ways to match. Courts, which give less than is needed, only add weaker ones."""
+    """The best cases of each article over all ways to match, at least as sure as asked for.
+
+    All matches of an article by one number, judge or pair of parties are equally sure, so the first k of them are enough:
+    whatever else a later one is, k cases come before it. Courts come in only where their confidence is enough.
+    """
     arts, cases = articles(t), known_cases(t)
-    each = by_number(arts, cases).unionByName(by_parties(arts, cases)).unionByName(by_judge(arts, cases)).unionByName(by_court(arts, cases)).unionByName(by_keywords(arts, cases))
+    each = by_number(arts, cases, k).unionByName(by_parties(arts, cases, k)).unionByName(by_judge(arts, cases, k)).unionByName(by_keywords(arts, cases, k))
+    if COURT >= least:
+        each = each.unionByName(by_court(arts, cases))
     best = each.groupBy("article_id", "case_id").agg(F.round(F.max("confidence"), 6).alias("confidence")).where(F.col("confidence") >= least)
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("confidence"), "case_id"))
     return best.withColumn("rn", rank).where(F.col("rn") <= k).select("article_id", "case_id", "confidence")
@@ -330,17 +407,34 @@ def deduplicated(t: Tables) -> DataFrame:
     return rows.groupBy("primary").agg((F.count(F.lit(1)) - 1).alias("duplicates")).select(F.col("primary").alias("article_id"), "duplicates")
 
 
-@query("fed_12_credibility", ", s(name, base, fp, dup, acc) AS (VALUES " + ", ".join(str(s) for s in SOURCES) + ") SELECT name, CAST(round(least(1, greatest(0, (base - 0.15 * fp - 0.10 * dup) * acc)), 6) AS DOUBLE) AS credibility FROM s")
-def credibility(t: Tables) -> DataFrame:
-    s = t.spark.createDataFrame(SOURCES, "name string, base double, fp double, dup double, acc double")
-    return s.select("name", F.round(clamp((F.col("base") - 0.15 * F.col("fp") - 0.10 * F.col("dup")) * F.col("acc")), 6).alias("credibility"))
+CREDIBILITY_SQL = r""", c AS (SELECT source, md5(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS h, quality FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+k AS (SELECT h, count(*) > 1 AS copied FROM c GROUP BY 1),
+g AS (SELECT source, count(*) AS n, avg(CAST(copied AS INT)) AS dup, coalesce(avg(CASE WHEN quality = 0 THEN 1.0 WHEN quality = 1 THEN 0.0 END), 0) AS fp FROM c JOIN k USING (h) GROUP BY 1)"""
+
 
+@query("fed_12_credibility", CREDIBILITY_SQL + " SELECT source, n, round(dup, 6) AS copied, round(fp, 6) AS wrong, round(least(1, greatest(0, (0.75 - 0.15 * fp - 0.10 * dup) * (1 - fp))), 6) AS credibility FROM g")
+def credibility(t: Tables, base: float = 0.75) -> DataFrame:
+    """A source's base value, less its share of false reports and of copies, times its accuracy.
 
-@query("srt_4_attention_ranking", """, g AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS types FROM events GROUP BY 1), s AS (SELECT user_id, round(0.5 * least(1, n / 100) + 0.5 * types / 5, 6) AS score FROM g) SELECT user_id, score, score >= 0.6 AS high FROM s ORDER BY score DESC, user_id LIMIT 50""")
+    The sources are those of documents: a text that stands in several rows is a copy in each, a row labelled as poor a
+    false report, and the accuracy the share of the others among labelled rows. The factors are fixed values, the base a parameter.
+    """
+    h = F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")).cast("binary"))
+    marks = t.read("labels").groupBy(F.col("doc_id").alias("l")).agg(F.min("quality").alias("quality"))
+    rows = t.read("documents").select("doc_id", "source", h.alias("h")).join(marks, F.col("doc_id") == F.col("l"), "left")
+    # Rows are counted by text and source first, so that a text with many copies is one row for each source.
+    poor = F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+    each = rows.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(poor).alias("poor"), F.count(poor).alias("judged"))
+    copies = each.groupBy(F.col("h").alias("k")).agg((F.sum("n") > 1).alias("copied"))
+    g = each.join(copies, F.col("h") == F.col("k")).groupBy("source").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("copied"), F.col("n")).otherwise(0)) / F.sum("n")).alias("dup"), F.coalesce(F.sum("poor") / F.nullif(F.sum("judged"), F.lit(0)), F.lit(0.0)).alias("fp"))
+    value = clamp((base - 0.15 * F.col("fp") - 0.10 * F.col("dup")) * (1 - F.col("fp")))
+    return g.select("source", "n", F.round("dup", 6).alias("copied"), F.round("fp", 6).alias("wrong"), F.round(value, 6).alias("credibility"))
+
+
+@query("srt_4_attention_ranking", ATTENTION_SQL + " SELECT user_id, score, score >= 0.6 AS high FROM attended ORDER BY score DESC, user_id LIMIT 50")
 def attention_ranking(t: Tables, k: int = 50) -> DataFrame:
-    g = t.read("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("types"))
-    score = F.round(0.5 * F.least(F.lit(1.0), F.col("n") / 100) + 0.5 * F.col("types") / 5, 6)
-    return g.select("user_id", score.alias("score")).withColumn("high", F.col("score") >= 0.6).orderBy(F.desc("score"), "user_id").limit(k)
+    """The subjects with most attention, which is that of fed_11; their number is a limit of the report."""
+    return attention(t).withColumn("high", F.col("score") >= 0.6).orderBy(F.desc("score"), "user_id").limit(k)
 
 
 def sentences_of(text: Column) -> Column:
@@ -384,13 +478,24 @@ def extraction(t: Tables) -> DataFrame:
 
 @query("agg_37_matching_stats", NUMBER_SQL + ", al AS (SELECT 'case_number' AS strategy, * FROM num UNION ALL SELECT 'party', * FROM par UNION ALL SELECT 'judge', * FROM jud UNION ALL SELECT 'court', * FROM crt UNION ALL SELECT 'keyword', * FROM key) SELECT strategy, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 6) AS mean FROM al GROUP BY 1")
 def matching_stats(t: Tables) -> DataFrame:
+    """Matches and mean confidence of each way: those by number and judge are counted by key, those by keywords by type and day."""
     arts, cases = articles(t), known_cases(t)
-    ways = {"case_number": by_number, "party": by_parties, "judge": by_judge, "court": by_court, "keyword": by_keywords}
-    parts = [f(arts, cases).withColumn("strategy", F.lit(name)) for name, f in ways.items()]
+
+    def counted(named: DataFrame, key: str, column: str) -> DataFrame:
+        return named.join(cases.groupBy(F.col(column).alias("of")).agg(F.count(F.lit(1)).alias("n")), F.col(key) == F.col("of")).select("n")
+
+    ways = {
+        "case_number": counted(numbers_in(arts), "number", "case_number").select("n", (F.col("n") * CASE_NUMBER).alias("total")),
+        "judge": counted(judges_in(arts), "judge", "judge").select("n", (F.col("n") * JUDGE).alias("total")),
+        "party": by_parties(arts, cases).select(F.lit(1).alias("n"), F.col("confidence").alias("total")),
+        "court": by_court(arts, cases).select(F.lit(1).alias("n"), F.col("confidence").alias("total")),
+        "keyword": keyword_counts(arts, cases).select("n", "total"),
+    }
+    parts = [f.select(F.lit(name).alias("strategy"), F.col("n").cast("long").alias("n"), "total") for name, f in ways.items()]
     each = parts[0]
     for part in parts[1:]:
         each = each.unionByName(part)
-    return each.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return each.groupBy("strategy").agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
 
 
 @query("fil_13_purge", ARTICLES_SQL + " SELECT article_id FROM art WHERE published >= DATE '2001-10-27' - 90")

@@ -23,12 +23,12 @@ def syndication(t: Tables) -> DataFrame:
     return g.where("sources >= 2")
 
 
-@query(
-    "fed_11_attention",
-    """, g AS (SELECT user_id, avg(least(1, greatest(0, value / 100))) AS cred, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-03-01') AS age, count(DISTINCT event_type) AS types, count(DISTINCT regexp_extract(props, '(-?\\d+)', 1)) AS sources, count(*) AS n FROM events GROUP BY 1)
-    SELECT user_id, round(0.35 * cred + 0.25 * CASE WHEN age <= 7 THEN 1 WHEN age <= 30 THEN 0.8 - (age - 7) / 23 * 0.3 WHEN age <= 90 THEN 0.5 - (age - 30) / 60 * 0.3 WHEN age <= 365 THEN 0.2 ELSE 0.05 END + 0.20 * greatest(types / 5, least(1, sources / 5))
-    + 0.20 * CASE WHEN n <= 1 THEN 0.1 WHEN n <= 3 THEN 0.3 WHEN n <= 5 THEN 0.5 WHEN n <= 10 THEN 0.7 WHEN n <= 20 THEN 0.85 ELSE 1 END, 9) AS score FROM g""",
-)
+ATTENTION_SQL = """, g AS (SELECT user_id, avg(least(1, greatest(0, value / 100))) AS cred, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-03-01') AS age, count(DISTINCT event_type) AS types, count(DISTINCT regexp_extract(props, '(-?\\d+)', 1)) AS sources, count(*) AS n FROM events GROUP BY 1),
+    attended AS (SELECT user_id, round(0.35 * cred + 0.25 * CASE WHEN age <= 7 THEN 1 WHEN age <= 30 THEN 0.8 - (age - 7) / 23 * 0.3 WHEN age <= 90 THEN 0.5 - (age - 30) / 60 * 0.3 WHEN age <= 365 THEN 0.2 ELSE 0.05 END + 0.20 * greatest(types / 5, least(1, sources / 5))
+    + 0.20 * CASE WHEN n <= 1 THEN 0.1 WHEN n <= 3 THEN 0.3 WHEN n <= 5 THEN 0.5 WHEN n <= 10 THEN 0.7 WHEN n <= 20 THEN 0.85 ELSE 1 END, 9) AS score FROM g)"""
+
+
+@query("fed_11_attention", ATTENTION_SQL + " SELECT * FROM attended")
 def attention(t: Tables, as_of: str = "2024-03-01") -> DataFrame:
     """Credibility, recency, diversity of kinds or sources, and volume of what is said of a subject. The steps are fixed values."""
     age, n = F.datediff(F.lit(as_of).cast("date"), F.max(F.to_date("ts"))), F.count(F.lit(1))

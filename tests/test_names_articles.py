@@ -187,3 +187,42 @@ def test_health_machine(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("event_id").select("failures", "health").collect()]
     assert got == [(0, "HEALTHY"), (1, "DEGRADED"), (2, "DEGRADED"), (3, "FAILED"), (0, "HEALTHY"), (1, "DEGRADED")]
     assert collections.Counter(h for _, h in got)["FAILED"] == 1
+
+
+def test_keyword_matches_without_pairs(spark):
+    """Best cases, counts and means by keywords against all pairs of articles and cases."""
+    r = random.Random(8)
+    day = lambda: dt.date(2001, 1, 1) + dt.timedelta(days=r.randint(0, 400))
+    types = ["furniture", "machinery house", "bail", "automobile"]
+    arts = [(i, day() if i % 7 else None, " ".join(r.choice([*types, "court", "mobile", "house", "about"]) for _ in range(r.randint(0, 4)))) for i in range(60)]
+    cases = [(i, r.choice(types) if i % 11 else "automobile", day()) for i in range(150)] + [(900 + i, "machinery house", dt.date(2010, 1, 1)) for i in range(4)]
+    a = spark.createDataFrame(arts, "article_id long, published date, lead string")
+    c = spark.createDataFrame(cases, "case_id long, case_type string, filing_date date")
+    scores = {}
+    for i, at, lead in arts:
+        words = [w for w in lead.split() if len(w) > 4 and w not in articles.STOPWORDS]
+        for n, kind, filed in cases:
+            hits = [w for w in words if w in kind]
+            days = abs((at - filed).days) if at else 90
+            score = 0.7 * len(hits) / len(words) + 0.3 * (0.3 * (1 - days / 90) if days < 90 else 0) if hits else 0
+            if score > 0.4:
+                scores.setdefault(i, {})[n] = (min(0.8, score), kind)
+    got = {x["article_id"]: (x["n"], x["total"], x["best"]) for x in articles.keyword_counts(a, c).collect()}
+    expected = {i: (len(v), sum(s for s, _ in v.values()), max(s for s, _ in v.values())) for i, v in scores.items()}
+    assert got.keys() == expected.keys()
+    for i in got:
+        assert got[i] == pytest.approx(expected[i])
+    best = {}
+    for i, v in scores.items():
+        for kind in {k for _, k in v.values()}:
+            best.setdefault(i, set()).update(n for _, n in sorted((-round(s, 9), n) for n, (s, k) in v.items() if k == kind)[:3])
+    found = {}
+    for x in articles.by_keywords(a, c, 3).collect():
+        found.setdefault(x["article_id"], set()).add(x["case_id"])
+        assert x["confidence"] == pytest.approx(scores[x["article_id"]][x["case_id"]][0])
+    assert found == best and any(len(v) > 3 for v in best.values())
+
+
+def test_all_judges_are_looked_up(spark):
+    arts = spark.createDataFrame([(1, "Justice Anna Berg and Judge Kern heard it"), (2, "no one"), (3, None)], "article_id long, said string")
+    assert {tuple(x) for x in articles.judges_in(arts).collect()} == {(1, "anna berg"), (1, "anna"), (1, "kern heard"), (1, "kern")}
