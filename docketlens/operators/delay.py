@@ -1,6 +1,6 @@
 """Delay baselines at several levels, normalisation against them and anomalies (DEL)."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.functions.numbers import clamp
@@ -23,10 +23,10 @@ def case_delays(spans: DataFrame, as_of: Column, window_years: int | None = None
         kept = kept.where(F.col("filing_date") >= F.date_sub(as_of, window_years * 365))
     delay = F.greatest(F.lit(0), F.datediff(end, "filing_date")).cast("long")
     kind = F.coalesce(F.nullif(F.lower(F.trim("case_type")), F.lit("")), F.lit("unknown"))
-    return kept.select("case_id", "court_id", "state", kind.alias("case_type"), "is_disposed", "importance", delay.alias("delay"))
+    return kept.select("case_id", "court_id", "state", kind.alias("case_type"), "is_disposed", "importance", delay.alias("delay"), "filing_date")
 
 
-DELAYS_SQL = """, delays AS (SELECT case_id, court_id, state, coalesce(nullif(lower(trim(case_type)), ''), 'unknown') AS case_type, is_disposed, importance,
+DELAYS_SQL = """, delays AS (SELECT case_id, court_id, state, coalesce(nullif(lower(trim(case_type)), ''), 'unknown') AS case_type, is_disposed, importance, filing_date,
   greatest(0, date_diff('day', filing_date, CASE WHEN is_disposed THEN coalesce(disposal_date, DATE '2001-12-31') ELSE DATE '2001-12-31' END)) AS delay
   FROM case_spans WHERE filing_date IS NOT NULL AND filing_date >= DATE '2001-12-31' - 2555)"""
 
@@ -63,6 +63,60 @@ def baselines_query(t: Tables) -> DataFrame:
     return baselines(case_delays(t.case_spans, t.as_of, 7))
 
 
+WEIGHTED_SQL = (
+    DELAYS_SQL
+    + """, wt AS (SELECT *, pow(0.5, date_diff('day', filing_date, DATE '2001-12-31') / 730.0) AS w FROM delays),
+    ws AS (SELECT CASE WHEN court_id IS NOT NULL AND case_type IS NOT NULL THEN 0 WHEN court_id IS NOT NULL THEN 1 WHEN state IS NOT NULL AND case_type IS NOT NULL THEN 2 WHEN state IS NOT NULL THEN 3 WHEN case_type IS NOT NULL THEN 4 ELSE 5 END AS depth,
+      court_id, state, case_type, delay, sum(w) AS w, count(*) AS n FROM wt GROUP BY GROUPING SETS ((court_id, case_type, delay), (court_id, delay), (state, case_type, delay), (state, delay), (case_type, delay), (delay))),
+    wc AS (SELECT *, sum(w) OVER (PARTITION BY depth, court_id, state, case_type ORDER BY delay) AS upto, sum(w) OVER (PARTITION BY depth, court_id, state, case_type) AS total FROM ws),
+    wb AS (SELECT depth, court_id, state, case_type, min(delay) FILTER (upto >= total / 2 * (1 - 1e-12)) AS weighted_median, CAST(sum(n) AS BIGINT) AS n FROM wc GROUP BY 1, 2, 3, 4)"""
+)
+
+
+def weighted_baselines(delays: DataFrame, as_of: Column, half_life: int = 730) -> DataFrame:
+    """The median delay at all levels with weights that halve with a case's age.
+
+    Equal delays are summed up at each level by one GROUPING SETS, so that the running weights of a level, the national
+    one included, pass over at most as many rows as there are different delays.
+    """
+    weight = F.pow(F.lit(0.5), F.datediff(as_of, "filing_date") / half_life)
+    sets = [[*[F.col(k) for k in keys], F.col("delay")] for _, keys in LEVELS]
+    has = lambda keys: [F.col(k).isNotNull() for k in keys]
+    level = F.when(has(LEVELS[0][1])[0] & has(LEVELS[0][1])[1], LEVELS[0][0])
+    for name, keys in LEVELS[1:]:
+        found = F.lit(True)
+        for test in has(keys):
+            found = found & test
+        level = level.when(found, name)
+    sums = delays.withColumn("weight", weight).groupingSets(sets, "court_id", "state", "case_type", "delay").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("m"))
+    group = ["level", "court_id", "state", "case_type"]
+    sums = sums.select(level.alias("level"), *group[1:], "delay", "weight", "m")
+    upto, total = F.sum("weight").over(Window.partitionBy(*group).orderBy("delay")), F.sum("weight").over(Window.partitionBy(*group))
+    marked = sums.withColumn("reached", upto >= total / 2 * (1 - 1e-12))
+    return marked.groupBy(*group).agg(F.min(F.when(F.col("reached"), F.col("delay"))).alias("weighted_median"), F.sum("m").alias("n"))
+
+
+_DEPTHS = "CASE depth " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(LEVELS)) + " END"
+
+
+@query("del_3_weighted_baselines", WEIGHTED_SQL + f" SELECT {_DEPTHS} AS level, court_id, state, case_type, CAST(weighted_median AS BIGINT) AS weighted_median, n FROM wb")
+def weighted_query(t: Tables) -> DataFrame:
+    return weighted_baselines(case_delays(t.case_spans, t.as_of, 7), t.as_of)
+
+
+@query(
+    "del_3_weighted_choice",
+    WEIGHTED_SQL
+    + f""", wj AS (SELECT d.case_id, b.weighted_median, b.n, b.depth FROM delays d JOIN wb b ON (b.depth = 0 AND b.court_id = d.court_id AND b.case_type = d.case_type) OR (b.depth = 1 AND b.court_id = d.court_id)
+      OR (b.depth = 2 AND b.state = d.state AND b.case_type = d.case_type) OR (b.depth = 3 AND b.state = d.state) OR (b.depth = 4 AND b.case_type = d.case_type) OR b.depth = 5)
+    SELECT case_id, CAST(weighted_median AS BIGINT) AS weighted_median, {_DEPTHS} AS level FROM wj QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n < 100, depth) = 1""",
+)
+def weighted_choice(t: Tables) -> DataFrame:
+    """Each case's weighted median, from the level that the fallback of del_4 takes."""
+    delays = case_delays(t.case_spans, t.as_of, 7)
+    return choose_level(delays, weighted_baselines(delays, t.as_of), LEVELS, ["weighted_median", "n"], MIN_SAMPLE).select("case_id", "weighted_median", "level")
+
+
 CHOSEN_SQL = (
     BASELINES_SQL
     + """, cand AS (SELECT d.case_id, d.delay, b.median, b.p75, b.p90, b.iqr, b.n, b.level,

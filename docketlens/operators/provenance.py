@@ -7,6 +7,7 @@ from docketlens.functions.numbers import clamp
 from docketlens.operators.delay import CHOSEN_SQL as DELAY_SQL
 from docketlens.operators.delay import baseline_confidence, scored
 from docketlens.operators.importance import COMPONENTS_SQL, case_confidence, components
+from docketlens.plans.lineage import ancestors
 from docketlens.plans.registry import query
 from docketlens.sources.domain import Tables
 
@@ -75,18 +76,17 @@ def as_of(t: Tables, at: str = "2024-01-15 00:00:00") -> DataFrame:
 
 @query("prv_6_lineage", "SELECT event_id AS node, CAST(floor(log2(event_id + 1)) AS BIGINT) AS ancestors FROM events")
 def lineage(t: Tables) -> DataFrame:
-    """Ancestors of every record, where record n comes from record (n - 1) div 2: a recursive query, breadth first."""
-    t.spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    """The number of ancestors of every record, where record n comes from record (n - 1) div 2."""
     parent = F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 2))
-    links = t.read("events").select(F.col("event_id").alias("node"), parent.alias("parent"))
-    return t.spark.sql(
-        """
-        WITH RECURSIVE up(node, at) AS (
-          SELECT node, parent FROM {links} WHERE parent IS NOT NULL
-          UNION ALL SELECT up.node, l.parent FROM up JOIN {links} l ON l.node = up.at WHERE l.parent IS NOT NULL)
-        SELECT n.node, count(up.at) AS ancestors FROM {links} n LEFT JOIN up ON up.node = n.node GROUP BY n.node""",
-        links=links,
-    )
+    return ancestors(t.read("events").select(F.col("event_id").alias("node"), parent.alias("parent"))).select("node", F.col("distance").alias("ancestors"))
+
+
+@query("join_16_roots", "SELECT CAST(floor((event_id + 1) / pow(2, greatest(0, floor(log2(event_id + 1)) - 3))) - 1 AS BIGINT) AS top, count(*) AS nodes, CAST(max(greatest(0, floor(log2(event_id + 1)) - 3)) AS BIGINT) AS deepest FROM events GROUP BY 1")
+def roots(t: Tables) -> DataFrame:
+    """Trees of records whose first fifteen records have no parent: each tree's top, its records and its depth."""
+    n = F.col("event_id")
+    found = ancestors(t.read("events").select(n.alias("node"), F.when(n >= 15, F.floor((n - 1) / 2)).alias("parent")))
+    return found.groupBy(F.coalesce("top", "node").alias("top")).agg(F.count(F.lit(1)).alias("nodes"), F.max("distance").alias("deepest"))
 
 
 @query("prv_7_listing", PROV_SQL + " SELECT event_id, fetched FROM hashed WHERE source_type = 'PDF' ORDER BY fetched DESC, event_id DESC LIMIT 200")

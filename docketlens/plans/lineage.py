@@ -9,17 +9,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docketlens-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def ancestors(links: DataFrame) -> DataFrame:
+    """(node, top, distance) of distinct nodes: the last ancestor, null for a node without parent, and the steps to it.
+
+    links (node, parent) name a parent for each node, or null. By pointer doubling: each round every unfinished node
+    takes over the ancestor and steps of the ancestor it knows, so that rounds grow with the logarithm of the longest
+    chain and a node is one row throughout. Nodes that lead into a cycle never finish; they end with a null top and the
+    distance -1. A parent that is no node itself is the last ancestor.
+    """
+    known = checkpoint(links.select("node", F.col("parent").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("distance"), F.col("parent").isNull().alias("done")))
+    nodes = known.count()
+    while not known.where("NOT done").isEmpty():
+        step = known.select(F.col("node").alias("at"), F.col("top").alias("next"), F.col("distance").alias("more"))
+        met = known.where("NOT done").join(step, F.col("top") == F.col("at"), "left")
+        ended, far = F.col("next").isNull(), F.col("distance") + F.coalesce("more", F.lit(0))
+        # No chain has as many steps as there are nodes and one more, unless it is a cycle.
+        loop = far > nodes
+        moved = met.select("node", F.when(~loop, F.coalesce("next", "top")).alias("top"), F.when(loop, -1).otherwise(far).cast("long").alias("distance"), (ended | loop).alias("done"))
+        known = checkpoint(known.where("done").unionByName(moved))
+    return known.drop("done")
+
+
 def row_numbers(df: DataFrame, *order: str) -> DataFrame:
     """df with rn, the global row number from 0 in the order given, without a window over all rows in one task.
 

@@ -3,10 +3,11 @@
 Each takes a streaming or a batch DataFrame, so that the batch result is the reference for the stream.
 """
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,13 +52,13 @@ class HealthMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.failures.get()[0] if self.failures.exists() else 0
-        for batch in rows:
-            out = []
-            for row in batch.sort_values(["ts", "event_id"]).itertuples():
-                n = 0 if row.value >= self.least else n + 1
-                state = "HEALTHY" if n == 0 else "FAILED" if n >= self.threshold else "DEGRADED"
-                out.append((key[0], row.event_id, n, state))
-            yield pd.DataFrame(out, columns=["source", "event_id", "failures", "health"])
+        out = []
+        # The rows of a source in one micro-batch, whose size the trigger bounds, are put in order together.
+        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            n = 0 if row.value >= self.least else n + 1
+            state = "HEALTHY" if n == 0 else "FAILED" if n >= self.threshold else "DEGRADED"
+            out.append((key[0], row.event_id, n, state))
+        yield pd.DataFrame(out, columns=["source", "event_id", "failures", "health"])
         self.failures.update((n,))
 
     def close(self) -> None:
@@ -73,14 +74,52 @@ def health(events: DataFrame, threshold: int = 3, least: float = 5.0) -> DataFra
     return rows.groupBy("event_type").transformWithStateInPandas(HealthMachine(threshold, least), HEALTH, "Append", "None")
 
 
-def upsert_to(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch becomes a version of the table that has the old rows but those replaced (STR-6)."""
+def upsert_to(path: str, keys: list[str], order: str | None = None, done: list[int] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch becomes a version of the table that has the old rows but those replaced (STR-6).
+
+    Of several rows of a key in a batch the last by order wins. A batch that runs again writes its version again. done, if
+    given, gets the number of each version.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        last = batch.dropDuplicates(keys)
+        if order is None:
+            last = batch.dropDuplicates(keys)
+        else:
+            last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("row")).select("row.*")
         out = last if old is None else last.unionByName(old.join(last.select(*keys), keys, "left_anti"))
         out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if done is not None:
+            done.append(number)
 
     return write
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (dots as double underscores) that hold inside only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def in_stretches(parts: list[DataFrame], folder: str) -> DataFrame:
+    """A file stream over the parts, written one after the other, so that their files come in this order; one part a trigger at most."""
+    spark = parts[0].sparkSession
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{folder}/part={number}")
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream to its end, with state and output in the folder, and gives its rows."""
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -146,7 +146,7 @@ def test_summary(spark):
 
 
 def test_matches_by_parties_need_both(spark):
-    arts = spark.createDataFrame([(1, "Anna Berg against Otto Kern"), (2, "Anna Berg is heard"), (3, "otto kern and ANNA BERG")], "article_id long, lead string")
+    arts = spark.createDataFrame([(1, "Anna Berg against Otto Kern"), (2, "Anna Berg is heard"), (3, "otto kern and ANNA BERG")], "article_id long, said string")
     cases = spark.createDataFrame([(7, "anna berg", "otto kern"), (8, "ann", "otto kern"), (9, "anna bergmann", "otto kern")], "case_id long, plaintiff string, defendant string")
     assert {tuple(r) for r in articles.by_parties(arts, cases).collect()} == {(1, 7, 0.8), (3, 7, 0.8)}
 
