@@ -5,9 +5,14 @@ from pyspark.sql import functions as F
 
 from docketlens.functions.numbers import clamp
 from docketlens.operators.advocates import filing_backlog
+from docketlens.plans.boosting import QuantileTrees
+from docketlens.plans.lineage import checkpoint
 from docketlens.plans.registry import query
 from docketlens.sources.domain import Tables
 
+#: Features that are kinds.
+KINDS = ["court_level", "case_type", "state"]
+
 SET_SQL = """, ds AS (SELECT case_id, court_level, case_type, state, filing_date, amount, date_diff('day', filing_date, disposal_date) AS days FROM case_spans WHERE is_disposed AND disposal_date IS NOT NULL AND date_diff('day', filing_date, disposal_date) > 0),
 nu AS (SELECT *, row_number() OVER (ORDER BY filing_date, case_id) AS rn, count(*) OVER () AS n FROM ds), tr AS (SELECT * FROM nu WHERE rn <= floor(0.8 * n)), te AS (SELECT * FROM nu WHERE rn > floor(0.8 * n)),
 md AS (SELECT court_level, case_type, median(days) AS m FROM tr GROUP BY ALL), pr AS (SELECT te.*, coalesce(m, (SELECT median(days) FROM tr)) AS predicted FROM te LEFT JOIN md USING (court_level, case_type))"""
@@ -56,18 +61,52 @@ def median_query(t: Tables) -> DataFrame:
     return predicted(t).select("case_id", "predicted")
 
 
-@query("ml_4_linear_model")
-def linear_model(t: Tables) -> DataFrame:
-    """Ridge regression on one-hot and numeric features, fitted on the training rows."""
+def ridge(train: DataFrame, test: DataFrame) -> DataFrame:
+    """test with a prediction by ridge regression on one-hot and numeric features, fitted on the training rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    train, test = split(dataset(t))
-    kinds = ["court_level", "case_type", "state"]
-    stages = [StringIndexer(inputCols=kinds, outputCols=[f"{k}_i" for k in kinds], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{k}_i" for k in kinds], outputCols=[f"{k}_v" for k in kinds]), VectorAssembler(inputCols=[*[f"{k}_v" for k in kinds], "amount"], outputCol="features")]
+    stages = [StringIndexer(inputCols=KINDS, outputCols=[f"{k}_i" for k in KINDS], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{k}_i" for k in KINDS], outputCols=[f"{k}_v" for k in KINDS]), VectorAssembler(inputCols=[*[f"{k}_v" for k in KINDS], "amount"], outputCol="features")]
     model = Pipeline(stages=[*stages, LinearRegression(labelCol="days", regParam=100.0, elasticNetParam=0.0, solver="normal")]).fit(train)
-    return model.transform(test).select("case_id", F.greatest(F.lit(1.0), "prediction").alias("predicted"))
+    return model.transform(test).select(*test.columns, F.greatest(F.lit(1.0), "prediction").alias("predicted"))
+
+
+def quantile_trees(train: DataFrame, test: DataFrame) -> DataFrame:
+    """test with low, median and high by boosted trees for the quantiles 0.1, 0.5 and 0.9, each one day at least."""
+    month = lambda df: df.withColumn("month", F.month("filing_date"))
+    found = QuantileTrees("days", ["amount", "month"], KINDS).fit(month(train)).predict(month(test)).drop("month")
+    return found.select(*test.columns, *[F.greatest(F.lit(1.0), f"q{i}").alias(n) for i, n in enumerate(("low", "median", "high"))])
+
+
+@query("ml_4_linear_model")
+def linear_model(t: Tables) -> DataFrame:
+    return ridge(*split(dataset(t))).select("case_id", "predicted")
+
+
+@query("ml_4_quantile_model")
+def quantile_model(t: Tables) -> DataFrame:
+    return quantile_trees(*split(dataset(t))).select("case_id", F.round("low", 4).alias("low"), F.round("median", 4).alias("median"), F.round("high", 4).alias("high"))
+
+
+@query("ml_5_model_choice")
+def model_choice(t: Tables) -> DataFrame:
+    """Errors of both models on the rows filed last; the one with the smaller mean absolute error is chosen."""
+    train, test = (checkpoint(x) for x in split(dataset(t)))
+    each = ridge(train, test).select(F.lit("ridge").alias("model"), "days", "predicted").unionByName(quantile_trees(train, test).select(F.lit("trees").alias("model"), "days", F.col("median").alias("predicted")))
+    error = F.col("days") - F.col("predicted")
+    g = each.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), (1 - F.sum(error * error) / (F.var_pop("days") * F.count(F.lit(1)))).alias("r2"))
+    g = checkpoint(g)
+    best = g.agg(F.min(F.struct("mae", "model")).alias("b")).select(F.col("b.model").alias("best"))
+    return g.join(F.broadcast(best), F.lit(True)).select("model", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")], (F.col("model") == F.col("best")).alias("chosen"))
+
+
+@query("ml_6_model_interval")
+def model_interval(t: Tables) -> DataFrame:
+    """The bounds of the models for the quantiles 0.1 and 0.9, the confidence that their width leaves, and whether the case fell between them."""
+    found = quantile_trees(*split(dataset(t)))
+    width = (F.col("high") - F.col("low")) / (2 * F.col("median") + 1)
+    return found.select("case_id", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round(clamp(1 - width), 4).alias("confidence"), F.col("days").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query("ml_5_evaluation", SET_SQL + " SELECT count(*) AS n, round(avg(abs(days - predicted)), 4) AS mae, round(sqrt(avg(pow(days - predicted, 2))), 4) AS rmse, median(abs(days - predicted)) AS median_error FROM pr")
