@@ -4,7 +4,8 @@ Three plain patterns (assignments, access keys, hex runs) are reported as they m
 candidates are reported only once they decode into something that parses as a secret: a DER key whose nested lengths
 fill it exactly, an OpenSSH private key with its length-prefixed fields, or a signed token whose header is JSON that
 names an algorithm. A base64 key may start anywhere in a run, in either alphabet, and go on over line breaks, real or
-escaped, and the quotes around them; its own lengths tell where it ends.
+escaped, and the quotes around them. A hex key may start anywhere in a run too, and its bytes may be parted by colons,
+commas, blanks, line breaks and prefixes. In both, the key's own lengths tell where it ends.
 """
 
 import base64
@@ -34,14 +35,18 @@ URL_RUN = re.compile(r"[A-Za-z0-9_-]+")
 #: How a DER sequence or an OpenSSH key starts in base64, whatever comes before it.
 KEY_START = re.compile(r"M[A-P](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
-#: A line break between two parts of a key, with what source code has around it.
-BREAK = re.compile(r"""[\x20\t"'\\+]{0,8}?(?:\\+[rn]|[\r\n])(?:\\+[rnt]|[\s"'])*""")
+#: A line break between two parts of a key, real or escaped, with what source code has around it. Nothing is tried twice.
+BREAK = re.compile(r"""[\x20\t"'\\+]*+(?:(?<=\\)[rn]|[\r\n])(?:(?<=\\)[rnt]|(?<=["'\s])\+(?=\s)|[\s"'\\])*+""")
 ESCAPES = re.compile(r"\\+[rnt]|\r\n?")
 GLUE = re.compile(r"""["']\s*\+\s*["']|["'\\]""")
 MIN_KEY = 40
-#: No key has more values in its outer sequence.
+#: No key format has more than ten values in its outer sequence, so that longer sequences are no keys.
 MOST_FIELDS = 16
-HEX_BYTES = re.compile(r"[0-9A-Fa-f]{48,}")
+#: What may part the bytes of a hex dump, how a DER sequence or an OpenSSH key starts in one, and the least bytes of a key.
+PARTS = r"""(?:0x|(?<=\\)[rntx]|[\s:,;"'\\+-])*+"""
+HEX_RUN, HEX_GAP = re.compile(r"[0-9A-Fa-f]+"), re.compile(PARTS)
+HEX_START = re.compile(f"30{PARTS}(?:8[1-4]|[2-7][0-9A-Fa-f])|6[Ff]{PARTS}70{PARTS}65{PARTS}6[Ee]{PARTS}73{PARTS}73{PARTS}68")
+MIN_HEX_KEY = 24
 
 #: All kinds, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem_key", "signed_token", "der_key", "ssh_key")
@@ -59,11 +64,11 @@ def base64_bytes(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def der_fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the DER values that fill data[at:end] exactly, or None; also None where they are too many."""
+def der_fields(data: bytes, at: int, end: int, most: int | None = MOST_FIELDS) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER values that fill data[at:end] exactly, or None; also None where they are more than most."""
     found = []
     while at < end:
-        if at + 2 > end or len(found) == MOST_FIELDS:
+        if at + 2 > end or len(found) == most:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
@@ -78,8 +83,17 @@ def der_fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | N
     return found
 
 
-def is_der_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
-    """PKCS#1, SEC1, PKCS#8 or an encrypted PKCS#8 private key: one sequence that fills data[at:end], with the right fields."""
+def other_primes(data: bytes, at: int, end: int) -> bool:
+    """The last field of an RSA key with more than two primes: sequences of three integers, however many."""
+    primes = der_fields(data, at, end, most=None)
+    return bool(primes) and all(tag == 0x30 and [t for t, _, _ in der_fields(data, *span) or []] == [0x02] * 3 for tag, *span in primes)
+
+
+def is_der_key(data: bytes, at: int = 0, end: int | None = None, seen: dict | None = None) -> bool:
+    """PKCS#1, SEC1, PKCS#8 or an encrypted PKCS#8 private key: one sequence that fills data[at:end], with the right fields.
+
+    seen keeps what was found for lists of further primes of the same data, so that none is read twice.
+    """
     outer = der_fields(data, at, len(data) if end is None else end)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -91,6 +105,11 @@ def is_der_key(data: bytes, at: int = 0, end: int | None = None) -> bool:
         small = inner[0][2] - inner[0][1] == 1
         if small and len(tags) >= 6 and set(tags) == {0x02}:
             return True  # version and the integers of an RSA or DSA key
+        if small and tags == [0x02] * 9 + [0x30]:
+            span, seen = inner[9][1:], {} if seen is None else seen
+            if span not in seen:
+                seen[span] = other_primes(data, *span)
+            return seen[span]
         if small and tags[1:2] == [0x04]:
             return inner[1][2] - inner[1][1] >= 16  # an elliptic curve's scalar
         if small and tags[1:3] == [0x30, 0x04]:
@@ -144,52 +163,72 @@ def armoured_bytes(body: str) -> bytes | None:
     return base64_bytes("".join(lines[headers:]))
 
 
+def key_in(data: bytes, at: int, seen: dict) -> tuple[str, int] | None:
+    """Kind and number of bytes of the key that starts at data[at]; its own lengths tell where it ends."""
+    if size := ssh_size(data, at):
+        return "ssh_key", size
+    if len(data) < at + 12 or data[at] != 0x30:
+        return None
+    wide = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+    if wide > 4 or data[at + 1] == 0x80 or data[at + 2 + wide] not in (0x02, 0x30):
+        return None
+    size = 2 + wide + (int.from_bytes(data[at + 2 : at + 2 + wide], "big") if wide else data[at + 1])
+    return ("der_key", size) if at + size <= len(data) and is_der_key(data, at, at + size, seen) else None
+
+
 class Region:
     """Base64 characters from a place on, over line breaks, as one string that is decoded once for each alignment."""
 
+    run, gap, chars, octets, least = RUN, BREAK, 4, 3, MIN_KEY
+
     def __init__(self, text: str, at: int):
         parts, self.text = [], text
         self.starts: list[int] = []
         self.before: list[int] = []
         n = 0
-        while run := RUN.match(text, at):
+        while run := self.run.match(text, at):
             self.starts.append(at)
             self.before.append(n)
             parts.append(run[0])
             n, at = n + len(run[0]), run.end()
-            if gap := BREAK.match(text, at):
+            if gap := self.gap.match(text, at):
                 at = gap.end()
-        self.body = "".join(parts).replace("-", "+").replace("_", "/")
+        self.body = "".join(parts)
         self.end = self.starts[-1] + len(parts[-1])
-        self.decoded: dict[int, bytes] = {}
+        self.decoded: dict[int, tuple[bytes, dict]] = {}
+
+    def decode(self, turn: int) -> bytes:
+        body = self.body.replace("-", "+").replace("_", "/")
+        whole = (len(body) - turn) // 4 * 4
+        tail = body[turn + whole :]
+        return base64.b64decode(body[turn : turn + whole] + (tail + "=" * (4 - len(tail)) if len(tail) > 1 else ""))
 
     def key_at(self, place: int) -> tuple[str, int] | None:
-        """Kind and end of the key whose base64 starts at this place of the text."""
+        """Kind and end of the key whose characters start at this place of the text."""
+        if len(self.body) < self.least:
+            return None
         k = bisect_right(self.starts, place) - 1
         at = self.before[k] + place - self.starts[k]
-        if (turn := at % 4) not in self.decoded:
-            whole = (len(self.body) - turn) // 4 * 4
-            tail = self.body[turn + whole :]
-            self.decoded[turn] = base64.b64decode(self.body[turn : turn + whole] + (tail + "=" * (4 - len(tail)) if len(tail) > 1 else ""))
-        data, start = self.decoded[turn], (at - turn) // 4 * 3
-        if self.text[place] == "M":
-            wide = data[start + 1] & 0x7F if len(data) >= start + 12 and data[start + 1] & 0x80 else 0
-            if len(data) < start + 12 or data[start] != 0x30 or wide > 4 or data[start + 1] == 0x80 or data[start + 2 + wide] not in (0x02, 0x30):
-                return None
-            size = 2 + wide + (int.from_bytes(data[start + 2 : start + 2 + wide], "big") if wide else data[start + 1])
-            if -(-4 * size // 3) < MIN_KEY or start + size > len(data) or not is_der_key(data, start, start + size):
-                return None
-            kind = "der_key"
-        elif size := ssh_size(data, start):
-            kind = "ssh_key"
-        else:
+        if (turn := at % self.chars) not in self.decoded:
+            self.decoded[turn] = self.decode(turn), {}
+        data, seen = self.decoded[turn]
+        key = key_in(data, (at - turn) // self.chars * self.octets, seen)
+        if key is None or (most := -(-self.chars * key[1] // self.octets)) < self.least:
             return None
-        most = -(-4 * size // 3)
         k = bisect_left(self.before, at + most) - 1
         end = self.starts[k] + at + most - self.before[k]
-        while end < len(self.text) and self.text[end] == "=" and most % 4:
+        while end < len(self.text) and self.text[end] == "=" and most % self.chars:
             end, most = end + 1, most + 1
-        return kind, end
+        return key[0], end
+
+
+class HexRegion(Region):
+    """Hex digits from a place on, over what parts the bytes of a dump."""
+
+    run, gap, chars, octets, least = HEX_RUN, HEX_GAP, 2, 1, 2 * MIN_HEX_KEY
+
+    def decode(self, turn: int) -> bytes:
+        return bytes.fromhex(self.body[turn : turn + (len(self.body) - turn) // 2 * 2])
 
 
 def armoured(text: str) -> list[tuple[int, int]]:
@@ -235,19 +274,17 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     taken_from = [a for a, _ in taken]
     is_taken = lambda place: (k := bisect_right(taken_from, place)) > 0 and place < taken[k - 1][1]
     found += [("signed_token", *span) for span in signed_tokens(text)]
-    at, region = 0, None
-    while m := KEY_START.search(text, at):
-        at = m.start() + 1
-        if is_taken(m.start()):
-            continue
-        if region is None or m.start() >= region.end:
-            region = Region(text, m.start())
-        if key := region.key_at(m.start()):
-            found.append((key[0], m.start(), key[1]))
-            at = key[1]
-    for m in HEX_BYTES.finditer(text):
-        if not is_taken(m.start()) and (kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))):
-            found.append((kind, *m.span()))
+    for start, kind in ((KEY_START, Region), (HEX_START, HexRegion)):
+        at, region = 0, None
+        while m := start.search(text, at):
+            at = m.start() + 1
+            if is_taken(m.start()):
+                continue
+            if region is None or m.start() >= region.end:
+                region = kind(text, m.start())
+            if key := region.key_at(m.start()):
+                found.append((key[0], m.start(), key[1]))
+                at = key[1]
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
