@@ -468,12 +468,51 @@ def summaries(t: Tables) -> DataFrame:
     return short.select("doc_id", F.md5(F.col("s").cast("binary")).alias("summary_md5"), F.length("s").alias("chars"))
 
 
-@query("fed_16_extraction", r""", x AS (SELECT article_id, lead || ' on ' || strftime(published, '%d/%m/%Y') AS s FROM art) SELECT article_id, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '\d{1,2}/\d{1,2}/\d{4}'))), ',') AS dates, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '(?:District|High|Supreme|Sessions|Civil|Criminal) Court'))), ',') AS courts, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '\b\d{1,4}/\d{4}\b'))), ',') AS numbers FROM x""".join((ARTICLES_SQL, "")))
+#: Patterns of what an article names, how many sentences are facts and of how many words, words a fact goes without, and most results of a kind.
+PARTIES = r"([A-Z][a-z\s]+)\s+(?:v\.|vs|versus|against)\s+([A-Z][a-z\s]+)"
+DEFENDANTS = (r"(?i:defendant:?) ([A-Za-z][A-Za-z\s]+)", r"(?i:accused?) ([A-Za-z][A-Za-z\s]+)", r"(?i:against) ([A-Za-z][A-Za-z\s]+)")
+COURTS = (r"(Supreme Court of India)", r"(High Court of [A-Z][a-z\s]+)", r"(District Court)", r"(Sessions Court)", r"([A-Z][a-z\s]*Court)")
+DATES = (r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})", r"(\d{4})")
+FACTS, FACT_WORDS, HEDGES = 5, 5, r"(?i)\b(?:allegedly|reportedly|claims?)\b"
+MOST = {"parties": 10, "defendants": 10, "courts": 5, "dates": 10}
+
+_all = lambda x, *patterns: "list_concat(" + ", ".join(f"regexp_extract_all({x}, '{p}', 1)" for p in patterns) + ")" if len(patterns) > 1 else f"regexp_extract_all({x}, '{patterns[0]}', 1)"
+_most = lambda x, k: f"array_to_string(list_sort(list_distinct({x}))[1:{k}], '|')"
+_bare = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+EXTRACTION_SQL = ARTICLES_SQL + rf""", x AS (SELECT article_id, lead || ' on ' || strftime(published, '%d/%m/%Y') || '. ' || coalesce(text, '') AS s FROM art JOIN documents ON doc_id = article_id),
+se AS (SELECT *, list_transform(string_split(regexp_replace(s, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:5], lambda v: regexp_replace({_bare("v")}, '{HEDGES}', '', 'g')) AS five FROM x)
+SELECT article_id, array_to_string(list_filter(five, lambda v: len(regexp_extract_all(v, '\S+')) >= 5), '|') AS facts,
+  {_most(f"list_transform(list_concat(regexp_extract_all(s, '{PARTIES}', 1), regexp_extract_all(s, '{PARTIES}', 2)), lambda v: {_bare('v')})", 10)} AS parties,
+  {_most(_all("s", *DEFENDANTS), 10)} AS defendants, {_most(_all("s", *COURTS), 5)} AS courts, {_most(_all("s", *DATES), 10)} AS dates FROM se"""
+
+
+def extracted(text: Column) -> dict[str, Column]:
+    """Facts, parties, defendants, courts and dates that a text names, each an array.
+
+    Facts are those of the first sentences that have enough words, without hedging words, in their order. The others are
+    distinct, in the order of their letters, and the first so many of them. A null text has none.
+    """
+    text = F.coalesce(text, F.lit(""))
+    every = lambda pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    first = F.slice(F.split(text, r"(?<=[.!?])\s+"), 1, FACTS)
+    named = {
+        "parties": F.transform(F.concat(every(PARTIES, 1), every(PARTIES, 2)), bare),
+        "defendants": F.concat(*[every(p) for p in DEFENDANTS]),
+        "courts": F.concat(*[every(p) for p in COURTS]),
+        "dates": F.concat(*[every(p) for p in DATES]),
+    }
+    facts = F.filter(F.transform(first, lambda s: F.regexp_replace(bare(s), HEDGES, "")), lambda s: F.size(F.regexp_extract_all(s, F.lit(r"\S+"), F.lit(0))) >= FACT_WORDS)
+    return {"facts": facts} | {kind: F.slice(F.array_sort(F.array_distinct(x)), 1, MOST[kind]) for kind, x in named.items()}
+
+
+@query("fed_16_extraction", EXTRACTION_SQL)
 def extraction(t: Tables) -> DataFrame:
-    """Dates, courts and case numbers that an article names, each once."""
-    s = F.concat(F.col("lead"), F.lit(" on "), F.date_format("published", "dd/MM/yyyy"))
-    each = lambda pattern: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))), ",")
-    return articles(t).select("article_id", each(r"\d{1,2}/\d{1,2}/\d{4}").alias("dates"), each(r"(?:District|High|Supreme|Sessions|Civil|Criminal) Court").alias("courts"), each(r"\b\d{1,4}/\d{4}\b").alias("numbers"))
+    """What every whole article names: its line, its date and its text."""
+    lines = articles(t).select("article_id", F.concat("lead", F.lit(" on "), F.date_format("published", "dd/MM/yyyy"), F.lit(". ")).alias("line"))
+    whole = lines.join(t.read("documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text")), "article_id")
+    found = extracted(F.concat("line", "text"))
+    return whole.select("article_id", *[F.array_join(x, "|").alias(kind) for kind, x in found.items()])
 
 
 @query("agg_37_matching_stats", NUMBER_SQL + ", al AS (SELECT 'case_number' AS strategy, * FROM num UNION ALL SELECT 'party', * FROM par UNION ALL SELECT 'judge', * FROM jud UNION ALL SELECT 'court', * FROM crt UNION ALL SELECT 'keyword', * FROM key) SELECT strategy, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 6) AS mean FROM al GROUP BY 1")

@@ -7,7 +7,6 @@ from docketlens.operators.quality import TAGS_SQL, VOLUME_SQL, html_drift, tag_c
 from docketlens.plans.lineage import row_numbers
 from docketlens.plans.registry import query
 from docketlens.sources.domain import Tables
-from docketlens.sources.files import FIELDS, parse_minimal
 
 HOST = r"^[a-z]+://([^/]+)"
 #: Elements without an end tag.
@@ -125,16 +124,6 @@ def canary(t: Tables) -> DataFrame:
     return scored.groupBy("host").agg(F.count_if("drifted").alias("drifts"), last.alias("last_fraction"), F.max("drifted").alias("paused"))
 
 
-FOUND_SQL = " OR ".join(f"coalesce(trim(regexp_extract(plain, '{p}', 1)), '') <> ''" for patterns in FIELDS.values() for p in patterns)
-
-
-@query("ing_12_reprocess", f""", pl AS (SELECT regexp_extract(url, '{HOST}', 1) AS host, regexp_replace(html, '<[^>]+>', chr(10), 'g') AS plain FROM pages) SELECT host, count(*) AS payloads, count(*) FILTER ({FOUND_SQL}) AS recovered FROM pl GROUP BY 1""")
-def reprocess(t: Tables) -> DataFrame:
-    """Stored payloads parsed again by host, and how many of them gave a field."""
-    again = parse_minimal(t.read("pages").select("url", "html"))
-    return again.groupBy(F.regexp_extract("url", HOST, 1).alias("host")).agg(F.count(F.lit(1)).alias("payloads"), F.count_if(F.col("confidence") > 0).alias("recovered"))
-
-
 @query("ing_17_uploads", "SELECT source, count(*) AS uploaded, count(DISTINCT sha256(text)) AS stored, count(*) - count(DISTINCT sha256(text)) AS repeated FROM documents WHERE trim(text) <> '' GROUP BY 1")
 def uploads(t: Tables) -> DataFrame:
     """What was handed in by source, and how many payloads the store keeps: one of each content. Blank ones are refused."""

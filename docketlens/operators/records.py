@@ -7,7 +7,6 @@ from docketlens.operators.delay import CHOSEN_SQL, scored
 from docketlens.operators.outcomes import PARSED_SQL, RULES, normalise, parsed, words_pattern
 from docketlens.plans.registry import query
 from docketlens.sources.domain import TEXT_SQL, Tables, with_text
-from docketlens.sources.files import parse_minimal
 
 #: Elements and classes of a cause list's rows, how many are read and how long they must be.
 ROW = r"""<(?:tr|div|li)[^>]*class=["'](?:case|cause|listing|row|case-row|entry)["'][^>]*>([^<]*)<"""
@@ -62,11 +61,6 @@ def cause_rows(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", F.coalesce("row", F.lit(0)).alias("row"), F.coalesce("text", F.lit("no listing found")).alias("text"))
 
 
-@query("src_5_minimal_parse")
-def minimal_parse(t: Tables) -> DataFrame:
-    return parse_minimal(t.read("pages").select("page_id", "html")).select("page_id", "case_ref", "hearing_date", "bench", "outcome", "pdf", "confidence")
-
-
 @query("out_3_signals", TEXT_SQL + r", o AS (SELECT case_id, date, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9.\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM texts WHERE linestatus = 'O') SELECT case_id, date, CASE WHEN regexp_matches(t, '" + words_pattern(DISPOSAL) + "') THEN 'DISPOSED' ELSE 'HEARD' END AS outcome, count(*) AS n, CAST(max(CASE WHEN regexp_matches(t, '" + words_pattern(DISPOSAL) + "') THEN 0.99 ELSE 0.88 END) AS DOUBLE) AS confidence FROM o GROUP BY ALL")
 def signals(t: Tables) -> DataFrame:
     """What the orders of a day say of its hearing: disposed where the text has such a word, else heard."""

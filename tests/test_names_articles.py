@@ -226,3 +226,26 @@ def test_keyword_matches_without_pairs(spark):
 def test_all_judges_are_looked_up(spark):
     arts = spark.createDataFrame([(1, "Justice Anna Berg and Judge Kern heard it"), (2, "no one"), (3, None)], "article_id long, said string")
     assert {tuple(x) for x in articles.judges_in(arts).collect()} == {(1, "anna berg"), (1, "anna"), (1, "kern heard"), (1, "kern")}
+
+
+def test_extraction_of_five_kinds(spark):
+    """Rows worked out by hand from the rules: hedges go, short sentences are no facts, sets are cut after sorting."""
+    from docketlens.operators.articles import extracted
+
+    text = (
+        "Ram Lal vs Shyam Das allegedly met here. Too short. The accused Mohan pleaded before the District Court on 3/4/2021! "
+        "It reportedly claims nothing at all today? Defendant: Asha Devi, heard by the High Court of Delhi on March 5, 2020. Sixth sentence comes too late to count."
+    )
+    rows = spark.createDataFrame([(0, text), (1, ""), (2, None)], "id int, text string")
+    got = {r["id"]: r.asDict() for r in rows.select("id", *[c.alias(k) for k, c in extracted(F.col("text")).items()]).collect()}
+    assert got[0]["facts"] == [
+        "Ram Lal vs Shyam Das  met here.",
+        "The accused Mohan pleaded before the District Court on 3/4/2021!",
+        "It   nothing at all today?",
+        "Defendant: Asha Devi, heard by the High Court of Delhi on March 5, 2020.",
+    ]
+    assert got[0]["parties"] == ["Lal", "Shyam"]
+    assert got[0]["defendants"] == ["Asha Devi", "Mohan pleaded before the District Court on "]
+    assert got[0]["courts"] == ["District Court", "High Court", "High Court of Delhi on "]
+    assert got[0]["dates"] == ["2020", "2021", "3/4/2021", "March 5, 2020"]
+    assert all(got[i][k] == [] for i in (1, 2) for k in ("facts", "parties", "defendants", "courts", "dates"))

@@ -56,10 +56,32 @@ def test_officials(spark, tmp_path):
 
 
 def test_minimal_parse(spark):
-    page = "<pre>Case ID: CRL/12/2024\nDate: 2024-02-03\nBench: A.B. Sharma\nOutcome: Adjourned</pre><a href='x/order.pdf'>o</a>"
-    r = files.parse_minimal(spark.createDataFrame([(page,), ("",), (None,)], "html string")).collect()
-    assert (r[0]["case_ref"], r[0]["hearing_date"], r[0]["bench"], r[0]["outcome"], r[0]["pdf"], r[0]["confidence"]) == ("CRL/12/2024", "2024-02-03", "A.B. Sharma", "Adjourned", "x/order.pdf", 1.0)
-    assert [x["confidence"] for x in r[1:]] == [0.0, 0.0]
+    page = "<pre>Case ID: CRL/12/2024\nDate: 3-2-2024\nBench: A.B. Sharma\nOutcome: Adjourned</pre><a href='x/order.pdf'>o</a>"
+    rows = [
+        (0, "text/html", page),
+        (1, "text/html", ""),
+        (2, None, None),
+        (3, "text/html", "<p>Date: 2024-02-03</p><p>CNR - AB-1</p><b>Order</b>: no<style>bench: x</style><p>Order: x&amp;y</p>"),
+        (4, "application/json", '[{"case_number": 7, "hearing_date": "2024-02-03", "bench": null, "outcome_text": "listed", "order_pdf_url": "u.pdf"}]'),
+        (5, "application/json", '{"case_id": '),
+        (6, "application/PDF", "Coram: C. D.\nCase ID: 9\fon 1/2/24 it was Listed for orders\nand adjourned sine die"),
+        (7, "text/html", "<p>" + "x" * 2401 + "</p>"),
+    ]
+    found = files.parse_minimal(spark.createDataFrame(rows, "id int, media_type string, payload string")).collect()
+    got = {r["id"]: tuple(r[c] for c in ("case_ref", "hearing_date", "bench", "outcome", "pdf", "confidence")) for r in found}
+    assert got == {
+        0: ("CRL/12/2024", "3-2-2024", "A.B. Sharma", "Adjourned", "x/order.pdf", 1.0),
+        1: (None, None, None, None, None, 0.0),
+        2: (None, None, None, None, None, 0.0),
+        3: ("AB-1", None, None, "no", None, 0.5),
+        4: ("7", "2024-02-03", None, "listed", "u.pdf", 0.75),
+        5: (None, None, None, None, None, 0.0),
+        6: ("9", "1/2/24", "C. D.", "adjourned sine die", None, 1.0),
+        7: (None, None, None, None, None, 0.0),
+    }
+    pages = {r["id"]: [(s["page"], len(s["snippet"])) for s in r["snippets"]] for r in found}
+    assert pages[1] == pages[2] == [] and pages[7] == [(1, 600), (2, 600), (3, 1)] and [p for p, _ in pages[6]] == [1, 2]
+    assert [r["errors"] for r in found if r["errors"]] == [["json_decode_error"]]
 
 
 @pytest.mark.parametrize("kind", ["csv", "json", "parquet"])
