@@ -52,6 +52,25 @@ def conflicts(t: Tables) -> DataFrame:
     return hashed(t).groupBy("entity_id", "field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("versions")).where("versions > 1")
 
 
+@query(
+    "prv_3_links",
+    PROV_SQL + """, v AS (SELECT entity_id, field, hash, count(*) AS members, arg_max(event_id, (is_primary, confidence, fetched, event_id)) AS representative FROM hashed GROUP BY ALL)
+    SELECT *, CAST(sum(members) OVER w - members AS BIGINT) AS others, CAST(members * (sum(members) OVER w - members) AS BIGINT) AS links FROM v WINDOW w AS (PARTITION BY entity_id, field) QUALIFY count(*) OVER w > 1""",
+)
+def conflict_links(t: Tables) -> DataFrame:
+    """The pairs of records in conflict, without making them: one row for each version of a field that has several.
+
+    A version has its best record as representative, its members, and the records of other versions, each of which conflicts with each
+    member: links is the number of those pairs, and every pair is that of two rows' members. Members are counted before the totals.
+    """
+    best = F.max_by("event_id", F.struct("is_primary", "confidence", "fetched", "event_id"))
+    version = hashed(t).groupBy("entity_id", "field", "hash").agg(F.count(F.lit(1)).alias("members"), best.alias("representative"))
+    total = version.groupBy(F.col("entity_id").alias("e"), F.col("field").alias("f")).agg(F.sum("members").alias("total"), F.count(F.lit(1)).alias("versions")).where("versions > 1")
+    joined = version.join(total, F.col("entity_id").eqNullSafe(F.col("e")) & F.col("field").eqNullSafe(F.col("f")))
+    others = F.col("total") - F.col("members")
+    return joined.select("entity_id", "field", "hash", "members", "representative", others.alias("others"), (F.col("members") * others).alias("links"))
+
+
 BEST = "is_primary DESC, confidence DESC, fetched DESC, event_id DESC"
 
 
@@ -74,6 +93,38 @@ def as_of(t: Tables, at: str = "2024-01-15 00:00:00") -> DataFrame:
     return known.groupBy("entity_id", "field").agg(F.max_by("value", F.struct("is_primary", "confidence", "fetched", "event_id")).alias("value"))
 
 
+STEP = "array<struct<op:string,value:string,output_value:string>>"
+STEPS_SQL = """, steps AS (SELECT *, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN value || '0' WHEN 2 THEN value END AS replayed FROM hashed)"""
+
+
+def transformed(t: Tables) -> DataFrame:
+    """Records with the steps by which their value came about. The tables have none: they follow from numbers.
+
+    By number: fetched as it is; fetched, then scaled by ten; scaled, fetched again, then checked, which puts out nothing; checked alone.
+    """
+    step = lambda op, value=None, out=None: F.struct(F.lit(op).alias("op"), (F.lit(None) if value is None else value).cast("string").alias("value"), (F.lit(None) if out is None else out).cast("string").alias("output_value"))
+    v, n = F.col("value"), F.col("event_id") % 4
+    fetched, scaled, checked = step("fetch", v), step("scale", v, F.concat(v, F.lit("0"))), step("check")
+    steps = F.when(n == 0, F.array(fetched)).when(n == 1, F.array(fetched, scaled)).when(n == 2, F.array(scaled, fetched, checked)).otherwise(F.array(checked))
+    return hashed(t).withColumn("steps", steps.cast(STEP))
+
+
+def replayed(steps):
+    """The value after the last step that has one; within a step its output comes before its value. Null without steps or values."""
+    return F.aggregate(F.coalesce(steps, F.array().cast(STEP)), F.lit(None).cast("string"), lambda value, s: F.coalesce(s["output_value"], s["value"], value))
+
+
+@query(
+    "prv_5_replay",
+    PROV_SQL + STEPS_SQL + " SELECT entity_id, field, arg_max(event_id, (is_primary, confidence, fetched, event_id)) AS record, arg_max(coalesce(replayed, 'none'), (is_primary, confidence, fetched, event_id)) AS state FROM steps WHERE fetched <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY ALL",
+)
+def replay(t: Tables, at: str = "2024-01-15 00:00:00") -> DataFrame:
+    """The state of every field at a time: the best record known then, and what its steps lead to, or none."""
+    known = transformed(t).where(F.col("fetched") <= F.lit(at).cast("timestamp_ntz")).select("entity_id", "field", "event_id", "is_primary", "confidence", "fetched", replayed(F.col("steps")).alias("state"))
+    best = known.groupBy("entity_id", "field").agg(F.max_by(F.struct("event_id", "state"), F.struct("is_primary", "confidence", "fetched", "event_id")).alias("b"))
+    return best.select("entity_id", "field", F.col("b.event_id").alias("record"), F.coalesce("b.state", F.lit("none")).alias("state"))
+
+
 @query("prv_6_lineage", "SELECT event_id AS node, CAST(floor(log2(event_id + 1)) AS BIGINT) AS ancestors FROM events")
 def lineage(t: Tables) -> DataFrame:
     """The number of ancestors of every record, where record n comes from record (n - 1) div 2."""
