@@ -119,18 +119,33 @@ def candidates(names: DataFrame, known: DataFrame) -> DataFrame:
     return scored.select("name", "court_id", "judge_id", F.round(total, 6).alias("score"), kind.alias("kind"))
 
 
-@query("ent_1_names", f", b AS ({BENCH_SQL}), p AS (SELECT DISTINCT unnest(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*')) AS part FROM b) SELECT part, {NAME_SQL} AS name FROM p")
+NAMES_SQL = f", b AS ({BENCH_SQL}), p AS (SELECT DISTINCT unnest(string_split_regex(bench, '\\s*(?:,|&| and |/|\\|)\\s*')) AS part FROM b), nm AS (SELECT part, {NAME_SQL} AS name FROM p)"
+
+
+@query("ent_1_names", NAMES_SQL + " SELECT part, name FROM nm")
 def names_query(t: Tables) -> DataFrame:
     parts = benches(t).select(F.explode(F.split("bench", r"\s*(?:,|&| and |/|\|)\s*")).alias("part")).distinct()
     return parts.select("part", normalised_name(F.col("part")).alias("name"))
 
 
-@query("ent_2_phonetic_keys")
+#: A fold over words joins single letters that follow each other; a fold over letters, its last digit beside the code so far, makes the code.
+PHONETIC_SQL = NAMES_SQL + r""", tk AS (SELECT part, list_filter(string_split(name, ' '), lambda x: x <> '') AS words FROM nm),
+mg AS (SELECT part, list_reduce(list_transform(words, lambda w, i: CASE WHEN i > 1 AND length(w) = 1 AND length(words[i - 1]) = 1 THEN w ELSE ' ' || w END), lambda a, x: a || x, '') AS joined FROM tk),
+wd AS (SELECT part, list_filter(string_split(joined, ' '), lambda x: x <> '') AS words FROM mg),
+cd AS (SELECT part, list_transform(words, lambda w: upper(w[1]) || left(list_reduce(list_transform(string_split(w[2:], ''), lambda c: CASE WHEN c IN ('b', 'f', 'p', 'v') THEN '1' WHEN c IN ('c', 'g', 'j', 'k', 'q', 's', 'x', 'z') THEN '2' WHEN c IN ('d', 't') THEN '3' WHEN c = 'l' THEN '4' WHEN c IN ('m', 'n') THEN '5' WHEN c = 'r' THEN '6' ELSE '-' END),
+  lambda a, d: CASE WHEN d = '-' THEN '-' || a[2:] WHEN d = a[1] THEN a ELSE d || a[2:] || d END, '-')[2:] || '000', 3)) AS codes FROM wd)"""
+
+
+@query("ent_2_phonetic_keys", PHONETIC_SQL + " SELECT part, coalesce(array_to_string(codes, '-'), '') AS key FROM cd")
 def keys_query(t: Tables) -> DataFrame:
     return names_query(t).select("part", phonetic_key(F.col("name")).alias("key"))
 
 
-@query("ent_3_variants")
+VARIANTS_SQL = NAMES_SQL + r""", tk AS (SELECT part, name, list_filter(string_split(name, ' '), lambda x: x <> '') AS words FROM nm),
+vr AS (SELECT part, [name, array_to_string(list_filter(words, lambda x: length(x) > 1), ' ')] || CASE WHEN len(words) > 1 THEN [array_to_string(list_transform(words[1:len(words) - 1], lambda x: x[1] || '.') || [words[len(words)]], ' '), array_to_string(list_reverse(words), ' ')] ELSE [] END AS forms FROM tk)"""
+
+
+@query("ent_3_variants", VARIANTS_SQL + " SELECT part, array_to_string(list_sort(list_distinct(list_filter(forms, lambda x: x <> ''))), '|') AS variants FROM vr")
 def variants_query(t: Tables) -> DataFrame:
     return names_query(t).select("part", F.array_join(variants(F.col("name")), "|").alias("variants"))
 

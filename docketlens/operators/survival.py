@@ -107,15 +107,18 @@ def _label(keys) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("unknown")) for k in keys]) if keys else F.lit("all")
 
 
-def with_stratum(t: Tables, levels=LEVELS, minimum: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
+def with_stratum(t: Tables, levels=LEVELS, minimum: int = ENOUGH, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Open cases with the kind and key of the finest stratum that has a curve, and the points of the curves.
 
+    With every, closed cases come too, and the age is a case's duration up to its end.
+
     A stratum is looked up by its label alone, one small row for each; no curve is carried to a case.
     """
     rows = durations(t)
     points = survival_points(strata(rows.drop("judge_id"), tuple(s for s in STRATA if s[0] in levels)), minimum)
     known = points.select("kind", "key").distinct()
-    out = rows.where("event = 0").select("case_id", "court_id", "state", "case_type", "age")
+    asked = rows.withColumn("age", F.col("duration")) if every else rows.where("event = 0")
+    out = asked.select("case_id", "court_id", "state", "case_type", "age")
     for kind in levels:
         own = known.where(F.col("kind") == kind).select(F.col("key").alias(f"key_{kind}"))
         out = out.join(own, _label(dict(STRATA)[kind]) == F.col(f"key_{kind}"), "left")
@@ -223,3 +226,25 @@ def curve_confidence(t: Tables) -> DataFrame:
 @query("sur_12_flags", PREDICT_SQL + " SELECT case_id, round(s_age, 4) AS s_age FROM s2 WHERE round((1 - s_age) * 100, 6) >= 90 OR round(s_age, 8) < 0.10")
 def flags(t: Tables) -> DataFrame:
     return predicted(t).where((F.round((1 - F.col("s_age")) * 100, 6) >= 90) | (F.round("s_age", 8) < 0.10)).select("case_id", F.round("s_age", 4).alias("s_age"))
+
+
+ALL_CASES_SQL = PREDICT_SQL.replace("total >= 100", "total >= 25").replace("SELECT case_id, age, unnest(", "SELECT case_id, duration AS age, unnest(").replace(" FROM dur WHERE event = 0", " FROM dur")
+ALL_CASES_SQL = ALL_CASES_SQL.replace("{'kind': 'national', 'key': 'all', 'depth': 3}", "{'kind': 'state', 'key': state, 'depth': 3}, {'kind': 'case_type', 'key': case_type, 'depth': 4}, {'kind': 'national', 'key': 'all', 'depth': 5}")
+#: The finest curve first: those of a case's court and type, court, state and type, state, type, and all.
+CASE_LEVELS = ("court_case_type", "court", "state_case_type", "state", "case_type", "national")
+
+
+@query(
+    "inv_2_survival",
+    ALL_CASES_SQL + ", sz AS (SELECT kind, key, any_value(total) AS sample FROM km GROUP BY ALL) SELECT case_id, s2.kind AS grouping, sample, round(s_age, 6) AS survival, round(s_five, 6) AS later, round((1 - s_age) * 100, 2) AS percentile, round((1 - s_age) * 100, 2) >= 90 AS unusual FROM s2 JOIN sz ON s2.kind = sz.kind AND s2.key = sz.key",
+)
+def case_survival(t: Tables, horizon: int = HORIZON, threshold: float = 90, least: int = 25) -> DataFrame:
+    """Survival at each case's duration and a horizon later, open or closed, by the finest curve there is, with its sample and whether that is unusual."""
+    cases, points = with_stratum(t, CASE_LEVELS, least, every=True)
+    ages = cases.select("kind", "key", "age").distinct()
+    now = at_ages(ages, points).select("kind", "key", "age", F.col("survival").alias("s"))
+    later = at_ages(ages.select("kind", "key", (F.col("age") + horizon).alias("age")), points).select("kind", "key", (F.col("age") - horizon).alias("age"), F.col("survival").alias("after"))
+    samples = points.groupBy("kind", "key").agg(F.max("total").alias("sample"))
+    read = now.join(later, ["kind", "key", "age"]).join(samples, ["kind", "key"])
+    rank = F.round((1 - F.col("s")) * 100, 2)
+    return cases.join(read, ["kind", "key", "age"]).select("case_id", F.col("kind").alias("grouping"), "sample", F.round("s", 6).alias("survival"), F.round("after", 6).alias("later"), rank.alias("percentile"), (rank >= threshold).alias("unusual"))

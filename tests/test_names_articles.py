@@ -249,3 +249,24 @@ def test_extraction_of_five_kinds(spark):
     assert got[0]["courts"] == ["District Court", "High Court", "High Court of Delhi on "]
     assert got[0]["dates"] == ["2020", "2021", "3/4/2021", "March 5, 2020"]
     assert all(got[i][k] == [] for i in (1, 2) for k in ("facts", "parties", "defendants", "courts", "dates"))
+
+
+def test_phonetic_keys_against_a_plain_soundex(spark):
+    """A loop over letters, as the code is defined: a letter without a digit lets the next one count again."""
+    from docketlens.operators.people import phonetic_key
+
+    digits = {c: d for d, letters in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in letters}
+
+    def code(word):
+        out, last = word[0].upper(), ""
+        for c in word[1:]:
+            d = digits.get(c, "")
+            if d and d != last:
+                out += d
+            last = d
+        return (out + "000")[:4]
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghjklmnprstvwyz", k=rnd.randint(2, 9))) for _ in range(300)] + ["ashcraft", "tymczak", "pfister", "bb"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", phonetic_key(F.col("w")).alias("key")).collect()
+    assert [(r["w"], r["key"]) for r in rows] == [(w, code(w)) for w in words]
