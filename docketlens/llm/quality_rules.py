@@ -144,17 +144,26 @@ def judge(docs: DataFrame, max_docs: int | None = None, min_share: float = MIN_S
 
 
 def keep_good(docs: DataFrame, max_docs: int | None = None, min_share: float = MIN_SHARE) -> DataFrame:
-    """The documents that judge() keeps, without their removed lines; all columns stay and n_chars is counted anew."""
+    """The documents that judge() keeps, without their removed lines; all columns stay and n_chars is counted anew.
+
+    Repeated rows all stay or go alike. Null and short texts go, and an empty table gives an empty one.
+    """
     names = docs.columns
     base = docs.select("doc_id", "source", "text")
     removed = _frequent_lines(base, max_docs).groupBy("key").agg(F.sum("words").alias("removed"), F.array_sort(F.collect_set("at")).alias("at"))
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), _row_key().alias("key")).join(removed, "key", "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    checked = whole.withColumn("w", let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated"))))
-    good = (F.col("w.n") >= MIN_WORDS) & (100 * F.col("w.repeated") <= MAX_REPEAT_PERCENT * F.col("w.n"))
-    good = good & (F.col("w.n") - F.coalesce("removed", F.lit(0)) >= min_share * F.col("w.n"))
-    rest = F.array_join(F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("at", s["i"])), lambda s: s["x"]), "\n")
-    new = F.when(F.col("at").isNull(), F.col("row.text")).otherwise(rest)
-    out = checked.where(good).select("row", new.alias("new"))
+
+    def good(w: Column) -> Column:
+        enough = (F.size(w) >= MIN_WORDS) & (F.size(w) - F.coalesce("removed", F.lit(0)) >= min_share * F.size(w))
+        return enough & (100 * repeated_words(w) <= MAX_REPEAT_PERCENT * F.size(w))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("at"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    new = F.when(F.col("at").isNull(), F.col("row.text")).otherwise(let(F.split(text, "\n"), rest))
+    # One condition that binds the words once; parts of it would each split the text anew.
+    out = whole.where(let(words_of(text), good)).select("row", new.alias("new"))
     columns = {"text": F.col("new")} | ({"n_chars": F.char_length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
