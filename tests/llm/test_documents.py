@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import random
 import re
 import time
 import unicodedata
@@ -427,3 +428,26 @@ def test_rounds_that_run_out_raise(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ITERATIONS", 1)
     with pytest.raises(RuntimeError):
         mixing.solve_tilts(hist, targets)
+
+
+def test_near_copies_with_few_changed_words_are_one_group(spark):
+    """Against all pairs: texts of which up to three words in a hundred were changed fall into the groups of their copies."""
+    r = random.Random(3)
+    fresh = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for b in range(18):
+        base = fresh((40, 120, 400)[b // 3 % 3])
+        for _ in range(10):
+            text = list(base)
+            for i in r.sample(range(len(text)), int(len(text) * r.uniform(0, 0.03))):
+                text[i] = fresh(1)[0]
+            rows.append((len(rows), f"host{b % 3}", " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    keyed = docs.select("doc_id", quality_rules._host(F.col("source")).alias("host"), F.xxhash64("text").alias("holder"))
+    groups = quality_rules._near_groups(docs, keyed.select(F.col("host").alias("of_host"), F.col("holder").alias("of")).distinct())
+    leader = {x["doc_id"]: x["leader"] for x in keyed.join(groups, ["host", "holder"]).collect()}
+    pairs = [set(zip(w := t.split(), [*w[1:], ""])) for _, _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][1] == rows[j][1] and 4 * len(pairs[i] & pairs[j]) >= 3 * len(pairs[i] | pairs[j])]
+    assert len(alike) >= 700
+    assert sum(leader[i] == leader[j] for i, j in alike) >= 0.99 * len(alike)
+    assert all(i // 10 == j // 10 for i in range(len(rows)) for j in range(i) if leader[i] == leader[j])
