@@ -31,6 +31,27 @@ def portfolio(t: Tables) -> DataFrame:
     return joined.groupBy("advocate_id", "court_level", "case_type", "state").agg(n.alias("cases"), F.round(F.avg(days), 4).alias("avg_days"), d.alias("disposed"), percent(d, n).alias("disposed_pct"))
 
 
+def events_of_advocates(t: Tables) -> DataFrame:
+    """An adjournment is an advocate's if they asked for it or are counsel in the case: two equi-joins and a distinct union, in place of a join on OR."""
+    columns = ["advocate_id", "case_id", "date", "line", "part", "requested_by", "reason_type", "was_contested"]
+    by_case = counsel(t).join(t.adjournments, "case_id").select(columns)
+    by_request = t.adjournments.where("requested_by IS NOT NULL").withColumn("advocate_id", F.col("requested_by")).select(columns)
+    return by_case.union(by_request).distinct()
+
+
+@query(
+    "join_4_events_or_none",
+    COUNSEL_SQL
+    + """, ev AS (SELECT DISTINCT s_suppkey AS advocate_id, case_id, date, line, part, reason_type FROM supplier, adjournments a WHERE requested_by = s_suppkey OR EXISTS (SELECT 1 FROM counsel c WHERE c.advocate_id = s_suppkey AND c.case_id = a.case_id))
+    SELECT s_suppkey AS advocate_id, case_id, date, line, part, reason_type FROM supplier LEFT JOIN ev ON advocate_id = s_suppkey""",
+)
+def events_or_none(t: Tables) -> DataFrame:
+    """Every advocate with each adjournment that they asked for or that falls in a case of theirs, or with none."""
+    keys = ["advocate_id", "case_id", "date", "line", "part", "reason_type"]
+    advocates = t.read("supplier").select(F.col("s_suppkey").alias("advocate_id"))
+    return advocates.join(events_of_advocates(t).select(keys).distinct(), "advocate_id", "left").select(keys)
+
+
 @query(
     "agg_23_adjournments",
     COUNSEL_SQL
@@ -40,11 +61,7 @@ def portfolio(t: Tables) -> DataFrame:
     count(*) FILTER (was_contested) AS contested, round(100 * count(*) FILTER (requested_by = advocate_id) / count(*), 1) AS requested_pct FROM p GROUP BY 1""",
 )
 def adjournment_view(t: Tables) -> DataFrame:
-    """An adjournment is an advocate's if they asked for it or are counsel in the case: two equi-joins and a distinct union, in place of a join on OR."""
-    columns = ["advocate_id", "case_id", "date", "line", "part", "requested_by", "reason_type", "was_contested"]
-    by_case = counsel(t).join(t.adjournments, "case_id").select(columns)
-    by_request = t.adjournments.where("requested_by IS NOT NULL").withColumn("advocate_id", F.col("requested_by")).select(columns)
-    events = by_case.union(by_request).distinct()
+    events = events_of_advocates(t)
     n, asked = F.count(F.lit(1)), F.count_if(F.col("requested_by") == F.col("advocate_id"))
     by_pair = events.groupBy("advocate_id", "case_id").agg(n.alias("n"), asked.alias("asked"), F.count_if(F.col("reason_type") == "on_request").alias("on_request"), F.count_if("was_contested").alias("contested"))
     out = by_pair.groupBy("advocate_id").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("events"), F.sum("asked").alias("requested"), F.sum("on_request").alias("on_request"), F.sum("contested").alias("contested"))

@@ -152,6 +152,20 @@ def at_ages(asked: DataFrame, points: DataFrame) -> DataFrame:
     return found.select("kind", "key", F.col("at").alias("age"), "v.*")
 
 
+@query(
+    "sur_7_step_lookup",
+    POINTS_SQL
+    + """, dk AS (SELECT DISTINCT kind, key FROM km), dy AS (SELECT kind, key, unnest(range(0, 3601, 90)) AS day FROM dk)
+    SELECT dy.kind, dy.key, dy.day, round(coalesce(k.survival, 1), 8) AS survival FROM dy ASOF LEFT JOIN km k ON dy.kind = k.kind AND dy.key = k.key AND dy.day >= k.time""",
+)
+def step_lookup(t: Tables, step: int = 90, last: int = 3600) -> DataFrame:
+    """Each curve's survival on days at even steps: that of its last point up to the day, 1 before the first point."""
+    points = survival_points(strata(durations(t)))
+    days = F.transform(F.sequence(F.lit(0), F.lit(last), F.lit(step)), lambda d: d.cast("long"))
+    asked = points.select("kind", "key").distinct().select("kind", "key", F.explode(days).alias("age"))
+    return at_ages(asked, points).select("kind", "key", F.col("age").alias("day"), F.round("survival", 8).alias("survival"))
+
+
 def predicted(t: Tables, horizon: int = HORIZON) -> DataFrame:
     """case_id, kind, s_age, s_horizon and days_left of open cases, read off the curve of their stratum."""
     cases, points = with_stratum(t)

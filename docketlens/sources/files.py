@@ -113,3 +113,14 @@ def export(df: DataFrame, path: str, kind: str, compress: bool = False) -> None:
         writer.parquet(path)
     else:
         raise ValueError(f"unknown format: {kind}")
+
+
+def read_export(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
+    """Rows that export() wrote, by their schema; the compression is seen from the files' names."""
+    reader = spark.read.schema(schema)
+    return reader.csv(path, header=True) if kind == "csv" else reader.json(path) if kind in ("json", "ndjson") else reader.parquet(path)
+
+
+def replace_all(df: DataFrame, path: str) -> None:
+    """Rows in place of all that path held before (SNK-2). df must not read from path itself, and needs no path to be there yet."""
+    df.write.mode("overwrite").parquet(path)
