@@ -462,7 +462,18 @@ def summary(text: Column, most_words: int = 50) -> Column:
     return F.element_at(F.transform(F.array(sentences_of(text)), chosen), 1)
 
 
-@query("fed_14_summary")
+#: A sentence ends at a mark before a blank. Blanks and digits are those of ASCII on both sides, and trim takes spaces alone.
+SUMMARY_SQL = r""", sp AS (SELECT doc_id, text IS NULL AS missing, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda v: trim(v, ' ')), lambda v: v <> '') AS ss FROM documents),
+sn AS (SELECT doc_id, len(ss) AS many, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM sp),
+sc AS (SELECT *, len(string_split_regex(s, '[ \t\n\x0B\f\r]+')) AS n FROM sn),
+so AS (SELECT doc_id, list({'i': i, 's': s, 'n': n} ORDER BY round((1 - i / many) * 0.3 + CASE WHEN n BETWEEN 10 AND 30 THEN 0.3 ELSE 0.1 END + CASE WHEN regexp_matches(s, '\d') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(s, '\d+/\d+') THEN 0.2 ELSE 0 END, 9) DESC, i) AS q FROM sc GROUP BY doc_id),
+sf AS (SELECT doc_id, list_reduce(list_prepend({'used': 0, 'taken': CAST([] AS BIGINT[]), 'i': CAST(-1 AS BIGINT), 'n': 0}, list_transform(q, lambda x: {'used': 0, 'taken': CAST([] AS BIGINT[]), 'i': x.i, 'n': CAST(x.n AS INTEGER)})),
+  lambda a, x: {'used': a.used + CASE WHEN a.used + x.n <= 50 THEN x.n ELSE 0 END, 'taken': CASE WHEN a.used + x.n <= 50 THEN list_append(a.taken, x.i) ELSE a.taken END, 'i': x.i, 'n': x.n}).taken AS taken FROM so),
+su AS (SELECT doc_id, missing, array_to_string(list_transform(list_sort(coalesce(taken, [])), lambda k: ss[k + 1]), ' ') AS s FROM sp LEFT JOIN sf USING (doc_id))
+SELECT doc_id, CASE WHEN NOT missing THEN md5(s) END AS summary_md5, CASE WHEN NOT missing THEN length(s) END AS chars FROM su"""
+
+
+@query("fed_14_summary", SUMMARY_SQL)
 def summaries(t: Tables) -> DataFrame:
     short = t.read("documents").select("doc_id", summary(F.col("text")).alias("s"))
     return short.select("doc_id", F.md5(F.col("s").cast("binary")).alias("summary_md5"), F.length("s").alias("chars"))
