@@ -5,6 +5,8 @@ import datetime as dt
 import heapq
 import html
 import itertools
+import math
+import random
 import re
 import time
 
@@ -244,3 +246,76 @@ def test_a_class_name_does_not_empty_a_page():
 def test_a_teaser_article_does_not_hide_the_content():
     page = f"<body><article><p>teaser</p></article><div class='content'>{STORY}</div></body>"
     assert html_extraction.main_text(page).endswith("\n".join(paragraphs("story")))
+
+
+def made_tree(r, depth=0):
+    """(tag, parts) with texts among its parts; links and spans hold texts only."""
+    parts = []
+    for _ in range(r.randint(1, 4)):
+        kind = r.random()
+        if kind < 0.35:
+            parts.append(" ".join("x" * r.randint(1, 9) for _ in range(r.choice([1, 3, 40]))))
+        elif kind < 0.6:
+            parts.append((r.choice(["a", "a", "span", "h2"]), ["y" * r.randint(1, 30)]))
+        elif depth < 4:
+            parts.append(made_tree(r, depth + 1))
+    return ("body" if depth == 0 else r.choice(["div", "div", "section", "article", "div"]), parts)
+
+
+def markup(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>" + "".join(map(markup, tree[1])) + f"</{tree[0]}>"
+
+
+def below(tree):
+    return [x for part in tree[1] if not isinstance(part, str) for x in [part, *below(part)]]
+
+
+def letters(tree):
+    return sum(len(x.replace(" ", "")) if isinstance(x, str) else letters(x) for x in tree[1])
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_densities_sums_and_threshold_by_plain_recursion(seed):
+    """Counts afresh for every node from the tree itself, then the choice over all nodes, against the one pass over the page."""
+    body = made_tree(random.Random(seed))
+    everything = [body, *below(body)]
+    links = lambda n: [x for x in [n, *below(n)] if x[0] == "a"]
+    linked = lambda n: sum(letters(x) for x in links(n))
+
+    def density(n):
+        c, lc = letters(n), linked(n)
+        if not c:
+            return 0.0
+        tags, link_tags = max(len(below(n)), 1), max(len(links(n)), 1)
+        base = math.log(c / max(c - lc, 1) * lc + linked(body) / max(letters(body), 1) * c + math.e) + 1
+        return c / tags * math.log(max(c * tags / (max(lc, 1) * link_tags), 1) + 1, base)
+
+    tree = html_extraction.Tree()
+    tree.feed(markup(body))
+    html_extraction.settle(tree.top)
+    chosen = html_extraction.choose(tree.top)
+    nodes = html_extraction.in_order(tree.top)
+    assert [n.tag for n in nodes[1:]] == [n[0] for n in everything[1:]]  # the body is the root
+    dense = {id(n): density(n) for n in everything}
+    sums = {id(n): sum(dense[id(x)] for x in n[1] if not isinstance(x, str)) for n in everything}
+    for node, plain in zip(nodes, everything):
+        assert node.chars == letters(plain) and node.link_chars == linked(plain)
+        assert math.isclose(node.density, dense[id(plain)], abs_tol=1e-9) and math.isclose(node.total, sums[id(plain)], abs_tol=1e-9)
+    full = [n for n in everything if letters(n)]
+    if not full:
+        assert chosen == []
+        return
+    favour = lambda n: 1.5 if n[0] == "article" else 1
+    best = max(full, key=lambda n: sums[id(n)] * favour(n))
+    best = best if sums[id(best)] > 0 else max(full, key=lambda n: dense[id(n)])
+    above = [n for n in everything if any(x is best for x in below(n))]  # from the body down
+    outer = next((n for n in [*above, best] if n[0] == "article"), best)
+    path = [n for n in above if any(x is outer for x in below(n))]
+    limit = min(dense[id(n)] for n in [*path, outer])
+    kept = [outer]
+    for n in path:
+        for x in n[1]:
+            if not isinstance(x, str) and letters(x) and not any(x is y for y in [*path, outer]):
+                if x[0] == "h2" or (dense[id(x)] * favour(x) >= limit and 2 * linked(x) <= letters(x)):
+                    kept.append(x)
+    assert [nodes.index(n) for n in chosen] == sorted(next(i for i, y in enumerate(everything) if y is x) for x in kept)
