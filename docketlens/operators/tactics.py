@@ -321,6 +321,31 @@ def batch_stats(t: Tables) -> DataFrame:
     return stats.join(middle, F.lit(True))
 
 
+@query(
+    "ddd_10_batches",
+    PROB_SQL
+    + """, dk AS (SELECT court_id, is_disposed, round(p, 6) AS p, p >= 60 AS suspect FROM pr JOIN cases USING (case_id)),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY court_id, is_disposed ORDER BY p) - 1 AS i, count(*) OVER (PARTITION BY court_id, is_disposed) AS n FROM dk)
+    SELECT court_id, is_disposed, count(*) AS n, round(avg(p), 6) AS mean, min(p) AS low, max(p) AS high, max(p) FILTER (i = n // 2) AS upper_median, round(stddev_samp(p), 6) AS sd, count(*) FILTER (suspect) AS suspects FROM dr GROUP BY ALL""",
+)
+def batches(t: Tables, keys: tuple[str, ...] = ("court_id", "is_disposed")) -> DataFrame:
+    """The statistics of every batch of cases at once; a batch is what shares the keys, a case's columns.
+
+    The upper of the two middle values comes from counts of distinct rounded values. They run inside the batch and their whole
+    number, so that the largest batch is dealt to a hundred windows, and the counts of whole numbers come before them.
+    """
+    p, n = F.round("p", 6), F.count(F.lit(1))
+    values = probabilities(t).select("case_id", p.alias("p"), (F.col("p") >= 60).alias("suspect")).join(t.cases.select("case_id", *keys), "case_id")
+    counts = values.groupBy(*keys, "p").agg(n.alias("m")).withColumn("whole", F.floor("p"))
+    wholes = counts.groupBy(*keys, "whole").agg(F.sum("m").alias("of_whole"))
+    batch = Window.partitionBy(*keys)
+    sizes = wholes.select(*keys, "whole", (F.sum("of_whole").over(batch.orderBy("whole")) - F.col("of_whole")).alias("before"), F.sum("of_whole").over(batch).alias("size"))
+    running = counts.join(sizes, [*keys, "whole"]).withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy(*keys, "whole").orderBy("p")))
+    middle = running.where("upto > floor(size / 2)").groupBy(*keys).agg(F.min("p").alias("upper_median"))
+    stats = values.groupBy(*keys).agg(n.alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.min("p").alias("low"), F.max("p").alias("high"), F.round(F.stddev_samp("p"), 6).alias("sd"), F.count_if("suspect").alias("suspects"))
+    return stats.join(middle, list(keys))
+
+
 CLASS_SQL = (
     """, rate AS (SELECT judge_id, count(*) FILTER (outcome_type = 'ADJOURNED') / count(*) AS r, count(DISTINCT case_id) AS total FROM hearings GROUP BY 1),
     s12 AS (SELECT case_id, date, line, part, requested_by, round(least(1, greatest(0, (CASE WHEN reason_type IN ('judge_unavailable', 'court_adjourned') THEN 0.1 WHEN reason_type IN ('file_not_ready', 'compliance_pending', 'interim_pending') THEN 0.3 WHEN reason_type IN ('counsel_unavailable', 'party_not_ready', 'other_procedural') THEN 0.5 WHEN reason_type = 'on_request' THEN 0.7 ELSE 0.65 END

@@ -29,6 +29,12 @@ def test_parity(name, spark, duck, small):
     assert got == expected, (list((got - expected))[:3], list((expected - got))[:3])
 
 
+#: The smallest tables may hold no two articles that are alike; test_names_articles.py has some that are.
+SCARCE = ("agg_37_dedup_stats", "fed_7_groups", "fed_8_duplicate_kinds")
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(name, spark, small):
-    assert QUERIES[name](spark, small).count() >= 0
+    df = QUERIES[name](spark, small)
+    assert len(set(df.columns)) == len(df.columns) > 0
+    assert df.count() >= (name not in SCARCE)
