@@ -143,3 +143,16 @@ def test_names_fold_width_and_case(spark):
     names = ["ＪＵＳＴＩＣＥ Straße", "Coram: Hon'ble ÉMILE", None, ""]
     got = [x[0] for x in spark.createDataFrame([(n,) for n in names], "n string").select(people.normalised_name(F.col("n"))).collect()]
     assert got == ["strasse", "émile", "", ""]
+
+
+def test_nearest_of_common_words_makes_few_lookups(spark):
+    fitted = [f"{('north', 'south')[i % 2]} judge {i:04d}" for i in range(400)]
+    queries = [f"{('north', 'south', 'east')[i % 3]} party {i:04d}" for i in range(0, 900, 7)]
+    made = frame(spark, fitted).where("name <> ''")
+    got = {(x["a"], x["place"]): (x["b"], x["cosine"]) for x in similarity.nearest(frame(spark, queries), made, 5).collect()}
+    expected = all_cosines(queries, fitted, 5)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in expected.items()}, abs=1e-8)
+    # Four frequent terms lead to five names of either make, however many names there are.
+    found = similarity.lookups_in(similarity.tf_idf(made, made), 5).where("t IN ('north', 'south', 'judge', 'north judge', 'south judge')")
+    assert 0 < found.count() <= 2 * 5 * 3
