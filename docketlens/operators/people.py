@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docketlens.operators.feeds import BENCH_SQL, NAME_SQL, bench_parts, benches, normalised_name
 from docketlens.plans.lineage import checkpoint, ship
 from docketlens.plans.registry import query
-from docketlens.plans.similarity import alike, alike_word_sets, common_subsequence, nearest, ratio, ratio_of, token_set_ratio
+from docketlens.plans.similarity import alike, alike_to, alike_word_sets, common_subsequence, nearest, ratio, ratio_of, token_set_ratio
 from docketlens.sources.domain import Tables
 
 __all__ = ["common_subsequence", "ratio", "token_set_ratio"]
@@ -231,36 +231,65 @@ def entries(t: Tables) -> DataFrame:
     return t.read("documents").select(n.alias("id"), (n % 25).cast("int").alias("court"), F.array_join(words, " ").alias("name"), F.date_sub(t.as_of, (n * 37 % 800).cast("int")).alias("seen"))
 
 
-def merge_pairs(given: DataFrame) -> DataFrame:
-    """(id, other, score): entries (id, court, name) that may be one person, without loss over all of them.
+def entry_groups(given: DataFrame) -> DataFrame:
+    """(name, court, newest): the entries of one name and court."""
+    return checkpoint(given.where("name <> ''").groupBy("name", "court").agg(F.max("id").alias("newest")))
 
-    The likeness of the names counts, a common court and a common sound add 0.05 each. Entries of one name and court are
-    linked to the newest of them, and such groups of one name to the newest group, instead of each to each; groups of
-    different names are linked by their newest entries, wherever the score is reached. Entries without a name are left out.
-    """
-    groups = checkpoint(given.where("name <> ''").groupBy("name", "court").agg(F.max("id").alias("newest")))
+
+def equal_names(given: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, other, score): entries of one name and court linked to the newest of them, and groups of one name to the newest group."""
     same = given.join(groups.withColumnsRenamed({"name": "n", "court": "c"}), (F.col("name") == F.col("n")) & F.col("court").eqNullSafe(F.col("c"))).where("id <> newest").select(F.col("newest").alias("id"), F.col("id").alias("other"), F.lit(MERGE_CAP).alias("score"))
     heads = groups.groupBy(F.col("name").alias("n")).agg(F.max("newest").alias("head"))
-    across = groups.join(heads, F.col("name") == F.col("n")).where("newest <> head").select(F.col("head").alias("id"), F.col("newest").alias("other"), F.lit(MERGE_CAP).alias("score"))
+    return same.unionByName(groups.join(heads, F.col("name") == F.col("n")).where("newest <> head").select(F.col("head").alias("id"), F.col("newest").alias("other"), F.lit(MERGE_CAP).alias("score")))
+
+
+def scored_pairs(groups: DataFrame, pairs: DataFrame, least: float = MERGE) -> DataFrame:
+    """(id, other, score) of the groups whose names are pairs (a, b, ratio) and whose score is at least as high."""
     sounds = groups.select(F.col("name").alias("n"), phonetic_key(F.col("name")).alias("sound")).distinct()
-    pairs = alike(groups.select("name"), round(100 * (MERGE - 0.10)))
     for side in ("a", "b"):
         pairs = pairs.join(sounds.select(F.col("n"), F.col("sound").alias(f"sound_{side}")), F.col(side) == F.col("n")).drop("n")
     pairs = checkpoint(pairs.withColumn("base", F.col("ratio") + F.when(F.col("sound_a") == F.col("sound_b"), 0.05).otherwise(0.0)))
     left, right = groups.select(F.col("name").alias("na"), F.col("court").alias("ca"), F.col("newest").alias("ia")), groups.select(F.col("name").alias("nb"), F.col("court").alias("cb"), F.col("newest").alias("ib"))
     met = pairs.select("a", "b", "base").join(left, F.col("a") == F.col("na"))
-    # Where the common court is needed it is part of the key.
-    one = met.where(F.col("base") < MERGE - 1e-9).join(right, (F.col("b") == F.col("nb")) & (F.col("ca") == F.col("cb")))
-    any_court = met.where(F.col("base") >= MERGE - 1e-9).join(right, F.col("b") == F.col("nb"))
-    scored = one.unionByName(any_court).withColumn("score", F.round(F.col("base") + F.when(F.col("ca") == F.col("cb"), 0.05).otherwise(0.0), 6)).where(F.col("score") >= MERGE)
-    between = scored.select(F.greatest("ia", "ib").alias("id"), F.least("ia", "ib").alias("other"), F.least(F.lit(MERGE_CAP), "score").alias("score"))
-    return same.unionByName(across).unionByName(between)
+    # Where the common court is needed it is part of the key; half a millionth is what rounding can add.
+    one = met.where(F.col("base") < least - 1e-6).join(right, (F.col("b") == F.col("nb")) & (F.col("ca") == F.col("cb")))
+    any_court = met.where(F.col("base") >= least - 1e-6).join(right, F.col("b") == F.col("nb"))
+    scored = one.unionByName(any_court).withColumn("score", F.round(F.col("base") + F.when(F.col("ca") == F.col("cb"), 0.05).otherwise(0.0), 6)).where(F.col("score") >= least)
+    return scored.select(F.greatest("ia", "ib").alias("id"), F.least("ia", "ib").alias("other"), F.least(F.lit(MERGE_CAP), "score").alias("score"))
+
+
+def merge_pairs(given: DataFrame) -> DataFrame:
+    """(id, other, score): entries (id, court, name) that may be one person, without loss over all of them.
+
+    The likeness of the names counts, a common court and a common sound add 0.05 each. Entries of one name and court are
+    linked to the newest of them, and such groups of one name to the newest group, instead of each to each; groups of
+    different names are linked by their newest entries, wherever the score is reached. Entries without a name are left out.
+    """
+    groups = entry_groups(given)
+    return equal_names(given, groups).unionByName(scored_pairs(groups, alike(groups.select("name"), round(100 * (MERGE - 0.10)))))
+
+
+def best_merges(given: DataFrame, most: int) -> DataFrame:
+    """The first rows of merge_pairs by score, id and other, from the highest.
+
+    Entries of equal names have the highest score there is. Where they are as many as asked for, a pair of different names comes
+    among the first only with that score and an id not below the last of them; so only names of entries as new as that
+    are compared, with those of all entries.
+    """
+    order = [F.desc("score"), F.desc("id"), F.desc("other")]
+    groups = entry_groups(given)
+    first = checkpoint(equal_names(given, groups).orderBy(*order).limit(most))
+    n, last = first.agg(F.count(F.lit(1)), F.min("id")).first()
+    if n < most:
+        return merge_pairs(given).orderBy(*order).limit(most)
+    pairs = alike_to(groups.where(F.col("newest") >= last).select("name"), groups.select("name"), round(100 * (MERGE_CAP - 0.10)) - 1)
+    return first.unionByName(scored_pairs(groups, pairs, MERGE_CAP).where(F.col("id") >= last)).orderBy(*order).limit(most)
 
 
 @query("ent_8_merges")
 def merges(t: Tables, most: int = SUGGESTIONS) -> DataFrame:
-    """The best suggestions over all provisional entries; their number is a limit of the report, set after the join."""
-    return merge_pairs(entries(t)).orderBy(F.desc("score"), F.desc("id"), F.desc("other")).limit(most)
+    """The best suggestions over all provisional entries; their number is a limit of the report."""
+    return best_merges(entries(t), most)
 
 
 @query("ent_8_stale", f"SELECT doc_id AS id, DATE '2001-12-31' - CAST(doc_id * 37 % 800 AS INTEGER) AS seen FROM documents WHERE doc_id * 37 % 800 > {STALE}")

@@ -156,3 +156,17 @@ def test_nearest_of_common_words_makes_few_lookups(spark):
     # Four frequent terms lead to five names of either make, however many names there are.
     found = similarity.lookups_in(similarity.tf_idf(made, made), 5).where("t IN ('north', 'south', 'judge', 'north judge', 'south judge')")
     assert 0 < found.count() <= 2 * 5 * 3
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 500])
+def test_best_merges_are_the_first_of_all(spark, most, monkeypatch):
+    r = random.Random(5)
+    pool = [n for n in odd_names(5, 12) if len(n) > 6][:12]
+    long = ["justice abcdefghijklmnopqrst", "justice abcdefghijklmnopqrstu", "justice abcdefghijklmnopqrstuv"]
+    rows = [(i, r.choice([1, 2, None]), r.choice(pool)) for i in range(90)] + [(200 + i, 1, n) for i, n in enumerate(long)] + [(900, 1, ""), (901, 1, None)]
+    df = spark.createDataFrame(rows, "id long, court int, name string")
+    expected = sorted((x["score"], x["id"], x["other"]) for x in people.merge_pairs(df).collect())[::-1][:most]
+    if most <= 40:
+        monkeypatch.setattr(people, "alike", None)  # all pairs of names are not needed
+    assert [(x["score"], x["id"], x["other"]) for x in people.best_merges(df, most).collect()] == expected
+    assert (0.99, 202, 201) in expected
