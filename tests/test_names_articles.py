@@ -270,3 +270,13 @@ def test_phonetic_keys_against_a_plain_soundex(spark):
     words = ["".join(rnd.choices("abcdefghjklmnprstvwyz", k=rnd.randint(2, 9))) for _ in range(300)] + ["ashcraft", "tymczak", "pfister", "bb"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", phonetic_key(F.col("w")).alias("key")).collect()
     assert [(r["w"], r["key"]) for r in rows] == [(w, code(w)) for w in words]
+
+
+def test_judges_meet_all_their_cases_without_a_shuffle_of_pairs(spark):
+    said = [(1, "Justice Supplier3 heard both; Judge supplier3 again"), (1, "Judge Supplier3"), (2, "Shri Supplier4"), (3, "nobody"), (4, None)]
+    cases = [(i, f"supplier{i % 3 + 2}") for i in range(9)] + [(0, "supplier2")]
+    met = articles.by_judge(spark.createDataFrame(said, "article_id long, said string"), spark.createDataFrame(cases, "case_id long, judge string"))
+    got = sorted(tuple(r) for r in met.collect())
+    assert got == [(1, c, 0.75) for c in (1, 4, 7)] + [(2, c, 0.75) for c in (2, 5, 8)]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
