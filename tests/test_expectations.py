@@ -143,3 +143,18 @@ def test_tactic(spark):
     r = spark.createDataFrame([("Proxy counsel appearing",), ("",), (None,)], "text string").select(tactics.tactic(F.col("text")).alias("c")).collect()
     assert r[0]["c"]["tactic"] == "proxy_counsel" and r[0]["c"]["confidence"] == pytest.approx(0.75**0.65)
     assert [x["c"]["tactic"] for x in r[1:]] == ["none", "none"]
+
+
+def test_rate_limit_counts_to_the_microsecond(spark, tmp_path):
+    import duckdb
+
+    from docketlens.plans.registry import ORACLE, QUERIES
+
+    days = 30 * 86400
+    at = [0.0, 0.3, 0.6, 1.2, 1.6, 1.600001, days + 0.5, days + 0.6, days + 1.7, days + 1.9]
+    path = str(tmp_path / "events.parquet")
+    duckdb.sql("SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(CAST(round(s * 1e6) AS BIGINT)) AS ts, 1 AS user_id, 'view' AS event_type FROM (SELECT unnest(?) AS i, unnest(?) AS s)", params=[list(range(len(at))), at]).write_parquet(path)
+    got = {r["event_id"]: r["rejected"] for r in QUERIES["fil_14_rate_limit"](spark, str(tmp_path)).collect()}
+    sql = ORACLE["fil_14_rate_limit"].rsplit("\n", 1)[1].replace("FROM events", f"FROM '{path}'")
+    assert got == dict(duckdb.sql(sql).fetchall())
+    assert not got[3] and got[5] and got[6]
