@@ -280,3 +280,14 @@ def test_judges_meet_all_their_cases_without_a_shuffle_of_pairs(spark):
     assert got == [(1, c, 0.75) for c in (1, 4, 7)] + [(2, c, 0.75) for c in (2, 5, 8)]
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_parties_are_found_without_shuffling_texts(spark):
+    said = [(i, f"Customer#{i % 3} against{' filler%d' % i * 50} Supplier#{i % 2}") for i in range(12)] + [(20, "customer#1 alone"), (21, None), (22, "Mary Ann Smith, Supplier#1")]
+    cases = [(i, f"customer#{i % 3}", f"supplier#{i % 2}") for i in range(6)] + [(9, "mary ann smith", "supplier#1"), (10, "mary jane", "supplier#1"), (11, "ab", "supplier#1")]
+    arts = spark.createDataFrame(said, "article_id long, said string")
+    met = articles.by_parties(arts, spark.createDataFrame(cases, "case_id long, plaintiff string, defendant string"))
+    expected = {(a, c) for a, text in said for c, p, d in cases if text and len(p) > 3 and p in text.lower() and d in text.lower()}
+    assert {(r["article_id"], r["case_id"]) for r in met.collect()} == expected and len(expected) == 13
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # words are left behind; the text is only joined to be checked
