@@ -1,9 +1,9 @@
 """Boosted trees with the pinball loss, for several quantiles at once, by aggregates over binned features.
 
-Features are cut into bins once. A tree grows by levels: one aggregate counts rows and adds gradients by quantile, node, feature
-and bin, which is a table of bounded size whatever the number of rows, and from which the driver picks the splits. A leaf's
-value is the quantile of its residuals. What is shuffled for a level are these sums, combined before the shuffle; rows are
-read where they are, and their predictions are expressions over the bins.
+Features are cut into bins once. For a tree, one aggregate counts rows, and those above their score, by all their bins. It grows by
+levels from these counts: they are added up by quantile, node, feature and bin, which is a table of bounded size whatever the
+number of rows, and from which the driver picks the splits. A leaf's value is the quantile of its residuals. What is shuffled
+are these sums, combined before the shuffle; rows are read where they are, and their predictions are expressions over the bins.
 """
 
 from dataclasses import dataclass, field
@@ -88,8 +88,9 @@ class QuantileTrees:
         for _ in range(self.trees):
             grown = [Tree() for _ in self.quantiles]
             scores = [self.score(i) for i in range(len(self.quantiles))]
+            sums = self.sums(data, scores)
             for _ in range(self.depth):
-                self.split(data, grown, scores)
+                self.split(sums, grown)
             rest = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), t.node().alias("node"), (F.col("y") - s).alias("rest")) for i, (t, s) in enumerate(zip(grown, scores, strict=True))]))
             leaves = data.select(rest.alias("x")).select("x.*").groupBy("q", "node").agg(F.percentile_approx("rest", list(self.quantiles), 10_000).alias("at"))
             for r in leaves.collect():
@@ -98,16 +99,22 @@ class QuantileTrees:
                 own.append(tree)
         return self
 
-    def split(self, data: DataFrame, grown: list[Tree], scores: list[Column]) -> None:
+    def sums(self, data: DataFrame, scores: list[Column]) -> DataFrame:
+        """(bins, n, above): rows by all their bins, and for each quantile those above its score: all that the levels of a tree need of the rows."""
+        above = [F.count_if(F.col("y") > s).alias(f"a{i}") for i, s in enumerate(scores)]
+        each = data.groupBy("bins").agg(F.count(F.lit(1)).alias("n"), *above)
+        return checkpoint(each.select("bins", "n", F.array(*[f"a{i}" for i in range(len(scores))]).alias("above")))
+
+    def split(self, sums: DataFrame, grown: list[Tree]) -> None:
         """One level of a tree for each quantile."""
         size = len(self.kinds) + len(self.numbers)
-        gradient = lambda i: F.when(F.col("y") > scores[i], F.lit(self.quantiles[i])).otherwise(F.lit(self.quantiles[i] - 1.0))
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), t.node().alias("node"), gradient(i).alias("g")) for i, t in enumerate(grown)]))
-        cells = data.select("bins", each.alias("x")).select("bins", "x.*").select("q", "node", "g", F.posexplode("bins").alias("feature", "bin"))
-        found = cells.groupBy("q", "node", "feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g")).collect()
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), t.node().alias("node"), F.col("above")[i].alias("a")) for i, t in enumerate(grown)]))
+        cells = sums.select("bins", "n", each.alias("x")).select("bins", "n", "x.*").select("q", "node", "n", "a", F.posexplode("bins").alias("feature", "bin"))
+        # A row above its score has the gradient q, any other q - 1.
+        found = cells.groupBy("q", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).collect()
         nodes: dict[tuple[int, int], list] = {}
         for r in found:
-            nodes.setdefault((r["q"], r["node"]), []).append((r["feature"], r["bin"], r["n"], r["g"]))
+            nodes.setdefault((r["q"], r["node"]), []).append((r["feature"], r["bin"], r["n"], self.quantiles[r["q"]] * r["n"] - (r["n"] - r["a"])))
         for (q, node), own in nodes.items():
             assert len(own) <= size * self.bins
             if (cut := best_split(own, self.least)) is not None:

@@ -60,3 +60,14 @@ def test_odd_rows(spark, noisy):
     few = QuantileTrees("y", ["x"], ["kind"], trees=2).fit(noisy.limit(1)).predict(odd).collect()
     assert len({(r["q0"], r["q2"]) for r in few}) == 1
     assert QuantileTrees("y", ["x"], ["kind"], trees=1).fit(noisy.limit(0)).predict(odd).count() == 3
+
+
+def test_levels_of_a_tree_need_counts_by_bins_only(spark):
+    rows = [(float(i % 7), [i % 3, i % 2]) for i in range(60)]
+    trees = QuantileTrees("y", ["a", "b"], [], quantiles=(0.5, 0.9))
+    got = {tuple(r["bins"]): (r["n"], list(r["above"])) for r in trees.sums(spark.createDataFrame(rows, "y double, bins array<int>"), [F.lit(2.0), F.lit(5.0)]).collect()}
+    expected = {}
+    for y, bins in rows:
+        n, above = expected.get(tuple(bins), (0, [0, 0]))
+        expected[tuple(bins)] = (n + 1, [above[0] + (y > 2), above[1] + (y > 5)])
+    assert got == expected
