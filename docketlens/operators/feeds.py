@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketlens.plans.registry import query
+from docketlens.plans.similarity import alike_sets
 from docketlens.sources.domain import Tables
 
 #: Word lists and patterns.
@@ -144,24 +145,12 @@ def trigrams(name: Column) -> Column:
 def trigram_matches(t: Tables, least: float = 0.30, pool: int = 30) -> DataFrame:
     """The most alike names by shared trigrams, a pool of them for each name.
 
-    With the trigrams of all names ordered from rare to frequent, two names as alike as needed share one among their
-    first n - ceil(least * n) + 1. Only these meet, so that trigrams which all names have make no pairs.
+    Equal sets of trigrams meet once, and only where they share several rare trigrams at once (`alike_sets`), so that neither copies
+    of a name nor trigrams which many names have make pairs.
     """
-    a = t.read("supplier").select(F.lit("s").alias("side"), F.col("s_suppkey").alias("id"), trigrams(F.col("s_name")).alias("g"))
-    b = t.read("customer").select(F.lit("k").alias("side"), F.col("c_custkey").alias("id"), trigrams(F.col("c_name")).alias("g"))
-    each = a.unionByName(b).select("side", "id", F.explode("g").alias("gram"))
-    df = each.groupBy(F.col("gram").alias("of")).agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(df, F.col("gram") == F.col("of")).groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    ordered = ordered.select("side", "id", F.transform("o", lambda x: x["gram"]).alias("g"))
-    n = F.size("g")
-    leading = ordered.select("side", "id", F.explode(F.slice("g", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("gram"))
-    side = lambda df, which, name: df.where(F.col("side") == which).drop("side").withColumnRenamed("id", name)
-    met = side(leading, "s", "s").join(side(leading, "k", "k"), "gram").select("s", "k").distinct()
-    full = met.join(side(ordered, "s", "s"), "s").join(side(ordered, "k", "k").withColumnRenamed("g", "h"), "k")
-    raw = F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))
-    found = full.select("s", "k", raw.alias("raw")).where(F.col("raw") > least).withColumn("sim", F.round("raw", 6))
-    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("sim"), "k"))
-    return found.withColumn("rn", rank).where(F.col("rn") <= pool).select("s", "k", "sim")
+    a = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.array_sort(trigrams(F.col("s_name"))).alias("grams"))
+    b = t.read("customer").select(F.col("c_custkey").alias("id"), F.array_sort(trigrams(F.col("c_name"))).alias("grams"))
+    return alike_sets(a, b, least, pool)
 
 
 @query("fed_1_case_numbers", r", m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\d{1,4})/(\d{4})', 0)) AS number FROM documents) SELECT doc_id, number, count(*) AS n FROM m GROUP BY ALL")

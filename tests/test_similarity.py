@@ -170,3 +170,28 @@ def test_best_merges_are_the_first_of_all(spark, most, monkeypatch):
         monkeypatch.setattr(people, "alike", None)  # all pairs of names are not needed
     assert [(x["score"], x["id"], x["other"]) for x in people.best_merges(df, most).collect()] == expected
     assert (0.99, 202, 201) in expected
+
+
+@pytest.mark.parametrize(("least", "pool"), [(0.3, 4), (0.6, 30), (0.0, 3)])
+def test_alike_sets_lose_nothing(spark, least, pool):
+    r = random.Random(pool)
+    grams = lambda text: sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    name = lambda head: f"  {head}#{r.choice((3, 40, 500, 60_000)) + r.randrange(200):09d} "
+    left = [(i, grams(name("supplier"))) for i in range(60)] + [(90, grams("ab#0")), (91, []), (92, grams("  supplier#000000123 ")), (93, grams("  supplier#000000123 "))]
+    right = [(i, grams(name(r.choice(("customer", "supplier", "suplier"))))) for i in range(150)] + [(i, grams("  customer#000000123 ")) for i in range(200, 240)] + [(300, grams("#000")), (301, []), (302, grams("other words of some length, none of which is shared"))]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, grams array<string>")
+    expected = set()
+    for s, g in left:
+        found = [(-round(len(set(g) & set(h)) / len(set(g) | set(h)), 6), k) for k, h in right if set(g) & set(h) and len(set(g) & set(h)) / len(set(g) | set(h)) > least]
+        expected |= {(s, k, -sim) for sim, k in sorted(found)[:pool]}
+    assert {tuple(x) for x in similarity.alike_sets(frame(left), frame(right), least, pool).collect()} == expected
+    assert len(expected) > 30
+
+
+def test_sets_meet_on_several_grams_at_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(similarity, "checkpoint", lambda df: met.append(df) or df)
+    frame = lambda head, n: spark.createDataFrame([(i, sorted({text[j : j + 3] for j in range(len(text) - 2)})) for i in range(n) for text in [f"  {head}#{7 * i:09d} "]], "id long, grams array<string>")
+    similarity.alike_sets(frame("supplier", 500), frame("customer", 500), 0.3, 30)
+    plan = met[-1].toPandas()
+    assert (plan["j"] == similarity.TOGETHER).any() and (plan["a"] >= plan["j"]).all()
