@@ -5,6 +5,7 @@ import datetime as dt
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,6 +125,20 @@ def test_edges_lose_nothing(spark):
     assert got == {(a["first"], b["first"]): s for a, b in itertools.combinations(rows, 2) if (s := articles.likeness(a, b)) >= 0.85}
 
 
+def test_texts_that_only_share_letters_are_not_compared(monkeypatch):
+    """Prose of equal letters: trigrams tell it apart, and the few places at which difflib starts in a long text."""
+    r = random.Random(5)
+    letters = "etaoinshrdlu" * 20
+    texts = ["".join(r.sample(letters, len(letters))) for _ in range(30)]
+    texts += [t[:100] + "x" + t[101:] for t in texts[:5]]
+    rows = pd.DataFrame([{"first": i, "title": t, "content": t + " heard", "published": dt.date(2001, 1, 1), "source": r.choice(["a", None]), "day": 11323} for i, t in enumerate(texts)])
+    calls, ratio = [], articles.ratio
+    monkeypatch.setattr(articles, "ratio", lambda a, b: calls.append(1) or ratio(a, b))
+    pairs = list(itertools.combinations(rows.to_dict("records"), 2))
+    assert articles.alike_in(rows, rows, 0.85, same=True) == [(a["first"], b["first"], s) for a, b in pairs if (s := articles.likeness(a, b)) >= 0.85]
+    assert len(calls) < 20 < len(pairs)
+
+
 def test_leaders_of_chains(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 12), (11, 12), (20, 30), (25, 30), (21, 25)]
     got = articles.leaders(spark.createDataFrame([(a, b, 0.9) for a, b in edges], "a long, b long, similarity double")).collect()
