@@ -36,3 +36,18 @@ def test_attribution_of_unknown_advocates(spark, tables):
     assert rows[(1, None, "pattern")] == (1, 0.5, 25.0, 14)
     assert rows[(2, 7, "application")] == (2, rows[(3, 7, "application")][1], rows[(3, 7, "application")][2], 90)
     assert (2, 7, "pattern") not in rows and (3, 7, "pattern") not in rows
+
+
+@pytest.mark.parametrize("build", [tactics.batch_stats, tactics.batches])
+def test_batch_statistics_make_features_once(tables, build):
+    # What is left after the counts reads no table but the few rows that are kept.
+    assert "l_orderkey" not in optimized(build(tables))
+
+
+def test_batch_statistics_of_few(spark):
+    rows = spark.createDataFrame([(1, 10.0), (1, 59.9999999), (1, 60.0), (1, 60.0), (1, None), (2, 7.5)], "batch int, p double")
+    got = {r["batch"]: r.asDict() for r in tactics.batch_statistics(rows, ["batch"]).collect()}
+    assert got[1] == {"batch": 1, "n": 5, "mean": 47.5, "low": 10.0, "high": 60.0, "sd": 25.0, "suspects": 2, "upper_median": 60.0}
+    assert (got[2]["n"], got[2]["mean"], got[2]["sd"], got[2]["upper_median"]) == (1, 7.5, None, 7.5)
+    none = tactics.batch_statistics(rows.where("batch = 3"), []).collect()
+    assert len(none) == 1 and (none[0]["n"], none[0]["mean"], none[0]["upper_median"]) == (0, None, None)
