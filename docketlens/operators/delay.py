@@ -41,10 +41,14 @@ BASELINES_SQL = (
 
 
 def baselines(delays: DataFrame) -> DataFrame:
-    """Median, p75, p90 and spread at all levels by one GROUPING SETS; exact percentiles with linear interpolation."""
+    """Median, p75, p90 and spread at all levels by one GROUPING SETS; exact percentiles with linear interpolation.
+
+    Equal delays of a court and type are counted first, so that the levels expand these counts and not the cases.
+    """
     sets = [[F.col(k) for k in keys] for _, keys in LEVELS]
-    p = F.percentile("delay", [0.25, 0.5, 0.75, 0.9])
-    stats = delays.groupingSets(sets, "court_id", "state", "case_type").agg(p.alias("p"), F.count(F.lit(1)).alias("n"))
+    counts = delays.groupBy("court_id", "state", "case_type", "delay").agg(F.count(F.lit(1)).alias("m"))
+    p = F.percentile("delay", [0.25, 0.5, 0.75, 0.9], F.col("m"))
+    stats = counts.groupingSets(sets, "court_id", "state", "case_type").agg(p.alias("p"), F.sum("m").alias("n"))
     has = lambda *keys: F.lit(True) if not keys else F.col(keys[0]).isNotNull() if len(keys) == 1 else F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()
     level = F.when(has(*LEVELS[0][1]), LEVELS[0][0])
     for name, keys in LEVELS[1:]:

@@ -64,9 +64,10 @@ def features_query(t: Tables) -> DataFrame:
 
 
 def baselines(rows: DataFrame) -> DataFrame:
-    """Medians of the days since the last substantive hearing, at seven levels in one pass."""
+    """Medians of the days since the last substantive hearing, at seven levels in one pass over the counts of equal days."""
     sets = [[F.col(k) for k in keys] for _, keys in LEVELS]
-    stats = rows.where("days_substantive IS NOT NULL AND n_hearings >= 2").groupingSets(sets, "court_id", "state", "case_type", "stage").agg(F.greatest(F.lit(1.0), F.percentile("days_substantive", 0.5)).alias("median"), F.count(F.lit(1)).alias("n"))
+    counts = rows.where("days_substantive IS NOT NULL AND n_hearings >= 2").groupBy("court_id", "state", "case_type", "stage", "days_substantive").agg(F.count(F.lit(1)).alias("m"))
+    stats = counts.groupingSets(sets, "court_id", "state", "case_type", "stage").agg(F.greatest(F.lit(1.0), F.percentile("days_substantive", 0.5, F.col("m"))).alias("median"), F.sum("m").alias("n"))
     level = F.lit("national")
     for name, keys in reversed(LEVELS[:-1]):
         there = F.col(keys[0]).isNotNull()

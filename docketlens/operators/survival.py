@@ -15,12 +15,15 @@ HORIZON = 1825
 STRATA = (("national", ()), ("court", ("court_id",)), ("court_case_type", ("court_id", "case_type")), ("state", ("state",)), ("state_case_type", ("state", "case_type")), ("case_type", ("case_type",)), ("judge", ("judge_id",)))
 
 
-def durations(t: Tables) -> DataFrame:
-    """Duration in days and whether it ended: disposed cases to their disposal, the others to the reference date."""
+def durations(t: Tables, judges: bool = True) -> DataFrame:
+    """Duration in days and whether it ended: disposed cases to their disposal, the others to the reference date.
+
+    Without judges, judge_id is left out, and with it the sort of all hearings that finds the latest judge.
+    """
     end = F.when(F.col("is_disposed"), F.coalesce("disposal_date", t.as_of)).otherwise(t.as_of)
-    judge = latest_judge(t).select("case_id", "judge_id")
     days = F.greatest(F.lit(0), F.datediff(end, "filing_date")).cast("long")
-    return t.case_spans.join(judge, "case_id", "left").select("case_id", "court_id", "state", "case_type", "judge_id", days.alias("duration"), F.col("is_disposed").cast("long").alias("event"), F.datediff(t.as_of, "filing_date").cast("long").alias("age"))
+    rows = t.case_spans.join(latest_judge(t).select("case_id", "judge_id"), "case_id", "left") if judges else t.case_spans
+    return rows.select("case_id", "court_id", "state", "case_type", *(["judge_id"] if judges else []), days.alias("duration"), F.col("is_disposed").cast("long").alias("event"), F.datediff(t.as_of, "filing_date").cast("long").alias("age"))
 
 
 DUR_SQL = """, dur AS (SELECT c.case_id, court_id, state, case_type, j.judge_id, greatest(0, date_diff('day', filing_date, CASE WHEN is_disposed THEN coalesce(disposal_date, DATE '2001-12-31') ELSE DATE '2001-12-31' END)) AS duration,
@@ -114,8 +117,8 @@ def with_stratum(t: Tables, levels=LEVELS, minimum: int = ENOUGH, every: bool =
 
     A stratum is looked up by its label alone, one small row for each; no curve is carried to a case.
     """
-    rows = durations(t)
-    points = survival_points(strata(rows.drop("judge_id"), tuple(s for s in STRATA if s[0] in levels)), minimum)
+    rows = durations(t, judges=False)
+    points = survival_points(strata(rows, tuple(s for s in STRATA if s[0] in levels)), minimum)
     known = points.select("kind", "key").distinct()
     asked = rows.withColumn("age", F.col("duration")) if every else rows.where("event = 0")
     out = asked.select("case_id", "court_id", "state", "case_type", "age")

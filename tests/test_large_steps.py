@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from docketlens.operators import tactics
+from docketlens.operators import delay, dormancy, survival, tactics
 from docketlens.sources.domain import Tables
 
 
@@ -51,3 +51,20 @@ def test_batch_statistics_of_few(spark):
     assert (got[2]["n"], got[2]["mean"], got[2]["sd"], got[2]["upper_median"]) == (1, 7.5, None, 7.5)
     none = tactics.batch_statistics(rows.where("batch = 3"), []).collect()
     assert len(none) == 1 and (none[0]["n"], none[0]["mean"], none[0]["upper_median"]) == (0, None, None)
+
+
+def test_predictions_need_no_latest_judge(tables):
+    assert "max_by" not in optimized(survival.flags(tables))
+
+
+@pytest.mark.parametrize("build", [lambda t: delay.baselines(delay.case_delays(t.case_spans, t.as_of, 7)), lambda t: dormancy.baselines(dormancy.features(t))])
+def test_levels_expand_counts(tables, build):
+    plan = optimized(build(tables))
+    # Below the rows that are made for each level, equal values are counted already.
+    assert plan.count("Expand") == 1 and "count(1)" in plan.split("Expand")[1].split("Join")[0]
+
+
+def test_percentiles_weigh_equal_values(spark):
+    rows = spark.createDataFrame([(1, "a", "x", v) for v in (10, 10, 10, 40, 50)], "court_id int, state string, case_type string, delay long")
+    got = {r["level"]: (r["median"], r["p75"], r["p90"], r["n"]) for r in delay.baselines(rows).collect()}
+    assert got == dict.fromkeys((name for name, _ in delay.LEVELS), (10.0, 40.0, 46.0, 5))
