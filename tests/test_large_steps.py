@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from docketlens.operators import delay, dormancy, survival, tactics
+from docketlens.operators import articles, delay, dormancy, survival, tactics
 from docketlens.sources.domain import Tables
 
 
@@ -68,3 +68,9 @@ def test_percentiles_weigh_equal_values(spark):
     rows = spark.createDataFrame([(1, "a", "x", v) for v in (10, 10, 10, 40, 50)], "court_id int, state string, case_type string, delay long")
     got = {r["level"]: (r["median"], r["p75"], r["p90"], r["n"]) for r in delay.baselines(rows).collect()}
     assert got == dict.fromkeys((name for name, _ in delay.LEVELS), (10.0, 40.0, 46.0, 5))
+
+
+def test_party_matches_are_not_shuffled(tables):
+    """An article holds a pair of names once, so that no pair of article and case is dealt by its keys."""
+    plan = optimized(articles.by_parties(articles.articles(tables), articles.known_cases(tables)))
+    assert not plan.split("Join")[0].count("Aggregate")
