@@ -297,6 +297,14 @@ def test_judges_meet_all_their_cases_without_a_shuffle_of_pairs(spark):
     assert plan.index("Join") < plan.index("Aggregate")
 
 
+def test_courts_meet_all_their_cases(spark):
+    said = [(1, "The High Court of KENYA; the Civil Court of KENYA"), (1, "District Court of KENYA"), (2, "Supreme Court of FRANCE"), (3, "Court of KENYA"), (4, None)]
+    cases = [(i, ("KENYA", "FRANCE", "PERU")[i % 3]) for i in range(30)]
+    arts, known = spark.createDataFrame(said, "article_id long, said string"), spark.createDataFrame(cases, "case_id long, court string")
+    got = sorted(tuple(r) for r in articles.by_court(arts, known).collect())
+    assert got == [(1, c, 0.45) for c in range(0, 30, 3)] + [(2, c, 0.45) for c in range(1, 30, 3)]
+
+
 def test_parties_are_found_without_shuffling_texts(spark):
     said = [(i, f"Customer#{i % 3} against{' filler%d' % i * 50} Supplier#{i % 2}") for i in range(12)] + [(20, "customer#1 alone"), (21, None), (22, "Mary Ann Smith, Supplier#1")]
     cases = [(i, f"customer#{i % 3}", f"supplier#{i % 2}") for i in range(6)] + [(9, "mary ann smith", "supplier#1"), (10, "mary jane", "supplier#1"), (11, "ab", "supplier#1")]
