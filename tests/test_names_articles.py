@@ -297,6 +297,18 @@ def test_judges_meet_all_their_cases_without_a_shuffle_of_pairs(spark):
     assert plan.index("Join") < plan.index("Aggregate")
 
 
+def test_pairs_of_articles_and_cases_take_few_bits_in_files(spark, tmp_path):
+    """A judge of many articles: blocks let numbers repeat within what the codec sees. Null and repeated numbers are kept as they are."""
+    arts = spark.range(30_001).select(F.col("id").alias("article_id"), F.lit("Justice Supplier3").alias("said"))
+    articles.by_judge(arts, spark.range(120).select(F.col("id").alias("case_id"), F.lit("supplier3").alias("judge"))).write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 30_001 * 120
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * 30_001 * 120
+    some = spark.createDataFrame([(None, "Civil Court of PERU"), (1, "Civil Court of PERU"), (1, "Civil Court of PERU")], "article_id long, said string")
+    known = spark.createDataFrame([(None, "PERU"), (7, "PERU"), (7, "PERU"), (8, None)], "case_id long, court string")
+    got = sorted(map(repr, (tuple(r) for r in articles.by_court(some, known).collect())))
+    assert got == sorted(map(repr, [(a, c, 0.45) for a in (None, 1) for c in (None, 7, 7)]))
+
+
 def test_courts_meet_all_their_cases(spark):
     said = [(1, "The High Court of KENYA; the Civil Court of KENYA"), (1, "District Court of KENYA"), (2, "Supreme Court of FRANCE"), (3, "Court of KENYA"), (4, None)]
     cases = [(i, ("KENYA", "FRANCE", "PERU")[i % 3]) for i in range(30)]
