@@ -195,3 +195,17 @@ def test_sets_meet_on_several_grams_at_once(spark, monkeypatch):
     similarity.alike_sets(frame("supplier", 500), frame("customer", 500), 0.3, 30)
     plan = met[-1].toPandas()
     assert (plan["j"] == similarity.TOGETHER).any() and (plan["a"] >= plan["j"]).all()
+
+
+def test_alike_sets_broadcast_no_sets(spark, tmp_path):
+    """Names from small files, by whose size Spark would broadcast the sets and keys made of them."""
+    from docketlens.operators.feeds import trigrams
+
+    def frame(kind):
+        names = spark.range(300).select("id", F.concat(F.lit(kind), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"))
+        names.write.parquet(str(tmp_path / kind))
+        return spark.read.parquet(str(tmp_path / kind)).select("id", F.array_sort(trigrams(F.col("name"))).alias("grams"))
+
+    plan = similarity.alike_sets(frame("supplier"), frame("customer"), 0.3, 30)._jdf.queryExecution().executedPlan().toString()
+    # Only the few pairs of sizes are broadcast, once for either side.
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 7
